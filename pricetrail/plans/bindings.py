@@ -109,16 +109,34 @@ SELECT 'shop:' || l_partkey AS product_id, 'promo:' || l_orderkey AS promotion_i
 FROM lineitem GROUP BY l_partkey, l_orderkey
 """
 
-# orders -> SKU/barcode pairs of an identifier file: some repeated, some contradictory, some invalid
+# lineitem -> rows of an identifier file: pairs repeat, some are contradictory (every 16th order writes its
+# neighbour's SKU), some lack the SKU; many belong to products
 PAIRS = """
-SELECT o_orderkey AS row_number,
+SELECT l_orderkey * 10 + l_linenumber AS row_number,
   CASE WHEN o_orderstatus = 'P' AND o_orderpriority = '1-URGENT' THEN NULL
-       WHEN o_orderkey % 16 = 0 THEN 'Brand-' || (o_custkey % 25 + 1) || '-' || (o_orderkey + 1)
-       ELSE 'Brand-' || (o_custkey % 25 + 1) || '-' || o_orderkey END AS sku,
+       ELSE coalesce(replace(p_brand, '#', '-') || '-' || p_partkey, 'X-' || o_orderkey) END AS sku,
   CASE WHEN o_orderkey % 3 = 0 THEN lpad(CAST(o_orderkey AS STRING), 13, '0')
-       ELSE CAST(o_custkey AS STRING) || '-' || CAST(year(o_orderdate) * 100 + month(o_orderdate) AS STRING) END AS barcode
-FROM orders
+       ELSE CAST(o_custkey AS STRING) || '-' || CAST(year(o_orderdate) * 100 + month(o_orderdate) AS STRING) END AS barcode,
+  CASE WHEN o_orderstatus = 'P' AND o_orderpriority = '1-URGENT' THEN 'empty identifier' END AS error
+FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+LEFT JOIN part ON p_partkey = o_orderkey + CASE WHEN o_orderkey % 16 = 0 THEN 1 ELSE 0 END
+"""
+
+# orders -> pairs stored by earlier files, in every status
+PENDING_ROWS = """
+SELECT sku, barcode, status, CASE WHEN status = 'matched' THEN owner END AS product_id
+FROM (SELECT DISTINCT coalesce(replace(p_brand, '#', '-') || '-' || p_partkey, 'X-' || o_orderkey) AS sku,
+    CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 'old-' || o_custkey
+         WHEN o_orderkey % 3 = 0 THEN lpad(CAST(o_orderkey AS STRING), 13, '0')
+         ELSE CAST(o_custkey AS STRING) || '-' || CAST(year(o_orderdate) * 100 + month(o_orderdate) AS STRING) END AS barcode,
+    CASE WHEN o_orderpriority = '5-LOW' THEN 'pending' WHEN o_orderstatus = 'F' THEN 'needsReview'
+         WHEN o_orderstatus = 'P' AND p_partkey IS NOT NULL THEN 'matched' ELSE 'pending' END AS status,
+    'shop:' || p_partkey AS owner
+  FROM orders LEFT JOIN part ON p_partkey = o_orderkey
+  WHERE o_orderpriority IN ('5-LOW', '4-NOT SPECIFIED')) AS stored
 """
+# The SQL twin's form, with the pair's key
+PENDING = f"""SELECT sha256('["' || sku || '", "' || barcode || '"]') AS id, * FROM ({PENDING_ROWS}) AS keyed"""
 
 # lineitem -> collections (one per supplier) and their members
 MEMBERS = """
