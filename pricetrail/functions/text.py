@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,10 +31,20 @@ def fold(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(F.lower(c), FOLD_FROM, FOLD_TO), f"{_SPACE}+", " "))
 
 
+def _accented() -> tuple[str, str]:
+    """Accented Latin letters and their bare forms, by Unicode decomposition."""
+    pairs = []
+    for code in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
+        letter = chr(code)
+        bare = "".join(c for c in unicodedata.normalize("NFD", letter) if not unicodedata.combining(c))
+        if bare != letter and len(bare) == 1:
+            pairs.append((letter, bare))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
 def strip_accents(c: Column) -> Column:
     """Accent-free lower case, as needed to read month names and fixed phrases."""
-    composed = F.regexp_replace(F.lower(c), r"\p{M}+", "")
-    return F.translate(composed, FOLD_FROM + "áàäéèêëíìïóòôöúùûüçñ", FOLD_TO + "aaaeeeeiiioooouuuucn")
+    return F.translate(F.regexp_replace(F.lower(c), r"\p{Mn}+", ""), *_accented())
 
 
 def search_text(name: Column, sku: Column, barcode: Column, brand: Column) -> Column:

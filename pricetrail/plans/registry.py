@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pricetrail.session import configure
 
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "pages")
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "pages", "documents")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -24,6 +24,7 @@ class Source:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def sql(self, text: str) -> DataFrame:
+        text = text.replace("{", "{{").replace("}", "}}")
         used = [t for t in TABLES if re.search(rf"\b{t}\b", text)]
         for t in used:
             text = re.sub(rf"\b(FROM|JOIN)\s+{t}\b", rf"\1 {{{t}}}", text)

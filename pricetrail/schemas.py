@@ -1,22 +1,12 @@
-"""Fixed table schemas. Identifiers are always text; money is decimal until the public payload."""
+"""Fixed table schemas, as DDL. Identifiers are always text; money is decimal until the public payload."""
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-MONEY = T.DecimalType(12, 2)
-PERCENT = T.DecimalType(6, 2)
-
-
-def _struct(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
-
-
-CATALOG_STATE = _struct("generation string, version long")
-CATEGORIES = _struct(
+CATALOG_STATE = "generation string, version long"
+CATEGORIES = (
     "id string, parent_id string, name string, level int, sort_order int, source_url string, version long"
 )
-PRODUCTS = _struct(
+PRODUCTS = (
     "id string, source_product_id string, sku string, barcode string, name string, brand string, "
     "quantity string, price decimal(12,2), old_price decimal(12,2), promo_price decimal(12,2), "
     "discount_percent decimal(6,2), promotion_state string, promotion_start timestamp, "
@@ -24,24 +14,24 @@ PRODUCTS = _struct(
     "source_image_url string, full_image_url string, in_stock boolean, possibly_inactive boolean, "
     "inactive boolean, missing_count int, created_at timestamp, updated_at timestamp, version long"
 )
-DOCUMENTS = _struct("id string, data string, version long")
-PROMOTION_MEMBERS = _struct("product_id string, promotion_id string")
-COLLECTION_MEMBERS = _struct("collection_id string, product_id string")
-CHANGES = _struct("version long, kind string, entity_id string, payload string")
-RUNS = _struct(
+DOCUMENTS = "id string, data string, version long"
+PROMOTION_MEMBERS = "product_id string, promotion_id string"
+COLLECTION_MEMBERS = "collection_id string, product_id string"
+CHANGES = "version long, kind string, entity_id string, payload string"
+RUNS = (
     "id string, started_at timestamp, finished_at timestamp, status string, "
     "stats map<string,string>"
 )
-PENDING = _struct(
+PENDING = (
     "id string, sku string, barcode string, status string, product_id string, data string, version long"
 )
-ALIASES = _struct("barcode string, product_id string")
-IMPORT_HISTORY = _struct(
+ALIASES = "barcode string, product_id string"
+IMPORT_HISTORY = (
     "file_name string, imported_at timestamp, rows_read long, rows_added long, rows_updated long, "
     "rows_failed long, rows_valid long, rows_matched long, rows_pending long, rows_duplicate long, "
     "rows_conflict long, errors string"
 )
-SYNC_HISTORY = _struct(
+SYNC_HISTORY = (
     "sync_type string, started_at timestamp, finished_at timestamp, status string, checked long, "
     "added long, updated long, unchanged long, errors long"
 )
