@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pricetrail.functions.binding import let
 from pricetrail.functions.text import strip_accents
 
 # Romanian month names, January to December.
@@ -35,25 +36,30 @@ def promotion_period(text: Column, zone: str) -> Column:
 
     Days are whole days of the shop's zone; the bounds are returned in UTC.
     """
-    plain = strip_accents(text)
     number = F.create_map(*[x for i, m in enumerate(MONTHS, 1) for x in (F.lit(m), F.lit(str(i)))])
-    long_form = _dates(plain, r"\b(\d{1,2})\s+(" + "|".join(MONTHS) + r")\s+(\d{4})\b", lambda m: number[m])
-    short_form = _dates(plain, r"\b(\d{1,2})[/.](\d{1,2})[/.](\d{4})\b", lambda m: m)
-    days = F.transform(F.when(F.size(long_form) > 0, long_form).otherwise(short_form), _try_date)
-    first, last = F.get(days, F.lit(0)), F.get(days, F.lit(1))
-    good = F.coalesce((F.size(days) == 2) & (first <= last), F.lit(False))
+
+    def days_in(plain: Column) -> Column:
+        spelled = _dates(plain, r"\b(\d{1,2})\s+(" + "|".join(MONTHS) + r")\s+(\d{4})\b", lambda m: number[m])
+        short = _dates(plain, r"\b(\d{1,2})[/.](\d{1,2})[/.](\d{4})\b", lambda m: m)
+        found = let(spelled, lambda long: F.when(F.size(long) > 0, long).otherwise(short))
+        return F.transform(found, _try_date)
 
     def at(day: Column, clock: str) -> Column:
         local = F.to_timestamp_ntz(F.concat(day.cast("string"), F.lit(" " + clock)))
         return F.convert_timezone(F.lit(zone), F.lit("UTC"), local)
 
-    return F.struct(
-        F.when(good, first).alias("start_date"),
-        F.when(good, last).alias("end_date"),
-        F.when(good, at(first, "00:00:00")).alias("starts_at"),
-        F.when(good, at(last, DAY_END)).alias("ends_at"),
-        F.when(~good, "missing, ambiguous or reversed period").alias("error"),
-    )
+    def described(days: Column) -> Column:
+        first, last = F.get(days, F.lit(0)), F.get(days, F.lit(1))
+        good = F.coalesce((F.size(days) == 2) & (first <= last), F.lit(False))
+        return F.struct(
+            F.when(good, first).alias("start_date"),
+            F.when(good, last).alias("end_date"),
+            F.when(good, at(first, "00:00:00")).alias("starts_at"),
+            F.when(good, at(last, DAY_END)).alias("ends_at"),
+            F.when(~good, "missing, ambiguous or reversed period").alias("error"),
+        )
+
+    return let(let(strip_accents(text), days_in), described)
 
 
 def campaign_status(start: Column, end: Column, at: Column) -> Column:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pricetrail.functions.binding import let
 from pricetrail.functions.text import strip
 
 #: scheme, userinfo, host, port, path, query, fragment
@@ -59,27 +62,22 @@ def absolute_url(raw: Column, base: Column) -> Column:
     )
 
 
-def _trusted(c: Column, hosts: list[str]) -> Column:
-    part = lambda name: F.regexp_extract(c, _URL, _GROUP[name])
-    return (
-        (F.lower(part("scheme")) == "https")
-        & F.lower(part("host")).isin(hosts)
-        & part("port").isin("", "443")
-        & (part("userinfo") == "")
-    )
+def _trusted(host: str, rest: str) -> str:
+    """Pattern of an https URL on a host, without user info, on the default port."""
+    return rf"^(?i:https)://(?i:{host})(?::(?:443)?)?{rest}"
 
 
 def public_url(raw: Column, host: str, base: Column | None = None) -> Column:
     """Absolute URL on the shop's host without its fragment; null when it is not trusted."""
     full = absolute_url(raw, F.lit(f"https://{host}/") if base is None else base)
-    return F.when(_trusted(full, [host]), F.regexp_replace(full, "#.*$", ""))
+    pattern = _trusted(re.escape(host), r"(?=[/?#]|$)")
+    return let(full, lambda u: F.when(u.rlike(pattern), F.regexp_replace(u, "#.*$", "")))
 
 
 def openable_url(c: Column, host: str) -> Column:
     """Link a client may open: also on www., and with a real path."""
     text = strip(c)
-    path = F.regexp_extract(text, _URL, _GROUP["path"])
-    return F.when(_trusted(text, [host, f"www.{host}"]) & ~path.isin("", "/"), text)
+    return F.when(text.rlike(_trusted(rf"(?:www\.)?{re.escape(host)}", r"/[^?#]")), text)
 
 
 def suitable_thumbnail(c: Column) -> Column:
@@ -105,10 +103,13 @@ def pick_images(sources: Column, host: str) -> Column:
     links = F.transform(items, lambda s: F.regexp_extract(strip(s), r"^(\S*)", 1))
     links = F.filter(links, lambda s: (s != "") & ~s.startswith("data:"))
     urls = F.array_distinct(F.transform(links, lambda s: public_url(s, host)))
-    clean = F.filter(urls, lambda u: u.isNotNull())
-    thumbs = F.filter(clean, suitable_thumbnail)
-    return F.struct(
-        F.get(thumbs, F.lit(0)).alias("thumb"),
-        F.get(clean, F.size(clean) - 1).alias("full"),
-        F.when(F.exists(urls, lambda u: u.isNull()), "unexpected source url").alias("error"),
-    )
+
+    def picked(found: Column) -> Column:
+        clean = F.filter(found, lambda u: u.isNotNull())
+        return F.struct(
+            F.get(F.filter(clean, suitable_thumbnail), F.lit(0)).alias("thumb"),
+            F.get(clean, F.size(clean) - 1).alias("full"),
+            F.when(F.exists(found, lambda u: u.isNull()), "unexpected source url").alias("error"),
+        )
+
+    return let(urls, picked)

@@ -203,8 +203,7 @@ def replica_state(s):
 
 
 @query("ups3_new_aliases", views("products", "observed", "aliases", more=REPLICA_SQL) + """SELECT DISTINCT bb AS barcode, coalesce(pid, line) AS product_id
-    FROM j WHERE NOT contra AND bb IS NOT NULL AND bb NOT IN (SELECT barcode FROM aliases)""".replace("SELECT DISTINCT bb AS barcode",
-    "SELECT DISTINCT CASE WHEN pb IS NOT NULL THEN bb ELSE bb END AS barcode"))
+    FROM j WHERE NOT contra AND bb IS NOT NULL AND bb NOT IN (SELECT barcode FROM aliases)""")
 def new_aliases(s):
     return _replica(s, False)["aliases"]
 
@@ -305,14 +304,21 @@ PERIOD_TEXT = f"""SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN
   FROM orders WHERE o_orderdate IS NOT NULL"""
 
 
+def to_utc_sql(local):
+    """UTC of a wall time: the earlier of the two possible instants whose wall time it is."""
+    summer = f"{local} - INTERVAL '3 hours'"
+    return f"""CASE WHEN timezone('Europe/Chisinau', timezone('UTC', {summer})) = {local} THEN {summer} ELSE {local} - INTERVAL '2 hours' END"""
+
+
 @query("sc12_promotion_periods", """WITH d AS (SELECT o_orderkey, o_orderpriority, CASE WHEN o_orderpriority = '1-URGENT' THEN CAST(o_orderdate AS DATE)
       ELSE make_date(year(o_orderdate), month(o_orderdate), 1) END AS a, CASE WHEN o_orderpriority = '1-URGENT'
       THEN make_date(year(o_orderdate) + 1, month(o_orderdate), CASE WHEN month(o_orderdate) = 2 THEN least(day(o_orderdate), 28) ELSE day(o_orderdate) END)
       ELSE make_date(year(o_orderdate), month(o_orderdate), 28) END AS b,
       o_orderpriority IN ('2-HIGH', '5-LOW') OR (o_orderpriority = '1-URGENT' AND month(o_orderdate) = 2 AND day(o_orderdate) = 29) AS bad FROM orders)
-    SELECT o_orderkey, CASE WHEN NOT bad THEN CAST(timezone('UTC', timezone('Europe/Chisinau', CAST(a AS TIMESTAMP))) AS VARCHAR) END AS starts_at,
-      CASE WHEN NOT bad THEN CAST(timezone('UTC', timezone('Europe/Chisinau', b + INTERVAL '23:59:59.999' HOUR TO SECOND)) AS VARCHAR) END AS ends_at,
-      CASE WHEN bad THEN 'missing, ambiguous or reversed period' END AS error FROM d""".replace("INTERVAL '23:59:59.999' HOUR TO SECOND", "INTERVAL '86399999 milliseconds'"))
+    u AS (SELECT *, CAST(a AS TIMESTAMP) AS s, b + INTERVAL '86399999 milliseconds' AS e FROM d)
+    SELECT o_orderkey, CASE WHEN NOT bad THEN CAST({s} AS VARCHAR) END AS starts_at, CASE WHEN NOT bad THEN CAST({e} AS VARCHAR) END AS ends_at,
+      CASE WHEN bad THEN 'missing, ambiguous or reversed period' END AS error FROM u""".replace("AS bad FROM orders)", "AS bad FROM orders),").format(
+        s=to_utc_sql("s"), e=to_utc_sql("e")))
 def promotion_periods(s):
     rows = s.sql(PERIOD_TEXT).select("o_orderkey", T.promotion_period(F.col("t"), "Europe/Chisinau").alias("p"))
     return rows.select("o_orderkey", F.col("p.starts_at").cast("string").alias("starts_at"), F.col("p.ends_at").cast("string").alias("ends_at"), "p.error")

@@ -107,6 +107,32 @@ def _field(spec):
     return [[_compound(p) for p in s.split()] for s in selectors.split("|")], value
 
 
+def _key(compound):
+    """A class, id, attribute or tag that every element matching a compound has."""
+    for at, mark in ((1, "."), (2, "#"), (3, "["), (0, "")):
+        for part in compound:
+            if part[at]:
+                return mark + part[at]
+    return ""
+
+
+def _index(fields):
+    """Selectors by the key of their last compound, so that an element meets only those it may match."""
+    index = {}
+    for name, (selectors, _) in fields.items():
+        for selector in selectors:
+            index.setdefault(_key(selector[-1]), []).append((name, selector))
+    return index
+
+
+def _keys(node):
+    yield node.tag
+    yield from ["." + c for c in node.classes]
+    yield from ["[" + a for a in node.attrs]
+    if "id" in node.attrs:
+        yield "#" + node.attrs["id"]
+
+
 def _matches(nodes, i, selector, stop):
     if not _fits(nodes[i], selector[-1]):
         return False
@@ -157,18 +183,19 @@ def _values(nodes, hits, value, stop):
 def _find(html, wanted):
     nodes = _Page(html).nodes if html else []
     found = {}
-    for name, (container, fields) in wanted.items():
+    for name, (container, fields, index) in wanted.items():
         records = []
-        spots = range(len(nodes)) if container else [None]
-        for c in spots:
+        for c in range(len(nodes)) if container else [None]:
             if c is not None and not any(_matches(nodes, c, s, 0) for s in container[0]):
                 continue
             start, end, stop = (0, len(nodes), 0) if c is None else (c, nodes[c].end, c)
-            record = {}
-            for field, (selectors, value) in fields.items():
-                hits = [i for i in range(start, end) if any(_matches(nodes, i, s, stop) for s in selectors)]
-                record[field] = _values(nodes, hits, value, stop)
-            records.append(record)
+            hits = {field: [] for field in fields}
+            for i in range(start, end):
+                for key in _keys(nodes[i]):
+                    for field, selector in index.get(key, ()):
+                        if hits[field][-1:] != [i] and _matches(nodes, i, selector, stop):
+                            hits[field].append(i)
+            records.append({f: _values(nodes, hits[f], value, stop) for f, (_, value) in fields.items()})
         found[name] = records
     return found
 
@@ -178,10 +205,10 @@ def find(html: Column, wanted: dict[str, tuple[str, dict[str, str]]]) -> Column:
 
     A record maps each field to the list of its values; an element that is not there gives [].
     """
-    compiled = {
-        name: (_field(container) if container else None, {k: _field(v) for k, v in fields.items()})
-        for name, (container, fields) in wanted.items()
-    }
+    compiled = {}
+    for name, (container, fields) in wanted.items():
+        parsed = {k: _field(v) for k, v in fields.items()}
+        compiled[name] = (_field(container) if container else None, parsed, _index(parsed))
 
     @F.pandas_udf(FOUND)
     def pick(pages: pd.Series) -> pd.Series:
