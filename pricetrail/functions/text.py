@@ -13,22 +13,26 @@ FOLD_TO = "aaisstt"
 # Fixed value: a valid stock-keeping unit.
 SKU_PATTERN = "^[A-Za-z0-9][A-Za-z0-9._/-]{0,127}$"
 
-#: Unicode white space as the clients trim it (Java's \s alone is ASCII).
-_SPACE = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+# The characters clients trim as white space.
+SPACES = (
+    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
+_RUN = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in SPACES) + "]+"
 
 
 def strip(c: Column) -> Column:
     """Trim every kind of white space at both ends."""
-    return F.regexp_replace(c, f"^{_SPACE}+|{_SPACE}+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def is_blank(c: Column) -> Column:
-    return c.isNull() | c.rlike(f"^{_SPACE}*$")
+    return c.isNull() | (strip(c) == "")
 
 
 def fold(c: Column) -> Column:
     """Lower case, accents dropped, white space collapsed."""
-    return F.trim(F.regexp_replace(F.translate(F.lower(c), FOLD_FROM, FOLD_TO), f"{_SPACE}+", " "))
+    return F.trim(F.regexp_replace(F.translate(F.lower(c), FOLD_FROM, FOLD_TO), _RUN, " "))
 
 
 def _accented() -> tuple[str, str]:

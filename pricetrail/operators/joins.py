@@ -5,21 +5,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Over how many partitions one key of the row side is spread.
-SALTS = 8
+#: Session setting: rows of one key above which spread_lookup splits the key itself.
+HOT_KEY_ROWS = "spark.pricetrail.hotKeyRows"
 
 
-def spread_lookup(
-    rows: DataFrame, table: DataFrame, on: list[str], spread: str, how: str = "left", salts: int = SALTS
-) -> DataFrame:
-    """Join rows with a table that has one row per key.
+def spread_lookup(rows: DataFrame, table: DataFrame, on: list[str], spread: str, how: str = "left") -> DataFrame:
+    """Join rows, whatever their key distribution, with a table that has one row per key.
 
-    The rows of a hot key are split by a hash of ``spread`` (a column that varies inside the key, so
-    that a retried task repeats the same split) and the table's row is repeated once per split.
+    A row meets at most one table row, so no pairs are listed and only the row side can be skewed.
+    Adaptive execution splits an oversized partition of that side by size (see session.SETTINGS), and
+    broadcasts the table when its measured size allows.
+
+    With HOT_KEY_ROWS set to n, or without adaptive execution, keys of more than n rows are split by a
+    hash of ``spread`` (a column that varies inside a key, so that a retried task repeats the same
+    split) and their one table row is repeated per split. At most total rows / n keys are hot, which
+    bounds the broadcast list of them. Null keys never match and are spread as well.
     """
-    split = F.pmod(F.xxhash64(F.col(spread)), F.lit(salts)).cast("int")
-    left = rows.withColumn("_split", split)
-    right = table.withColumn("_split", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    conf = rows.sparkSession.conf
+    limit = conf.get(HOT_KEY_ROWS, None)
+    if limit is None and conf.get("spark.sql.adaptive.enabled", "true") == "true":
+        return rows.join(table, on, how)
+    size = int(limit or 1_000_000)
+    hot = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > size)
+    hot = F.broadcast(hot.select(*on, F.ceil(F.col("_n") / size).cast("int").alias("_splits")))
+    code = F.xxhash64(F.col(spread))
+    unkeyed = F.lit(False)
+    for key in on:
+        unkeyed = unkeyed | F.col(key).isNull()
+    split = F.when(unkeyed, -F.pmod(code, F.lit(10_007)) - 1).otherwise(F.pmod(code, F.coalesce("_splits", F.lit(1))))
+    left = rows.join(hot, on, "left").withColumn("_split", split.cast("int")).drop("_splits")
+    every = F.sequence(F.lit(0), F.coalesce("_splits", F.lit(1)) - 1)
+    right = table.join(hot, on, "left").withColumn("_split", F.explode(every)).drop("_splits")
     return left.join(right, [*on, "_split"], how).drop("_split")
 
 

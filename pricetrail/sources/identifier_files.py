@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pricetrail.functions.binding import let
 from pricetrail.functions.text import identifier_text, is_blank, strip
 from pricetrail.operators.changes import number_rows
 from pricetrail.operators.products import fold_literal
@@ -96,41 +97,59 @@ def map_headers(df: DataFrame, passed: tuple[str, ...] = ("row_number",)) -> Dat
     return df.select(*kept, *[F.col(f"`{n}`").alias(f) for n, f in chosen])
 
 
-def _amount(c: Column, percent: bool) -> Column:
-    text = F.regexp_replace(F.replace(c, F.lit(UNSAFE), F.lit("")), "[ %]", "")
-    number = F.replace(text, F.lit(","), F.lit(".")).try_cast("double")
-    good = number.isNotNull() & ~F.isnan(number) & (number >= 0) & (number < F.lit(float("inf")))
-    return F.when(good & (number <= 100) if percent else good, number)
+def _amount(c: Column, name: str) -> Column:
+    text = F.translate(F.replace(c, F.lit(UNSAFE), F.lit("")), ", %", ".")
 
+    def judged(number: Column) -> Column:
+        good = ~F.isnan(number) & (number >= 0) & (number < F.lit(float("inf")))
+        good = F.coalesce(good & (number <= 100) if name == "discount_percent" else good, F.lit(False))
+        return F.struct(F.when(good, number).alias("value"), F.when(~good, f"invalid value for {name}").alias("fault"))
 
-def type_import_lines(df: DataFrame) -> DataFrame:
-    """Typed columns and ``error``, the first fault of a row in column order; a bad row keeps its raw
-    texts in ``raw`` and the good ones go on."""
-    fields = [c for c in df.columns if c in HEADER_ALIASES.values()]
-    typed, faults = {}, []
-    for name in fields:
-        c = F.col(name)
-        filled = ~is_blank(c)
-        faults.append(F.when(filled & (c == FORMULA), "replace formulas by values"))
+    return let(text.try_cast("double"), judged)
+
+
+def _identifier(c: Column) -> Column:
+    checked = identifier_text(c)
+    unsafe = c.startswith(UNSAFE)
+    return F.struct(
+        F.when(~unsafe, checked["value"]).alias("value"),
+        F.when(unsafe, "unsafe numeric identifier").otherwise(checked["error"]).alias("fault"))
+
+
+def _moment(c: Column) -> Column:
+    moment = F.try_to_timestamp(c)
+    return F.struct(moment.alias("value"), F.when(moment.isNull(), "invalid date").alias("fault"))
+
+
+def _typed(name: str) -> Column:
+    """struct(value, fault) of one field; an empty cell has neither."""
+
+    def read(text: Column) -> Column:
         if name in IDENTIFIERS:
-            unsafe = filled & c.startswith(UNSAFE)
-            checked = identifier_text(c)
-            typed[name] = F.when(filled & ~unsafe, checked["value"])
-            faults.append(F.when(unsafe, "unsafe numeric identifier").when(filled, checked["error"]))
+            result = _identifier(text)
         elif name in AMOUNTS:
-            typed[name] = F.when(filled, _amount(c, name == "discount_percent"))
-            faults.append(F.when(filled & typed[name].isNull(), f"invalid value for {name}"))
+            result = _amount(text, name)
         elif name == "last_updated":
-            typed[name] = F.when(filled, F.try_to_timestamp(strip(c)))
-            faults.append(F.when(filled & typed[name].isNull(), "invalid date"))
+            result = _moment(text)
         else:
-            typed[name] = F.when(filled, strip(c))
+            result = F.struct(text.alias("value"), F.lit(None).cast("string").alias("fault"))
+        formula = F.struct(F.lit(None).alias("value"), F.lit("replace formulas by values").alias("fault"))
+        return F.when(text == FORMULA, formula).when(text != "", result)
+
+    return let(strip(F.col(name)), read)
+
+
+def type_import_lines(df: DataFrame) -> DataFrame:
+    """Typed columns and ``error``, the first fault of a row in column order; a bad row keeps its raw
+    texts in ``raw`` and the good ones go on."""
+    fields = [c for c in df.columns if c in HEADER_ALIASES.values()]
+    rows = df.withColumns({f"_{name}": _typed(name) for name in fields})
     lacking = F.lit(True)
     for name in IDENTIFIERS:
-        if name in typed:
-            lacking = lacking & typed[name].isNull()
-    error = F.coalesce(*faults, F.when(lacking, "sku and barcode are missing"))
-    raw = F.struct(*[F.col(f) for f in fields])
+        if name in fields:
+            lacking = lacking & F.col(f"_{name}.value").isNull()
+    faults = [F.col(f"_{name}.fault") for name in fields]
+    rows = rows.withColumn("error", F.coalesce(*faults, F.when(lacking, "sku and barcode are missing")))
     others = [c for c in df.columns if c not in fields]
-    rows = df.select(*others, raw.alias("raw"), *[v.alias(n) for n, v in typed.items()], error.alias("error"))
-    return rows.withColumn("raw", F.when(F.col("error").isNotNull(), F.col("raw")))
+    raw = F.when(F.col("error").isNotNull(), F.struct(*fields))
+    return rows.select(*others, raw.alias("raw"), *[F.col(f"_{n}.value").alias(n) for n in fields], "error")
