@@ -16,7 +16,7 @@ IDENTITY_KEYS = ("source_product_id", "sku", "barcode", "product_url", "id")
 
 
 def _exploded(df: DataFrame, row_id: str, keys: tuple[str, ...]) -> DataFrame:
-    pairs = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).cast("string").alias("value")) for k in keys])
+    pairs = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).cast("string").alias("value")) for k in keys if k in df.columns])
     rows = df.select(F.col(row_id).alias("_row"), F.explode(pairs).alias("_pair"))
     return rows.select("_row", "_pair.kind", "_pair.value").filter("value IS NOT NULL")
 

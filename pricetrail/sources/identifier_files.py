@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pricetrail.functions.binding import let
 from pricetrail.functions.text import identifier_text, is_blank, strip
 from pricetrail.operators.changes import number_rows
+from pricetrail.operators.joins import spread_lookup
 from pricetrail.operators.products import fold_literal
 
 # Folded header texts and the field each one means.
@@ -54,34 +54,41 @@ AMOUNTS = ("price", "old_price", "promo_price", "discount_percent")
 UNSAFE, FORMULA = "#UNSAFE_NUMBER:", "#FORMULA"
 
 
-def read_identifier_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
-    """A CSV file as text columns named by its header, with row_number as in the file.
+def read_identifier_csv(spark: SparkSession, path: str) -> DataFrame:
+    """CSV files of one layout as text columns named by their header, with source_file and row_number.
 
     The separator is the one that splits the header into most columns; a byte-order mark and any kind
-    of line ending are accepted; blank rows are dropped. Only the header line comes to the driver.
+    of line ending are accepted; blank rows are counted and dropped. A row is one line, so a file is
+    read in parallel; only its header comes to the driver.
     """
     head = spark.read.text(path).first()
     if head is None:
         raise ValueError("the file has no rows")
-    line = head["value"].lstrip("\ufeff").rstrip("\r")
+    line = head["value"].lstrip("\ufeff")
     separator = max(SEPARATORS, key=lambda s: (line.count(s), -SEPARATORS.index(s)))
     names = [n.strip().strip('"') for n in line.split(separator)]
     safe = [f"{n}#{i}" if names.count(n) > 1 else n for i, n in enumerate(names)]
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in safe])
-    reader = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("sep", separator)
-    rows = reader.option("multiLine", multiline).option("escape", '"').csv(path)
-    rows = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
-    placed = number_rows(rows.withColumn("_at", F.monotonically_increasing_id()), ["_file", "_block", "_at"], "row_number", 1)
+    schema = ", ".join(f"`{n}` string" for n in safe)
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_name").alias("source_file"),
+        F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    placed = number_rows(lines, ["_file", "_block", "_at"], "_place")
+    starts = placed.groupBy("_file").agg(F.min("_place").alias("_first"))
+    rows = spread_lookup(placed, starts, ["_file"], "_place")
+    rows = rows.withColumn("row_number", F.col("_place") - F.col("_first") + 1).filter("row_number > 1")
+    cells = F.from_csv("value", schema, {"sep": separator, "escape": '"'})
+    rows = rows.filter(~is_blank(F.col("value"))).select(cells.alias("_c"), "source_file", "row_number")
+    columns = [F.col("_c")[n] for n in safe]
     blank = F.lit(True)
-    for name in safe:
-        blank = blank & is_blank(F.col(f"`{name}`"))
-    data = placed.filter(~blank).drop("_file", "_block", "_at")
+    for c in columns:
+        blank = blank & is_blank(c)
+    data = rows.filter(~blank).select(*[c.alias(n) for c, n in zip(columns, safe)], "source_file", "row_number")
     if data.isEmpty():
         raise ValueError("the file has no rows after its header")
     return data
 
 
-def map_headers(df: DataFrame, passed: tuple[str, ...] = ("row_number",)) -> DataFrame:
+def map_headers(df: DataFrame, passed: tuple[str, ...] = ("source_file", "row_number")) -> DataFrame:
     """Columns renamed to the fields their headers mean; other columns are dropped."""
     chosen = []
     for name in df.columns:
