@@ -264,7 +264,8 @@ def associate(links: DataFrame, pending: DataFrame, products: DataFrame) -> Data
     chosen = pending.select(F.col("id").alias("identifier_id"), "sku", "barcode", F.lit(True).alias("_row"))
     target = products.select(
         F.col("id").alias("product_id"), F.col("sku").alias("_sku"), F.col("barcode").alias("_barcode"), F.lit(True).alias("_known"))
-    rows = links.join(chosen, "identifier_id", "left").join(target, "product_id", "left")
+    rows = spread_lookup(links, chosen, ["identifier_id"], "product_id")
+    rows = spread_lookup(rows, target, ["product_id"], "identifier_id")
     for key in ("sku", "barcode"):
         held = products.filter(F.col(key).isNotNull()).groupBy(key).agg(
             F.min("id").alias(f"_{key}_low"), F.max("id").alias(f"_{key}_high"))

@@ -14,17 +14,23 @@ def spread_lookup(rows: DataFrame, table: DataFrame, on: list[str], spread: str,
 
     A row meets at most one table row, so no pairs are listed and only the row side can be skewed.
     Adaptive execution splits an oversized partition of that side by size (see session.SETTINGS), and
-    broadcasts the table when its measured size allows.
+    broadcasts the table when its measured size allows. It can only do so when both sides are shuffled
+    for the join itself; a table that was just aggregated by the key would not be. The extra join key, a
+    hash of the others, makes sure of it at the price of one more shuffle of the narrow table.
 
     With HOT_KEY_ROWS set to n, or without adaptive execution, keys of more than n rows are split by a
     hash of ``spread`` (a column that varies inside a key, so that a retried task repeats the same
     split) and their one table row is repeated per split. At most total rows / n keys are hot, which
     bounds the broadcast list of them. Null keys never match and are spread as well.
     """
+    types = dict(rows.dtypes)
+    table = table.select([F.col(c).cast(types[c]).alias(c) if c in on else F.col(c) for c in table.columns])
     conf = rows.sparkSession.conf
     limit = conf.get(HOT_KEY_ROWS, None)
     if limit is None and conf.get("spark.sql.adaptive.enabled", "true") == "true":
-        return rows.join(table, on, how)
+        apart = F.xxhash64(*[F.col(k) for k in on])
+        joined = rows.withColumn("_apart", apart).join(table.withColumn("_apart", apart), [*on, "_apart"], how)
+        return joined.drop("_apart")
     size = int(limit or 1_000_000)
     hot = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > size)
     hot = F.broadcast(hot.select(*on, F.ceil(F.col("_n") / size).cast("int").alias("_splits")))

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from pricetrail.functions.text import FOLD_FROM, FOLD_TO, ascii_lower, contains_literal, search_text
 from pricetrail.operators.categories import subtree
+from pricetrail.operators.joins import spread_lookup
 from pricetrail.operators.promotions import active_promotions, with_active_flag
 
 # Replica column names that are not the camel form of the catalog's.
@@ -113,7 +114,7 @@ def in_collection(df: DataFrame, members: DataFrame, collection_id: str) -> Data
 
 def in_subtree(df: DataFrame, categories: DataFrame, root: str) -> DataFrame:
     inside = subtree(categories, root).select(F.col("id").alias("category_id"))
-    return df.join(inside, "category_id", "left_semi")
+    return spread_lookup(df, inside, ["category_id"], "id", "left_semi")
 
 
 def needs_review(df: DataFrame) -> DataFrame:

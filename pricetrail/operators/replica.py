@@ -35,7 +35,7 @@ def replica_upsert(state: DataFrame, aliases: DataFrame, batch: DataFrame, onlin
     old = state.select(F.col("id").alias("product_id"), F.struct(*state.columns).alias("_s"))
     new = found.select(F.col("id").alias("incoming_id"), "product_id", "match", (F.col("_n") > 1).alias("_crowded"),
                        F.struct(*[F.col(c).cast(types[c]).alias(c) for c in columns]).alias("_b"))
-    met = new.filter("match <> 'new'").join(old, "product_id", "left")
+    met = spread_lookup(new.filter("match <> 'new'"), old, ["product_id"], "incoming_id")
     fresh = new.filter("match = 'new'").withColumn("_s", F.lit(None).cast(old.schema["_s"].dataType))
     joined = met.select(*fresh.columns).unionByName(fresh)
     s, b = F.col("_s"), F.col("_b")
@@ -75,14 +75,18 @@ def replica_upsert(state: DataFrame, aliases: DataFrame, batch: DataFrame, onlin
     changed = decided.filter(written | (F.col("outcome") == "unchanged")).select(*merged, "outcome")
     flagged = contested_products(rows.join(decided.filter("reason = 'contradictory identifiers'").select(
         F.col("incoming_id").alias("id")), "id", "left_semi"), "id", state, aliases).withColumn("_flag", F.lit(True))
-    rest = state.join(changed.select("id"), "id", "left_anti").join(flagged, "id", "left")
-    review = F.coalesce("needs_review", F.lit(False)) | F.coalesce("_flag", F.lit(False))
-    rest = rest.withColumn("needs_review", review).withColumn("outcome", F.when(F.col("_flag"), "conflict").otherwise("untouched"))
+    rest = state.join(changed.select("id"), "id", "left_anti").withColumn("outcome", F.lit("untouched"))
+    whole = changed.unionByName(rest.select(*changed.columns)).join(flagged, "id", "left")
+    touched = F.col("_flag").isNotNull()
+    whole = whole.withColumns({
+        "needs_review": F.coalesce("needs_review", F.lit(False)) | touched,
+        "outcome": F.when(touched & (F.col("outcome") == "untouched"), "conflict").otherwise(F.col("outcome")),
+    }).drop("_flag")
     codes = decided.filter(written & b["barcode"].isNotNull()).select(
         b["barcode"].alias("barcode"), F.coalesce("product_id", "incoming_id").alias("product_id")) if "barcode" in columns else aliases.limit(0)
     held = aliases.select("barcode", "product_id")
     return {
-        "products": changed.unionByName(rest.select(*changed.columns)),
+        "products": whole,
         "aliases": codes.join(held.select("barcode"), "barcode", "left_anti").distinct(),
         "reviews": decided.filter("reason IS NOT NULL").select("incoming_id", "reason"),
         "outcomes": decided.select("incoming_id", F.coalesce("product_id", "incoming_id").alias("product_id"), "outcome"),

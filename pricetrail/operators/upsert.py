@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pricetrail.functions.text import is_blank
 from pricetrail.operators.changes import KINDS, snapshot
+from pricetrail.operators.joins import spread_lookup
 
 # What an unknown incoming value may not erase, what identifies a product, what a new row starts with.
 KEEP_IF_NULL = ("source_product_id", "sku", "barcode", "category_id", "brand")
@@ -105,7 +106,7 @@ def put_documents(state: DataFrame, documents: DataFrame) -> DataFrame:
 def drop_replayed(batch: DataFrame, state: DataFrame) -> DataFrame:
     """Events newer than the stored image of their entity; replays and late ones fall out."""
     stored = state.select("kind", "entity_id", F.col("version").alias("_stored"))
-    rows = batch.join(stored, ["kind", "entity_id"], "left")
+    rows = spread_lookup(batch, stored, ["kind", "entity_id"], "version")
     return rows.filter(F.col("_stored").isNull() | (F.col("version") > F.col("_stored"))).drop("_stored")
 
 
@@ -134,7 +135,7 @@ def apply_delta(replica: DataFrame, changes: DataFrame) -> DataFrame:
 
 def replace_memberships(bridge: DataFrame, documents: DataFrame, owner: str, members: str = "product_ids") -> DataFrame:
     """Bridge rows after documents (owner, members array) replaced their whole membership."""
-    untouched = bridge.join(documents.select(owner), owner, "left_anti").select(owner, "product_id")
+    untouched = spread_lookup(bridge, documents.select(owner), [owner], "product_id", "left_anti").select(owner, "product_id")
     fresh = documents.select(owner, F.explode(members).alias("product_id"))
     return untouched.unionByName(fresh).distinct()
 

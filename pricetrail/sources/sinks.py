@@ -59,10 +59,9 @@ def export_rows(products: DataFrame, categories: DataFrame, aliases: DataFrame)
     paths = category_paths(categories).select(
         F.col("id").alias("category_id"), F.col("root_name").alias("category"), F.col("sub_path").alias("subcategory"))
     rows = spread_lookup(products, paths, ["category_id"], "id")
-    codes = rows.select("id", F.col("barcode").alias("_own")).join(
-        aliases.select(F.col("product_id").alias("id"), F.col("barcode").alias("_code")), "id")
-    codes = codes.filter(~F.col("_own").eqNullSafe(F.col("_code"))).select("id", "_code")
-    more = rows.drop("barcode").join(codes, "id").withColumnRenamed("_code", "barcode").select(*rows.columns)
+    codes = aliases.select(F.col("product_id").alias("id"), F.col("barcode").alias("_code"))
+    more = spread_lookup(codes, rows, ["id"], "_code", "inner").filter(~F.col("barcode").eqNullSafe(F.col("_code")))
+    more = more.withColumn("barcode", F.col("_code")).select(*rows.columns)
     return rows.unionByName(more).select(*[_text(rows, source).alias(head) for head, source in EXPORT_COLUMNS.items()])
 
 

@@ -147,7 +147,8 @@ def test_replica_upsert(frame, dicts):
     batch = frame(PRODUCT + ", name string", [("x1", "1", None, "b9", "A+"), ("x2", "2", "s3", None, "?"), ("x3", "9", None, "n1", None), ("c", None, None, None, "C")])
     out = P.replica_upsert(state, aliases, batch, online=False)
     got = dicts(out["products"], "id")
-    assert {k: v["outcome"] for k, v in got.items()} == {"a": "updated", "b": "conflict", "c": "conflict", "x3": "added"}
+    assert {k: v["outcome"] for k, v in got.items()} == {"a": "updated", "b": "conflict", "c": "updated", "x3": "added"}
+    assert got["c"]["needs_review"] and not got["a"]["needs_review"]
     assert got["a"]["barcode"] == "b1" and got["a"]["name"] == "A+" and got["b"]["needs_review"] and got["x3"]["needs_review"]
     assert sorted(tuple(r) for r in out["aliases"].collect()) == [("b9", "a"), ("n1", "x3")]
     online = dicts(P.replica_upsert(state, aliases, frame(PRODUCT + ", name string", [("a", "1", "s1", "b9", "A"), ("b", "2", None, None, "B")]), True)["products"], "id")
