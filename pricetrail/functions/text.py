@@ -7,6 +7,8 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pricetrail.functions.binding import let
+
 # Romanian letters and what they fold to, position by position.
 FOLD_FROM = "ăâîșşțţ"
 FOLD_TO = "aaisstt"
@@ -18,8 +20,6 @@ SPACES = (
     " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000\ufeff"
 )
-_RUN = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in SPACES) + "]+"
-
 
 def strip(c: Column) -> Column:
     """Trim every kind of white space at both ends."""
@@ -32,7 +32,9 @@ def is_blank(c: Column) -> Column:
 
 def fold(c: Column) -> Column:
     """Lower case, accents dropped, white space collapsed."""
-    return F.trim(F.regexp_replace(F.translate(F.lower(c), FOLD_FROM, FOLD_TO), _RUN, " "))
+    blanks = SPACES.replace(" ", "")
+    plain = F.translate(F.lower(c), FOLD_FROM + blanks, FOLD_TO + " " * len(blanks))
+    return F.trim(F.regexp_replace(plain, " {2,}", " "))
 
 
 def _accented() -> tuple[str, str]:
@@ -58,13 +60,13 @@ def search_text(name: Column, sku: Column, barcode: Column, brand: Column) -> Co
 
 def identifier_text(c: Column) -> Column:
     """Text identifier as struct(value, error); leading zeros stay."""
-    text = F.regexp_replace(strip(c), r"^(\d+)\.0+$", "$1")
-    bad = text.rlike(r"[\x00-\x1f]|^\d+(?:\.\d+)?[eE][+-]?\d+$")
-    empty = is_blank(c)
-    return F.struct(
-        F.when(~empty & ~bad, text).alias("value"),
-        F.when(empty, "empty identifier").when(bad, "invalid identifier text").alias("error"),
-    )
+
+    def judged(text: Column) -> Column:
+        bad = text.rlike(r"[\x00-\x1f]|^\d+(?:\.\d+)?[eE][+-]?\d+$")
+        fault = F.when(text.isNull() | (text == ""), "empty identifier").when(bad, "invalid identifier text")
+        return let(fault, lambda f: F.struct(F.when(f.isNull(), text).alias("value"), f.alias("error")))
+
+    return let(F.regexp_replace(strip(c), r"^(\d+)\.0+$", "$1"), judged)
 
 
 def identifier_number(c: Column, mask: Column | None = None) -> Column:

@@ -7,8 +7,6 @@ from pricetrail.plans import bindings as B
 from pricetrail.plans.registry import Source, query, with_views
 
 LOG = with_views(("changes", B.CHANGES))
-#: How far before the head of the log the examples stop.
-LAG = 1_000
 
 
 def changes(s: Source):
@@ -19,6 +17,12 @@ def head_of(log) -> int:
     return log.agg(F.max("version")).first()[0]
 
 
+def before_head(log) -> int:
+    """A version nine tenths up the log."""
+    head = head_of(log)
+    return head - head // 10
+
+
 @query("src6_change_log", LOG + "SELECT version, kind, entity_id, payload FROM changes")
 def change_log(s):
     return changes(s)
@@ -26,7 +30,7 @@ def change_log(s):
 
 SNAPSHOT_SQL = """latest AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY kind, entity_id ORDER BY version DESC) AS rn
-                 FROM changes WHERE version <= (SELECT max(version) - 1000 FROM changes)) WHERE rn = 1)"""
+                 FROM changes WHERE version <= (SELECT max(version) - max(version) // 10 FROM changes)) WHERE rn = 1)"""
 
 
 @query(
@@ -35,7 +39,22 @@ SNAPSHOT_SQL = """latest AS (
 )
 def snapshot_at_version(s):
     log = changes(s)
-    return C.snapshot(log, head_of(log) - LAG)
+    return C.snapshot(log, before_head(log))
+
+
+LINES = """SELECT l_partkey, l_suppkey, struct(l_shipdate, l_orderkey, l_linenumber, l_quantity, l_extendedprice) AS version,
+    CAST(l_shipdate AS STRING) AS shipped, l_extendedprice AS price FROM lineitem"""
+
+
+@query(
+    "win1_snapshot_of_lines",
+    """SELECT l_partkey, l_suppkey, CAST(l_shipdate AS VARCHAR) AS shipped, l_extendedprice AS price FROM (SELECT *, row_number() OVER (
+      PARTITION BY l_partkey, l_suppkey ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC, l_quantity DESC, l_extendedprice DESC) AS rn
+      FROM lineitem) WHERE rn = 1""",
+)
+def snapshot_of_lines(s):
+    """Many entities: the newest line of every product and supplier."""
+    return C.snapshot(s.sql(LINES), keys=("l_partkey", "l_suppkey")).drop("version")
 
 
 @query(
@@ -69,7 +88,7 @@ def _leveled(s):
 )
 def snapshot_page(s):
     log = _leveled(s)
-    return C.snapshot_page(log, head_of(log) - LAG, "0:00050:", 250)
+    return C.snapshot_page(log, before_head(log), "0:00050:", 250)
 
 
 @query(
@@ -81,35 +100,35 @@ def snapshot_page(s):
 )
 def snapshot_pages(s):
     log = _leveled(s)
-    return C.snapshot_pages(log, head_of(log) - LAG, 50)
+    return C.snapshot_pages(log, before_head(log), 50)
 
 
-SLICE = "version > (SELECT max(version) // 2 FROM changes) AND version <= (SELECT max(version) - 1000 FROM changes)"
+SLICE = "version > (SELECT max(version) // 2 FROM changes) AND version <= (SELECT max(version) - max(version) // 10 FROM changes)"
 
 
 @query(
     "lim3_delta_page",
-    LOG + f"""SELECT version, kind, entity_id, payload, (SELECT max(version) // 2 + 750 FROM changes) AS next_cursor
-    FROM changes WHERE {SLICE} AND version > (SELECT max(version) // 2 + 500 FROM changes) ORDER BY version LIMIT 250""",
+    LOG + f"""SELECT version, kind, entity_id, payload, (SELECT max(version) // 2 + max(version) // 20 + 250 FROM changes) AS next_cursor
+    FROM changes WHERE {SLICE} AND version > (SELECT max(version) // 2 + max(version) // 20 FROM changes) ORDER BY version LIMIT 250""",
 )
 def delta_page(s):
     log = changes(s)
     head = head_of(log)
-    return C.delta_page(log, head // 2, head - LAG, head // 2 + 500, 250)
+    return C.delta_page(log, head // 2, before_head(log), head // 2 + head // 20, 250)
 
 
 @query("lim3_delta", LOG + f"SELECT version, kind, entity_id, payload FROM changes WHERE {SLICE}")
 def delta(s):
     log = changes(s)
     head = head_of(log)
-    return C.delta(log, head // 2, head - LAG)
+    return C.delta(log, head // 2, before_head(log))
 
 
 @query(
     "lim1_keyset_page",
-    with_views(("products", B.PRODUCTS)) + """SELECT id, name, (SELECT max(id) FROM
-      (SELECT id FROM products WHERE id > 'shop:15' ORDER BY id LIMIT 100)) AS next_cursor
-    FROM products WHERE id > 'shop:15' ORDER BY id LIMIT 100""",
+    with_views(("products", B.PRODUCTS)).rstrip() + """, r AS (SELECT id, name, row_number() OVER (ORDER BY id) AS place, count(*) OVER () AS n
+      FROM products WHERE id > 'shop:15')
+    SELECT id, name, CASE WHEN n > 100 THEN (SELECT max(id) FROM r WHERE place <= 100) END AS next_cursor FROM r WHERE place <= 100""",
 )
 def keyset_page(s):
     return C.keyset_page(s.sql(B.PRODUCTS).select("id", "name"), "id", "shop:15", 100)

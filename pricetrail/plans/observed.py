@@ -477,9 +477,9 @@ def sku_diagnostics(s):
     return Q.diagnose_skus(products(s), "shop:150")
 
 
-@query("lim5_enrichment_batch", views("products") + """SELECT id, CASE WHEN count(*) OVER () >= 0 THEN (SELECT max(id) FROM (SELECT id FROM products
-    WHERE trim(coalesce(sku, '')) = '' AND id > 'shop:15' ORDER BY id LIMIT 100)) END AS next_cursor FROM products
-    WHERE trim(coalesce(sku, '')) = '' AND id > 'shop:15' ORDER BY id LIMIT 100""")
+@query("lim5_enrichment_batch", views("products") + """, r AS (SELECT id, row_number() OVER (ORDER BY id) AS place, count(*) OVER () AS n FROM products
+      WHERE trim(coalesce(sku, '')) = '' AND id > 'shop:15')
+    SELECT id, CASE WHEN n > 100 THEN (SELECT max(id) FROM r WHERE place <= 100) END AS next_cursor FROM r WHERE place <= 100""")
 def enrichment_batch(s):
     return Q.enrichment_batch(products(s).select("id", "sku"), "shop:15", 100).select("id", "next_cursor")
 

@@ -116,11 +116,9 @@ def _amount(c: Column, name: str) -> Column:
 
 
 def _identifier(c: Column) -> Column:
-    checked = identifier_text(c)
-    unsafe = c.startswith(UNSAFE)
-    return F.struct(
-        F.when(~unsafe, checked["value"]).alias("value"),
-        F.when(unsafe, "unsafe numeric identifier").otherwise(checked["error"]).alias("fault"))
+    unsafe = F.struct(F.lit(None).cast("string").alias("value"), F.lit("unsafe numeric identifier").alias("fault"))
+    return F.when(c.startswith(UNSAFE), unsafe).otherwise(
+        let(identifier_text(c), lambda r: F.struct(r["value"].alias("value"), r["error"].alias("fault"))))
 
 
 def _moment(c: Column) -> Column:

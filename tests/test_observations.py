@@ -65,14 +65,14 @@ def test_membership_positions_and_lists(frame):
 def test_incomplete_scopes_never_remove(frame):
     pair = "collection_id string, product_id string"
     scopes = frame("collection_id string, kind string, complete boolean, selective boolean, root boolean",
-                   [("best", "open", False, False, True), ("mega", "dated", False, False, True), ("full", "open", True, False, True), ("sel", "open", False, True, True)])
-    seen = frame(pair, [(c, "new") for c in ("best", "mega", "full", "sel")])
-    linked = frame(pair, [(c, "old") for c in ("best", "mega", "full", "sel")])
-    published = frame(pair + ", same_period boolean", [("best", "doc", True), ("mega", "doc", True), ("mega", "last", False), ("full", "doc", True)])
+                   [("best", "open", False, False, True), ("dated", "dated", False, False, True), ("full", "open", True, False, True), ("sel", "open", False, True, True)])
+    seen = frame(pair, [(c, "new") for c in ("best", "dated", "full", "sel")])
+    linked = frame(pair, [(c, "old") for c in ("best", "dated", "full", "sel")])
+    published = frame(pair + ", same_period boolean", [("best", "doc", True), ("dated", "doc", True), ("dated", "last", False), ("full", "doc", True)])
     got = {}
     for r in M.publish_collection(scopes, seen, linked, published).collect():
         got.setdefault(r["collection_id"], set()).add(r["product_id"])
-    assert got == {"best": {"new", "old", "doc"}, "mega": {"new", "doc"}, "full": {"new"}, "sel": {"old"}}
+    assert got == {"best": {"new", "old", "doc"}, "dated": {"new", "doc"}, "full": {"new"}, "sel": {"old"}}
     assert {r["collection_id"] for r in M.collection_modes(scopes, seen).filter("absences").collect()} == {"full"}
 
 
