@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pricetrail.session import cut_lineage
+
 #: Session setting: rows of one key above which spread_lookup splits the key itself.
 HOT_KEY_ROWS = "spark.pricetrail.hotKeyRows"
 
@@ -21,7 +23,7 @@ def spread_lookup(rows: DataFrame, table: DataFrame, on: list[str], spread: str,
     With HOT_KEY_ROWS set to n, or without adaptive execution, keys of more than n rows are split by a
     hash of ``spread`` (a column that varies inside a key, so that a retried task repeats the same
     split) and their one table row is repeated per split. At most total rows / n keys are hot, which
-    bounds the broadcast list of them. Null keys never match and are spread as well.
+    bounds the broadcast list of them. The rows are checkpointed first. Null keys never match and are spread as well.
     """
     types = dict(rows.dtypes)
     table = table.select([F.col(c).cast(types[c]).alias(c) if c in on else F.col(c) for c in table.columns])
@@ -32,8 +34,9 @@ def spread_lookup(rows: DataFrame, table: DataFrame, on: list[str], spread: str,
         joined = rows.withColumn("_apart", apart).join(table.withColumn("_apart", apart), [*on, "_apart"], how)
         return joined.drop("_apart")
     size = int(limit or 1_000_000)
-    hot = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > size)
-    hot = F.broadcast(hot.select(*on, F.ceil(F.col("_n") / size).cast("int").alias("_splits")))
+    rows = cut_lineage(rows)  # counted and joined: without this, chained lookups would double the work each time
+    hot = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_hot_rows")).filter(F.col("_hot_rows") > size)
+    hot = F.broadcast(hot.select(*on, F.ceil(F.col("_hot_rows") / size).cast("int").alias("_splits")))
     code = F.xxhash64(F.col(spread))
     unkeyed = F.lit(False)
     for key in on:
