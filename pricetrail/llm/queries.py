@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pricetrail.llm import bpe
 from pricetrail.llm.decontamination import contamination
+from pricetrail.llm.quality import judged
 from pricetrail.llm.rows import prepare, table
 from pricetrail.llm.simhash import near_duplicates
 
@@ -53,7 +55,18 @@ def decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("item_ids")
 
 
+@query("op2_bpe")
+def bpe_digests(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.encode(table(spark, folder, "documents"), ids=False)
+
+
 @query("op5_simhash_near_dedup")
 def simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = near_duplicates(table(spark, folder, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op7_quality_rules")
+def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    found = judged(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
