@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricetrail.llm import bpe
+from pricetrail.llm import bpe, chat, warc
 from pricetrail.llm.decontamination import contamination
+from pricetrail.llm.html_text import extracted
+from pricetrail.llm.langid import identified
 from pricetrail.llm.quality import judged
 from pricetrail.llm.rows import prepare, table
 from pricetrail.llm.simhash import near_duplicates
+from pricetrail.llm.token_counts import section_tokens
+from pricetrail.llm.toxicity import scored
+from pricetrail.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -60,13 +66,73 @@ def bpe_digests(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode(table(spark, folder, "documents"), ids=False)
 
 
+@query("op3_html_extraction")
+def html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return extracted(table(spark, folder, "pages"))
+
+
+@query("op4_token_counts")
+def token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return section_tokens(table(spark, folder, "documents"))
+
+
 @query("op5_simhash_near_dedup")
 def simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = near_duplicates(table(spark, folder, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query("op6_warc", """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+m AS (SELECT page_id, h, sha1(h) AS x, max(page_id) OVER (PARTITION BY h) AS head FROM p)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes,
+       translate(to_base(('0x' || x[1:10])::BIGINT, 32, 8) || to_base(('0x' || x[11:20])::BIGINT, 32, 8)
+                 || to_base(('0x' || x[21:30])::BIGINT, 32, 8) || to_base(('0x' || x[31:40])::BIGINT, 32, 8),
+                 '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest,
+       CASE WHEN page_id IS DISTINCT FROM head THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM head THEN head END AS refers_to
+FROM m
+""")
+def archive(spark: SparkSession, folder: str) -> DataFrame:
+    """The archive stays in the shared folder: the rows returned are read from it."""
+    at = f"{shared_dir(spark)}/archive-{uuid.uuid4().hex}"
+    warc.write_archive(table(spark, folder, "pages"), at)
+    found = warc.read_archive(spark, at)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query("op7_quality_rules")
 def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     found = judged(table(spark, folder, "documents"), table(spark, folder, "labels"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
+_SAID = "</s>[INST] ok [/INST]"
+
+
+@query("op8_chat_formatting", f"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS t FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '{_SAID}'), (-7, 1, 'assistant', '{_SAID}')),
+e AS (SELECT *, length(t) + 4 * (length(t) - length(replace(t, '&', ''))) + 3 * (length(t) - length(replace(t, '<', '')))
+               + 4 * (length(t) - length(replace(t, '[', ''))) AS escaped FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || t || chr(10), '' ORDER BY turn, role, t)) AS turns_sha256,
+       coalesce(sum(length(t)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(t, '' ORDER BY turn, role, t) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(8 + length(role) + 1 + escaped + 8)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+""")
+def chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-7, 0, "user", _SAID), (-7, 1, "assistant", _SAID)], "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.formatted(turns.unionByName(more)))
+
+
+@query("op9_toxicity")
+def toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op10_language_id")
+def language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return identified(table(spark, folder, "documents"))
