@@ -1,7 +1,8 @@
 """Bidirectional gated recurrent layers with attention pooling, forward and backward, in numpy.
 
-Sequences are arrays (steps, rows, width); a mask (steps, rows) is 1 at real steps, which come first. The forward direction may
-run on past the end, because attention never looks there; the backward one is held at zero until it meets the last real step.
+Sequences are arrays (steps, rows, width); a mask (steps, rows) is 1 at real steps, which come first. Training sorts the rows by length, so
+that each step works on the rows that are that long. Scoring runs the forward direction on past the end, because attention never looks
+there, and holds the backward one at zero until it meets the last real step.
 """
 
 from __future__ import annotations
@@ -38,59 +39,75 @@ def step(gates: np.ndarray, h: np.ndarray, U: np.ndarray):
     return n + z * (h - n), (h, z, r, q, n)
 
 
-def run(gates: np.ndarray, U: np.ndarray, mask: np.ndarray | None):
-    h, states, kept = np.zeros((gates.shape[1], U.shape[0]), np.float32), [], []
-    for t in range(len(gates)):
-        h, cache = step(gates[t], h, U)
-        if mask is not None:
-            h = h * mask[t][:, None]
-        states.append(h)
+def run(gates: np.ndarray, U: np.ndarray, counts: list[int]):
+    """States of one direction; step t has rows [:counts[t]], the longest sequences first. Rows start from zero when they appear."""
+    out, kept = np.zeros((*gates.shape[:2], U.shape[0]), U.dtype), []
+    h = np.zeros((counts[0], U.shape[0]), U.dtype)
+    for t, n in enumerate(counts):
+        h = h[:n] if n <= len(h) else np.concatenate([h, np.zeros((n - len(h), U.shape[0]), U.dtype)])
+        h, cache = step(gates[t, :n], h, U)
+        out[t, :n] = h
         kept.append(cache)
-    return np.stack(states), kept
+    return out, kept
 
 
-def run_back(grad: np.ndarray, kept: list, U: np.ndarray, mask: np.ndarray | None):
+def run_back(grad: np.ndarray, kept: list, U: np.ndarray):
     """Gradients of the gates' inputs and of U, from those of the states."""
-    carry, dU, out = 0.0, np.zeros_like(U), [None] * len(kept)
+    H = U.shape[0]
+    carry, dU, out = np.zeros((0, H), U.dtype), np.zeros_like(U), np.zeros((*grad.shape[:2], 3 * H), U.dtype)
     for t in range(len(kept) - 1, -1, -1):
         h, z, r, q, n = kept[t]
-        d = grad[t] + carry
-        if mask is not None:
-            d = d * mask[t][:, None]
+        d = grad[t, : len(h)].copy()
+        both = min(len(d), len(carry))
+        d[:both] += carry[:both]
         dn = d * (1 - z) * (1 - n * n)
         dz = d * (h - n) * z * (1 - z)
         dr = dn * q * r * (1 - r)
         dhu = np.concatenate([dz, dr, dn * r], axis=1)
         dU += h.T @ dhu
         carry = d * z + dhu @ U.T
-        out[t] = np.concatenate([dz, dr, dn], axis=1)
-    return np.stack(out), dU
+        out[t, : len(h), : 2 * H] = dhu[:, : 2 * H]
+        out[t, : len(h), 2 * H :] = dn
+    return out, dU
 
 
 def pool(p: dict, name: str, x: np.ndarray, mask: np.ndarray):
     """Both directions over x, pooled by attention: (rows, 2 * hidden)."""
-    hf, cf = run(x @ p[f"{name}.Wf"] + p[f"{name}.bf"], p[f"{name}.Uf"], None)
-    hb, cb = run(x[::-1] @ p[f"{name}.Wb"] + p[f"{name}.bb"], p[f"{name}.Ub"], mask[::-1])
+    order = np.argsort(-mask.sum(axis=0), kind="stable")
+    x, mask = x[:, order], mask[:, order]
+    counts = mask.sum(axis=1).astype(int).tolist()
+    hf, cf = run(x @ p[f"{name}.Wf"] + p[f"{name}.bf"], p[f"{name}.Uf"], counts)
+    hb, cb = run(x[::-1] @ p[f"{name}.Wb"] + p[f"{name}.bb"], p[f"{name}.Ub"], counts[::-1])
     h = np.concatenate([hf, hb[::-1]], axis=2)
     e = np.where(mask > 0, h @ p[f"{name}.v"], np.float32(-1e9))
     a = np.exp(e - e.max(axis=0))
     a = a / a.sum(axis=0)
-    return (a[:, :, None] * h).sum(axis=0), (x, mask, h, a, cf, cb)
+    out = np.empty((len(order), h.shape[2]), h.dtype)
+    out[order] = np.einsum("tn,tnh->nh", a, h)
+    return out, (order, x, h, a, cf, cb)
 
 
 def pool_back(p: dict, name: str, grad: np.ndarray, cache) -> tuple[np.ndarray, dict]:
-    x, mask, h, a, cf, cb = cache
-    da = (h * grad[None]).sum(axis=2)
+    order, x, h, a, cf, cb = cache
+    grad = grad[order]
+    da = np.einsum("tnh,nh->tn", h, grad)
     de = a * (da - (a * da).sum(axis=0))
     dh = a[:, :, None] * grad[None] + de[:, :, None] * p[f"{name}.v"]
     H, out = h.shape[2] // 2, {f"{name}.v": np.tensordot(de, h, ((0, 1), (0, 1)))}
-    gf, out[f"{name}.Uf"] = run_back(dh[:, :, :H], cf, p[f"{name}.Uf"], None)
-    gb, out[f"{name}.Ub"] = run_back(dh[::-1, :, H:], cb, p[f"{name}.Ub"], mask[::-1])
+    gf, out[f"{name}.Uf"] = run_back(dh[:, :, :H], cf, p[f"{name}.Uf"])
+    gb, out[f"{name}.Ub"] = run_back(dh[::-1, :, H:], cb, p[f"{name}.Ub"])
     gb = gb[::-1]
     for side, g in (("f", gf), ("b", gb)):
         out[f"{name}.W{side}"] = np.tensordot(x, g, ((0, 1), (0, 1)))
         out[f"{name}.b{side}"] = g.sum(axis=(0, 1))
-    return gf @ p[f"{name}.Wf"].T + gb @ p[f"{name}.Wb"].T, out
+    dx = np.empty_like(x)
+    dx[:, order] = gf @ p[f"{name}.Wf"].T + gb @ p[f"{name}.Wb"].T
+    return dx, out
+
+
+def scatter(at: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    """Sums of the rows of ``values`` by their number in ``at``."""
+    return np.stack([np.bincount(at, column, size) for column in np.ascontiguousarray(values.T)], axis=1).astype(values.dtype)
 
 
 def states(table: np.ndarray, U: np.ndarray, at: np.ndarray, back: bool, look: np.ndarray | None = None) -> np.ndarray:

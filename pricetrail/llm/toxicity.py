@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricetrail.llm.decontamination import words
-from pricetrail.llm.gated import Adam, new_layer, pool, pool_back, sigmoid, states
+from pricetrail.llm.gated import Adam, new_layer, pool, pool_back, scatter, sigmoid, states
 from pricetrail.llm.rows import fold, keep_rows, map_batches, utf8
 from pricetrail.session import cut_lineage
 
@@ -30,8 +30,8 @@ from pricetrail.session import cut_lineage
 WINDOW, STRIDE = 32, 24
 #: Bytes of a word that are read as one; longer words are read as several.
 PIECE = 24
-#: Labelled documents of each class that the network learns from, at most, chosen by a hash of their id.
-SAMPLE = 1500
+#: Labelled documents that the network learns from, at most, without and with the toxic label, chosen by a hash of their id.
+SAMPLE = (4000, 1500)
 #: Windows of a sampled document that reach the driver in each round, at most.
 PER_DOCUMENT = 2
 #: Words whose gates a task remembers.
@@ -39,8 +39,10 @@ MEMO = 250_000
 #: Windows, or words, that pass a layer together.
 BLOCK = 2048
 CHARS, CHAR_WIDTH, CHAR_HIDDEN = 512, 8, 8
-BUCKETS, WORD_WIDTH, HIDDEN = 1 << 13, 8, 12
-SEED, STEPS, BATCH = 9, 220, 64
+BUCKETS, WORD_WIDTH, HIDDEN = 1 << 14, 8, 12
+SEED, BATCH = 9, 64
+#: Batches and learning rate of each round; after a round the network picks more windows.
+ROUNDS = ((300, 0.01), (200, 0.006), (150, 0.004), (150, 0.003))
 
 
 def pieces(text: bytes | None) -> list[bytes]:
@@ -96,11 +98,11 @@ class Network:
     # training
 
     def learn(self, samples: list[list[bytes]], labels: np.ndarray, steps: int, rng: np.random.Generator, rate: float = 0.01) -> None:
-        """Batches hold as many windows of either class."""
+        """A third of each batch is toxic windows."""
         both, adam = [np.flatnonzero(labels == y) for y in (0, 1)], Adam(self.p, rate)
         for k in range(steps):
             adam.rate = rate * (1 - 0.9 * k / steps)
-            chosen = np.concatenate([rng.choice(c, BATCH // 2) for c in both])
+            chosen = np.concatenate([rng.choice(c, n) for c, n in zip(both, (BATCH - BATCH // 3, BATCH // 3))])
             adam.update(self.gradient([samples[i] for i in chosen], labels[chosen], rng))
 
     def gradient(self, batch: list[list[bytes]], y: np.ndarray, rng: np.random.Generator | None = None) -> dict:
@@ -121,14 +123,12 @@ class Network:
         d = ((sigmoid(out) - y) / len(batch)).astype(np.float32)
         grads = {"w": pooled.T @ d, "b": d.sum(keepdims=True)}
         dx, more = pool_back(p, "word", d[:, None] * p["w"], cache)
-        dinputs = np.zeros_like(inputs)
-        np.add.at(dinputs, at, dx * mask[:, :, None])
+        real = mask > 0
+        dinputs = scatter(at[real], dx[real], len(unique))
         wide = 2 * CHAR_HIDDEN
         dchars, rest = pool_back(p, "char", dinputs[:, :wide], char_cache)
-        grads |= more | rest | {"chars": np.zeros_like(p["chars"]), "words": np.zeros_like(p["words"])}
-        np.add.at(grads["chars"], spelled, dchars * char_mask[:, :, None])
-        np.add.at(grads["words"], bucket, dinputs[:, wide:] * shown)
-        return grads
+        real = char_mask > 0
+        return grads | more | rest | {"chars": scatter(spelled[real], dchars[real], CHARS), "words": scatter(bucket, dinputs[:, wide:] * shown, BUCKETS)}
 
     # scoring
 
@@ -288,30 +288,30 @@ def _curve(outputs: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[floa
     return float(max(at[0], 0.05)), float(at[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, steps: int = STEPS) -> Network | Constant:
-    """A network from labelled documents outside the held-out fold. At most ``sample`` documents of each class take part, whole;
+def train(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE, rounds: tuple = ROUNDS) -> Network | Constant:
+    """A network from labelled documents outside the held-out fold. At most ``sample`` documents of the classes take part, whole;
     windows of them reach the driver, PER_DOCUMENT of each in a round. A document with several labels is toxic if one says so."""
     known = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int"))
     known = known.filter(fold(F.col("id")) != 0).groupBy("id").agg(F.max("toxic").alias("toxic"))
     classes = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(classes) < 2:
         return Constant(float(max(classes, default=0)))
-    ids = [known.filter(F.col("toxic") == y).orderBy(F.xxhash64("id"), "id").limit(sample) for y in (0, 1)]
+    share = classes[1] / sum(classes.values())
+    ids = [known.filter(F.col("toxic") == y).orderBy(F.xxhash64("id"), "id").limit(n) for y, n in enumerate(sample)]
     ids = ids[0].unionByName(ids[1])
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    rows = cut_lineage(rows.join(F.broadcast(ids), "id").select("id", "text", "toxic"))  # at most 2 * ``sample`` ids
+    rows = cut_lineage(rows.join(F.broadcast(ids), "id").select("id", "text", "toxic"))  # at most sum(sample) ids
     network, rng = Network(), np.random.default_rng(SEED)
-    chosen = _first_windows(rows, _evidence(rows))
-    for half in (steps, steps - steps // 3):
+    chosen, worst = _first_windows(rows, _evidence(rows)), []
+    for steps, rate in rounds:
+        chosen += [(label, ws) for label, _, place, ws in worst if not label or place == 0]
         y = np.array([c[0] for c in chosen])
         if len(set(y.tolist())) < 2:
-            return Constant(classes[1] / sum(classes.values()))
-        network.learn([c[1] for c in chosen], y, half, rng, 0.01 if half == steps else 0.005)
+            return Constant(share)
+        network.learn([c[1] for c in chosen], y, steps, rng, rate)
         worst = _worst_windows(rows, network)
-        chosen = chosen + [(label, ws) for label, _, place, ws in worst if not label or place == 0]
     tops = [(label, out) for label, out, place, _ in worst if place == 0]
     y, outputs = np.array([t[0] for t in tops]), np.array([t[1] for t in tops])
-    share = classes[1] / sum(classes.values())
     weight = np.where(y == 1, share / max(1, (y == 1).sum()), (1 - share) / max(1, (y == 0).sum())) * len(y)
     network.curve = _curve(outputs, y, weight)
     return network
