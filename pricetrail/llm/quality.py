@@ -12,8 +12,6 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricetrail.llm.rows import unused
-
 #: Buckets that n-grams are hashed into. The weights of all buckets travel with the plan, some 100 KB whatever the data.
 BUCKETS = 1 << 14
 #: Trusted documents (labels.quality = 1) that the target multinomial is fitted on, at most, chosen by a hash of their id.
@@ -22,6 +20,7 @@ TRUSTED = 20_000
 #: e times as likely in the raw corpus as in trusted text.
 THRESHOLD = -1.0
 UNIT = 1_000_000
+FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _SPACE = "[\\x20\\x09-\\x0D]+"
 
 
@@ -76,7 +75,7 @@ def weights(docs: DataFrame, labels: DataFrame, trusted: int = TRUSTED) -> list[
     """
     ids = labels.filter("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id")).distinct()
     ids = ids.orderBy(F.xxhash64("id"), "id").limit(trusted).withColumn("good", F.lit(1))
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.explode(ngrams(words(F.col("text")))).alias("bucket"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.explode(_let(words(F.col("text")), ngrams)).alias("bucket"))
     rows = rows.join(F.broadcast(ids), "id", "left")  # at most ``trusted`` ids
     counted = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("good").alias("good")).collect()
     raw, good = [1] * BUCKETS, [0] * BUCKETS
@@ -107,8 +106,18 @@ def _score(ws: Column, weight: list[int]) -> Column:
     return F.when(F.size(ws) > 0, total / F.lit(float(UNIT)) / (2 * F.size(ws))).otherwise(0.0)
 
 
-def _base_failed(n_words: Column, n_repeat_words: Column) -> Column:
-    return (n_words < 50) | (100 * n_repeat_words > 50 * n_words)
+def _judged(text: Column, weight: list[int], threshold: float) -> Column:
+    """Features, score and verdicts as a struct. The word list is bound inside the expression: were it a column of its own, a filter on the
+    verdict would be pushed below it and work it out anew for every word."""
+
+    def measured(ws: Column) -> Column:
+        return F.struct(*[c.alias(n) for n, c in features(text, ws).items()], _score(ws, weight).alias("score"))
+
+    def verdict(m: Column) -> Column:
+        failed = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
+        return F.struct(*[m[n].alias(n) for n in (*FEATURES, "score")], failed.alias("base_failed"), (~failed & (m["score"] >= threshold)).alias("kept"))
+
+    return _let(_let(words(text), measured), verdict)
 
 
 def judged(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -118,17 +127,10 @@ def judged(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
     blank texts have no words and fail. It is kept if it passes them and its score is at least ``threshold``. Repeated rows count as
     often as they stand; other columns are ignored; empty tables give no rows, and empty labels keep all that passes the base rules.
     """
-    weight = weights(docs, labels)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), words(F.col("text")).alias("ws"))
-    rows = rows.select("doc_id", *[c.alias(n) for n, c in features(F.col("text"), F.col("ws")).items()], _score(F.col("ws"), weight).alias("score"))
-    rows = rows.withColumn("base_failed", _base_failed(F.col("n_words"), F.col("n_repeat_words")))
-    return rows.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+    verdict = _judged(F.col("text"), weights(docs, labels), threshold)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), verdict.alias("found")).select("doc_id", "found.*")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that ``judged`` keeps, all columns."""
-    ws, passed = unused(docs, "ws"), unused(docs, "passed")
-    weight = weights(docs, labels)
-    rows = docs.withColumn(ws, words(F.col("text")))
-    good = ~_base_failed(F.size(ws), repeated_words(F.col(ws))) & (_score(F.col(ws), weight) >= threshold)
-    return rows.withColumn(passed, good).filter(passed).drop(ws, passed)
+    return docs.filter(_judged(F.col("text"), weights(docs, labels), threshold)["kept"])
