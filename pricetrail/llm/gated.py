@@ -142,8 +142,10 @@ def states(table: np.ndarray, U: np.ndarray, at: np.ndarray, back: bool, look: n
 
 
 class Adam:
-    def __init__(self, p: dict, rate: float):
-        self.p, self.rate, self.t = p, rate, 0
+    """Adam with a pull of all weights towards zero."""
+
+    def __init__(self, p: dict, rate: float, decay: float = 0.05):
+        self.p, self.rate, self.decay, self.t = p, rate, decay, 0
         self.m = {k: np.zeros_like(v) for k, v in p.items()}
         self.s = {k: np.zeros_like(v) for k, v in p.items()}
 
@@ -154,4 +156,5 @@ class Adam:
             g = np.clip(g, -1, 1)
             self.m[k] += 0.1 * (g - self.m[k])
             self.s[k] += 0.001 * (g * g - self.s[k])
+            self.p[k] *= np.float32(1 - self.rate * self.decay)
             self.p[k] -= (scale * self.m[k] / (np.sqrt(self.s[k]) + 1e-8)).astype(np.float32)

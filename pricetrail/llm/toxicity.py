@@ -1,13 +1,14 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling over characters and words, trained in numpy.
 
-A word's characters pass one such layer; its pooled output stands beside an embedding of the whole word (by hash) and passes
-a second layer over the words of a window. A document is scored by its most toxic window; all windows of all texts are scored, and they
+A word's characters pass one such layer; its pooled output stands beside an embedding of the whole word (by hash) and beside what the
+word and its beginning are known to say for the label, and passes a second layer over the words of a window. A document is scored by its most toxic window; all windows of all texts are scored, and they
 overlap. What the first layer and the input gates of the second make of a word depends on the word alone, so each
 task remembers it for the words it has met.
 
 Labels say that a document is toxic, not where. The first training windows of toxic documents are those with words, or beginnings of words,
 that speak for the label; then the network picks the worst window of every sampled document itself, and is trained again with
-these. Last, a logistic curve maps the worst window's output to a probability over the sampled documents.
+these. One sampled document in VALIDATE is never trained on: on these, a logistic curve is fitted that maps the worst window's output to a
+probability.
 """
 
 from __future__ import annotations
@@ -40,9 +41,9 @@ MEMO = 250_000
 BLOCK = 2048
 CHARS, CHAR_WIDTH, CHAR_HIDDEN = 512, 8, 8
 BUCKETS, WORD_WIDTH, HIDDEN = 1 << 14, 8, 12
-SEED, BATCH = 9, 64
+SEED, BATCH, VALIDATE = 9, 64, 5
 #: Batches and learning rate of each round; after a round the network picks more windows.
-ROUNDS = ((300, 0.01), (200, 0.006), (150, 0.004), (150, 0.003))
+ROUNDS = ((160, 0.01), (100, 0.006), (80, 0.004))
 
 
 def pieces(text: bytes | None) -> list[bytes]:
@@ -59,12 +60,13 @@ def windows(n: int) -> list[int]:
 
 
 class Network:
-    def __init__(self, seed: int = SEED):
+    def __init__(self, seed: int = SEED, evidence: dict[bytes, float] | None = None):
         rng = np.random.default_rng(seed)
-        wide = 2 * CHAR_HIDDEN + WORD_WIDTH
+        self.evidence = evidence or {}
+        wide = 2 * CHAR_HIDDEN + WORD_WIDTH + 2
         self.p = new_layer(rng, CHAR_WIDTH, CHAR_HIDDEN, "char") | new_layer(rng, wide, HIDDEN, "word")
         self.p |= {"chars": 0.3 * rng.standard_normal((CHARS, CHAR_WIDTH)).astype(np.float32),
-                   "words": 0.1 * rng.standard_normal((BUCKETS, WORD_WIDTH)).astype(np.float32),
+                   "words": np.zeros((BUCKETS, WORD_WIDTH), np.float32),  # a word never met says nothing of itself
                    "w": (rng.standard_normal(2 * HIDDEN) / 5).astype(np.float32), "b": np.zeros(1, np.float32)}
         self.curve = (1.0, 0.0)  # slope and offset of the final logistic curve
         self._fresh()
@@ -74,7 +76,7 @@ class Network:
         self.gates = np.zeros((1024, 6 * HIDDEN), np.float32)
 
     def __getstate__(self):
-        return {"p": self.p, "curve": self.curve}
+        return {"p": self.p, "curve": self.curve, "evidence": self.evidence}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -95,6 +97,11 @@ class Network:
     def buckets(self, ws: list[bytes]) -> np.ndarray:
         return np.fromiter(map(zlib.crc32, ws), np.int64, len(ws)) % BUCKETS
 
+    def known(self, ws: list[bytes]) -> np.ndarray:
+        """What each word, and its beginning, says for the label."""
+        found = [(self.evidence.get(w, 0.0), self.evidence.get(w[:4] + b"*", 0.0)) for w in ws]
+        return np.array(found, np.float32) / 2
+
     # training
 
     def learn(self, samples: list[list[bytes]], labels: np.ndarray, steps: int, rng: np.random.Generator, rate: float = 0.01) -> None:
@@ -116,7 +123,7 @@ class Network:
         bucket = self.buckets(list(unique))
         chars, char_cache = pool(p, "char", p["chars"][spelled], char_mask)
         shown = np.ones((len(unique), 1), np.float32) if rng is None else (rng.random((len(unique), 1)) > 1 / 3).astype(np.float32)
-        inputs = np.concatenate([chars, p["words"][bucket] * shown], axis=1)
+        inputs = np.concatenate([chars, p["words"][bucket] * shown, self.known(list(unique))], axis=1)
         pooled, cache = pool(p, "word", inputs[at], mask)
         out = pooled @ p["w"] + p["b"]
         self.loss = float(np.mean(np.logaddexp(0, out) - y * out))
@@ -128,7 +135,7 @@ class Network:
         wide = 2 * CHAR_HIDDEN
         dchars, rest = pool_back(p, "char", dinputs[:, :wide], char_cache)
         real = char_mask > 0
-        return grads | more | rest | {"chars": scatter(spelled[real], dchars[real], CHARS), "words": scatter(bucket, dinputs[:, wide:] * shown, BUCKETS)}
+        return grads | more | rest | {"chars": scatter(spelled[real], dchars[real], CHARS), "words": scatter(bucket, dinputs[:, wide : wide + WORD_WIDTH] * shown, BUCKETS)}
 
     # scoring
 
@@ -151,7 +158,7 @@ class Network:
             a = np.exp(e - e.max(axis=0))
             chars = np.einsum("tn,tnh->nh", a / a.sum(axis=0), h)
             at = 1 + start + k  # row 0 stands for no word
-            self.gates[at : at + len(part)] = np.concatenate([chars, p["words"][self.buckets(part)]], axis=1) @ W + b
+            self.gates[at : at + len(part)] = np.concatenate([chars, p["words"][self.buckets(part)], self.known(part)], axis=1) @ W + b
         self.place.update(zip(ws, range(1 + start, 1 + start + len(ws))))
 
     def _outputs(self, at: np.ndarray) -> np.ndarray:
@@ -212,8 +219,15 @@ class Constant:
         return np.full(len(texts), self.share)
 
 
+def odds(bad: float, good: float, all_bad: int, all_good: int) -> float:
+    """Log-odds of a mark that ``bad`` toxic and ``good`` other documents have, less two standard errors, and 0 below that: what can be
+    relied on even if the documents counted are those that are learned from."""
+    bad, good = bad + 0.5, good + 0.5
+    return max(0.0, math.log(bad / all_bad) - math.log(good / all_good) - 2 * math.sqrt(1 / bad + 1 / good))
+
+
 def _evidence(sample: DataFrame) -> dict[bytes, float]:
-    """Log-odds of words and of their first four bytes, counted by document over the sample; at most 20 000 that speak for toxic."""
+    """odds() of words and of their first four bytes, counted by document over the sample; the 20 000 that say most."""
 
     def make():
         def step(batch: pa.RecordBatch) -> dict:
@@ -224,10 +238,14 @@ def _evidence(sample: DataFrame) -> dict[bytes, float]:
 
         return step
 
+    total = sample.agg(F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("n")).first()
+    if not total.n:
+        return {}
     counts = map_batches(sample, make, "mark binary, toxic int").groupBy("mark").agg(F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("n"))
-    odds = F.log((F.col("bad") + 0.1) / (F.col("n") - F.col("bad") + 0.1))
-    rows = counts.withColumn("odds", odds).filter("bad > 1 AND odds > 1").orderBy(F.desc("odds"), F.desc("bad"), "mark").limit(20_000)
-    return {bytes(r.mark): r.odds * math.log1p(r.bad) for r in rows.collect()}
+    rows = counts.filter("bad > 2").withColumn("rate", (F.col("bad") + 0.5) / (F.col("n") - F.col("bad") + 0.5))
+    rows = rows.orderBy(F.desc("rate"), F.desc("bad"), "mark").limit(20_000).collect()
+    found = {bytes(r.mark): odds(r.bad, r.n - r.bad, total.bad + 1, total.n - total.bad + 1) for r in rows}
+    return {m: o for m, o in found.items() if o}
 
 
 def _first_windows(sample: DataFrame, evidence: dict[bytes, float]) -> list[tuple[int, list[bytes]]]:
@@ -235,13 +253,13 @@ def _first_windows(sample: DataFrame, evidence: dict[bytes, float]) -> list[tupl
     shared = sample.sparkSession.sparkContext.broadcast(evidence)
 
     def make():
-        odds = shared.value
+        known = shared.value
 
         def step(batch: pa.RecordBatch) -> dict:
             labels, out = [], []
             for text, y in zip(utf8(batch.column(1)), batch.column(2).to_pylist()):
                 ws = pieces(text)
-                weight = [max(odds.get(w, 0), odds.get(w[:4] + b"*", 0)) for w in ws]
+                weight = [max(known.get(w, 0), known.get(w[:4] + b"*", 0)) for w in ws]
                 ranked = []
                 for s in windows(len(ws)):
                     part = ws[s : s + WINDOW]
@@ -278,14 +296,16 @@ def _worst_windows(sample: DataFrame, network: Network) -> list[tuple[int, float
 
 
 def _curve(outputs: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic curve by Newton steps, drawn a little towards slope 1 and offset 0."""
-    x, at = np.stack([outputs, np.ones_like(outputs)], axis=1), np.array([1.0, 0.0])
-    for _ in range(30):
-        s = sigmoid(x @ at)
-        grad = x.T @ (weight * (s - y)) + 0.5 * (at - [1.0, 0.0])
-        curved = (x * (weight * s * (1 - s))[:, None]).T @ x + 0.5 * np.eye(2)
-        at = at - np.clip(np.linalg.solve(curved, grad), -2, 2)
-    return float(max(at[0], 0.05)), float(at[1])
+    """Slope and offset of a logistic curve of least loss, by ever finer search; a slight pull keeps the slope near 1."""
+    best, size = (1.0, 0.0), 4.0
+    loss = lambda at: (weight * (np.logaddexp(0, at[0] * outputs + at[1]) - y * (at[0] * outputs + at[1]))).sum() + 0.01 * math.log(at[0]) ** 2
+    for _ in range(60):
+        tries = [best] + [(best[0] * math.exp(i * size / 4), best[1] + j * size) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j]
+        found = min(tries, key=loss)
+        if found == best:
+            size /= 2
+        best = found
+    return best
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE, rounds: tuple = ROUNDS) -> Network | Constant:
@@ -301,8 +321,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE,
     ids = ids[0].unionByName(ids[1])
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     rows = cut_lineage(rows.join(F.broadcast(ids), "id").select("id", "text", "toxic"))  # at most sum(sample) ids
-    network, rng = Network(), np.random.default_rng(SEED)
-    chosen, worst = _first_windows(rows, _evidence(rows)), []
+    kept, rows = (rows.filter(f"pmod(xxhash64(id, 1), {VALIDATE}) {sign} 0") for sign in ("=", "<>"))
+    network, rng = Network(evidence=_evidence(rows)), np.random.default_rng(SEED)
+    chosen, worst = _first_windows(rows, network.evidence), []
     for steps, rate in rounds:
         chosen += [(label, ws) for label, _, place, ws in worst if not label or place == 0]
         y = np.array([c[0] for c in chosen])
@@ -310,9 +331,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE,
             return Constant(share)
         network.learn([c[1] for c in chosen], y, steps, rng, rate)
         worst = _worst_windows(rows, network)
-    tops = [(label, out) for label, out, place, _ in worst if place == 0]
+    tops = [(label, out) for label, out, place, _ in _worst_windows(kept, network) or worst if place == 0]
     y, outputs = np.array([t[0] for t in tops]), np.array([t[1] for t in tops])
-    weight = np.where(y == 1, share / max(1, (y == 1).sum()), (1 - share) / max(1, (y == 0).sum())) * len(y)
+    weight = np.where(y == 1, share / max(1, (y == 1).sum()), (1 - share) / max(1, (y == 0).sum()))
     network.curve = _curve(outputs, y, weight)
     return network
 
