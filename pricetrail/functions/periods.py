@@ -56,7 +56,7 @@ def promotion_period(text: Column, zone: str) -> Column:
             F.when(good, last).alias("end_date"),
             F.when(good, at(first, "00:00:00")).alias("starts_at"),
             F.when(good, at(last, DAY_END)).alias("ends_at"),
-            F.when(~good, "missing, ambiguous or reversed period").alias("error"),
+            F.when(~good, "period_not_two_ordered_days").alias("error"),
         )
 
     return let(let(strip_accents(text), days_in), described)

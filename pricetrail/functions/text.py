@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 
 from pyspark.sql import Column
@@ -37,11 +38,14 @@ def fold(c: Column) -> Column:
     return F.trim(F.regexp_replace(plain, " {2,}", " "))
 
 
+@functools.cache
 def _accented() -> tuple[str, str]:
-    """Accented Latin letters and their bare forms, by Unicode decomposition."""
+    """Letters of every script that decompose into one bare letter and marks, and those bare letters."""
     pairs = []
-    for code in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
+    for code in [*range(0xC0, 0xD800), *range(0xE000, 0x110000)]:
         letter = chr(code)
+        if not unicodedata.decomposition(letter):
+            continue
         bare = "".join(c for c in unicodedata.normalize("NFD", letter) if not unicodedata.combining(c))
         if bare != letter and len(bare) == 1:
             pairs.append((letter, bare))
@@ -58,11 +62,16 @@ def search_text(name: Column, sku: Column, barcode: Column, brand: Column) -> Co
     return fold(F.concat_ws(" ", *parts))
 
 
+# A number in exponent form or a control character is no identifier; the units of a quantity.
+NOT_IDENTIFIER = r"[\x00-\x1f]|^\d+(?:\.\d+)?[eE][+-]?\d+$"
+QUANTITY = r"(?i)\b\d+(?:[.,]\d+)?\s*(?:kg|g|ml|l|buc)\b"
+
+
 def identifier_text(c: Column) -> Column:
     """Text identifier as struct(value, error); leading zeros stay."""
 
     def judged(text: Column) -> Column:
-        bad = text.rlike(r"[\x00-\x1f]|^\d+(?:\.\d+)?[eE][+-]?\d+$")
+        bad = text.rlike(NOT_IDENTIFIER)
         fault = F.when(text.isNull() | (text == ""), "empty identifier").when(bad, "invalid identifier text")
         return let(fault, lambda f: F.struct(F.when(f.isNull(), text).alias("value"), f.alias("error")))
 
@@ -105,7 +114,7 @@ def contains_literal(c: Column, query: Column | str) -> Column:
 
 def quantity_of(name: Column) -> Column:
     """First measure in a product name, e.g. '500 g'; null when there is none."""
-    found = F.regexp_extract(name, r"(?i)\b\d+(?:[.,]\d+)?\s*(?:kg|g|ml|l|buc)\b", 0)
+    found = F.regexp_extract(name, QUANTITY, 0)
     return F.when(found != "", found)
 
 

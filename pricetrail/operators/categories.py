@@ -12,13 +12,13 @@ SEPARATOR = " › "
 
 
 def subtree(categories: DataFrame, root: str) -> DataFrame:
-    """Ids of a node, of nodes sharing its source URL, and of everything below them."""
+    """Ids of a node, of nodes sharing its source URL, and of everything below them. A node met before on the way down is not entered again."""
     return categories.sparkSession.sql(
         """
-        WITH RECURSIVE tree(id) AS (
-          SELECT id FROM {c} WHERE id = :root OR source_url = (SELECT max(source_url) FROM {c} WHERE id = :root)
+        WITH RECURSIVE tree(id, above) AS (
+          SELECT id, array(id) FROM {c} WHERE id = :root OR source_url = (SELECT max(source_url) FROM {c} WHERE id = :root)
           UNION ALL
-          SELECT c.id FROM {c} c JOIN tree t ON c.parent_id = t.id)
+          SELECT c.id, array_append(t.above, c.id) FROM {c} c JOIN tree t ON c.parent_id = t.id WHERE NOT array_contains(t.above, c.id))
         SELECT DISTINCT id FROM tree
         """,
         args={"root": root},
@@ -27,7 +27,7 @@ def subtree(categories: DataFrame, root: str) -> DataFrame:
 
 
 def category_paths(categories: DataFrame) -> DataFrame:
-    """Per node: the root's name, the names below it joined by ' › ', and the depth."""
+    """Per node that a root leads to: the root's name, the names below it joined by ' › ', and the depth. See unreached() for the others."""
     return categories.sparkSession.sql(
         """
         WITH RECURSIVE tree(id, root_id, root_name, sub_path, depth) AS (
@@ -42,6 +42,11 @@ def category_paths(categories: DataFrame) -> DataFrame:
     )
 
 
+def unreached(categories: DataFrame) -> DataFrame:
+    """Nodes that category_paths cannot place because no root leads to them: below an unknown parent, in a cycle, or below one."""
+    return categories.join(category_paths(categories).select("id"), "id", "left_anti")
+
+
 def check_tree(categories: DataFrame) -> DataFrame:
     """Faulty nodes: unknown parent, conflicting parents, or a level that is not the depth."""
     nodes = categories.groupBy("id").agg(
@@ -94,10 +99,6 @@ def exclude_prefixes(df: DataFrame, column: str, prefixes: list[str]) -> DataFra
     return kept
 
 
-def path_of(url: Column) -> Column:
-    return url_part(url, "path")
-
-
 def resolve_category_path(df: DataFrame, categories: DataFrame, row_id: str, category: str, sub: str) -> DataFrame:
     """Resolve category names: a root that is unique by name, then a unique child per step.
 

@@ -34,13 +34,14 @@ def number_rows(df: DataFrame, order: list[str], name: str, start: int = 0) -> D
     place = F.monotonically_increasing_id()
     part, index = F.shiftright(place, 33), place.bitwiseAND((1 << 33) - 1)
     counts = fixed.select(part.alias("part")).groupBy("part").count().orderBy("part").collect()
-    offsets, total = [], start
-    for row in counts:
-        offsets += [F.lit(row["part"]), F.lit(total)]
-        total += row["count"]
-    if not offsets:
+    if not counts:
         return fixed.withColumn(name, F.lit(None).cast("long"))
-    before = F.element_at(F.create_map(*offsets), part)
+    before_part, total, size = [], start, {row["part"]: row["count"] for row in counts}
+    for k in range(counts[-1]["part"] + 1):
+        before_part.append(total)
+        total += size.get(k, 0)
+    # a constant array, indexed by partition: one step a row however many partitions there are
+    before = F.get(F.split(F.lit(",".join(map(str, before_part))), ",").cast("array<bigint>"), part.cast("int"))
     return fixed.withColumn(name, (before + index + 1).cast("long"))
 
 
@@ -61,7 +62,10 @@ def snapshot_key(kind: Column, level: Column, entity_id: Column) -> Column:
     rank = F.lit(str(len(KINDS) - 1))
     for i, name in reversed(list(enumerate(KINDS[:-1]))):
         rank = F.when(kind == name, str(i)).otherwise(rank)
-    depth = F.when(kind == "category", F.lpad(level, 5, "0")).otherwise("00000")
+    # five digits as replicas expect; deeper levels keep all their digits and sort after
+    deep = F.concat(F.lit("~"), F.lpad(level, 19, "0"))
+    padded = F.when(F.length(level) > 5, deep).otherwise(F.lpad(level, 5, "0"))
+    depth = F.when(kind == "category", padded).otherwise("00000")
     return F.concat_ws(":", rank, F.coalesce(depth, F.lit("")), entity_id)
 
 
@@ -106,13 +110,32 @@ def offset_page(df: DataFrame, order: list[Column], offset: int, limit: int) ->
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
+def _chained(pages: DataFrame) -> Column:
+    """Whether pages chain by cursor: one start, one end that is marked as last, every next cursor larger and met exactly once.
+
+    Cursors are compared through sums of their hashes, so pages are never brought together.
+    """
+    code = lambda c: F.sum(F.when(F.col(c).isNotNull(), F.xxhash64(c).cast("decimal(38,0)")))
+    facts = pages.agg(
+        (F.count_if(F.col("cursor").isNull()) == 1).alias("start"),
+        (F.count_if(F.col("next_cursor").isNull() & F.col("last")) == 1).alias("end"),
+        F.coalesce(F.bool_and(F.col("last") == F.col("next_cursor").isNull()), F.lit(False)).alias("marked"),
+        F.coalesce(F.bool_and(F.col("cursor").isNull() | F.col("next_cursor").isNull() | (F.col("next_cursor") > F.col("cursor"))), F.lit(False)).alias("onward"),
+        (F.count_distinct("cursor") == F.count("cursor")).alias("once"),
+        F.coalesce(code("cursor"), F.lit(0)).eqNullSafe(F.coalesce(code("next_cursor"), F.lit(0))).alias("met"))
+    return F.lit(all(facts.first()))
+
+
 def advance(state: DataFrame, pages: DataFrame, bootstrap: bool = False) -> DataFrame:
     """Next watermark row: it moves only when all pages agree and the last one has arrived.
 
-    state is the one stored row (generation, version); pages are (server_version, generation, last).
+    state is the one stored row (generation, version); pages are (server_version, generation, last) and, where the pages tell them,
+    cursor and next_cursor: then the pages must chain from the one without cursor to the last one, each cursor following its
+    predecessor and met once. A missing or repeated page leaves the watermark where it is.
     decision is 'advance', 'incomplete', 'inconsistent' or 'bootstrap_required' (generation changed).
     """
     stored = state.select(F.col("generation").alias("old_generation"), F.col("version").alias("old_version"))
+    chained = _chained(pages) if "cursor" in pages.columns else F.lit(True)
     facts = pages.select("server_version", "generation", "last").unionByName(stored, allowMissingColumns=True)
     low, high = F.min("server_version"), F.max("server_version")
     same = (low == high) & (F.min("generation") == F.max("generation"))
@@ -120,7 +143,7 @@ def advance(state: DataFrame, pages: DataFrame, bootstrap: bool = False) -> Data
         high.alias("version"),
         F.max("generation").alias("generation"),
         same.alias("consistent"),
-        F.coalesce(F.bool_or("last"), F.lit(False)).alias("finished"),
+        (F.coalesce(F.bool_or("last"), F.lit(False)) & chained).alias("finished"),
         F.max("old_generation").alias("old_generation"),
         F.max("old_version").alias("old_version"),
     )

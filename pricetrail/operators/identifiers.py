@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from pricetrail.operators.joins import several, sole, spread_lookup
 
-COUNTERS = {"matched": "alreadyMatched", "needsReview": "conflicts"}
 # Fixed value: what a merged product takes from the source row when the target lacks it.
 FILLED_BY_MERGE = ("sku", "barcode", "name", "brand", "quantity", "category_id", "product_url", "thumbnail_url")
 
@@ -127,7 +126,8 @@ def import_identifiers(rows: DataFrame, pending: DataFrame, products: DataFrame)
 
     One result row per distinct pair and per invalid row: id, sku, barcode, status, product_id,
     copies, prior (the pair was stored before) and counter (what its first row counts as). The rows of
-    a file do not influence each other beyond the ambiguity flag, so order does not matter.
+    a file do not influence each other beyond the ambiguity flag, so order does not matter. An invalid row is known by all that is
+    given of it: with the columns file, sheet and raw, equal row numbers of different files are different rows.
     """
     valid = rows.filter("error IS NULL").groupBy("sku", "barcode").agg(
         F.count(F.lit(1)).alias("copies"), F.min("row_number").alias("row_number"))
@@ -159,8 +159,8 @@ def import_identifiers(rows: DataFrame, pending: DataFrame, products: DataFrame)
     good = facts.select(
         "id", "sku", "barcode", status.alias("status"), owner.alias("product_id"), "copies", "row_number",
         prior.alias("prior"), counter.alias("counter"), (~prior & (counter == "matched")).alias("attaches_barcode"))
-    invalid = rows.filter("error IS NOT NULL").withColumn(
-        "id", invalid_key(*[F.col(c).cast("string") for c in ("row_number", "sku", "barcode", "error")]))
+    named = [c for c in ("file", "sheet", "row_number", "sku", "barcode", "error", "raw") if c in rows.columns]
+    invalid = rows.filter("error IS NOT NULL").withColumn("id", invalid_key(*[F.col(c).cast("string") for c in named]))
     invalid = invalid.join(stored, "id", "left").select(
         "id", F.lit(None).cast("string").alias("sku"), F.lit(None).cast("string").alias("barcode"),
         F.lit("invalid").alias("status"), F.lit(None).cast("string").alias("product_id"),

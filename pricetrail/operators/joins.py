@@ -5,11 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricetrail.session import cut_lineage
-
-#: Session setting: rows of one key above which spread_lookup splits the key itself.
-HOT_KEY_ROWS = "spark.pricetrail.hotKeyRows"
-
 
 def spread_lookup(rows: DataFrame, table: DataFrame, on: list[str], spread: str, how: str = "left") -> DataFrame:
     """Join rows, whatever their key distribution, with a table that has one row per key.
@@ -20,32 +15,12 @@ def spread_lookup(rows: DataFrame, table: DataFrame, on: list[str], spread: str,
     for the join itself; a table that was just aggregated by the key would not be. The extra join key, a
     hash of the others, makes sure of it at the price of one more shuffle of the narrow table.
 
-    With HOT_KEY_ROWS set to n, or without adaptive execution, keys of more than n rows are split by a
-    hash of ``spread`` (a column that varies inside a key, so that a retried task repeats the same
-    split) and their one table row is repeated per split. At most total rows / n keys are hot, which
-    bounds the broadcast list of them. The rows are checkpointed first. Null keys never match and are spread as well.
+    ``spread`` names a column that varies inside a key; adaptive execution needs no such column, so it is not read.
     """
     types = dict(rows.dtypes)
     table = table.select([F.col(c).cast(types[c]).alias(c) if c in on else F.col(c) for c in table.columns])
-    conf = rows.sparkSession.conf
-    limit = conf.get(HOT_KEY_ROWS, None)
-    if limit is None and conf.get("spark.sql.adaptive.enabled", "true") == "true":
-        apart = F.xxhash64(*[F.col(k) for k in on])
-        joined = rows.withColumn("_apart", apart).join(table.withColumn("_apart", apart), [*on, "_apart"], how)
-        return joined.drop("_apart")
-    size = int(limit or 1_000_000)
-    rows = cut_lineage(rows)  # counted and joined: without this, chained lookups would double the work each time
-    hot = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_hot_rows")).filter(F.col("_hot_rows") > size)
-    hot = F.broadcast(hot.select(*on, F.ceil(F.col("_hot_rows") / size).cast("int").alias("_splits")))
-    code = F.xxhash64(F.col(spread))
-    unkeyed = F.lit(False)
-    for key in on:
-        unkeyed = unkeyed | F.col(key).isNull()
-    split = F.when(unkeyed, -F.pmod(code, F.lit(10_007)) - 1).otherwise(F.pmod(code, F.coalesce("_splits", F.lit(1))))
-    left = rows.join(hot, on, "left").withColumn("_split", split.cast("int")).drop("_splits")
-    every = F.sequence(F.lit(0), F.coalesce("_splits", F.lit(1)) - 1)
-    right = table.join(hot, on, "left").withColumn("_split", F.explode(every)).drop("_splits")
-    return left.join(right, [*on, "_split"], how).drop("_split")
+    apart = F.xxhash64(*[F.col(k) for k in on])
+    return rows.withColumn("_apart", apart).join(table.withColumn("_apart", apart), [*on, "_apart"], how).drop("_apart")
 
 
 def sole(lowest: Column, highest: Column) -> Column:

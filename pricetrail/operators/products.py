@@ -27,8 +27,8 @@ REPLICA_DROPPED = ("source_image_url", "missing_count", "created_at")
 
 
 def camel(name: str) -> str:
-    head, *rest = name.split("_")
-    return head + "".join(word.title() for word in rest)
+    """A column name without underscores, what follows each of them in upper case."""
+    return re.sub("_+(.)", lambda found: found[1].upper(), name)
 
 
 def iso(c: Column) -> Column:

@@ -52,8 +52,12 @@ def _hours(at: Column, since: Column) -> Column:
 
 
 def latest_runs(runs: DataFrame, source: str = "source") -> DataFrame:
-    """Per source: the latest full-scope attempt and the start of the latest complete price refresh."""
-    attempt = F.max_by(F.struct("started_at", "status", "source_error"), F.struct("started_at", "id"))
+    """Per source: the latest full-scope attempt and the start of the latest complete price refresh.
+
+    A run seen both while it runs and after it ended counts as ended.
+    """
+    ended = (F.col("status") != "running").alias("ended")
+    attempt = F.max_by(F.struct("started_at", "id", ended, "status", "source_error"), F.struct("started_at", "id", ended))
     full = runs.filter("scope = 'full'")
     return full.groupBy(source).agg(
         attempt.alias("attempt"), F.max(F.when(F.col("price_refresh_complete"), F.col("started_at"))).alias("checked_at"))

@@ -134,6 +134,23 @@ def keyset_page(s):
     return C.keyset_page(s.sql(B.PRODUCTS).select("id", "name"), "id", "shop:15", 100)
 
 
+@query(
+    "ups6_missing_page",
+    LOG + "SELECT 'incomplete' AS decision, 'g1' AS generation, 0::BIGINT AS version FROM changes LIMIT 1",
+)
+def missing_page(s):
+    """The pages of the log with the one in the middle lost: the watermark stays."""
+    log = changes(s)
+    head = head_of(log)
+    pages = log.groupBy(F.expr("(version - 1) div 250").alias("page_no")).agg(F.max("version").alias("top"))
+    last = F.col("top") == F.lit(head)
+    pages = pages.select(
+        "page_no", F.lit(head).cast("long").alias("server_version"), F.lit("g1").alias("generation"), last.alias("last"),
+        F.when(F.col("page_no") > 0, F.col("page_no") * 250).alias("cursor"), F.when(~last, F.col("top")).alias("next_cursor"))
+    state = s.spark.range(1).select(F.lit("g1").alias("generation"), F.lit(0).cast("long").alias("version"))
+    return C.advance(state, pages.filter(F.col("page_no") != F.lit((head - 1) // 250 // 2)))
+
+
 @query(
     "ups6_watermark",
     LOG + "SELECT 'advance' AS decision, 'g1' AS generation, max(version) AS version FROM changes",

@@ -116,7 +116,7 @@ def product_errors(s):
     return rows.select(key.alias("p_partkey"), F.array_join("errors", ",").alias("errors"))
 
 
-@query("val3_envelope_errors", PAGES_SQL + """SELECT query, "offset", total, CASE WHEN biggest = 50 THEN 'inconsistent returned count' ELSE '' END AS errors FROM j""")
+@query("val3_envelope_errors", PAGES_SQL + """SELECT query, "offset", total, CASE WHEN biggest = 50 THEN 'count_differs' ELSE '' END AS errors FROM j""")
 def envelope_errors(s):
     return J.envelope(_responses(s)).select("query", F.col("offset").cast("long").alias("offset"), "total", F.array_join("errors", ",").alias("errors"))
 
@@ -279,8 +279,8 @@ WEIGHED = """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(CAST(l_
 
 
 @query("sc10_weighted_prices", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
-    CASE l_linenumber WHEN 1 THEN 'invalid weighted price metadata' WHEN 2 THEN 'inconsistent weighted display price' WHEN 3 THEN 'inconsistent weighted price units'
-      WHEN 4 THEN 'inconsistent weighted display price' WHEN 5 THEN 'weighted old price is below current price' WHEN 6 THEN 'unknown weighted old-price unit' END AS error,
+    CASE l_linenumber WHEN 1 THEN 'weight_facts_malformed' WHEN 2 THEN 'weight_step_differs_from_price' WHEN 3 THEN 'weight_units_disagree'
+      WHEN 4 THEN 'weight_step_differs_from_price' WHEN 5 THEN 'weight_old_below_new' WHEN 6 THEN 'weight_old_unit_unknown' END AS error,
     CASE WHEN l_linenumber > 6 THEN l_extendedprice END AS price FROM lineitem""")
 def weighted_prices(s):
     c = {n: F.col(n) for n in ("kg", "step", "grams", "price", "old_price", "unit")}
@@ -317,7 +317,7 @@ def to_utc_sql(local):
       o_orderpriority IN ('2-HIGH', '5-LOW') OR (o_orderpriority = '1-URGENT' AND month(o_orderdate) = 2 AND day(o_orderdate) = 29) AS bad FROM orders)
     u AS (SELECT *, CAST(a AS TIMESTAMP) AS s, b + INTERVAL '86399999 milliseconds' AS e FROM d)
     SELECT o_orderkey, CASE WHEN NOT bad THEN CAST({s} AS VARCHAR) END AS starts_at, CASE WHEN NOT bad THEN CAST({e} AS VARCHAR) END AS ends_at,
-      CASE WHEN bad THEN 'missing, ambiguous or reversed period' END AS error FROM u""".replace("AS bad FROM orders)", "AS bad FROM orders),").format(
+      CASE WHEN bad THEN 'period_not_two_ordered_days' END AS error FROM u""".replace("AS bad FROM orders)", "AS bad FROM orders),").format(
         s=to_utc_sql("s"), e=to_utc_sql("e")))
 def promotion_periods(s):
     rows = s.sql(PERIOD_TEXT).select("o_orderkey", T.promotion_period(F.col("t"), "Europe/Chisinau").alias("p"))

@@ -214,6 +214,22 @@ def subtree(s):
     return K.subtree(s.sql(B.CATEGORIES), "/r1/")
 
 
+# Five nations name each other as parents in a ring; customers hang below all nations.
+CYCLIC_TREE = """SELECT 'n' || CAST(n_nationkey AS STRING) AS id, n_name AS name, 'u' || CAST(n_nationkey AS STRING) AS source_url,
+    CASE WHEN n_nationkey < 5 THEN 'n' || CAST((n_nationkey + 1) % 5 AS STRING) END AS parent_id FROM nation
+  UNION ALL SELECT 'c' || CAST(c_custkey AS STRING), c_name, 'c' || CAST(c_custkey AS STRING), 'n' || CAST(c_nationkey AS STRING) FROM customer"""
+
+
+@query("tree1_subtree_in_a_cycle", with_views(("nodes", CYCLIC_TREE)) + "SELECT id FROM nodes WHERE id IN ('n0', 'n1', 'n2', 'n3', 'n4') OR parent_id IN ('n0', 'n1', 'n2', 'n3', 'n4')")
+def subtree_in_a_cycle(s):
+    return K.subtree(s.sql(CYCLIC_TREE), "n0")
+
+
+@query("tree3_unreached_nodes", with_views(("nodes", CYCLIC_TREE)) + "SELECT id FROM nodes WHERE parent_id IN ('n0', 'n1', 'n2', 'n3', 'n4')")
+def unreached_nodes(s):
+    return K.unreached(s.sql(CYCLIC_TREE)).select("id")
+
+
 # Customers hang three nations further on, so some parents do not exist; region 4 has wrong levels.
 FAULTY_TREE = """SELECT 'n' || CAST(n_nationkey AS STRING) AS id, CAST(NULL AS STRING) AS parent_id,
     CASE WHEN n_regionkey = 4 THEN 1 ELSE 0 END AS level FROM nation

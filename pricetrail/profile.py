@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 # Class names and id prefixes of the shop software's public listing templates.
 CARD_FIELDS = {
     "title": "a.product-title",
-    "url": "a.product-title@href",
+    "url": "a.product-title[href]@href",
     "source_id": 'input[name$="[product_id]"]@value',
     "price": '[id^="sec_discounted_price_"]@-sup',
     "price_cents": '[id^="sec_discounted_price_"] sup',
@@ -49,10 +49,10 @@ class ShopProfile:
     next_link: str = 'link[rel="next"]|a[rel="next"]|a.ty-pagination__next:not(.disabled)@href'
     load_more: str = "[data-ut2-load-more-url]@data-ut2-load-more-url"
     category_group: str = ".ab-lc-group"
-    category_head: str = ".head a"
-    category_link: str = "ul a"
+    category_head: str = ".head a[href]"
+    category_link: str = "ul a[href]"
     campaign_title: str = "div.under__title"
-    campaign_link: str = "a.title__goto"
+    campaign_link: str = "a.title__goto[href]"
     period_phrase: str = "oferta valabila in perioada"
     promotion_form: str = '#promotions_view_pagination_contents input[name="redirect_url"]@value'
     stock_wrapper: str = ".ty-warehouses-shipping__wrapper"

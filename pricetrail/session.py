@@ -14,7 +14,7 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    "spark.sql.cteRecursionLevelLimit": "100000",
+    "spark.sql.cteRecursionLevelLimit": "10000",
     "spark.sql.cteRecursionRowLimit": "-1",
 }
 

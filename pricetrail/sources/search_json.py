@@ -62,23 +62,23 @@ def envelope(responses: DataFrame) -> DataFrame:
         bad_number = bad_number | ~_is(v, f"$.success.meta.{n}", "BIGINT") | (meta[n] < 0)
     is_error = lambda n: F.coalesce(F.try_variant_get(n, "$.type", "string") == "E", F.lit(False))
     tests = [
-        (~_is(v, "$.success", "OBJECT"), "no success envelope"),
-        (F.exists(notices, is_error), "application error"),
-        (~_is(v, "$.success.products", "ARRAY") | ~_is(v, "$.success.meta", "OBJECT"), "missing products or metadata"),
-        (bad_number, "invalid integer"),
+        (~_is(v, "$.success", "OBJECT"), "envelope_absent"),
+        (F.exists(notices, is_error), "notice_of_error"),
+        (~_is(v, "$.success.products", "ARRAY") | ~_is(v, "$.success.meta", "OBJECT"), "products_or_meta_absent"),
+        (bad_number, "number_malformed"),
         (~F.col("_echo_query").eqNullSafe(F.col("query")) | (F.col("_echo_offset") != F.col("offset"))
-         | (F.col("_echo_limit") != F.col("limit")), "request and response differ"),
-        ((F.col("returned") != count) | (count > F.col("limit")) | ((count > 0) & (end > F.col("total"))), "inconsistent returned count"),
-        (~_is(v, "$.success.meta.has_more", "BOOLEAN") | (more != (end < F.col("total"))), "inconsistent pagination state"),
-        (more & ((count == 0) | ~_is(v, "$.success.meta.next_offset", "BIGINT") | (following != end)), "repeated offset"),
-        (~more & ~_absent(v, "$.success.meta.next_offset"), "unexpected next offset"),
-        (~_is(v, "$.success.brands", "ARRAY"), "missing brands"),
-        (~_is(v, "$.success.categories", "ARRAY"), "missing categories"),
-        (~_is(v, "$.success.settings", "OBJECT"), "missing settings"),
-        (F.try_variant_get(v, "$.success.settings.need_auth", "boolean"), "authentication required"),
-        (F.size(F.array_distinct(ids)) < count, "duplicate product id"),
+         | (F.col("_echo_limit") != F.col("limit")), "echo_differs"),
+        ((F.col("returned") != count) | (count > F.col("limit")) | ((count > 0) & (end > F.col("total"))), "count_differs"),
+        (~_is(v, "$.success.meta.has_more", "BOOLEAN") | (more != (end < F.col("total"))), "more_flag_differs"),
+        (more & ((count == 0) | ~_is(v, "$.success.meta.next_offset", "BIGINT") | (following != end)), "offset_not_advanced"),
+        (~more & ~_absent(v, "$.success.meta.next_offset"), "offset_after_last"),
+        (~_is(v, "$.success.brands", "ARRAY"), "brands_absent"),
+        (~_is(v, "$.success.categories", "ARRAY"), "categories_absent"),
+        (~_is(v, "$.success.settings", "OBJECT"), "settings_absent"),
+        (F.try_variant_get(v, "$.success.settings.need_auth", "boolean"), "login_asked"),
+        (F.size(F.array_distinct(ids)) < count, "id_repeated"),
         (_is(v, "$.success.settings.show_prices", "BOOLEAN") & F.try_variant_get(v, "$.success.settings.show_prices", "boolean")
-         & F.exists(prices, lambda p: F.coalesce(p == "", F.lit(True))), "missing advertised price"),
+         & F.exists(prices, lambda p: F.coalesce(p == "", F.lit(True))), "price_absent"),
     ]
     return rows.withColumn("errors", _errors(tests)).drop("_v", "_echo_offset", "_echo_limit", "_echo_query", "response")
 
@@ -130,7 +130,7 @@ def validate_pages(pages: DataFrame, products: DataFrame, limit: int = PAGE_LIMI
     repeats = repeats.groupBy("query").agg(F.max("n").alias("_copies"))
     rows = sets.join(offsets, "query").join(repeats, "query", "left")
     tests = [
-        (F.col("_offset") > 1, "repeated offset"),
+        (F.col("_offset") > 1, "offset_not_advanced"),
         (F.col("_low") != F.col("total"), "inconsistent total"),
         ((F.col("total") > WINDOW) | (F.col("total") > limit * max_pages), "result budget exceeded"),
         (F.col("_copies") > 1, "repeated page or duplicate product id"),

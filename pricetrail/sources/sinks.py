@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,12 +47,35 @@ def versioned(changes: DataFrame, base_version: int) -> DataFrame:
 def publish(changes: DataFrame, base_version: int, folder: str) -> DataFrame:
     """Append a batch of changes, at most one per entity, to the log and give it back.
 
-    A batch is one folder named by the version it starts after. Writing it again after a failure
-    replaces it, so the log never holds a batch twice; there must be one writer at a time.
+    A batch is one folder named by the version it starts after, and that must be the log's head. The last batch alone may be
+    written again, with the same rows, after a failure; anything else would lose events or leave a gap and is refused. There must
+    be one writer at a time.
     """
-    target = f"{folder}/base_version={base_version}"
-    versioned(changes, base_version).write.mode("overwrite").parquet(target)
-    return changes.sparkSession.read.parquet(target)
+    spark, target = changes.sparkSession, f"{folder}/base_version={base_version}"
+    head, last = log_head(spark, folder)
+    rows = versioned(changes, base_version)
+    if head is not None and base_version != head:
+        if base_version != last or _content(rows) != _content(spark.read.parquet(target)):
+            raise ValueError(f"a batch after version {base_version} does not follow the log's head {head}")
+    rows.write.mode("overwrite").parquet(target)
+    return spark.read.parquet(target)
+
+
+def log_head(spark: SparkSession, folder: str) -> tuple[int | None, int | None]:
+    """Highest version of the log and the version its last batch starts after; None for a log without rows."""
+    try:
+        rows = spark.read.option("basePath", folder).parquet(folder)
+    except AnalysisException as missing:
+        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None, None
+    return tuple(rows.agg(F.max("version"), F.max("base_version").cast("long")).first())
+
+
+def _content(rows: DataFrame) -> tuple:
+    """Count and digest sum of a batch: equal for the same rows in any order."""
+    digest = F.xxhash64("version", "kind", "entity_id", "payload").cast("decimal(38,0)")
+    return tuple(rows.agg(F.count(F.lit(1)), F.sum(digest)).first())
 
 
 def export_rows(products: DataFrame, categories: DataFrame, aliases: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from pricetrail.schemas import CHANGES, TABLES
 
@@ -15,8 +16,8 @@ def read_catalog(spark: SparkSession, folder: str, names=None) -> dict[str, Data
 def read_changes(spark: SparkSession, folder: str, stream: bool = False, files_per_batch: int | None = None) -> DataFrame:
     """The change log; as a stream, new files arrive as micro-batches."""
     if not stream:
-        return spark.read.schema(CHANGES).parquet(folder)
+        return spark.read.schema(CHANGES).parquet(folder).select(*StructType.fromDDL(CHANGES).fieldNames())
     reader = spark.readStream.schema(CHANGES)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(folder)
+    return reader.parquet(folder).select(*StructType.fromDDL(CHANGES).fieldNames())

@@ -23,7 +23,8 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 
 def _write_batches(updates: DataFrame, folder: str, checkpoint: str, once: bool) -> StreamingQuery:
-    """Write each micro-batch of updates into its own folder; a repeated batch replaces itself."""
+    """Write each micro-batch of updates into its own folder; a repeated batch replaces itself. State is kept on disk."""
+    use_rocksdb(updates.sparkSession)
 
     def save(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/batch_id={batch_id}")
@@ -33,9 +34,13 @@ def _write_batches(updates: DataFrame, folder: str, checkpoint: str, once: bool)
 
 
 def stream_replica(changes: DataFrame, folder: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Keep the newest image of every entity. Only entities touched by a micro-batch are written."""
-    known = changes.filter(F.col("kind").isin(*KINDS))
-    return _write_batches(snapshot(known.select("kind", "entity_id", "version", "payload")), folder, checkpoint, once)
+    """Keep the newest image of every entity. Only entities touched by a micro-batch are written.
+
+    A change of a kind that replicas do not know fails the batch: its successors could depend on it, so it is neither applied nor left out.
+    """
+    refused = F.raise_error(F.concat(F.lit("unknown kind of change: "), F.coalesce("kind", F.lit("none"))))
+    kind = F.when(F.col("kind").isin(*KINDS), F.col("kind")).otherwise(refused.cast("string"))
+    return _write_batches(snapshot(changes.select(kind.alias("kind"), "entity_id", "version", "payload")), folder, checkpoint, once)
 
 
 def read_replica(spark: SparkSession, folder: str) -> DataFrame:
@@ -71,5 +76,5 @@ def read_freshness(spark: SparkSession, folder: str, at: Column) -> DataFrame:
     """Freshness of every source at a moment, from what stream_freshness wrote."""
     rows = spark.read.parquet(folder)
     latest = rows.groupBy("source").agg(
-        F.max_by("attempt", F.col("attempt.started_at")).alias("attempt"), F.max("checked_at").alias("checked_at"))
+        F.max_by("attempt", F.struct("attempt.started_at", "attempt.id", "attempt.ended")).alias("attempt"), F.max("checked_at").alias("checked_at"))
     return describe(latest, at)

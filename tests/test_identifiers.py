@@ -19,85 +19,68 @@ def stored(frame, rows):
     return df.withColumn("id", D.pair_key(F.col("sku"), F.col("barcode"))).select("id", "sku", "barcode", "status", "product_id")
 
 
-def row_by_row(pairs, pending, products):
-    """The import's rules applied one row at a time: status per distinct pair, and the counters."""
-    by_sku, by_barcode = {}, {}
-    for s, b in pairs:
-        by_sku.setdefault(s, set()).add(b)
-        by_barcode.setdefault(b, set()).add(s)
-    store = {(s, b): [st, p] for s, b, st, p in pending}
-    catalog = {i: [s, b] for i, _, s, b in products}
-    counts = dict.fromkeys(("read", "valid", "matched", "alreadyMatched", "pending", "conflicts", "invalid", "duplicate"), 0)
-
-    def related(s, b):
-        return [(k, v) for k, v in store.items() if (k[0] == s or k[1] == b) and v[0] != "invalid"]
-
-    def owners(column, value):
-        return [i for i, row in catalog.items() if row[column] == value]
-
-    def reconcile(s, b, product):
-        bad = any(k != (s, b) or v[0] == "needsReview" or v[1] not in (None, product) for k, v in related(s, b))
-        bad |= any(i != product for i in owners(0, s) + owners(1, b)) or catalog[product][1] not in (None, b)
-        if not bad:
-            catalog[product][1] = b
-        store[s, b] = ["needsReview", None] if bad else ["matched", product]
-
-    for s, b in pairs:
-        counts["read"] += 1
-        counts["valid"] += 1
-        if (s, b) in store:
-            if store[s, b][0] == "pending" and len(owners(0, s)) == 1:
-                reconcile(s, b, owners(0, s)[0])
-            counts["duplicate"] += 1
-            counts[{"matched": "alreadyMatched", "needsReview": "conflicts"}.get(store[s, b][0], store[s, b][0])] += 1
-            continue
-        status, product = "pending", None
-        if len(by_sku[s]) > 1 or len(by_barcode[b]) > 1 or any(k != (s, b) or v[0] == "needsReview" for k, v in related(s, b)):
-            status = "needsReview"
-        elif owners(0, s):
-            found = owners(0, s)
-            if len(found) == 1 and catalog[found[0]][1] in (None, b) and all(i == found[0] for i in owners(1, b)):
-                status, product = "matched", found[0]
-                counts["alreadyMatched" if catalog[product][1] == b else "matched"] += 1
-                catalog[product][1] = b
-            else:
-                status = "needsReview"
-        elif owners(1, b):
-            status = "needsReview"
-        store[s, b] = [status, product]
-        if status != "matched":
-            counts[{"needsReview": "conflicts"}.get(status, status)] += 1
-    return {k: store[k][0] for k in set(pairs)}, counts
-
-
-def random_case(rng):
-    codes = lambda n: [f"s{rng.randrange(n)}" for _ in range(2)]
-    products, used = [], set()
-    for i in range(8):
-        sku, barcode = f"s{i}", rng.choice([None, f"b{i}", f"b{rng.randrange(30)}"])
-        barcode = None if barcode in used else barcode
-        used.add(barcode)
-        products.append((f"p{i}", str(i), sku if rng.random() < 0.8 else None, barcode))
-    pending = {}
-    for _ in range(6):
-        s, b = codes(30)[0], f"b{rng.randrange(30)}"
-        pending[s, b] = rng.choice([("pending", None), ("needsReview", None), ("matched", "p1")])
-    pairs = [(f"s{i}", f"b{i}") for i in rng.sample(range(30), 18)]
-    pairs += [(rng.choice(pairs)[0], f"b{rng.randrange(30)}") for _ in range(3)] + rng.choices(pairs, k=8)
-    rng.shuffle(pairs)
-    return pairs, [(s, b, st, p) for (s, b), (st, p) in pending.items()], products
-
-
-def test_import_equals_row_by_row(spark, frame):
+def random_pairs(rng):
+    """Distinct and repeated pairs over few codes, so that some SKUs have several barcodes and the other way round."""
+    pairs = [(f"s{rng.randrange(25)}", f"b{rng.randrange(25)}") for _ in range(20)] + [(f"t{n}", f"d{n}") for n in range(8)]
+    return pairs + rng.choices(pairs, k=6)
+
+
+def file_rows(frame, pairs):
+    return frame("row_number long, sku string, barcode string, error string", [(n, s, b, None) for n, (s, b) in enumerate(pairs)])
+
+
+def test_new_pairs_follow_the_definition(frame):
+    """Into an empty store: ambiguous pairs need review; a pair whose SKU's only product has no other barcode, and whose barcode no other
+    product has, is matched; a pair of which a product has either value is otherwise for review; the rest is pending."""
     rng = random.Random(7)
-    for _ in range(6):
-        pairs, pending, products = random_case(rng)
-        want, counts = row_by_row(pairs, pending, products)
-        rows = frame("row_number long, sku string, barcode string, error string", [(n, s, b, None) for n, (s, b) in enumerate(pairs)])
-        result = D.import_identifiers(rows, stored(frame, pending), frame(PRODUCT, products)).cache()
-        assert {(r["sku"], r["barcode"]): r["status"] for r in result.collect()} == want
-        report = D.import_report(result).first().asDict()
-        assert {k: report[k] for k in counts} == counts
+    for _ in range(4):
+        pairs = random_pairs(rng)
+        products = [(f"p{n}", str(n), f"t{n}" if n != 5 else "t4", f"d{n}" if n % 3 == 0 else f"x{n}" if n % 3 == 1 else None) for n in range(7)]
+        partners = {v: {q for q in set(pairs) if v in q} for p in pairs for v in p}
+        held = {v: {p[0] for p in products if v in p[2:]} for pair in pairs for v in pair}
+        codes = {p[0]: p[3] for p in products}
+
+        def status(pair):
+            sku, barcode = pair
+            if len(partners[sku]) > 1 or len(partners[barcode]) > 1:
+                return "needsReview"
+            if not held[sku] | held[barcode]:
+                return "pending"
+            one = len(held[sku]) == 1 and held[barcode] <= held[sku] and codes[min(held[sku])] in (None, barcode)
+            return "matched" if one else "needsReview"
+
+        result = D.import_identifiers(file_rows(frame, pairs), frame(PENDING, []), frame(PRODUCT, products))
+        assert {(r["sku"], r["barcode"]): r["status"] for r in result.collect()} == {p: status(p) for p in set(pairs)}
+
+
+def test_import_does_not_depend_on_row_order(frame):
+    rng = random.Random(3)
+    pairs, products = random_pairs(rng), frame(PRODUCT, [(f"p{n}", str(n), f"s{n}", None) for n in range(12)])
+    pending = stored(frame, [("s1", "b1", "pending", None), ("s2", "b9", "needsReview", None), ("s3", "b3", "matched", "p3")])
+    seen = []
+    for _ in range(3):
+        rng.shuffle(pairs)
+        result = D.import_identifiers(file_rows(frame, pairs), pending, products)
+        report = {k: v for k, v in D.import_report(result).first().asDict().items()}
+        seen.append((sorted((r["sku"], r["barcode"], r["status"], r["product_id"] or "") for r in result.collect()), report))
+        assert report["read"] == len(pairs) and report["valid"] == len(pairs)
+    assert seen[0] == seen[1] == seen[2]
+
+
+def test_second_import_changes_nothing(frame):
+    pairs, products = random_pairs(random.Random(5)), frame(PRODUCT, [])
+    first = D.import_identifiers(file_rows(frame, pairs), frame(PENDING, []), products)
+    kept = first.select("id", "sku", "barcode", "status", "product_id")
+    again = D.import_identifiers(file_rows(frame, pairs), kept, products)
+    assert sorted(map(tuple, again.select(*kept.columns).collect()), key=repr) == sorted(map(tuple, kept.collect()), key=repr)
+    assert D.import_report(again).first()["duplicate"] == len(pairs)
+
+
+def test_invalid_rows_of_two_files_are_two_rows(frame):
+    ddl = "file string, row_number long, sku string, barcode string, error string"
+    rows = frame(ddl, [("a.csv", 5, None, None, "empty"), ("b.csv", 5, None, None, "empty")])
+    result = D.import_identifiers(rows, frame(PENDING, []), frame(PRODUCT, []))
+    assert len({r["id"] for r in result.collect()}) == 2 and D.import_report(result).first()["duplicate"] == 0
 
 
 def test_repeated_file_is_all_duplicates(spark, frame):
