@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from pricetrail.functions.text import identifier_text, is_blank, strip
 from pricetrail.operators.changes import number_rows
 from pricetrail.operators.joins import spread_lookup
 from pricetrail.operators.products import fold_literal
+from pricetrail.session import cut_lineage
 
 # Folded header texts and the field each one means.
 HEADER_ALIASES = {
@@ -54,45 +57,84 @@ AMOUNTS = ("price", "old_price", "promo_price", "discount_percent")
 UNSAFE, FORMULA = "#UNSAFE_NUMBER:", "#FORMULA"
 
 
+def _layout(line: str) -> tuple[str, list[str]]:
+    """Separator and column names of a header line; a repeated name gets its place."""
+    line = line.lstrip("\ufeff")
+    separator = max(SEPARATORS, key=lambda s: (line.count(s), -SEPARATORS.index(s)))
+    names = [n.strip().strip('"') for n in line.split(separator)]
+    return separator, [f"{n}#{i}" if names.count(n) > 1 else n for i, n in enumerate(names)]
+
+
 def read_identifier_csv(spark: SparkSession, path: str) -> DataFrame:
-    """CSV files of one layout as text columns named by their header, with source_file and row_number.
+    """CSV files as text columns named by their header, with source_file and row_number.
 
-    The separator is the one that splits the header into most columns; a byte-order mark and any kind
-    of line ending are accepted; blank rows are counted and dropped. A row is one line, so a file is
-    read in parallel; only its header comes to the driver.
+    Every file is read by its own header. Its separator is the one that splits the header into most columns; a byte-order mark and any
+    kind of line ending are accepted; blank rows are counted and dropped. Files of several layouts come together under the fields
+    their headers mean. Where a row is one line, a file is read in parallel; a file in which some line has a quote left open is
+    parsed by one task, since a record may then go on over lines, and its row numbers count records that are not blank.
+    One row per file, its header, comes to the driver.
     """
-    head = spark.read.text(path).first()
-    if head is None:
-        raise ValueError("the file has no rows")
-    line = head["value"].lstrip("\ufeff")
-    separator = max(SEPARATORS, key=lambda s: (line.count(s), -SEPARATORS.index(s)))
-    names = [n.strip().strip('"') for n in line.split(separator)]
-    safe = [f"{n}#{i}" if names.count(n) > 1 else n for i, n in enumerate(names)]
-    schema = ", ".join(f"`{n}` string" for n in safe)
     lines = spark.read.text(path).select(
         "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_name").alias("source_file"),
         F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
     placed = number_rows(lines, ["_file", "_block", "_at"], "_place")
-    starts = placed.groupBy("_file").agg(F.min("_place").alias("_first"))
-    rows = spread_lookup(placed, starts, ["_file"], "_place")
+    open_quote = F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1
+    files = cut_lineage(placed.groupBy("_file").agg(
+        F.min("_place").alias("_first"), F.min_by("value", "_place").alias("_header"), F.bool_or(open_quote).alias("_open")))
+    whole = {}
+    for row in files.filter("_open").collect():
+        whole.setdefault(row["_header"], []).append(unquote(row["_file"]))
+    headers = [r["_header"] for r in files.filter("NOT _open").select("_header").distinct().orderBy("_header").collect()]
+    if not headers and not whole:
+        raise ValueError("the file has no rows")
+    rows = spread_lookup(placed, files, ["_file"], "_place").filter("NOT _open")
     rows = rows.withColumn("row_number", F.col("_place") - F.col("_first") + 1).filter("row_number > 1")
-    cells = F.from_csv("value", schema, {"sep": separator, "escape": '"'})
-    rows = rows.filter(~is_blank(F.col("value"))).select(cells.alias("_c"), "source_file", "row_number")
-    columns = [F.col("_c")[n] for n in safe]
-    blank = F.lit(True)
-    for c in columns:
-        blank = blank & is_blank(c)
-    data = rows.filter(~blank).select(*[c.alias(n) for c, n in zip(columns, safe)], "source_file", "row_number")
+    parts = [_from_lines(rows.filter(F.col("_header") == h), *_layout(h)) for h in headers]
+    parts += [_from_records(spark, paths, *_layout(h)) for h, paths in sorted(whole.items())]
+    if len(parts) > 1:
+        parts = [map_headers(p) for p in parts]
+    data = parts[0]
+    for part in parts[1:]:
+        data = data.unionByName(part, allowMissingColumns=True)
     if data.isEmpty():
         raise ValueError("the file has no rows after its header")
     return data
 
 
+def _filled(df: DataFrame, names: list[str]) -> DataFrame:
+    """Rows with something in one of the named columns."""
+    blank = F.lit(True)
+    for n in names:
+        blank = blank & is_blank(F.col(f"`{n}`"))
+    return df.filter(~blank)
+
+
+def _schema(names: list[str]) -> str:
+    return ", ".join(f"`{n}` string" for n in names)
+
+
+def _from_lines(rows: DataFrame, separator: str, names: list[str]) -> DataFrame:
+    cells = F.from_csv("value", _schema(names), {"sep": separator, "escape": '"'})
+    rows = rows.filter(~is_blank(F.col("value"))).select(cells.alias("_c"), "source_file", "row_number")
+    return _filled(rows.select(*[F.col("_c")[n].alias(n) for n in names], "source_file", "row_number"), names)
+
+
+def _from_records(spark: SparkSession, paths: list[str], separator: str, names: list[str]) -> DataFrame:
+    read = spark.read.schema(_schema(names)).option("multiLine", True).option("header", True).option("enforceSchema", True)
+    records = read.option("sep", separator).option("escape", '"').csv(paths).select(
+        "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_name").alias("source_file"))
+    placed = number_rows(records.withColumn("_at", F.monotonically_increasing_id()), ["_file", "_at"], "_place")
+    firsts = placed.groupBy("_file").agg(F.min("_place").alias("_first"))
+    placed = spread_lookup(placed, firsts, ["_file"], "_place").withColumn("row_number", F.col("_place") - F.col("_first") + 2)
+    return _filled(placed.select(*[F.col(f"`{n}`") for n in names], "source_file", "row_number"), names)
+
+
 def map_headers(df: DataFrame, passed: tuple[str, ...] = ("source_file", "row_number")) -> DataFrame:
     """Columns renamed to the fields their headers mean; other columns are dropped."""
     chosen = []
     for name in df.columns:
-        field = HEADER_ALIASES.get(fold_literal(name.split("#")[0])) if name not in passed else None
+        known = name if name in HEADER_ALIASES.values() else HEADER_ALIASES.get(fold_literal(name.split("#")[0]))
+        field = known if name not in passed else None
         if field:
             chosen.append((name, field))
     fields = [f for _, f in chosen]
