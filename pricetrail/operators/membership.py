@@ -78,9 +78,15 @@ def campaign_statuses(promotions: DataFrame, current_id: str, kind: str, at: Col
 
 
 def publish_campaign(
-    campaign_id: str, found: DataFrame, links: DataFrame, collection: DataFrame
+    campaign_id: str, found: DataFrame, links: DataFrame, collection: DataFrame, decision: DataFrame
 ) -> dict[str, DataFrame]:
-    """Changes of the campaign's promotion links and of its collection: whole replacement."""
+    """Changes of the campaign's promotion links and of its collection: whole replacement.
+
+    ``decision`` is campaign_decision's row. Unless it says publish, there are no changes at all.
+    """
+    allowed = F.broadcast(decision.filter("decision = 'publish'"))  # one row or none
+    found, links, collection = (
+        df.withColumn("decision", F.lit("publish")).join(allowed, "decision", "left_semi").drop("decision") for df in (found, links, collection))
     want = found.select(F.lit(campaign_id).alias("promotion_id"), F.col("id").alias("product_id"))
     had = links.filter(F.col("promotion_id") == campaign_id)
     shown = found.select(F.col("id").alias("product_id"))

@@ -434,14 +434,28 @@ def campaign_statuses(s):
       (SELECT * FROM n EXCEPT SELECT * FROM o), d UNION ALL
     SELECT product_id, 'unlink', CASE WHEN older THEN 'older campaign' ELSE 'publish' END FROM (SELECT * FROM o EXCEPT SELECT * FROM n), d""")
 def published_campaign(s):
+    decision, changes = _campaign(s, 2000, 1999)
+    return changes["collection"].withColumn("decision", F.lit(decision.first()["decision"]))
+
+
+def _campaign(s, new, old):
+    """The products shipped in one year as a campaign that replaces another year's."""
     lines = s.table("lineitem").select(F.concat(F.lit("shop:"), F.col("l_partkey")).alias("id"), F.year("l_shipdate").alias("y"),
                                        "l_shipdate")
-    found, shown = (lines.filter(F.col("y") == y).select("id").distinct() for y in (2000, 1999))
+    found, shown = (lines.filter(F.col("y") == y).select("id").distinct() for y in (new, old))
     start = lambda y: lines.filter(F.col("y") == y).agg(F.max("l_shipdate").alias("starts_at"))
-    decision = M.campaign_decision(start(2000), start(1999), found).first()["decision"]
+    decision = M.campaign_decision(start(new), start(old), found)
     shown = shown.withColumnRenamed("id", "product_id")
-    changes = M.publish_campaign("campaign", found, shown.withColumn("promotion_id", F.lit("campaign")), shown)
-    return changes["collection"].withColumn("decision", F.lit(decision))
+    return decision, M.publish_campaign("campaign", found, shown.withColumn("promotion_id", F.lit("campaign")), shown, decision)
+
+
+@query("ups10_refused_campaign", """SELECT CASE WHEN count(*) FILTER (year(l_shipdate) = 1997) = 0 THEN 'empty campaign' ELSE 'older campaign' END AS decision,
+    0::BIGINT AS links, 0::BIGINT AS members FROM lineitem""")
+def refused_campaign(s):
+    """A campaign older than the published one changes nothing."""
+    decision, changes = _campaign(s, 1997, 1999)
+    count = lambda name: changes[name].agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    return decision.select("decision", F.lit(count("links")).cast("long").alias("links"), F.lit(count("collection")).cast("long").alias("members"))
 
 
 SCOPES = """SELECT 'collection:' || s_suppkey AS collection_id, CASE WHEN s_nationkey < 10 THEN 'open' WHEN s_nationkey < 20 THEN 'dated' ELSE 'other' END
