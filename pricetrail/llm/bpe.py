@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pricetrail.llm.rows import map_batches
 
 #: Pieces between white space whose ids a task remembers; the memo starts anew when it is full.
-MEMO = 250_000
+MEMO = 180_000
 #: Characters of unseen words that are merged in one flat array.
 FLAT = 1 << 20
 #: Control characters that str.split() takes for white space and the tokenizer does not.

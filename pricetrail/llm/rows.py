@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pricetrail.session import configure
 
 #: Rows of one Arrow batch. Texts can be long, so batches are kept short; the session's byte limit holds as well.
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 
 
 def prepare(spark: SparkSession) -> SparkSession:

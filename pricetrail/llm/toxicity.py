@@ -36,7 +36,7 @@ SAMPLE = (4000, 1500)
 #: Windows of a sampled document that reach the driver in each round, at most.
 PER_DOCUMENT = 2
 #: Words whose gates a task remembers.
-MEMO = 250_000
+MEMO = 150_000
 #: Windows, or words, that pass a layer together.
 BLOCK = 2048
 CHARS, CHAR_WIDTH, CHAR_HIDDEN = 512, 8, 8
