@@ -17,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructType
 
-from pricetrail.llm.rows import map_batches, utf8
+from pricetrail.llm.rows import map_batches, unused, utf8
 
 #: Words of consecutive item text that make a window.
 WINDOW = 13
@@ -241,32 +242,45 @@ def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: int = COVERAGE,
                   shard_words: int = SHARD_WORDS) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, all columns; spans that are hit are cut from their texts, and n_chars,
-    where it is a column, follows the text. With several automata the documents pass one after the other: a document goes if one
-    of them finds it contaminated by its own items."""
-    spark, names = docs.sparkSession, docs.columns
-    at = names.index("text")
-    for automaton in automata(benchmark, window=window, shard_words=shard_words):
-        shared = spark.sparkContext.broadcast(automaton)
-
-        def run(batches, shared=shared):
-            found = shared.value
-            for batch in batches:
-                keep, texts, sizes = [], [], []
-                for text in utf8(batch.column(at)):
-                    ws = words(text)
-                    spans, _ = found.hits(ws)
-                    hit = sum(b - a for a, b in spans)
-                    keep.append(not hit or coverage * hit < len(ws))
-                    texts.append(cut(text, spans) if hit and keep[-1] else text)
-                    sizes.append(hit)
-                columns = list(batch.columns)
-                columns[at] = pa.array(texts, pa.binary()).cast(pa.string())
-                if "n_chars" in names and any(h and k for h, k in zip(sizes, keep)):
-                    old = batch.column(names.index("n_chars"))
-                    new = [len(t.decode()) if h else o for t, h, o in zip(texts, sizes, old.to_pylist())]
-                    columns[names.index("n_chars")] = pa.array(new, old.type)
-                yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep, pa.bool_()))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    where it is a column, follows the text. With several automata the documents pass one after the other and carry along the spans
+    found so far; the last pass merges them, judges the document by all of them and cuts once."""
+    spark, names, schema = docs.sparkSession, docs.columns, docs.schema
+    at, carried = names.index("text"), unused(docs, "spans")
+    *others, last = [spark.sparkContext.broadcast(a) for a in automata(benchmark, window=window, shard_words=shard_words)]
 
+    def so_far(batch):
+        flat = batch.column(len(names)).to_pylist() if batch.num_columns > len(names) else repeat((), batch.num_rows)
+        return [list(zip(x[::2], x[1::2])) for x in flat]
+
+    def search(batches, shared):
+        found = shared.value
+        for batch in batches:
+            spans = [old + found.hits(words(text))[0] for text, old in zip(utf8(batch.column(at)), so_far(batch))]
+            flat = pa.array([[x for span in of for x in span] for of in spans], pa.list_(pa.int64()))
+            of_docs = pa.schema(list(batch.schema)[: len(names)])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], flat], schema=of_docs.append(pa.field(carried, flat.type)))
+
+    def finish(batches):
+        found = last.value
+        for batch in batches:
+            keep, texts, sizes = [], [], []
+            for text, old in zip(utf8(batch.column(at)), so_far(batch)):
+                ws = words(text)
+                spans = _merged(old + found.hits(ws)[0])
+                hit = sum(b - a for a, b in spans)
+                keep.append(not hit or coverage * hit < len(ws))
+                texts.append(cut(text, spans) if hit and keep[-1] else text)
+                sizes.append(hit)
+            columns = list(batch.columns[: len(names)])
+            columns[at] = pa.array(texts, pa.binary()).cast(pa.string())
+            if "n_chars" in names and any(h and k for h, k in zip(sizes, keep)):
+                old = batch.column(names.index("n_chars"))
+                new = [len(t.decode()) if h else o for t, h, o in zip(texts, sizes, old.to_pylist())]
+                columns[names.index("n_chars")] = pa.array(new, old.type)
+            of_docs = pa.schema(list(batch.schema)[: len(names)])
+            yield pa.RecordBatch.from_arrays(columns, schema=of_docs).filter(pa.array(keep, pa.bool_()))
+
+    wider = StructType([*schema.fields]).add(carried, ArrayType(LongType()))
+    for shared in others:
+        docs = docs.mapInArrow(lambda batches, shared=shared: search(batches, shared), wider)
+    return docs.mapInArrow(finish, schema)

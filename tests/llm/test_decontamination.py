@@ -87,6 +87,41 @@ def test_spans_are_cut_and_contaminated_documents_go(spark):
         1: (clean, len(clean)), 3: (f"{long} ... ! {long}", 2 * len(long) + 7), 4: (None, None), 5: ("", 0)}
 
 
+def unhit(text, items):
+    """The words of a text that no window of any item covers."""
+    ws, hit = words_of(text), set()
+    for _, item_text in items:
+        of = words_of(item_text)
+        n = min(13, len(of))
+        windows = {tuple(of[i : i + n]) for i in range(len(of) - n + 1)} if of else set()
+        for i in range(len(ws) - n + 1 if of else 0):
+            if tuple(ws[i : i + n]) in windows:
+                hit.update(range(i, i + n))
+    return [w for i, w in enumerate(ws) if i not in hit]
+
+
+@pytest.mark.parametrize("shard", [250_000, 200])
+def test_items_of_all_shards_judge_and_cut_together(spark, shard):
+    """Hits in several automata count as one, and the windows of one are not cut before another has looked."""
+    run_of = lambda name, n: [f"{name}{i}" for i in range(n)]
+    bench = [(i, " ".join(run_of(f"a{i}x", 30))) for i in range(8)]
+    bench += [(100 + i, " ".join([*run_of(f"p{i}x", 8), *run_of(f"m{i}x", 10), *run_of(f"q{i}x", 3)])) for i in range(8)]
+    bench += [(200 + i, " ".join([*run_of(f"m{i}x", 10), *run_of(f"q{i}x", 8)])) for i in range(8)]
+    filler = run_of("x", 940)
+    rows = [(10 * i + j, " ".join([*filler[:400], bench[i][1], *filler[400:], bench[j][1]])) for i in range(8) for j in range(i)]
+    over = [[*run_of(f"p{i}x", 8), *run_of(f"m{i}x", 10), *run_of(f"q{i}x", 8)] for i in range(8)]
+    rows += [(1000 + i, ", ".join([*filler[:300], *ws, *filler[300:]])) for i, ws in enumerate(over)]
+    pick = random.Random(7)
+    more, items = made(6, items=8, docs=60, letters=5)
+    rows += [(2000 + d, text + " " + " ".join(filler[: pick.choice([0, 300, 600, 900])])) for d, text in more]
+    bench += [(300 + i, text) for i, text in items if len(text.split()) >= 12]
+    docs, table, _ = run(spark, rows, bench)
+    got = {r.doc_id: (words_of(r.text), r.n_chars - len(r.text)) for r in decontaminate(docs, table, shard_words=shard).collect()}
+    want = {d: (unhit(t, bench), 0) for d, t in rows if not by_definition(t, bench)[4]}
+    assert not set(want) & {d for d, _ in rows if d < 1000} and {1000 + i for i in range(8)} <= set(want)
+    assert got == want
+
+
 def test_cut():
     assert cut("Äb, cd! ef gh.".encode(), [(1, 3)]).decode() == "Äb,  gh."
 
