@@ -27,8 +27,8 @@ from pricetrail.llm.gated import Adam, new_layer, pool, pool_back, scatter, sigm
 from pricetrail.llm.rows import fold, keep_rows, map_batches, utf8
 from pricetrail.session import cut_lineage
 
-#: Words of a window, and words from one window's start to the next one's.
-WINDOW, STRIDE = 32, 24
+#: Words of a window, and words from one window's start to the next one's: every run of WINDOW - STRIDE + 1 words lies in one window.
+WINDOW, STRIDE = 32, 16
 #: Bytes of a word that are read as one; longer words are read as several.
 PIECE = 24
 #: Labelled documents that the network learns from, at most, without and with the toxic label, chosen by a hash of their id.
