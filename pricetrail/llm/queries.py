@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 
 from pricetrail.llm import bpe, chat, warc
 from pricetrail.llm.decontamination import contamination
+from pricetrail.llm.filter_audit import filter_orders
+from pricetrail.llm.hard_negatives import hard_negatives
 from pricetrail.llm.html_text import extracted
 from pricetrail.llm.langid import identified
 from pricetrail.llm.quality import judged
 from pricetrail.llm.rows import prepare, table
 from pricetrail.llm.simhash import near_duplicates
+from pricetrail.llm.substring_dedup import without_repeats
 from pricetrail.llm.token_counts import section_tokens
 from pricetrail.llm.toxicity import scored
 from pricetrail.session import shared_dir
@@ -136,3 +139,71 @@ def toxicity(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_language_id")
 def language_id(spark: SparkSession, folder: str) -> DataFrame:
     return identified(table(spark, folder, "documents"))
+
+
+_SPACED = "[^\\x20\\x09-\\x0D]+"
+
+
+@query("op11_substring_dedup", f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '{_SPACED}'), []) AS ws FROM documents),
+w AS (SELECT r, doc_id, i, array_to_string(ws[i : i + 12], ' ') AS s
+      FROM (SELECT r, doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM d WHERE len(ws) >= 13)),
+f AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s),
+g AS (SELECT DISTINCT r, unnest(range(i, i + 13)) AS p FROM w JOIN f USING (s) WHERE doc_id > least),
+k AS (SELECT r, string_agg(word, ' ' ORDER BY p) AS kept
+      FROM (SELECT r, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM d) ANTI JOIN g USING (r, p) GROUP BY r),
+n AS (SELECT r, count(*) AS n_removed FROM g GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (r) LEFT JOIN n USING (r)
+""")
+def substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cut = without_repeats(table(spark, folder, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"] + 1)
+    return cut.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op12_filter_interaction_audit", f"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '{_SPACED}') AS ws, min(doc_id) OVER (PARTITION BY t) AS least FROM d),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+             [len(ws) < 50, 100 * len(list_distinct(ws)) < 65 * len(ws), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t),
+              regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > least, false)] AS f
+      FROM w LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, f, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, f),
+o AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS p FROM range(1, 6) a(i), range(1, 6) b(i), range(1, 6) c(i), range(1, 6) d(i), range(1, 6) e(i)
+      WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+s AS (SELECT part, p, k, n, good, toxic, f[p[k]] AS fails, len(list_filter(p[1 : k - 1], lambda x: f[x])) > 0 AS earlier,
+             len(list_filter(f, lambda x: x)) = 1 AS sole FROM c, o, range(1, 6) k(k)),
+r AS (SELECT part, p, k, sum(n) FILTER (NOT earlier AND NOT fails) AS kept, sum(n) FILTER (fails AND NOT earlier) AS removed,
+             sum(n) FILTER (fails AND earlier) AS redundant, sum(n) FILTER (fails AND sole) AS unique_fails,
+             sum(good) FILTER (fails AND NOT earlier) AS good_lost, sum(toxic) FILTER (fails AND NOT earlier) AS toxic_lost
+      FROM s GROUP BY part, p, k)
+SELECT part, array_to_string(list_transform(p, lambda x: 'ABCDE'[x]), '') AS filter_order, k::INT AS step, coalesce(kept, 0)::BIGINT AS kept,
+       coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+       coalesce(sum(removed) OVER (PARTITION BY part, p[k]), 0)::BIGINT AS shapley, coalesce(good_lost, 0)::BIGINT AS good_lost,
+       coalesce(toxic_lost, 0)::BIGINT AS toxic_lost
+FROM r
+""")
+def filter_interaction_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_orders(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op13_hard_negatives", """
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM e a, e b WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same AND other_id <> anchor_id
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id)::INT AS rank,
+       other_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY rank <= 5
+""")
+def mined_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, folder, "embeddings"), F.col("id") % 100 == 0, label)

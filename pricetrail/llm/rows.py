@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricetrail.session import configure
+from pricetrail.session import configure, shared_dir
 
 #: Rows of one Arrow batch. Texts can be long, so batches are kept short; the session's byte limit holds as well.
 BATCH_ROWS = 500
@@ -25,6 +26,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def held(df: DataFrame, name: str) -> DataFrame:
+    """Written to the shared folder and read again: later steps and lost executors start from there."""
+    at = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """``name``, lengthened until no column of the frame has it."""
     taken = {c.lower() for c in df.columns}
