@@ -34,8 +34,8 @@ from pricetrail.operators.joins import spread_lookup
 WINDOW = 13
 #: Words of an anchor.
 SEED = 5
-#: Bits of a sieve, as a power of two: 16 MB, whatever the data.
-BITS = 27
+#: Bits of a sieve, as a power of two: 4 MB, whatever the data.
+BITS = 25
 _PAGE = 4096
 
 
