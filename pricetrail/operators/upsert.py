@@ -14,6 +14,7 @@ from pricetrail.operators.joins import spread_lookup
 # What an unknown incoming value may not erase, what identifies a product, what a new row starts with.
 KEEP_IF_NULL = ("source_product_id", "sku", "barcode", "category_id", "brand")
 IDENTITY = ("source_product_id", "sku", "barcode")
+UNIQUE = (*IDENTITY, "product_url")
 NEW_PRODUCT = {"promotion_state": "none", "possibly_inactive": False, "inactive": False, "missing_count": 0}
 MANAGED = ("version", "created_at", "updated_at")
 
@@ -36,18 +37,19 @@ def upsert(
 ) -> DataFrame:
     """Merge a batch (one row per key) into the state by a full outer join on the key.
 
-    outcome is added, updated, unchanged, conflict (a stored identifier differs; the state is kept) or
-    untouched. A column missing from the batch, or not named in the batch's optional
+    outcome is added, updated, unchanged, conflict (a stored identifier differs, or the batch's optional ``refused
+    boolean`` is set; the state is kept, and a refused new row has no version) or untouched. A column missing from the batch, or not named in the batch's optional
     ``supplied array<string>``, is left alone; a supplied null overwrites unless it is in ``keep``.
     """
     types = dict(state.dtypes)
     columns = [c for c in state.columns if c != key and c not in MANAGED]
     patched = [c for c in columns if c in batch.columns]
     partial = "supplied" in batch.columns
+    marks = [c for c in ("supplied", "refused") if c in batch.columns]
     old = state.select(F.col(key).alias("_old_key"), F.struct(*state.columns).alias("_s"))
     new = batch.select(
         F.col(key).alias("_new_key"),
-        F.struct(*[F.col(c).cast(types[c]).alias(c) for c in patched], *(["supplied"] if partial else [])).alias("_b"),
+        F.struct(*[F.col(c).cast(types[c]).alias(c) for c in patched], *marks).alias("_b"),
     )
     rows = old.join(new, F.col("_old_key") == F.col("_new_key"), "full_outer")
     s, b = F.col("_s"), F.col("_b")
@@ -65,9 +67,11 @@ def upsert(
             clash = given(c) & F.coalesce(b[c] != s[c], F.lit(False))
             clashes.append(clash & ~is_blank(s[c]) if c == "sku" else clash)
     conflict = ~is_new & _any(clashes)
+    if "refused" in marks:
+        conflict = conflict | F.coalesce(b["refused"], F.lit(False))
     same = _all([~writes(c) | b[c].eqNullSafe(s[c]) for c in patched])
     outcome = (
-        F.when(quiet, "untouched").when(is_new, "added").when(conflict, "conflict").when(same, "unchanged").otherwise("updated")
+        F.when(quiet, "untouched").when(conflict, "conflict").when(is_new, "added").when(same, "unchanged").otherwise("updated")
     )
     defaults = NEW_PRODUCT if new_row is None else new_row
     merged = []
@@ -81,6 +85,39 @@ def upsert(
     return rows.select(F.coalesce("_old_key", "_new_key").alias(key), outcome.alias("outcome"), *merged, *kept)
 
 
+def refuse_shared(state: DataFrame, batch: DataFrame, key: str = "id", identity: tuple[str, ...] = UNIQUE) -> DataFrame:
+    """The batch with ``refused``: whether a row claims an identifier that isn't its own to claim.
+
+    A stored value belongs to the row that holds it; one that is stored nowhere and claimed by several rows of the batch belongs to
+    none of them. Blank values and, with ``supplied``, columns that a row doesn't name claim nothing. Every value is reduced to its
+    lowest and highest claimant, so rows that share one never meet.
+    """
+    kinds = tuple(c for c in identity if c in batch.columns)
+    if "supplied" in batch.columns:
+        batch = batch.withColumns({f"_{c}": F.when(F.array_contains("supplied", c), F.col(c)) for c in kinds})
+    else:
+        batch = batch.withColumns({f"_{c}": F.col(c) for c in kinds})
+
+    def claims(rows: DataFrame, prefix: str) -> DataFrame:
+        pairs = F.array(*[F.struct(F.lit(c).alias("kind"), F.col(prefix + c).cast("string").alias("value")) for c in kinds])
+        rows = rows.select(F.col(key).alias("row"), F.explode(pairs).alias("pair")).select("row", "pair.kind", "pair.value")
+        return rows.filter(F.col("value").isNotNull() & ~is_blank(F.col("value")))
+
+    if not kinds:
+        return batch.withColumn("refused", F.lit(False))
+    asked = claims(batch, "_")
+    known = asked.withColumn("stored", F.lit(False)).unionByName(claims(state, "").withColumn("stored", F.lit(True)))
+    owner = F.when(F.col("stored"), F.col("row"))
+    found = known.groupBy("kind", "value").agg(
+        F.min("row").alias("low"), F.max("row").alias("high"), F.min(owner).alias("owner"), F.max(owner).alias("last"))
+    found = found.filter("low <> high")
+    met = spread_lookup(asked, found, ["kind", "value"], "row", "inner")
+    foreign = F.col("owner").isNull() | (F.col("owner") != F.col("row")) | (F.col("last") != F.col("row"))
+    refused = met.filter(foreign).select(F.col("row").alias(key)).distinct().withColumn("refused", F.lit(True))
+    rows = batch.drop(*[f"_{c}" for c in kinds]).join(refused, key, "left")
+    return rows.withColumn("refused", F.coalesce("refused", F.lit(False)))
+
+
 def upsert_events(result: DataFrame, kind: str, key: str = "id") -> DataFrame:
     """One event per effective change; number them with assign_versions and append with publish."""
     fields = [c for c in result.columns if c not in ("outcome", "version")]

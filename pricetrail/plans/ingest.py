@@ -133,7 +133,9 @@ def page_sets(s):
 @query("snk1_published_log", views("products", "observed", more=BATCH_SQL + ", " + UPSERT_SQL) + """SELECT 100 + row_number() OVER (ORDER BY id) AS version,
     'product' AS kind, id AS entity_id, 100 + row_number() OVER (ORDER BY id) AS payload_version, name FROM m WHERE outcome IN ('added', 'updated')""")
 def published_log(s):
-    log = S.publish(U.upsert_events(_upserted(s), "product"), 100, scratch(s, "log"))
+    folder = scratch(s, "log")
+    S.found_log(s.spark, folder, 100)
+    log = S.publish(U.upsert_events(_upserted(s), "product"), 100, folder)
     own = F.get_json_object("payload", "$.version").cast("long")
     return log.select("version", "kind", "entity_id", own.alias("payload_version"), F.get_json_object("payload", "$.name").alias("name"))
 

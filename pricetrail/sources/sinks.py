@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,7 +11,8 @@ from pyspark.sql import types as T
 from pricetrail.operators.categories import category_paths
 from pricetrail.operators.changes import assign_versions
 from pricetrail.operators.joins import spread_lookup
-from pricetrail.schemas import IMPORT_HISTORY, SYNC_HISTORY
+from pricetrail.schemas import CHANGES, IMPORT_HISTORY, SYNC_HISTORY
+from pricetrail.sources.manifest import Manifest, Part, Store
 
 # The columns of an exported catalog, in order, and what each holds.
 EXPORT_COLUMNS = {
@@ -44,32 +46,32 @@ def versioned(changes: DataFrame, base_version: int) -> DataFrame:
     return numbered.withColumn("payload", text).select("version", "kind", "entity_id", "payload")
 
 
+def found_log(spark: SparkSession, folder: str, head: int) -> None:
+    """Begin a log after a version, whose earlier changes lie elsewhere. Fails if the log has begun."""
+    Store(spark, folder).publish(Manifest(), generation=uuid.uuid4().hex, head=head)
+
+
 def publish(changes: DataFrame, base_version: int, folder: str) -> DataFrame:
     """Append a batch of changes, at most one per entity, to the log and give it back.
 
-    A batch is one folder named by the version it starts after, and that must be the log's head. The last batch alone may be
-    written again, with the same rows, after a failure; anything else would lose events or leave a gap and is refused. There must
-    be one writer at a time.
+    A batch must follow the log's head (0 for a new log); anything else would lose events or leave a gap and is refused. A batch
+    counts once the manifest names it, so after a failure it is simply published again. The last batch may be published
+    again with the same rows, which changes nothing. Of two writers, one fails with Taken.
     """
-    spark, target = changes.sparkSession, f"{folder}/base_version={base_version}"
-    head, last = log_head(spark, folder)
-    rows = versioned(changes, base_version)
-    if head is not None and base_version != head:
-        if base_version != last or _content(rows) != _content(spark.read.parquet(target)):
-            raise ValueError(f"a batch after version {base_version} does not follow the log's head {head}")
-    rows.write.mode("overwrite").parquet(target)
-    return spark.read.parquet(target)
-
-
-def log_head(spark: SparkSession, folder: str) -> tuple[int | None, int | None]:
-    """Highest version of the log and the version its last batch starts after; None for a log without rows."""
-    try:
-        rows = spark.read.option("basePath", folder).parquet(folder)
-    except AnalysisException as missing:
-        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-        return None, None
-    return tuple(rows.agg(F.max("version"), F.max("base_version").cast("long")).first())
+    store = Store(changes.sparkSession, folder)
+    current, rows = store.read(), versioned(changes, base_version)
+    if base_version != current.head:
+        last = current.parts[-1] if current.parts else None
+        if last is None or base_version != last.first - 1 or _content(rows) != _content(store.rows([last.folder], CHANGES)):
+            raise ValueError(f"a batch after version {base_version} does not follow the log's head {current.head}")
+        return store.rows([last.folder], CHANGES)
+    name = store.write(rows, "log")
+    written = store.rows([name], CHANGES)
+    count = written.count()
+    if count:
+        part = Part(name, base_version + 1, base_version + count, count)
+        store.publish(current, generation=current.generation or uuid.uuid4().hex, head=part.last, parts=(*current.parts, part))
+    return written
 
 
 def _content(rows: DataFrame) -> tuple:

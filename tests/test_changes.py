@@ -2,7 +2,8 @@ import random
 
 from pricetrail.operators import changes as C
 from pricetrail.operators import upsert as U
-from pricetrail.sources.sinks import publish
+from pricetrail.sources.sinks import found_log, publish
+from pricetrail.sources.tables import read_changes
 
 LOG = "version long, kind string, entity_id string, payload string"
 
@@ -60,9 +61,10 @@ def test_pages_cover_the_snapshot_once(frame):
 
 def test_publish_carries_versions_and_can_be_repeated(frame, tmp_path):
     batch = frame("kind string, entity_id string, payload string", [("product", "b", '{"x":1}'), ("product", "a", "{}")])
+    found_log(batch.sparkSession, str(tmp_path), 10)
     for _ in range(2):
         publish(batch, 10, str(tmp_path))
-    log = batch.sparkSession.read.parquet(str(tmp_path)).orderBy("version").collect()
+    log = read_changes(batch.sparkSession, str(tmp_path)).orderBy("version").collect()
     assert [(r["version"], r["entity_id"], r["payload"]) for r in log] == [(11, "a", '{"version":11}'), (12, "b", '{"x":1,"version":12}')]
 
 
