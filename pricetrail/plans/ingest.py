@@ -46,6 +46,18 @@ def identifier_file(s):
     return typed.select("sku", "barcode", "name")
 
 
+@query("src2_quoted_records", views("pairs") + """SELECT sku, barcode, CASE WHEN row_number % 10 = 3 THEN 'two' || chr(10) || 'lines; "' || barcode || '"' ELSE 'part ' || barcode END AS name
+    FROM pairs WHERE sku IS NOT NULL""")
+def quoted_records(s):
+    """One file whose records partly go on over lines."""
+    folder = scratch(s, "quoted")
+    name = F.when(F.col("row_number") % 10 == 3, F.concat(F.lit('"two\nlines; ""'), "barcode", F.lit('"""'))).otherwise(F.concat(F.lit("part "), "barcode"))
+    rows = s.sql(B.PAIRS).filter("sku IS NOT NULL").select(F.concat_ws(";", "sku", "barcode", name).alias("value"))
+    header = s.spark.createDataFrame([("Cod SKU;EAN;Denumire",)], "value string")
+    header.unionByName(rows).coalesce(1).write.text(folder)
+    return D.map_headers(D.read_identifier_csv(s.spark, folder)).select("sku", "barcode", "name")
+
+
 LINES = """SELECT l_orderkey, l_linenumber, l_partkey,
     CASE WHEN l_linenumber = 1 THEN '#UNSAFE_NUMBER:1.5' WHEN l_linenumber = 2 THEN l_partkey || 'E4' WHEN l_linenumber = 3 THEN ' '
       ELSE ' 00' || l_partkey || '.0' END AS sku,
@@ -64,7 +76,7 @@ LINES = """SELECT l_orderkey, l_linenumber, l_partkey,
       CASE WHEN error IS NOT NULL THEN price END AS raw_price FROM e""")
 def typed_lines(s):
     typed = D.type_import_lines(s.sql(LINES))
-    return typed.select("l_orderkey", "l_linenumber", "l_partkey", "sku", "barcode", "price", "error",
+    return typed.select("l_orderkey", "l_linenumber", "l_partkey", "sku", "barcode", F.col("price").cast("double").alias("price"), "error",
                         F.col("raw.price").alias("raw_price"))
 
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from urllib.parse import unquote
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,27 +70,29 @@ def read_identifier_csv(spark: SparkSession, path: str) -> DataFrame:
 
     Every file is read by its own header. Its separator is the one that splits the header into most columns; a byte-order mark and any
     kind of line ending are accepted; blank rows are counted and dropped. Files of several layouts come together under the fields
-    their headers mean. Where a row is one line, a file is read in parallel; a file in which some line has a quote left open is
-    parsed by one task, since a record may then go on over lines, and its row numbers count records that are not blank.
-    One row per file, its header, comes to the driver.
+    their headers mean. Rows are numbered by record. A quoted cell may go on over lines: such lines are found and put together
+    wherever they lie (``_records``), so a file is read in parallel whether it has any or not. A quote that is never closed ends
+    with its line. One row per different header comes to the driver.
     """
     lines = spark.read.text(path).select(
         "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_name").alias("source_file"),
         F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
     placed = number_rows(lines, ["_file", "_block", "_at"], "_place")
-    open_quote = F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1
-    files = cut_lineage(placed.groupBy("_file").agg(
-        F.min("_place").alias("_first"), F.min_by("value", "_place").alias("_header"), F.bool_or(open_quote).alias("_open")))
-    whole = {}
-    for row in files.filter("_open").collect():
-        whole.setdefault(row["_header"], []).append(unquote(row["_file"]))
-    headers = [r["_header"] for r in files.filter("NOT _open").select("_header").distinct().orderBy("_header").collect()]
-    if not headers and not whole:
+    odd = F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1
+    files = placed.groupBy("_file").agg(
+        F.min("_place").alias("_first"), F.max("_place").alias("_last"), F.min_by("value", "_place").alias("_header"), F.bool_or(odd).alias("_odd"))
+    files = cut_lineage(files.withColumn("_sep", _separator(F.col("_header"))))
+    headers = [r["_header"] for r in files.select("_header").distinct().orderBy("_header").collect()]
+    if not headers:
         raise ValueError("the file has no rows")
-    rows = spread_lookup(placed, files, ["_file"], "_place").filter("NOT _open")
-    rows = rows.withColumn("row_number", F.col("_place") - F.col("_first") + 1).filter("row_number > 1")
+    rows = spread_lookup(placed, files, ["_file"], "_place")
+    single = rows.filter("NOT _odd").withColumn("row_number", F.col("_place") - F.col("_first") + 1)
+    columns = ["value", "source_file", "row_number", "_header"]
+    rows = single.select(*columns)
+    if not files.filter("_odd").isEmpty():
+        rows = rows.unionByName(_records(spread_lookup(placed, files.filter("_odd"), ["_file"], "_place", "inner")).select(*columns))
+    rows = rows.filter("row_number > 1")
     parts = [_from_lines(rows.filter(F.col("_header") == h), *_layout(h)) for h in headers]
-    parts += [_from_records(spark, paths, *_layout(h)) for h, paths in sorted(whole.items())]
     if len(parts) > 1:
         parts = [map_headers(p) for p in parts]
     data = parts[0]
@@ -101,6 +103,103 @@ def read_identifier_csv(spark: SparkSession, path: str) -> DataFrame:
     return data
 
 
+def _separator(header: Column) -> Column:
+    """The separator that ``_layout`` finds."""
+    counts = [F.length(header) - F.length(F.replace(header, F.lit(s), F.lit(""))) for s in SEPARATORS]
+    most, chosen = F.greatest(*counts), F.lit(SEPARATORS[-1])
+    for s, n in reversed(list(zip(SEPARATORS, counts))[:-1]):
+        chosen = F.when(n == most, s).otherwise(chosen)
+    return chosen
+
+
+def _left_open(value: Column, sep: Column) -> tuple[Column, Column]:
+    """Whether a quoted cell is open at a line's end, for a line that begins outside one and for a line that begins inside one."""
+    outside, inside = F.lit(False), F.lit(True)
+    for s in SEPARATORS:
+        tail, closed = f"[^{s}]*+", '(?:[^"]++|"")*+"'
+        rest = f'(?:{s}(?:"{closed}{tail}|[^"{s}]{tail}|))*+$'
+        outside = F.when(sep == s, ~value.rlike(f'^(?:"{closed}{tail}|[^"{s}]{tail}|){rest}')).otherwise(outside)
+        inside = F.when(sep == s, ~value.rlike(f"^{closed}{tail}{rest}")).otherwise(inside)
+    return outside, inside
+
+
+def walk(begins: np.ndarray, outside: np.ndarray, inside: np.ndarray, state: bool) -> tuple[np.ndarray, np.ndarray]:
+    """State before and after every line, given the state before the first. A line that begins a file begins outside.
+
+    A line maps the state before it to the state after it: it forces one, swaps them, or leaves them as they are. Lines that swap are
+    counted, and the parity since the last line that forces a state gives the state at any place.
+    """
+    inside = np.where(begins, outside, inside)
+    swaps = np.cumsum(outside & ~inside)
+    forced = np.maximum.accumulate(np.where(outside == inside, np.arange(len(begins)), -1))
+    known = forced >= 0
+    after = np.where(known, outside[forced], state) ^ ((swaps - np.where(known, swaps[forced], 0)) % 2 == 1)
+    before = np.append(state, after[:-1]) & ~begins
+    return before, after
+
+
+def _records(lines: DataFrame) -> DataFrame:
+    """One row per record: value (its lines, joined), source_file, row_number, _header.
+
+    Lines stay where they are, in order. Every partition tells what it makes of either state at its begin and how many records begin
+    in it; put together in order, one row per partition, that gives every partition its state and its first record's number, and
+    the lines their records. Only lines of records that go on over several are grouped.
+    """
+    outside, inside = _left_open(F.col("value"), F.col("_sep"))
+    flags = lines.withColumns({"_begins": F.col("_place") == F.col("_first"), "_outside": outside, "_inside": inside})
+    fixed = number_rows(flags, ["_place"], "_line").withColumn("_part", F.spark_partition_id())
+
+    def read(batch: pa.RecordBatch) -> list[np.ndarray]:
+        return [batch.column(n).to_numpy(zero_copy_only=False) for n in ("_begins", "_outside", "_inside")]
+
+    def summed(batches):
+        states, starts, part = [False, True], [0, 0], None
+        for batch in batches:
+            if batch.num_rows:
+                part = batch.column("_part")[0].as_py()
+                for k in (0, 1):
+                    before, after = walk(*read(batch), states[k])
+                    states[k], starts[k] = bool(after[-1]), starts[k] + int((~before).sum())
+        if part is not None:
+            yield pa.RecordBatch.from_pydict({"part": [part], "states": [states], "starts": [starts]}, schema=shape)
+
+    shape = pa.schema([("part", pa.int32()), ("states", pa.list_(pa.bool_())), ("starts", pa.list_(pa.int64()))])
+    sums = fixed.select("_part", "_begins", "_outside", "_inside").mapInArrow(summed, "part int, states array<boolean>, starts array<long>")
+    begin, state, total = {}, False, 0
+    for row in sorted(sums.collect()):  # one row per partition
+        begin[row["part"]] = (state, total)
+        state, total = row["states"][state], total + row["starts"][state]
+
+    def told(batches):
+        state, total = None, 0
+        for batch in batches:
+            if batch.num_rows:
+                if state is None:
+                    state, total = begin[batch.column("_part")[0].as_py()]
+                before, after = walk(*read(batch), state)
+                record = total + np.cumsum(~before)
+                state, total = bool(after[-1]), int(record[-1])
+                for name, values in (("_record", record), ("_before", before), ("_after", after)):
+                    batch = batch.append_column(name, pa.array(values))
+                yield batch
+
+    ddl = f"{', '.join(f'`{n}` {t}' for n, t in fixed.dtypes)}, _record long, _before boolean, _after boolean"
+    found = fixed.mapInArrow(told, ddl)
+    ends = found.filter((F.col("_place") == F.col("_last")) & F.col("_after")).select("_record", F.lit(True).alias("_endless"))
+    firsts = found.filter("_begins").select("_file", F.col("_record").alias("_one"))  # a row per file, like the next
+    found = spread_lookup(spread_lookup(found, firsts, ["_file"], "_place"), ends, ["_record"], "_place")
+    number = (F.col("_record") - F.col("_one") + 1).alias("row_number")
+    alone = found.filter("NOT _before AND NOT _after").select("value", "source_file", number, "_header")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_place", "value"))), lambda x: x["value"]), "\n")
+    whole = found.filter("(_before OR _after) AND _endless IS NULL").groupBy("_record", "_one", "source_file", "_header").agg(joined.alias("value"))
+    whole = whole.select("value", "source_file", number, "_header")
+    endless = found.filter("_endless").withColumn("_begin", F.when(~F.col("_before"), F.col("_place")))
+    begins = endless.groupBy("_record").agg(F.min("_begin").alias("_opened"))
+    endless = spread_lookup(endless, begins, ["_record"], "_place")
+    endless = endless.select("value", "source_file", (F.col("_record") - F.col("_one") + 1 + F.col("_place") - F.col("_opened")).alias("row_number"), "_header")
+    return alone.unionByName(whole).unionByName(endless)
+
+
 def _filled(df: DataFrame, names: list[str]) -> DataFrame:
     """Rows with something in one of the named columns."""
     blank = F.lit(True)
@@ -119,16 +218,6 @@ def _from_lines(rows: DataFrame, separator: str, names: list[str]) -> DataFrame:
     return _filled(rows.select(*[F.col("_c")[n].alias(n) for n in names], "source_file", "row_number"), names)
 
 
-def _from_records(spark: SparkSession, paths: list[str], separator: str, names: list[str]) -> DataFrame:
-    read = spark.read.schema(_schema(names)).option("multiLine", True).option("header", True).option("enforceSchema", True)
-    records = read.option("sep", separator).option("escape", '"').csv(paths).select(
-        "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_name").alias("source_file"))
-    placed = number_rows(records.withColumn("_at", F.monotonically_increasing_id()), ["_file", "_at"], "_place")
-    firsts = placed.groupBy("_file").agg(F.min("_place").alias("_first"))
-    placed = spread_lookup(placed, firsts, ["_file"], "_place").withColumn("row_number", F.col("_place") - F.col("_first") + 2)
-    return _filled(placed.select(*[F.col(f"`{n}`") for n in names], "source_file", "row_number"), names)
-
-
 def map_headers(df: DataFrame, passed: tuple[str, ...] = ("source_file", "row_number")) -> DataFrame:
     """Columns renamed to the fields their headers mean; other columns are dropped."""
     chosen = []
@@ -147,14 +236,16 @@ def map_headers(df: DataFrame, passed: tuple[str, ...] = ("source_file", "row_nu
 
 
 def _amount(c: Column, name: str) -> Column:
+    """A decimal of the catalog's type, rounded half up; a fault where it isn't one or does not fit."""
     text = F.translate(F.replace(c, F.lit(UNSAFE), F.lit("")), ", %", ".")
+    kind = "decimal(6,2)" if name == "discount_percent" else "decimal(12,2)"
 
     def judged(number: Column) -> Column:
-        good = ~F.isnan(number) & (number >= 0) & (number < F.lit(float("inf")))
-        good = F.coalesce(good & (number <= 100) if name == "discount_percent" else good, F.lit(False))
-        return F.struct(F.when(good, number).alias("value"), F.when(~good, f"invalid value for {name}").alias("fault"))
+        good = (number >= 0) & (number <= 100) if name == "discount_percent" else number >= 0
+        value = F.when(good, F.round(number, 2).try_cast(kind))
+        return F.struct(value.alias("value"), F.when(value.isNull(), f"invalid value for {name}").alias("fault"))
 
-    return let(text.try_cast("double"), judged)
+    return let(text.try_cast("decimal(38,12)"), judged)
 
 
 def _identifier(c: Column) -> Column:
