@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pricetrail.functions.text import is_blank
 from pricetrail.operators.joins import several, sole, spread_lookup
+from pricetrail.session import cut_lineage
 
 IDENTITY_KEYS = ("source_product_id", "sku", "barcode", "product_url", "id")
 
@@ -48,6 +49,30 @@ def resolve_identity(rows: DataFrame, row_id: str, products: DataFrame, aliases:
     return found.withColumns({"match": match, "product_id": sole(F.col("_low"), F.col("_high"))}).drop("_low", "_high")
 
 
+def shared_groups(rows: DataFrame, row_id: str, keys: tuple[str, ...] = IDENTITY_KEYS) -> DataFrame:
+    """Rows that share an identifier with another row, directly or over others, with ``root``: the smallest row id of their group.
+
+    The graph has rows on one side and identifier values on the other. Every value takes the smallest label of its rows and every row
+    the smallest label of its values; then a row takes the label of its label, so that chains shrink by more than half a round. Only
+    values with several rows are looked at, minima combine before the shuffle, and each round is checkpointed.
+    """
+    values = _exploded(rows, row_id, keys)
+    several_rows = values.groupBy("kind", "value").agg(F.min("_row").alias("_low"), F.max("_row").alias("_high")).filter("_low <> _high")
+    edges = cut_lineage(spread_lookup(values, several_rows.select("kind", "value"), ["kind", "value"], "_row", "inner").distinct())
+    labels, before = edges.select("_row", F.col("_row").alias("root")).distinct(), None
+    while True:
+        here = spread_lookup(edges, labels, ["_row"], "value", "inner")
+        lowest = here.groupBy("kind", "value").agg(F.min("root").alias("root"))
+        near = spread_lookup(edges, lowest, ["kind", "value"], "_row", "inner").groupBy("_row").agg(F.min("root").alias("root"))
+        far = near.select(F.col("_row").alias("root"), F.col("root").alias("_next"))
+        labels = spread_lookup(near, far, ["root"], "_row").select("_row", F.least("root", F.coalesce("_next", "root")).alias("root"))
+        labels = cut_lineage(labels)
+        now = labels.agg(F.sum(F.xxhash64("_row", "root").cast("decimal(38,0)"))).first()[0]
+        if now == before:
+            return labels.select(F.col("_row").alias(row_id), "root")
+        before = now
+
+
 def contested_products(conflicts: DataFrame, row_id: str, products: DataFrame, aliases: DataFrame) -> DataFrame:
     """Ids of all products touched by conflicting rows, to be flagged for review."""
     values = _exploded(conflicts, row_id, IDENTITY_KEYS).select("kind", "value").distinct()

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricetrail.operators.categories import resolve_category_path
-from pricetrail.operators.identity import IDENTITY_KEYS, contested_products, match_keys, resolve_identity
+from pricetrail.operators.identity import IDENTITY_KEYS, contested_products, match_keys, resolve_identity, shared_groups
 from pricetrail.operators.joins import several, sole, spread_lookup
+from pricetrail.session import cut_lineage
 
 # A null in these keeps the stored value; these do not decide whether a row changed.
 KEPT = ("source_product_id", "sku", "barcode", "name", "brand", "quantity", "category_id", "product_url")
@@ -20,8 +21,13 @@ def replica_upsert(state: DataFrame, aliases: DataFrame, batch: DataFrame, onlin
 
     state rows have the batch's columns plus ``needs_review``; the batch has one row per id. Gives
     'products' (the new state with its outcome: added, updated, unchanged, conflict or untouched),
-    'aliases' (new alias codes) and 'reviews' (incoming id and reason). Rows that meet two products,
-    or two rows that meet one product, are conflicts.
+    'aliases' (new alias codes), 'reviews' (incoming id and reason) and 'outcomes' (one per incoming row).
+
+    Rows that meet two stored products, or two rows that meet one stored product, are conflicts. Rows that meet none are one new
+    product if they share identifiers, directly or over others: the row with the smallest id is added and gives the product its id,
+    the others update it in the order of their ids. Online, such a row is a conflict if one of its identifiers differs from the
+    group's first. A group that also shares an identifier with a row that updates a stored product would give the identifier two
+    owners and is a conflict. Groups are folded by minima and maxima, so their size does not matter, nor does the batch's order.
     """
     types = dict(state.dtypes)
     columns = [c for c in batch.columns if c != "id" and c in state.columns and c != "needs_review"]
@@ -29,15 +35,16 @@ def replica_upsert(state: DataFrame, aliases: DataFrame, batch: DataFrame, onlin
     for key in IDENTITY_KEYS:
         if key not in rows.columns:
             rows = rows.withColumn(key, F.lit(None).cast("string"))
-    found = resolve_identity(rows, "id", state, aliases)
+    found = cut_lineage(resolve_identity(rows, "id", state, aliases))
     crowded = found.filter("product_id IS NOT NULL").groupBy("product_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    found = spread_lookup(found, crowded, ["product_id"], "id")
+    met = spread_lookup(found.filter("match <> 'new'"), crowded, ["product_id"], "id")
+    met = met.withColumn("_bad", (F.col("match") == "conflict") | F.col("_n").isNotNull())
+    struct = F.struct(*[F.col(c).cast(types[c]).alias(c) for c in columns]).alias("_b")
     old = state.select(F.col("id").alias("product_id"), F.struct(*state.columns).alias("_s"))
-    new = found.select(F.col("id").alias("incoming_id"), "product_id", "match", (F.col("_n") > 1).alias("_crowded"),
-                       F.struct(*[F.col(c).cast(types[c]).alias(c) for c in columns]).alias("_b"))
-    met = spread_lookup(new.filter("match <> 'new'"), old, ["product_id"], "incoming_id")
-    fresh = new.filter("match = 'new'").withColumn("_s", F.lit(None).cast(old.schema["_s"].dataType))
-    joined = met.select(*fresh.columns).unionByName(fresh)
+    met = met.select(F.col("id").alias("incoming_id"), "product_id", "_bad", F.lit(False).alias("_later"), struct)
+    met = spread_lookup(met, old, ["product_id"], "incoming_id").select("incoming_id", "product_id", "_bad", "_later", "_b", "_s")
+    fresh = _folded(found, columns, struct, online).withColumn("_s", F.lit(None).cast(old.schema["_s"].dataType))
+    joined = met.unionByName(fresh.select(*met.columns))
     s, b = F.col("_s"), F.col("_b")
     differs, same = F.lit(False), F.lit(True)
     for c in columns:
@@ -47,13 +54,13 @@ def replica_upsert(state: DataFrame, aliases: DataFrame, batch: DataFrame, onlin
             equal = b[c].eqNullSafe(s[c])
             same = same & ((equal | b[c].isNull()) if c in KEPT else equal)
     hashed = F.coalesce(b["source_hash"] == s["source_hash"], F.lit(False)) if "source_hash" in columns else F.lit(False)
-    reason = (
-        F.when((F.col("match") == "conflict") | F.coalesce("_crowded", F.lit(False)), "contradictory identifiers")
-        .when(s.isNotNull() & differs, "existing identifiers differ"))
+    reason = F.when(F.col("_bad"), "contradictory identifiers").when(s.isNotNull() & differs, "existing identifiers differ")
+    reason = F.when(s.isNull() & F.col("_bad") & F.col("_later"), "existing identifiers differ").otherwise(reason)
     quiet = F.lit(online) & s.isNotNull() & (same | hashed)
     outcome = (
-        F.when(reason.isNotNull(), "conflict").when(s.isNull(), "added").when(quiet, "unchanged").otherwise("updated"))
-    decided = joined.withColumns({"outcome": outcome, "reason": reason})
+        F.when(reason.isNotNull(), "conflict").when(s.isNull() & F.col("_later"), "updated").when(s.isNull(), "added")
+        .when(quiet, "unchanged").otherwise("updated"))
+    decided = cut_lineage(joined.withColumns({"outcome": outcome, "reason": reason}))
 
     other_code = F.lit(False)
     if "barcode" in columns:
@@ -72,27 +79,69 @@ def replica_upsert(state: DataFrame, aliases: DataFrame, batch: DataFrame, onlin
         elif c in columns:
             value = F.coalesce(b[c], s[c]) if c in KEPT else b[c]
         merged.append(F.when(written, value).otherwise(s[c] if c != "id" else value).alias(c))
-    changed = decided.filter(written | (F.col("outcome") == "unchanged")).select(*merged, "outcome")
-    flagged = contested_products(rows.join(decided.filter("reason = 'contradictory identifiers'").select(
-        F.col("incoming_id").alias("id")), "id", "left_semi"), "id", state, aliases).withColumn("_flag", F.lit(True))
-    rest = state.join(changed.select("id"), "id", "left_anti").withColumn("outcome", F.lit("untouched"))
-    whole = changed.unionByName(rest.select(*changed.columns)).join(flagged, "id", "left")
-    touched = F.col("_flag").isNotNull()
-    whole = whole.withColumns({
-        "needs_review": F.coalesce("needs_review", F.lit(False)) | touched,
-        "outcome": F.when(touched & (F.col("outcome") == "untouched"), "conflict").otherwise(F.col("outcome")),
-    }).drop("_flag")
-    codes = decided.filter(written & b["barcode"].isNotNull()).select(
-        b["barcode"].alias("barcode"), F.coalesce("product_id", "incoming_id").alias("product_id")) if "barcode" in columns else aliases.limit(0)
+    ours = decided.filter((written | (F.col("outcome") == "unchanged")) & s.isNotNull()).select(*merged, "outcome")
+    ours = ours.unionByName(_new_products(decided.filter(written & s.isNull()), state, columns))
+    bad = decided.filter("reason = 'contradictory identifiers'").select(F.col("incoming_id").alias("id"))
+    flagged = contested_products(spread_lookup(found, bad, ["id"], "sku", "inner"), "id", state, aliases).withColumn("_flag", F.lit(True))
+    mine = ours.select("id", F.struct(*ours.columns).alias("_m"))
+    whole = state.select("id", F.struct(*state.columns).alias("_s")).join(mine, "id", "full_outer").join(cut_lineage(flagged), "id", "left")
+    m, touched = F.col("_m"), F.col("_flag").isNotNull()
+    values = {c: F.when(m.isNotNull(), m[c]).otherwise(s[c]) for c in state.columns}
+    values["needs_review"] = F.coalesce(values["needs_review"], F.lit(False)) | touched
+    outcome = F.when(m.isNotNull(), m["outcome"]).when(touched, "conflict").otherwise("untouched")
     held = aliases.select("barcode", "product_id")
+    codes = held.limit(0)
+    if "barcode" in columns:
+        codes = decided.filter(written & b["barcode"].isNotNull()).select(
+            b["barcode"].alias("barcode"), F.coalesce("product_id", "incoming_id").alias("product_id"))
     return {
-        "products": whole,
+        "products": whole.select(*[v.alias(c) for c, v in values.items()], outcome.alias("outcome")),
         "aliases": codes.join(held.select("barcode"), "barcode", "left_anti").distinct(),
         "reviews": decided.filter("reason IS NOT NULL").select("incoming_id", "reason"),
         "outcomes": decided.select("incoming_id", F.coalesce("product_id", "incoming_id").alias("product_id"), "outcome"),
     }
 
 
+def _folded(found: DataFrame, columns: list[str], struct: Column, online: bool) -> DataFrame:
+    """Rows that meet no stored product: incoming_id, product_id (their group's smallest row), _bad, _later (not the first), _b."""
+    groups = cut_lineage(shared_groups(found.filter("match <> 'conflict'"), "id"))
+    new = spread_lookup(found.filter("match = 'new'"), groups, ["id"], "id").withColumn("_group", F.coalesce("root", "id"))
+    # groups that reach a row with a stored product
+    stored = spread_lookup(found.filter("match = 'update'").select("id"), groups, ["id"], "id", "inner").select("root").distinct()
+    new = spread_lookup(new, stored.select(F.col("root").alias("_group"), F.lit(True).alias("_claimed")), ["_group"], "id")
+    facts = [F.min("id").alias("product_id")]
+    own = [c for c in ONLINE_IDENTITY if c in columns]
+    for c in own:
+        facts.append(F.min_by(c, F.when(F.col(c).isNotNull(), F.col("id"))).alias(f"_first_{c}"))
+    new = spread_lookup(new.drop("product_id"), new.groupBy("_group").agg(*facts), ["_group"], "id")
+    differs = F.lit(False)
+    for c in own:
+        differs = differs | F.coalesce(F.col(c) != F.col(f"_first_{c}"), F.lit(False))
+    later = F.col("id") != F.col("product_id")
+    bad = F.coalesce("_claimed", F.lit(False)) | (F.lit(online) & later & differs)
+    return new.select(F.col("id").alias("incoming_id"), "product_id", bad.alias("_bad"), (later & F.col("_claimed").isNull()).alias("_later"), struct)
+
+
+def _new_products(fresh: DataFrame, state: DataFrame, columns: list[str]) -> DataFrame:
+    """One product for each group of new rows: the last value of every column (the last known one where unknown keeps), the first barcode."""
+    types, b, order = dict(state.dtypes), F.col("_b"), F.col("incoming_id")
+    folded = []
+    for c in state.columns:
+        if c == "id":
+            continue
+        if c == "needs_review":
+            folded.append(F.min_by(b["name"].isNull() if "name" in columns else F.lit(True), order))
+        elif c == "barcode" and c in columns:
+            folded.append(F.min_by(b[c], F.when(b[c].isNotNull(), order)))
+        elif c in columns:
+            folded.append(F.max_by(b[c], F.when(b[c].isNotNull(), order) if c in KEPT else order))
+        else:
+            folded.append(F.max(F.lit(None).cast(types[c])))
+        folded[-1] = folded[-1].alias(c)
+    rows = fresh.groupBy(F.col("product_id").alias("id")).agg(*folded)
+    return rows.select(*state.columns).withColumn("outcome", F.lit("added"))
+
+
 def import_products(lines: DataFrame, pending: DataFrame, products: DataFrame, aliases: DataFrame,
                     categories: DataFrame) -> DataFrame:
     """Outcome per line of a general product import (row_number, sku, barcode, name, category_name,

@@ -182,10 +182,19 @@ REPLICA_BATCH = """SELECT CASE WHEN quantity = '1 kg' THEN 'new:' || source_prod
 REPLICA_STATE = """SELECT id, source_product_id, sku, barcode, name, brand, price, product_url, trim(coalesce(sku, '')) = '' AS needs_review FROM products"""
 REPLICA_SQL = f"""incoming AS (SELECT id AS line, *, CAST(NULL AS VARCHAR) AS product_url FROM ({REPLICA_BATCH})), {MATCH_SQL},
   crowd AS (SELECT product_id FROM matched WHERE n = 1 GROUP BY product_id HAVING count(*) > 1),
+  loose AS (SELECT a.line, a.kind, a.value, m.n IS NULL AS fresh FROM asked a LEFT JOIN matched m USING (line) WHERE a.value IS NOT NULL AND coalesce(m.n, 1) = 1),
+  edge AS (SELECT DISTINCT a.line AS x, b.line AS y FROM loose a JOIN loose b USING (kind, value)),
+  reach(x, y) AS (SELECT line, line FROM incoming UNION SELECT r.x, e.y FROM reach r JOIN edge e ON e.x = r.y),
+  grp AS (SELECT r.x AS line, min(r.y) FILTER (m.n IS NULL) AS root, bool_or(m.n IS NOT NULL) AS claimed FROM reach r LEFT JOIN matched m ON m.line = r.y GROUP BY r.x),
+  fresh AS (SELECT i.*, g.root, g.claimed FROM incoming i JOIN grp g USING (line) LEFT JOIN matched m USING (line) WHERE m.n IS NULL),
+  firsts AS (SELECT root, arg_min(sku, line) FILTER (sku IS NOT NULL) AS fsku, arg_min(barcode, line) FILTER (barcode IS NOT NULL) AS fbar,
+      arg_min(source_product_id, line) FILTER (source_product_id IS NOT NULL) AS fsrc FROM fresh GROUP BY root),
+  grown AS (SELECT f.line, f.root, f.claimed, f.line <> f.root AS later, coalesce(f.sku <> fsku, FALSE) OR coalesce(f.barcode <> fbar, FALSE)
+      OR coalesce(f.source_product_id <> fsrc, FALSE) AS differs FROM fresh f JOIN firsts USING (root)),
   j AS (SELECT i.line, m.n, p.id AS pid, p.sku AS ps, i.sku AS bs, p.barcode AS pb, i.barcode AS bb, p.source_product_id AS psrc, i.source_product_id AS bsrc,
-      p.name AS pn, i.name AS bn, p.brand AS pr, i.brand AS br, p.price AS pp, i.price AS bp, coalesce(m.n > 1, FALSE) OR
-      coalesce(m.n = 1 AND m.product_id IN (SELECT product_id FROM crowd), FALSE) AS contra
-    FROM incoming i LEFT JOIN matched m ON m.line = i.line LEFT JOIN products p ON m.n = 1 AND p.id = m.product_id)"""
+      p.name AS pn, i.name AS bn, p.brand AS pr, i.brand AS br, p.price AS pp, i.price AS bp, g.root, g.later, g.differs, coalesce(m.n > 1, FALSE) OR
+      coalesce(m.n = 1 AND m.product_id IN (SELECT product_id FROM crowd), FALSE) OR coalesce(g.claimed, FALSE) AS contra
+    FROM incoming i LEFT JOIN matched m ON m.line = i.line LEFT JOIN products p ON m.n = 1 AND p.id = m.product_id LEFT JOIN grown g ON g.line = i.line)"""
 
 
 def _replica(s, online):
@@ -194,29 +203,31 @@ def _replica(s, online):
     return P.replica_upsert(state, s.sql(B.ALIASES), batch, online)
 
 
-@query("ups3_replica_import", views("products", "observed", "aliases", more=REPLICA_SQL) + """SELECT line AS incoming_id, coalesce(pid, line) AS product_id,
-    CASE WHEN contra THEN 'conflict' WHEN n IS NULL THEN 'added' ELSE 'updated' END AS outcome FROM j""")
+@query("ups3_replica_import", views("products", "observed", "aliases", more=REPLICA_SQL) + """SELECT line AS incoming_id, coalesce(pid, root, line) AS product_id,
+    CASE WHEN contra THEN 'conflict' WHEN n IS NULL AND NOT later THEN 'added' ELSE 'updated' END AS outcome FROM j""")
 def replica_import(s):
     return _replica(s, False)["outcomes"]
 
 
-@query("ups3_replica_online", views("products", "observed", "aliases", more=REPLICA_SQL) + """SELECT line AS incoming_id, coalesce(pid, line) AS product_id,
-    CASE WHEN contra OR (pid IS NOT NULL AND (coalesce(ps <> bs, FALSE) OR coalesce(pb <> bb, FALSE) OR coalesce(psrc <> bsrc, FALSE))) THEN 'conflict'
-      WHEN n IS NULL THEN 'added' WHEN coalesce(bn, pn) IS NOT DISTINCT FROM pn AND coalesce(br, pr) IS NOT DISTINCT FROM pr
+@query("ups3_replica_online", views("products", "observed", "aliases", more=REPLICA_SQL) + """SELECT line AS incoming_id, coalesce(pid, root, line) AS product_id,
+    CASE WHEN contra OR (n IS NULL AND later AND differs) OR (pid IS NOT NULL AND (coalesce(ps <> bs, FALSE) OR coalesce(pb <> bb, FALSE) OR coalesce(psrc <> bsrc, FALSE))) THEN 'conflict'
+      WHEN n IS NULL THEN CASE WHEN later THEN 'updated' ELSE 'added' END WHEN coalesce(bn, pn) IS NOT DISTINCT FROM pn AND coalesce(br, pr) IS NOT DISTINCT FROM pr
         AND coalesce(bs, ps) IS NOT DISTINCT FROM ps AND coalesce(bb, pb) IS NOT DISTINCT FROM pb AND bp IS NOT DISTINCT FROM pp THEN 'unchanged'
       ELSE 'updated' END AS outcome FROM j""")
 def replica_online(s):
     return _replica(s, True)["outcomes"]
 
 
-@query("ups3_replica_state", views("products", "observed", "aliases", more=REPLICA_SQL) + """, w AS (SELECT coalesce(pid, line) AS id, coalesce(bs, ps) AS sku,
-      coalesce(pb, bb) AS barcode, coalesce(bn, pn) AS name, CAST(bp AS DOUBLE) AS price FROM j WHERE NOT contra)
+@query("ups3_replica_state", views("products", "observed", "aliases", more=REPLICA_SQL) + """, w AS (SELECT pid AS id, coalesce(bs, ps) AS sku,
+      coalesce(pb, bb) AS barcode, coalesce(bn, pn) AS name, CAST(bp AS DOUBLE) AS price FROM j WHERE NOT contra AND n IS NOT NULL
+    UNION ALL SELECT root, arg_max(bs, line) FILTER (bs IS NOT NULL), arg_min(bb, line) FILTER (bb IS NOT NULL), arg_max(bn, line) FILTER (bn IS NOT NULL),
+      CAST(arg_max(struct_pack(p := bp), line).p AS DOUBLE) FROM j WHERE NOT contra AND n IS NULL GROUP BY root)
     SELECT * FROM w UNION ALL SELECT id, sku, barcode, name, CAST(price AS DOUBLE) FROM products WHERE id NOT IN (SELECT id FROM w)""")
 def replica_state(s):
     return doubled(_replica(s, False)["products"].select("id", "sku", "barcode", "name", "price"))
 
 
-@query("ups3_new_aliases", views("products", "observed", "aliases", more=REPLICA_SQL) + """SELECT DISTINCT bb AS barcode, coalesce(pid, line) AS product_id
+@query("ups3_new_aliases", views("products", "observed", "aliases", more=REPLICA_SQL) + """SELECT DISTINCT bb AS barcode, coalesce(pid, root, line) AS product_id
     FROM j WHERE NOT contra AND bb IS NOT NULL AND bb NOT IN (SELECT barcode FROM aliases)""")
 def new_aliases(s):
     return _replica(s, False)["aliases"]
