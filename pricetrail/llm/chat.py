@@ -135,5 +135,8 @@ def digests(pieces: DataFrame) -> DataFrame:
             yield closed([now])
 
     rows = pieces.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "formatted", "loss_start", "loss_chars")
-    rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "formatted")
+    text = F.left("formatted", F.length("formatted") - len(END))  # rows of one turn and role stand in the order of their unescaped texts
+    for char, code in reversed(ESCAPES):
+        text = F.replace(text, F.lit(code), F.lit(char))
+    rows = rows.withColumn("text", text).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     return rows.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -85,23 +85,35 @@ def simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-@query("op6_warc", """
-WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
-m AS (SELECT page_id, h, sha1(h) AS x, max(page_id) OVER (PARTITION BY h) AS head FROM p)
-SELECT page_id, strlen(h)::BIGINT AS payload_bytes,
+DATED = "2024-05-01T00:00:00Z"
+
+
+@query("op6_warc", f"""
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS h FROM pages),
+m AS (SELECT page_id, url, h, sha1(h) AS x, max(page_id) OVER (PARTITION BY h) AS head FROM p),
+r AS (SELECT page_id, url, h, strlen(h)::BIGINT AS payload_bytes,
        translate(to_base(('0x' || x[1:10])::BIGINT, 32, 8) || to_base(('0x' || x[11:20])::BIGINT, 32, 8)
                  || to_base(('0x' || x[21:30])::BIGINT, 32, 8) || to_base(('0x' || x[31:40])::BIGINT, 32, 8),
                  '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest,
        CASE WHEN page_id IS DISTINCT FROM head THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN page_id IS DISTINCT FROM head THEN head END AS refers_to
-FROM m
+       CASE WHEN page_id IS DISTINCT FROM head THEN head END AS refers_to, chr(13) || chr(10) AS n FROM m),
+f AS (SELECT *, 'WARC/1.1' || n || 'WARC-Type: ' || record_type || n || 'WARC-Record-ID: <urn:page:' || page_id || '>' || n || 'WARC-Date: {DATED}' || n
+       || coalesce('WARC-Target-URI: ' || replace(replace(url, chr(13), '%0D'), chr(10), '%0A') || n, '')
+       || coalesce('WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest' || n || 'WARC-Refers-To: <urn:page:' || refers_to || '>' || n, '')
+       || 'WARC-Payload-Digest: sha1:' || payload_digest || n || 'Content-Type: text/html' || n
+       || 'Content-Length: ' || CASE WHEN refers_to IS NULL THEN payload_bytes ELSE 0 END || n || n
+       || CASE WHEN refers_to IS NULL THEN h ELSE '' END || n || n AS record FROM r)
+SELECT page_id, payload_bytes, payload_digest, record_type, refers_to, true AS sound, strlen(record)::BIGINT AS record_bytes, sha1(record) AS record_sha1
+FROM f
 """)
 def archive(spark: SparkSession, folder: str) -> DataFrame:
-    """The archive stays in the shared folder: the rows returned are read from it."""
+    """The archive stays in the shared folder: the rows returned are read from it, and so are the records, put together again."""
     at = f"{shared_dir(spark)}/archive-{uuid.uuid4().hex}"
-    warc.write_archive(table(spark, folder, "pages"), at)
-    found = warc.read_archive(spark, at)
-    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    warc.write_archive(table(spark, folder, "pages"), at, date=DATED)
+    record = F.col("record")
+    return warc.read_archive(spark, at).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "sound",
+        F.length(record).cast("long").alias("record_bytes"), F.sha1(record).alias("record_sha1"))
 
 
 @query("op7_quality_rules")

@@ -217,13 +217,30 @@ def near_duplicates(docs: DataFrame, radius: int = 3) -> DataFrame:
 
 
 def first_of_group(docs: DataFrame, radius: int = 3) -> DataFrame:
-    """The rows of ``docs``, all columns, whose document is the first of its group by doc_id.
+    """The rows of ``docs``, all columns, that are the first of their group: exactly one row of every group of linked fingerprints.
 
-    Rows that share a doc_id count as one document: the one with the smallest text stays. Rows without doc_id stay.
+    First is the row with the smallest doc_id, rows without doc_id last; among rows that share it, the one whose text has the smallest
+    SHA-256. Rows are judged one by one, so rows that share a doc_id but not their text stay or go each with its own group. Of
+    rows equal in doc_id and text, one stays. Null texts are the same as empty ones.
     """
-    first, rank = unused(docs, "first"), unused(docs, "rank")
-    ids = near_duplicates(docs, radius).filter("doc_id = component_id").select(F.col("doc_id").alias(first)).distinct()
-    kept = docs.join(ids, F.col("doc_id").cast("long") == F.col(first), "left").filter(f"doc_id IS NULL OR {first} IS NOT NULL")
-    apart = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))  # rows without id need no rank and shall not meet
-    placed = F.row_number().over(Window.partitionBy("doc_id", apart).orderBy("text"))
-    return kept.withColumn(rank, placed).filter(f"doc_id IS NULL OR {rank} = 1").drop(first, rank)
+    id_, of, digest, rank = (unused(docs, name) for name in ("first_id", "first_digest", "digest", "rank"))
+    sha = F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
+
+    def make():
+        def step(batch: pa.RecordBatch) -> dict:
+            found = np.array([fingerprint(t) for t in utf8(batch.column(2))], np.uint64)
+            return {"doc_id": batch.column(0), "digest": batch.column(1), "fp": pa.array(found.view(np.int64))}
+
+        return step
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), sha.alias("digest"), "text")
+    rows = cut_lineage(map_batches(rows, make, "doc_id long, digest binary, fp long"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")).alias("first")
+    unique = cut_lineage(rows.groupBy("fp").agg(first))
+    roots = components(fingerprint_links(unique.select("fp"), radius))
+    rooted = unique.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    firsts = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias(id_), F.col("first.digest").alias(of))
+    own = docs.withColumn(digest, sha)
+    kept = own.join(firsts, (own[digest] == firsts[of]) & own["doc_id"].cast("long").eqNullSafe(firsts[id_]), "inner").drop(id_, of)
+    placed = F.row_number().over(Window.partitionBy("doc_id", digest).orderBy(F.xxhash64(*[f"`{c}`" for c in docs.columns])))
+    return kept.withColumn(rank, placed).filter(f"{rank} = 1").drop(digest, rank)

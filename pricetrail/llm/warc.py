@@ -7,6 +7,8 @@ then two line ends. Reading checks every payload against its digest and its leng
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,12 +30,13 @@ def record_id(key: Column) -> Column:
     return F.concat(F.lit("<urn:page:"), F.coalesce(key.cast("string"), F.lit("none")), F.lit(">"))
 
 
-def _header() -> Column:
+def _header(date: str) -> Column:
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     uri = F.replace(F.replace("url", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     revisit = F.col("record_type") == "revisit"
     return F.concat(
         F.lit("WARC/1.1\r\n"), line("WARC-Type", F.col("record_type")), line("WARC-Record-ID", record_id(F.col("key"))),
+        line("WARC-Date", F.lit(date)),
         F.coalesce(line("WARC-Target-URI", uri), F.lit("")),
         F.when(revisit, F.concat(
             F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\n"),
@@ -42,14 +45,18 @@ def _header() -> Column:
         line("Content-Length", F.when(revisit, F.lit(0)).otherwise(F.col("size")).cast("string")), F.lit("\r\n"))
 
 
-def write_archive(pages: DataFrame, folder: str, least_bytes: int = 0, key: str = "page_id", url: str = "url", html: str = "html") -> None:
-    """Write a record per row of ``pages`` below ``folder``.
+def write_archive(
+    pages: DataFrame, folder: str, least_bytes: int = 0, key: str = "page_id", url: str = "url", html: str = "html", date: str | None = None
+) -> None:
+    """Write a record per row of ``pages`` below ``folder``, dated ``date`` (as 2024-05-01T00:00:00Z; the time of writing by default).
 
     The payload is the html in UTF-8; null is an empty payload. Among records with equal payloads of at least ``least_bytes`` bytes, the
     one with the largest key is the response and the others revisit it; repeated rows that tie for the largest key are responses
     alike, and if no such record has a key, all are responses. Line ends in a URL are written as %0D and %0A; a null URL leaves
-    its line out. A payload is shuffled at most once for each task that holds it; headers are narrow.
+    its line out. Rows that share a key, and rows without one, share a record id. Other columns are ignored; an empty table makes an
+    archive without records. A payload is shuffled at most once for each task that holds it; headers are narrow.
     """
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     rows = pages.select(
         F.col(key).cast("long").alias("key"), F.col(url).cast("string").alias("url"), F.encode(F.coalesce(F.col(html).cast("string"), F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("sha256", F.sha2("payload", 256))
@@ -59,7 +66,7 @@ def write_archive(pages: DataFrame, folder: str, least_bytes: int = 0, key: str
     records = spread_lookup(narrow, heads, ["sha256"], "url")
     again = F.coalesce(F.col("head").isNotNull() & ~F.col("key").eqNullSafe(F.col("head")), F.lit(False))
     records = records.withColumn("record_type", F.when(again, "revisit").otherwise("response")).withColumn("refers_to", F.when(again, F.col("head")))
-    records.select("sha256", F.encode(_header(), "UTF-8").alias("header")).write.parquet(f"{folder}/headers")
+    records.select("sha256", F.encode(_header(date), "UTF-8").alias("header")).write.parquet(f"{folder}/headers")
 
 
 def _field(header: Column, name: str) -> Column:

@@ -59,3 +59,12 @@ def test_typed_parts(spark):
 
 def test_no_turns(spark):
     assert chat.digests(chat.formatted(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).collect() == []
+
+
+def test_rows_of_one_turn_stand_in_the_order_of_their_texts(spark):
+    texts = ["<", "'", "[", "a<", "a", "ab", "a!", "&", "é", ""]
+    turns = spark.createDataFrame([(1, 1, "assistant", t) for t in texts], "conv_id long, turn long, role string, text string")
+    found = chat.digests(chat.formatted(turns)).first()
+    in_order = sorted(texts, key=str.encode)
+    assert found.turns_sha256 == hashlib.sha256("".join(f"assistant\n{t}\n" for t in in_order).encode()).hexdigest()
+    assert found.loss_sha256 == hashlib.sha256("".join(in_order).encode()).hexdigest()

@@ -6,6 +6,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
+from pricetrail.llm.queries import QUERIES
 from pricetrail.llm.warc import read_archive, write_archive
 
 PAGES = [
@@ -57,3 +58,15 @@ def test_damage_is_seen(spark, tmp_path):
 def test_no_pages(spark, tmp_path):
     write_archive(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "a"))
     assert read_archive(spark, str(tmp_path / "a")).collect() == []
+
+
+def test_the_query_verifies_and_rebuilds(spark):
+    plan = QUERIES["op6_warc"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "sha2" in plan and "Content-Length" in plan and "WARC-Payload-Digest" in plan and "sha1(" in plan
+
+
+def test_every_record_is_dated(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "x"), (2, "u", "x")], "page_id long, url string, html string")
+    write_archive(pages, str(tmp_path / "a"), date="2024-05-01T00:00:00Z")
+    for r in read_archive(spark, str(tmp_path / "a")).collect():
+        assert r.sound and b"\r\nWARC-Date: 2024-05-01T00:00:00Z\r\n" in bytes(r.record)
