@@ -1,33 +1,77 @@
 """Replicas, absence counters and freshness kept up to date by Structured Streaming.
 
-All state is a streaming aggregation in Spark's state store, recovered from the checkpoint after a
-failure. Events are ordered by version, not by event time, so no watermark is used: a late or replayed
-event has a lower version than the stored one and loses.
+State lives in Spark's state store, recovered from the checkpoint after a failure. Events are ordered by version or run, not by
+event time, so no watermark is used: a late or replayed event has a lower version than the stored one and loses.
+
+What a stream writes is a folder with manifests (sources/manifest.py). A micro-batch counts once a manifest names its folder, and
+once only, however often it is repeated. When more than ``EVERY`` batches have piled up they are folded into one new folder, which a
+manifest puts in their place while the stream goes on; readers that hold an older manifest go on reading what it names.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from pricetrail.operators.changes import KINDS, snapshot
 from pricetrail.operators.runs import describe, latest_runs
+from pricetrail.sources.manifest import Manifest, Part, Store
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Batches that pile up before they are folded into one.
+EVERY = 16
+Fold = Callable[[DataFrame], DataFrame]
 
 
 def use_rocksdb(spark: SparkSession) -> None:
-    """Keep streaming state on disk, so that it may outgrow executor memory."""
+    """Keep streaming state on disk, so that it may outgrow executor memory. Holds for the session's streams from then on."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-def _write_batches(updates: DataFrame, folder: str, checkpoint: str, once: bool) -> StreamingQuery:
-    """Write each micro-batch of updates into its own folder; a repeated batch replaces itself. State is kept on disk."""
+def _written(store: Store, at: Manifest | None = None) -> DataFrame:
+    """The rows of all batches that a manifest names."""
+    at = at or store.read()
+    if not at.parts:
+        raise ValueError("the stream has not written anything yet")
+    return store.spark.read.parquet(*[f"{store.folder}/{p.folder}" for p in at.parts])
+
+
+def fold_batches(spark: SparkSession, folder: str, fold: Fold) -> Manifest:
+    """Put all batches there are into one folder and swap it in. Batches that arrive meanwhile stay beside it."""
+    store = Store(spark, folder)
+    start = store.read()
+    if len(start.parts) < 2:
+        return start
+    whole = fold(_written(store, start))
+    name = store.write(whole, "folded")
+    part = Part(name, start.parts[0].first, start.parts[-1].last, sum(p.rows for p in start.parts))
+
+    def swap(current: Manifest) -> dict | None:
+        if current.parts[: len(start.parts)] != start.parts:
+            return None  # another fold was faster
+        return {"generation": uuid.uuid4().hex, "parts": (part, *current.parts[len(start.parts) :])}
+
+    return store.update(swap)
+
+
+def _write_batches(updates: DataFrame, folder: str, checkpoint: str, once: bool, fold: Fold, every: int = EVERY) -> StreamingQuery:
+    """Write each micro-batch of updates into a folder of its own and add it to the manifest, a repeated batch only once."""
     use_rocksdb(updates.sparkSession)
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/batch_id={batch_id}")
+        store = Store(batch.sparkSession, folder)
+        name = store.write(batch, "batch")  # also when repeated: the state store has to move on
+        if not batch.sparkSession.read.schema(batch.schema).parquet(f"{store.folder}/{name}").isEmpty():
+            part = Part(name, batch_id, batch_id, 0)
+            known = lambda m: m.parts and m.parts[-1].last >= batch_id  # noqa: E731  named before a failure
+            store.update(lambda m: None if known(m) else {"parts": (*m.parts, part), "generation": m.generation or uuid.uuid4().hex})
+        if len(store.read().parts) > every:
+            fold_batches(batch.sparkSession, folder, fold)
 
     writer = updates.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
@@ -40,41 +84,100 @@ def stream_replica(changes: DataFrame, folder: str, checkpoint: str, once: bool
     """
     refused = F.raise_error(F.concat(F.lit("unknown kind of change: "), F.coalesce("kind", F.lit("none"))))
     kind = F.when(F.col("kind").isin(*KINDS), F.col("kind")).otherwise(refused.cast("string"))
-    return _write_batches(snapshot(changes.select(kind.alias("kind"), "entity_id", "version", "payload")), folder, checkpoint, once)
+    images = snapshot(changes.select(kind.alias("kind"), "entity_id", "version", "payload"))
+    return _write_batches(images, folder, checkpoint, once, snapshot)
 
 
-def read_replica(spark: SparkSession, folder: str) -> DataFrame:
-    """The replica: newest image of every entity over all written batches."""
-    return snapshot(spark.read.parquet(folder).drop("batch_id"))
+def read_replica(spark: SparkSession, folder: str, at: Manifest | None = None) -> DataFrame:
+    """The replica: newest image of every entity over all batches of a manifest, the newest by default."""
+    return snapshot(_written(Store(spark, folder), at))
+
+
+def compact_replica(spark: SparkSession, folder: str) -> Manifest:
+    """Fold the replica's batches into one image per entity, in place. The stream may go on meanwhile."""
+    return fold_batches(spark, folder, snapshot)
+
+
+class AbsenceCounter(StatefulProcessor):
+    """Absences in a row of one product, by run.
+
+    State is the last closed run, the last run with a sighting, and the counter. A sighting resets the counter; a closed run without
+    one adds to it. Runs that were closed before change nothing, so repeated events do no harm. Closing a run gives a row.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("absence", "closed long, seen long, missing long")
 
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        closed, seen, missing = self.state.get() if self.state.exists() else (0, 0, 0)
+        events = pd.concat(list(rows))[["run", "closing"]].drop_duplicates().sort_values(["run", "closing"])
+        out = []
+        for run, closing in zip(events["run"].tolist(), events["closing"].tolist()):
+            if not closing:
+                seen = max(seen, run)
+                if run >= closed:
+                    missing = 0  # also a sighting that comes after its run was closed
+            if closing and run > closed:
+                closed, missing = run, 0 if seen >= run else missing + 1
+            if run == closed and (closing or missing == 0):
+                out.append((key[0], run, missing, missing >= 1, missing >= 3))
+        self.state.update((closed, seen, missing))
+        yield pd.DataFrame(out, columns=["id", "run", "missing_count", "possibly_inactive", "inactive"])
 
-def compact_replica(spark: SparkSession, folder: str, target: str) -> None:
-    """Rewrite the replica into a new folder with one image per entity."""
-    read_replica(spark, folder).write.mode("overwrite").parquet(f"{target}/batch_id=-1")
+    def close(self) -> None:
+        pass
+
+
+COUNTERS = "id string, run long, missing_count long, possibly_inactive boolean, inactive boolean"
+
+
+def _newest_counter(rows: DataFrame) -> DataFrame:
+    """Of every product, the row of the latest run; of several, the one with the lowest count, which a late sighting has made."""
+    best = F.max_by(F.struct("run", "missing_count", "possibly_inactive", "inactive"), F.struct("run", -F.col("missing_count")))
+    return rows.groupBy("id").agg(best.alias("_c")).select("id", "_c.*")
+
+
+def stream_absences(events: DataFrame, folder: str, checkpoint: str, once: bool = False, every: int = EVERY) -> StreamingQuery:
+    """Count absences per product with state. ``events`` are id, run and closing: a sighting of a product in a run, or (closing) the end
+    of a complete run whose scope holds the product. Runs are numbered from 1."""
+    use_rocksdb(events.sparkSession)
+    rows = events.select(F.col("id").cast("string").alias("id"), F.col("run").cast("long").alias("run"), F.col("closing").cast("boolean").alias("closing"))
+    counted = rows.groupBy("id").transformWithStateInPandas(AbsenceCounter(), COUNTERS, "update", "none")
+    return _write_batches(counted, folder, checkpoint, once, _newest_counter, every)
+
+
+def read_absences(spark: SparkSession, folder: str, at: Manifest | None = None) -> DataFrame:
+    """Counters of every product after the last run that was closed for it."""
+    return _newest_counter(_written(Store(spark, folder), at))
+
+
+def _last_seen(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("id").agg(F.max("last_seen").alias("last_seen"))
 
 
 def stream_last_seen(sightings: DataFrame, folder: str, checkpoint: str, once: bool = False) -> StreamingQuery:
     """Keep the last complete run that saw each product (id, run)."""
-    return _write_batches(sightings.groupBy("id").agg(F.max("run").alias("last_seen")), folder, checkpoint, once)
+    return _write_batches(sightings.groupBy("id").agg(F.max("run").alias("last_seen")), folder, checkpoint, once, _last_seen)
 
 
 def absence_counters(spark: SparkSession, folder: str, scope: DataFrame, last_run: int | Column) -> DataFrame:
     """Absence counters of the scope's products after a run, from what stream_last_seen wrote."""
-    seen = spark.read.parquet(folder).groupBy("id").agg(F.max("last_seen").alias("last_seen"))
     run = F.lit(last_run) if isinstance(last_run, int) else last_run
-    rows = scope.select("id").join(seen, "id", "left")
+    rows = scope.select("id").join(_last_seen(_written(Store(spark, folder))), "id", "left")
     count = (run - F.coalesce("last_seen", F.lit(0))).cast("long")
     return rows.select("id", count.alias("missing_count"), (count >= 1).alias("possibly_inactive"), (count >= 3).alias("inactive"))
 
 
-def stream_freshness(runs: DataFrame, folder: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+def _latest(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("source").agg(
+        F.max_by("attempt", F.struct("attempt.started_at", "attempt.id", "attempt.ended")).alias("attempt"), F.max("checked_at").alias("checked_at"))
+
+
+def stream_freshness(runs: DataFrame, folder: str, checkpoint: str, once: bool = False, every: int = EVERY) -> StreamingQuery:
     """Keep the latest attempt and the latest complete refresh of every source."""
-    return _write_batches(latest_runs(runs), folder, checkpoint, once)
+    return _write_batches(latest_runs(runs), folder, checkpoint, once, _latest, every)
 
 
 def read_freshness(spark: SparkSession, folder: str, at: Column) -> DataFrame:
     """Freshness of every source at a moment, from what stream_freshness wrote."""
-    rows = spark.read.parquet(folder)
-    latest = rows.groupBy("source").agg(
-        F.max_by("attempt", F.struct("attempt.started_at", "attempt.id", "attempt.ended")).alias("attempt"), F.max("checked_at").alias("checked_at"))
-    return describe(latest, at)
+    return describe(_latest(_written(Store(spark, folder))), at)

@@ -160,8 +160,8 @@ def test_streamed_replica_survives_replay(spark, frame, tmp_path):
         frame(CHANGES, part).coalesce(1).write.mode("append").parquet(log)
         run()
     assert image(W.read_replica(spark, str(tmp_path / "out"))) == want
-    W.compact_replica(spark, str(tmp_path / "out"), str(tmp_path / "small"))
-    assert image(W.read_replica(spark, str(tmp_path / "small"))) == want
+    W.compact_replica(spark, str(tmp_path / "out"))
+    assert image(W.read_replica(spark, str(tmp_path / "out"))) == want
 
 
 def test_streamed_absences_equal_batch(spark, frame, tmp_path):
