@@ -133,24 +133,38 @@ def absence_patch(missing: DataFrame) -> DataFrame:
     return missing.select("id", count.alias("missing_count"), F.lit(True).alias("possibly_inactive"), (count >= 3).alias("inactive"))
 
 
-def absence_streak(sightings: DataFrame, scope: DataFrame, runs: int) -> DataFrame:
-    """Absence counters of every scope product (id) after each of the complete runs 1..runs.
+def absence_spans(sightings: DataFrame, scope: DataFrame, runs: int) -> DataFrame:
+    """Absences of every scope product (id) over the complete runs 1..runs, coded by spans: first_run, last_run, absences (after first_run).
 
-    A sighting (id, run) at run r is followed by 1, 2, ... absences until the next one; the gaps become
-    rows by arithmetic. Sightings are made distinct before the window, which therefore holds at most
-    one row per run for a product, however often it was seen.
+    Within a span the counter grows by one a run, so a product has a row per sighting (and one for the time before the first), however
+    many runs there are. Sightings (id, run) are made distinct before the window, which holds one row per run at most.
     """
     run = F.col("run").cast("long").alias("run")
     seen = sightings.select("id", run).distinct().join(scope.select("id"), "id", "left_semi")
     marks = scope.select("id", F.lit(0).cast("long").alias("run")).unionByName(seen)
     following = F.lead("run").over(Window.partitionBy("id").orderBy("run"))
     spans = marks.withColumn("_next", F.coalesce(following, F.lit(runs + 1)))
-    start = F.greatest(F.col("run"), F.lit(1))
-    spans = spans.filter(F.col("_next") > start)
-    cells = spans.select("id", F.col("run").alias("_seen"), F.explode(F.sequence(start, F.col("_next") - 1)).alias("run"))
-    count = F.col("run") - F.col("_seen")
-    return cells.select("id", "run", count.alias("missing_count"), (count >= 1).alias("possibly_inactive"),
-                        (count >= 3).alias("inactive"))
+    first = F.greatest(F.col("run"), F.lit(1))
+    return spans.filter(F.col("_next") > first).select(
+        "id", first.alias("first_run"), (F.col("_next") - 1).alias("last_run"), (first - F.col("run")).alias("absences"))
+
+
+def _counters(count: Column) -> list[Column]:
+    return [count.alias("missing_count"), (count >= 1).alias("possibly_inactive"), (count >= 3).alias("inactive")]
+
+
+def absences_at(spans: DataFrame, run: int | Column) -> DataFrame:
+    """Counters of every product after one run: the span that holds it, and the distance from its start."""
+    run = F.lit(run) if isinstance(run, int) else run
+    here = spans.filter((F.col("first_run") <= run) & (F.col("last_run") >= run))
+    return here.select("id", *_counters(F.col("absences") + run - F.col("first_run")))
+
+
+def absence_streak(sightings: DataFrame, scope: DataFrame, runs: int) -> DataFrame:
+    """Absence counters of every scope product (id) after each of the complete runs 1..runs: ``absence_spans`` written out, scope x runs rows."""
+    spans = absence_spans(sightings, scope, runs)
+    cells = spans.select("*", F.explode(F.sequence("first_run", "last_run")).alias("run"))
+    return cells.select("id", "run", *_counters(F.col("absences") + F.col("run") - F.col("first_run")))
 
 
 def dedupe_strict(cards: DataFrame, key: str) -> DataFrame:

@@ -132,8 +132,7 @@ FROM (SELECT DISTINCT coalesce(replace(p_brand, '#', '-') || '-' || p_partkey, '
     CASE WHEN o_orderpriority = '5-LOW' THEN 'pending' WHEN o_orderstatus = 'F' THEN 'needsReview'
          WHEN o_orderstatus = 'P' AND p_partkey IS NOT NULL THEN 'matched' ELSE 'pending' END AS status,
     'shop:' || p_partkey AS owner
-  FROM orders LEFT JOIN part ON p_partkey = o_orderkey
-  WHERE o_orderpriority IN ('5-LOW', '4-NOT SPECIFIED')) AS stored
+  FROM orders LEFT JOIN part ON p_partkey = o_orderkey) AS stored
 """
 # The SQL twin's form, with the pair's key
 PENDING = f"""SELECT sha256('["' || sku || '", "' || barcode || '"]') AS id, * FROM ({PENDING_ROWS}) AS keyed"""

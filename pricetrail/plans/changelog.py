@@ -1,10 +1,14 @@
 """Change log: source, snapshot, versions, pages, watermark."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from pricetrail.operators import changes as C
 from pricetrail.plans import bindings as B
 from pricetrail.plans.registry import Source, query, with_views
+from pricetrail.session import shared_dir
+from pricetrail.sources.tables import read_changes
 
 LOG = with_views(("changes", B.CHANGES))
 
@@ -25,7 +29,10 @@ def before_head(log) -> int:
 
 @query("src6_change_log", LOG + "SELECT version, kind, entity_id, payload FROM changes")
 def change_log(s):
-    return changes(s)
+    """Written as plain log files and read back by the reader."""
+    folder = f"{shared_dir(s.spark)}/log-{uuid.uuid4().hex}"
+    changes(s).write.parquet(folder)
+    return read_changes(s.spark, folder)
 
 
 SNAPSHOT_SQL = """latest AS (

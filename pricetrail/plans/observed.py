@@ -266,6 +266,31 @@ def absence_streaks(s):
     return O.absence_streak(sightings, s.sql("SELECT 'shop:' || p_partkey AS id FROM part"), runs)
 
 
+SPANS_SQL = f"""h AS (SELECT max({MONTHS}) AS last FROM lineitem), hit AS (SELECT DISTINCT 'shop:' || l_partkey AS id, {MONTHS} AS run FROM lineitem),
+    mark AS (SELECT 'shop:' || p_partkey AS id, 0 AS run FROM part UNION ALL SELECT id, run FROM hit WHERE id IN (SELECT 'shop:' || p_partkey FROM part)),
+    step AS (SELECT id, run, coalesce(lead(run) OVER (PARTITION BY id ORDER BY run), (SELECT last FROM h) + 1) AS next FROM mark),
+    span AS (SELECT id, greatest(run, 1) AS first_run, next - 1 AS last_run, greatest(run, 1) - run AS absences FROM step WHERE next > greatest(run, 1))"""
+
+
+def _spans(s):
+    sightings = s.sql(f"SELECT 'shop:' || l_partkey AS id, {MONTHS} AS run FROM lineitem")
+    runs = sightings.agg(F.max("run")).first()[0]
+    return O.absence_spans(sightings, s.sql("SELECT 'shop:' || p_partkey AS id FROM part"), runs), runs
+
+
+@query("win3_absence_spans", f"WITH {SPANS_SQL} SELECT id, first_run, last_run, absences FROM span")
+def absence_spans(s):
+    return _spans(s)[0]
+
+
+@query("win3_absences_at_run", f"""WITH {SPANS_SQL}, r AS (SELECT last // 2 AS run FROM h)
+    SELECT id, absences + run - first_run AS missing_count, absences + run - first_run >= 1 AS possibly_inactive, absences + run - first_run >= 3 AS inactive
+    FROM span, r WHERE run BETWEEN first_run AND last_run""")
+def absences_at_run(s):
+    spans, runs = _spans(s)
+    return O.absences_at(spans, runs // 2)
+
+
 @query("win5_strict_dedupe", """SELECT l_partkey || '-' || l_suppkey AS id, CASE WHEN count(DISTINCT l_returnflag) = 1 THEN min(l_returnflag) END
     AS flag, count(DISTINCT l_returnflag) > 1 AS conflicting FROM lineitem GROUP BY l_partkey, l_suppkey""")
 def strict_dedupe(s):

@@ -1,6 +1,10 @@
 """Replica reading: projections, filters, promotions, categories, listings."""
 
+import re
+import uuid
+
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from pricetrail.operators import categories as K
 from pricetrail.operators import products as P
@@ -8,6 +12,9 @@ from pricetrail.operators import promotions as R
 from pricetrail.operators.changes import offset_page
 from pricetrail.plans import bindings as B
 from pricetrail.plans.registry import query, with_views
+from pricetrail.schemas import PRODUCTS
+from pricetrail.session import shared_dir
+from pricetrail.sources.tables import read_catalog
 
 AT_TEXT = "1998-06-15 00:00:00"
 
@@ -35,11 +42,24 @@ def doubled(df):
     return df.select(casts)
 
 
-@query("src1_catalog_tables", views("products") + """SELECT id, source_product_id, sku, barcode, name, brand, quantity,
-    CAST(price AS DOUBLE) AS price, promotion_state, category_id, product_url, in_stock, inactive, version FROM products""")
+MONEY = ("price", "old_price", "promo_price", "discount_percent")
+NAMED_COLUMNS = [part.split()[0] for part in re.split(r",\s+", PRODUCTS)]
+NOT_BOUND = ("source_image_url", "full_image_url", "created_at", "updated_at")
+ALL_COLUMNS = ", ".join(
+    f"CAST(NULL AS VARCHAR) AS {c}" if c in NOT_BOUND else f"CAST({c} AS DOUBLE) AS {c}" if c in MONEY
+    else f"CAST({c} AS VARCHAR) AS {c}" if c.startswith("promotion_") and c != "promotion_state" else c for c in NAMED_COLUMNS)
+
+
+@query("src1_catalog_tables", views("products") + f"SELECT {ALL_COLUMNS} FROM products")
 def catalog_tables(s):
-    return doubled(products(s).select("id", "source_product_id", "sku", "barcode", "name", "brand", "quantity", "price",
-                                      "promotion_state", "category_id", "product_url", "in_stock", "inactive", "version"))
+    """Written with the table's fixed schema and read back by the reader, all columns."""
+    folder = f"{shared_dir(s.spark)}/catalog-{uuid.uuid4().hex}"
+    rows, schema = products(s), StructType.fromDDL(PRODUCTS)
+    typed = [(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields]
+    rows.select(typed).write.parquet(f"{folder}/products")
+    read = read_catalog(s.spark, folder, ["products"])["products"]
+    text = {c: F.col(c).cast("string") for c in ("promotion_start", "promotion_end", "created_at", "updated_at")}
+    return doubled(read).withColumns(text)
 
 
 ISO_SQL = "strftime({0}, '%Y-%m-%dT%H:%M:%S') || '+00:00'"
