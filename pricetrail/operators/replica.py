@@ -160,18 +160,21 @@ def import_products(lines: DataFrame, pending: DataFrame, products: DataFrame, a
     pairs = pairs.withColumns({"sku": F.when(F.col("_s") != "", F.col("_s")), "barcode": F.when(F.col("_b") != "", F.col("_b"))})
     facts = pairs.join(match_keys(pairs, "pair", products, aliases, ("sku", "barcode")), "pair", "left")
     stored = pending.filter("status <> 'invalid'").select(F.coalesce("sku", F.lit("")).alias("_s"), F.coalesce("barcode", F.lit("")).alias("_b"))
-    everything = pairs.select("_s", "_b").unionByName(stored)
     for key, other in (("_s", "_b"), ("_b", "_s")):
-        partners = everything.filter((F.col(key) != "") & (F.col(other) != "")).groupBy(key).agg(
-            F.min(other).alias("_l"), F.max(other).alias("_h")).filter("_l <> _h")
-        facts = spread_lookup(facts, partners.select(key, F.lit(True).alias(f"_many{key}")), [key], "pair")
+        both = (F.col(key) != "") & (F.col(other) != "")
+        in_file = pairs.filter(both).groupBy(key).agg((F.min(other) != F.max(other)).alias(f"_many{key}"))
+        earlier = stored.filter(both).groupBy(key).agg(F.min(other).alias(f"_low{key}"), F.max(other).alias(f"_high{key}"))
+        facts = spread_lookup(spread_lookup(facts, in_file, [key], "pair"), earlier, [key], "pair")
+    differs = lambda key, other: both_known & ((F.col(f"_low{key}") != F.col(other)) | (F.col(f"_high{key}") != F.col(other)))
+    both_known = (F.col("_s") != "") & (F.col("_b") != "")
+    facts = facts.withColumn("_prior", F.coalesce(differs("_s", "_b"), F.lit(False)) | F.coalesce(differs("_b", "_s"), F.lit(False)))
     known = stored.distinct().withColumn("_stored", F.lit(True))
     facts = facts.join(known, ["_s", "_b"], "left")
     target = products.select(F.col("id").alias("product_id"), F.col("sku").alias("_sku"), F.col("barcode").alias("_barcode"),
                              F.struct(*compared).alias("_p"))
     facts = facts.withColumn("product_id", sole(F.col("_low"), F.col("_high"))).join(target, "product_id", "left")
     contradictory = (
-        F.coalesce("_many_s", "_many_b", F.lit(False)) | several(F.col("_low"), F.col("_high"))
+        F.coalesce("_many_s", F.lit(False)) | F.coalesce("_many_b", F.lit(False)) | F.col("_prior") | several(F.col("_low"), F.col("_high"))
         | F.coalesce(F.col("_sku") != F.col("sku"), F.lit(False)) | F.coalesce(F.col("_barcode") != F.col("barcode"), F.lit(False)))
     facts = facts.select("_s", "_b", "_first", "product_id", "_p", contradictory.alias("_bad"), F.coalesce("_stored", F.lit(False)).alias("_stored"))
     rows = spread_lookup(keyed, facts, ["_s", "_b"], "row_number")
@@ -179,9 +182,11 @@ def import_products(lines: DataFrame, pending: DataFrame, products: DataFrame, a
         rows = resolve_category_path(rows, categories, "row_number", "category_name", "subcategory_name")
     else:
         rows = rows.withColumns({"category_id": F.lit(None).cast("string"), "needs_review": F.lit(False)})
-    identical = F.lit(True)
+    identical, types = F.lit(True), dict(products.dtypes)
     for c in compared:
-        identical = identical & (F.col(c).isNull() | F.col(c).cast("string").eqNullSafe(F.col("_p")[c].cast("string")))
+        identical = identical & (F.col(c).isNull() | F.col(c).try_cast(types[c]).eqNullSafe(F.col("_p")[c]))
+    for c in ("category_name", "subcategory_name"):  # a product holds a category, not its names: a line that tells them is never the same
+        identical = identical & F.col(c).isNull() if c in lines.columns else identical
     first = F.col("row_number") == F.col("_first")
     single = F.col("product_id").isNotNull()
     outcome = (
@@ -195,3 +200,58 @@ def import_products(lines: DataFrame, pending: DataFrame, products: DataFrame, a
         "row_number", F.lit("invalid").alias("outcome"), F.lit(None).cast("string").alias("product_id"),
         F.lit(None).cast("string").alias("category_id"), F.lit(False).alias("needs_review"))
     return done.unionByName(bad)
+
+
+#: Status of a pair after each outcome of its lines.
+STATUS = {"invalid": "invalid", "conflict": "needsReview", "pending": "pending", "added": "matched", "updated": "matched"}
+
+
+def import_catalog(
+    lines: DataFrame, pending: DataFrame, products: DataFrame, aliases: DataFrame, categories: DataFrame, file_name: str, at: Column
+) -> dict[str, DataFrame]:
+    """A whole product import of lines that ``row_number`` identifies. Every line is decided once (``import_products``); what follows
+    reads the decisions.
+
+    Gives 'lines' (row_number, outcome, product_id, after the upsert), 'products' and 'aliases' as ``replica_upsert`` leaves
+    them, 'identifiers' (sku, barcode, status, product_id: one row per pair of the file, to be stored), 'reviews' (row_number, reason),
+    and 'history', one row with the counters and, in ``errors``, how many lines had each reason. Lines that are added or updated go
+    through the upsert under ``import:<row_number>``; the first line of a pair speaks for it, and two lines that meet one product are
+    conflicts.
+    """
+    decided = import_products(lines, pending, products, aliases, categories)
+    texts = lines.drop("category_name", "subcategory_name", "last_updated", "category_id", "needs_review")
+    decided = cut_lineage(spread_lookup(decided, texts, ["row_number"], "outcome"))
+    incoming = F.concat(F.lit("import:"), F.col("row_number").cast("string"))
+    written = decided.filter(F.col("outcome").isin("added", "updated"))
+    batch = written.drop("outcome", "product_id", "needs_review", "error").withColumn("id", incoming).drop("row_number")
+    done = replica_upsert(products, aliases, batch, online=False)
+    known = done["outcomes"].select(F.col("incoming_id").alias("_in"), F.col("product_id").alias("_product"), F.col("outcome").alias("_done"))
+    rows = decided.withColumn("_in", F.when(F.col("outcome").isin("added", "updated"), incoming)).join(known, "_in", "left").drop("_in")
+    rows = rows.withColumns({
+        "outcome": F.coalesce("_done", "outcome"),
+        "product_id": F.when(F.col("_done") == "conflict", F.lit(None)).otherwise(F.coalesce("_product", "product_id"))})
+    rows = cut_lineage(rows.drop("_done", "_product"))
+    reason = F.when(F.col("outcome") == "invalid", F.col("error")).when(F.col("outcome") == "conflict", F.lit("contradictory identifiers"))
+    counted = lambda *names: F.count_if(F.col("outcome").isin(*names)).alias
+    pended = (F.col("outcome") == "pending") | ((F.col("outcome") == "duplicate") & F.col("product_id").isNull())
+    counters = rows.agg(
+        F.count(F.lit(1)).alias("rows_read"), F.count_if(F.col("outcome") != "invalid").alias("rows_valid"), counted("added", "pending")("rows_added"),
+        counted("updated")("rows_updated"), counted("invalid", "conflict")("rows_failed"),
+        F.count_if((F.col("outcome") != "conflict") & F.col("product_id").isNotNull()).alias("rows_matched"), F.count_if(pended).alias("rows_pending"),
+        counted("duplicate")("rows_duplicate"), counted("conflict")("rows_conflict"))
+    faults = rows.withColumn("reason", reason).filter("reason IS NOT NULL").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    faults = faults.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("reason", "n"))))).alias("errors"))  # a row per reason
+    status = F.lit("matched")
+    for outcome, after in STATUS.items():
+        status = F.when(F.col("outcome") == outcome, after).otherwise(status)
+    status = F.when((F.col("outcome") == "duplicate") & F.col("product_id").isNull(), "pending").otherwise(status)
+    worst = F.when(status == "needsReview", 0).when(status == "matched", 1).otherwise(2)
+    pairs = rows.filter("outcome <> 'invalid'").groupBy("sku", "barcode").agg(
+        F.min_by(F.struct(status.alias("status"), "product_id"), F.struct(worst, "row_number")).alias("_of"))
+    return {
+        "lines": rows.select("row_number", "outcome", "product_id"),
+        "products": done["products"], "aliases": done["aliases"],
+        "identifiers": pairs.select("sku", "barcode", "_of.status", "_of.product_id"),
+        "reviews": rows.select("row_number", reason.alias("reason")).filter("reason IS NOT NULL"),
+        "history": counters.crossJoin(faults).withColumns({"file_name": F.lit(file_name), "imported_at": at}),  # one row each
+    }

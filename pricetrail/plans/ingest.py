@@ -233,13 +233,84 @@ def new_aliases(s):
     return _replica(s, False)["aliases"]
 
 
-@query("idr5_product_import")
+PRODUCT_LINES = """SELECT row_number, sku, barcode, error, CASE WHEN row_number % 4 <> 0 THEN 'item ' || barcode END AS name,
+    CASE WHEN length(barcode) > 11 THEN 'ASIA' END AS category_name, CAST(NULL AS STRING) AS subcategory_name FROM pairs"""
+IMPORT_SQL = f"""lines AS (SELECT *, coalesce(sku, '') AS s, coalesce(barcode, '') AS b FROM ({PRODUCT_LINES})),
+  good AS (SELECT * FROM lines WHERE error IS NULL), pair AS (SELECT s, b, min(row_number) AS first FROM good GROUP BY s, b),
+  fs AS (SELECT s FROM pair WHERE s <> '' AND b <> '' GROUP BY s HAVING count(DISTINCT b) > 1),
+  fb AS (SELECT b FROM pair WHERE s <> '' AND b <> '' GROUP BY b HAVING count(DISTINCT s) > 1),
+  cand AS (SELECT s, b, id FROM pair JOIN products ON sku = s AND s <> '' UNION SELECT s, b, id FROM pair JOIN products ON barcode = b AND b <> ''
+    UNION SELECT s, b, product_id FROM pair JOIN aliases ON barcode = b AND b <> ''),
+  found AS (SELECT s, b, count(*) AS n, min(c.id) AS pid, bool_or(coalesce(s <> '' AND p.sku <> s, FALSE) OR coalesce(b <> '' AND p.barcode <> b, FALSE)) AS other
+    FROM cand c LEFT JOIN products p ON p.id = c.id GROUP BY s, b),
+  prior AS (SELECT DISTINCT q.s, q.b FROM pair q JOIN stored t ON (t.sku = q.s AND t.barcode <> q.b) OR (t.barcode = q.b AND t.sku <> q.s)
+    WHERE q.s <> '' AND q.b <> '' AND t.sku <> '' AND t.barcode <> ''),
+  facts AS (SELECT q.*, f.n, CASE WHEN f.n = 1 THEN f.pid END AS pid, q.s IN (SELECT s FROM fs) OR q.b IN (SELECT b FROM fb) OR r.s IS NOT NULL OR coalesce(f.n > 1 OR f.other, FALSE) AS bad,
+      EXISTS (SELECT 1 FROM stored t WHERE t.sku = q.s AND t.barcode = q.b) AS known
+    FROM pair q LEFT JOIN found f USING (s, b) LEFT JOIN prior r ON r.s = q.s AND r.b = q.b),
+  o AS (SELECT g.row_number, g.sku, g.barcode, g.category_name, f.pid, CASE WHEN f.bad THEN 'conflict'
+      WHEN pid IS NULL AND g.name IS NULL THEN CASE WHEN g.row_number = f.first AND NOT known THEN 'pending' ELSE 'duplicate' END
+      WHEN pid IS NOT NULL AND g.category_name IS NULL AND (g.sku IS NULL OR g.sku IS NOT DISTINCT FROM p.sku)
+        AND (g.barcode IS NULL OR g.barcode IS NOT DISTINCT FROM p.barcode) AND (g.name IS NULL OR g.name IS NOT DISTINCT FROM p.name) THEN 'duplicate'
+      WHEN pid IS NOT NULL THEN 'updated' WHEN g.row_number = f.first THEN 'added' ELSE 'duplicate' END AS outcome
+    FROM good g JOIN facts f USING (s, b) LEFT JOIN products p ON p.id = f.pid)"""
+IMPORT_VIEWS = with_views(("products", B.PRODUCTS), ("aliases", B.ALIASES), ("pairs", B.PAIRS), ("categories", B.CATEGORIES), ("stored", B.PENDING_ROWS)).rstrip() + f", {IMPORT_SQL} "
+
+
+# The whole import needs lines with numbers of their own; the given lines repeat some, with the same content.
+ONCE = ("SELECT row_number, sku, barcode, error, CASE", "SELECT DISTINCT row_number, sku, barcode, error, CASE")
+WHOLE_VIEWS = IMPORT_VIEWS.replace(*ONCE)
+
+
+def _product_lines(s, text=PRODUCT_LINES):
+    return s.spark.sql(text.replace("FROM pairs", "FROM {pairs}"), pairs=s.sql(B.PAIRS))
+
+
+@query("idr5_product_import", IMPORT_VIEWS + """SELECT row_number, outcome, pid AS product_id,
+    CASE WHEN category_name = 'ASIA' THEN (SELECT id FROM categories WHERE name = 'ASIA' AND parent_id IS NULL) END AS category_id FROM o
+    UNION ALL SELECT row_number, 'invalid', NULL, NULL FROM lines WHERE error IS NOT NULL""")
 def product_import(s):
-    lines = s.sql(B.PAIRS).withColumns({
-        "name": F.when(F.col("row_number") % 4 != 0, F.concat(F.lit("item "), "barcode")),
-        "category_name": F.when(F.length("barcode") > 11, F.lit("ASIA")), "subcategory_name": F.lit(None).cast("string"),
-    })
-    return P.import_products(lines, _pending(s), s.sql(B.PRODUCTS), s.sql(B.ALIASES), s.sql(B.CATEGORIES))
+    decided = P.import_products(_product_lines(s), _pending(s), s.sql(B.PRODUCTS), s.sql(B.ALIASES), s.sql(B.CATEGORIES))
+    return decided.select("row_number", "outcome", "product_id", "category_id")
+
+
+# Of the lines that are written, those that meet one product together are conflicts; no other line changes its outcome.
+IMPORT_DONE = """w AS (SELECT * FROM o WHERE outcome IN ('added', 'updated')),
+  crowd AS (SELECT pid FROM w WHERE pid IS NOT NULL GROUP BY pid HAVING count(*) > 1),
+  done AS (SELECT row_number, sku, barcode, CASE WHEN outcome = 'updated' AND pid IN (SELECT pid FROM crowd) THEN 'conflict' ELSE outcome END AS outcome,
+      CASE WHEN outcome = 'updated' AND pid IN (SELECT pid FROM crowd) THEN NULL WHEN outcome = 'added' THEN 'import:' || row_number ELSE pid END AS pid, error
+    FROM (SELECT *, NULL AS error FROM o UNION ALL SELECT row_number, sku, barcode, category_name, NULL, 'invalid', error FROM lines WHERE error IS NOT NULL))"""
+
+
+def _whole_import(s):
+    return P.import_catalog(_product_lines(s, PRODUCT_LINES.replace(*ONCE)), _pending(s), _replica_products(s), s.sql(B.ALIASES), s.sql(B.CATEGORIES), "lines.csv", F.lit("2001-01-01").cast("timestamp"))
+
+
+def _replica_products(s):
+    columns = "id, source_product_id, sku, barcode, name, brand, quantity, price, category_id, product_url"
+    return s.spark.sql(f"SELECT {columns}, FALSE AS needs_review FROM {{p}}", p=s.sql(B.PRODUCTS))
+
+
+@query("idr5_import_lines", WHOLE_VIEWS.rstrip() + f", {IMPORT_DONE} SELECT row_number, outcome, pid AS product_id FROM done")
+def import_lines(s):
+    return _whole_import(s)["lines"]
+
+
+@query("idr5_import_history", WHOLE_VIEWS.rstrip() + f""", {IMPORT_DONE} SELECT count(*) AS rows_read, count(*) FILTER (outcome <> 'invalid') AS rows_valid,
+    count(*) FILTER (outcome IN ('added', 'pending')) AS rows_added, count(*) FILTER (outcome = 'updated') AS rows_updated,
+    count(*) FILTER (outcome IN ('invalid', 'conflict')) AS rows_failed, count(*) FILTER (outcome <> 'conflict' AND pid IS NOT NULL) AS rows_matched,
+    count(*) FILTER (outcome = 'pending' OR (outcome = 'duplicate' AND pid IS NULL)) AS rows_pending, count(*) FILTER (outcome = 'duplicate') AS rows_duplicate,
+    count(*) FILTER (outcome = 'conflict') AS rows_conflict, 'lines.csv' AS file_name FROM done""")
+def import_history(s):
+    return _whole_import(s)["history"].drop("errors", "imported_at")
+
+
+@query("idr5_import_identifiers", WHOLE_VIEWS.rstrip() + f""", {IMPORT_DONE}, t AS (SELECT *, CASE outcome WHEN 'conflict' THEN 'needsReview' WHEN 'pending' THEN 'pending'
+      WHEN 'duplicate' THEN CASE WHEN pid IS NULL THEN 'pending' ELSE 'matched' END ELSE 'matched' END AS status FROM done WHERE outcome <> 'invalid')
+    SELECT sku, barcode, status, pid AS product_id FROM (SELECT *, row_number() OVER (PARTITION BY sku, barcode
+      ORDER BY CASE status WHEN 'needsReview' THEN 0 WHEN 'matched' THEN 1 ELSE 2 END, row_number) AS place FROM t) WHERE place = 1""")
+def import_identifiers(s):
+    return _whole_import(s)["identifiers"]
 
 
 SPACE_SQL = "[\\s\\x{0B}\\x{1C}-\\x{1F}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}]+"

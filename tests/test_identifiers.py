@@ -168,3 +168,41 @@ def test_identifier_events(frame, dicts):
                    [("s1", "b1", "matched", "p"), (None, None, "invalid", None), ("s3", "b3", "needsReview", None), ("s4", None, "pending", None)])
     got = {(r["sku"], r["barcode"]): (r["status"], r["outcome"]) for r in D.apply_identifier_events(pending, events).collect()}
     assert got == {("s1", "b1"): ("matched", "updated"), (None, None): ("invalid", "kept"), ("s3", "b3"): ("needsReview", "kept"), ("s4", None): ("pending", "added")}
+
+
+def test_whole_product_import(frame, dicts):
+    state = frame(PRODUCT + ", name string, price decimal(12,2), category_id string, needs_review boolean",
+                  [("a", "1", "s1", "b1", "A", 2, None, False), ("b", "2", "s2", None, "B", None, None, False), ("c", "3", "s3", "b3", "C", 1, None, False)])
+    categories = frame("id string, parent_id string, name string", [("/f/", None, "Food")])
+    ddl = "row_number long, sku string, barcode string, name string, price decimal(12,2), category_name string, subcategory_name string, error string"
+    lines = frame(ddl, [
+        (2, "s1", "b1", "A", "2.00", None, None, None),  # known, the same
+        (3, "s2", "b2", "B2", 5, "Food", None, None),  # updates b and gives it a code
+        (4, "n1", "m1", "New", 7, None, None, None), (5, "n1", "m1", "New", 7, None, None, None),  # added, and once more
+        (6, "p1", "q1", None, None, None, None, None), (7, None, None, None, None, None, None, "bad"),
+        (8, "s3", "b9", "C", 1, None, None, None),  # another code than the stored one
+        (9, "s1", "b1", "A", "2.00", "Food", None, None)])
+    out = P.import_catalog(lines, frame(PENDING, []), state, frame("barcode string, product_id string", []), categories, "f.csv", F.lit("2024-01-01").cast("timestamp"))
+    got = {r.row_number: (r.outcome, r.product_id) for r in out["lines"].collect()}
+    assert got == {2: ("duplicate", "a"), 3: ("updated", "b"), 4: ("added", "import:4"), 5: ("duplicate", None), 6: ("pending", None),
+                   7: ("invalid", None), 8: ("conflict", None), 9: ("updated", "a")}
+    products = dicts(out["products"], "id")
+    assert products["b"]["name"] == "B2" and products["b"]["barcode"] == "b2" and products["b"]["category_id"] == "/f/"
+    assert products["import:4"]["name"] == "New" and products["a"]["category_id"] == "/f/" and set(products) == {"a", "b", "c", "import:4"}
+    stored = {(r.sku, r.barcode): (r.status, r.product_id) for r in out["identifiers"].collect()}
+    assert stored == {("s1", "b1"): ("matched", "a"), ("s2", "b2"): ("matched", "b"), ("n1", "m1"): ("matched", "import:4"),
+                      ("p1", "q1"): ("pending", None), ("s3", "b9"): ("needsReview", None)}
+    assert sorted(map(tuple, out["reviews"].collect())) == [(7, "bad"), (8, "contradictory identifiers")]
+    history = out["history"].first().asDict()
+    assert history["errors"] == '{"bad":1,"contradictory identifiers":1}' and history["file_name"] == "f.csv"
+    counters = ("rows_read", "rows_valid", "rows_added", "rows_updated", "rows_failed", "rows_matched", "rows_pending", "rows_duplicate", "rows_conflict")
+    assert [history[c] for c in counters] == [8, 7, 2, 2, 2, 4, 2, 2, 1]
+
+
+def test_stored_pairs_and_the_file_are_asked_apart(frame, dicts):
+    products, none = frame(PRODUCT + ", name string", []), frame("barcode string, product_id string", [])
+    ddl = "row_number long, sku string, barcode string, name string, error string"
+    stored = frame(PENDING, [("1", "s", "b", "pending", None), ("2", "s", "c", "pending", None), ("3", "t", "d", "invalid", None)])
+    lines = frame(ddl, [(2, "s", None, "x", None), (3, "s", "b", "x", None), (4, "t", "e", "x", None)])
+    got = dicts(P.import_products(lines, stored, products, none, frame("id string, parent_id string, name string", [])), "row_number")
+    assert {k: v["outcome"] for k, v in got.items()} == {2: "added", 3: "conflict", 4: "added"}
