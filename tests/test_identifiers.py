@@ -185,13 +185,13 @@ def test_whole_product_import(frame, dicts):
     out = P.import_catalog(lines, frame(PENDING, []), state, frame("barcode string, product_id string", []), categories, "f.csv", F.lit("2024-01-01").cast("timestamp"))
     got = {r.row_number: (r.outcome, r.product_id) for r in out["lines"].collect()}
     assert got == {2: ("duplicate", "a"), 3: ("updated", "b"), 4: ("added", "import:4"), 5: ("duplicate", None), 6: ("pending", None),
-                   7: ("invalid", None), 8: ("conflict", None), 9: ("updated", "a")}
+                   7: ("invalid", None), 8: ("conflict", "c"), 9: ("updated", "a")}
     products = dicts(out["products"], "id")
     assert products["b"]["name"] == "B2" and products["b"]["barcode"] == "b2" and products["b"]["category_id"] == "/f/"
     assert products["import:4"]["name"] == "New" and products["a"]["category_id"] == "/f/" and set(products) == {"a", "b", "c", "import:4"}
     stored = {(r.sku, r.barcode): (r.status, r.product_id) for r in out["identifiers"].collect()}
     assert stored == {("s1", "b1"): ("matched", "a"), ("s2", "b2"): ("matched", "b"), ("n1", "m1"): ("matched", "import:4"),
-                      ("p1", "q1"): ("pending", None), ("s3", "b9"): ("needsReview", None)}
+                      ("p1", "q1"): ("pending", None), ("s3", "b9"): ("needsReview", "c")}
     assert sorted(map(tuple, out["reviews"].collect())) == [(7, "bad"), (8, "contradictory identifiers")]
     history = out["history"].first().asDict()
     assert history["errors"] == '{"bad":1,"contradictory identifiers":1}' and history["file_name"] == "f.csv"

@@ -137,6 +137,13 @@ def test_page_chain_states(frame):
     assert got["b", "loop"] == {1: "b0", 2: "b1", 3: "b2"} and got["c", "missing page"] == {1: "c0"}
 
 
+def test_two_next_links_of_one_page_are_reported(frame):
+    pages = frame("url string, next_url string", [("u1", "u2"), ("u1", "u3"), ("u2", None), ("u3", None), ("v1", "v2"), ("v1", "v2"), ("v2", None), ("w1", None), ("w1", "v2")])
+    chain = E.page_chain(pages, frame("scope string, url string", [("u", "u1"), ("v", "v1"), ("w", "w1")])).collect()
+    assert {r.scope: r.state for r in chain} == {"u": "contradiction", "v": "complete", "w": "contradiction"}
+    assert sorted(r.url for r in chain if r.scope == "v") == ["v1", "v2"]
+
+
 def test_category_tree(frame):
     html = ('<div class="ab-lc-group"><div class="head"><a href="/r/">R</a></div><ul><li><a href="/r/a/">A</a><ul><li><a href="/r/a/b/">B</a></li>'
             '<li><a href="/x/">X</a></li></ul></li><li><a href="/x/">X</a></li></ul></div>')
