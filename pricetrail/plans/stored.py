@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from pricetrail.operators.delta import apply_changes
 from pricetrail.plans import bindings as B
 from pricetrail.plans.ingest import scratch
 from pricetrail.plans.observed import BATCH_SQL, _batch, doubled
@@ -72,3 +73,45 @@ def pruned_delta(s):
     catalog, _ = _written(s)
     since = catalog.manifest().parts[0].last
     return catalog.changes(since, since + 100).select("version", "entity_id")
+
+
+# A replica that knows every second product, and a slice of the log with changes of all kinds; products change twice.
+KNOWN = """SELECT id, source_product_id, sku, barcode, name, price, FALSE AS needs_review FROM offered WHERE CAST(source_product_id AS BIGINT) % 2 = 0"""
+NEWS = """SELECT CAST(source_product_id AS BIGINT) + 1 AS version, 'product' AS kind, id AS entity_id,
+    '{"source_product_id":"' || source_product_id || '","name":"old","price":1}' AS payload FROM offered
+  UNION ALL SELECT CAST(source_product_id AS BIGINT) + 100000000, 'product', id, '{"source_product_id":"' || source_product_id || '","name":"new ' || source_product_id || '","price":2.5}' FROM offered
+  UNION ALL SELECT 200000000 + sort_order, 'category', id, '{"name":"' || name || '!"}' FROM categories WHERE level = 1
+  UNION ALL SELECT 300000000 + l_orderkey, 'promotion', 'promo:' || l_orderkey, '{"product_ids":["shop:' || min(l_partkey) || '","shop:' || max(l_partkey) || '"]}' FROM lineitem GROUP BY l_orderkey HAVING l_orderkey % 7 = 0
+  UNION ALL SELECT 400000000 + l_suppkey, 'collection', 'collection:' || l_suppkey, '{"product_ids":["shop:' || max(l_partkey) || '"]}' FROM lineitem GROUP BY l_suppkey HAVING l_suppkey % 2 = 0
+  UNION ALL SELECT 500000000 + o_orderkey, 'identifier', 'pair:' || o_orderkey, '{"sku":"X-' || o_orderkey || '","barcode":"' || o_custkey || '","status":"matched","product_id":"shop:1"}' FROM orders WHERE o_orderkey % 5 = 0"""
+
+
+@query("ups4_composed_delta", with_views(("offered", B.PRODUCTS), ("categories", B.CATEGORIES), ("links", B.PRODUCT_PROMOTIONS), ("members", B.MEMBERS), ("stored", B.PENDING_ROWS),
+       ("known", KNOWN)).rstrip() + """, ev AS (SELECT DISTINCT 'X-' || o_orderkey AS sku, CAST(o_custkey AS VARCHAR) AS barcode FROM orders WHERE o_orderkey % 5 = 0)
+    SELECT 'category' AS part, id, CASE WHEN level = 1 THEN name || '!' ELSE name END AS value FROM categories
+    UNION ALL SELECT 'product', p.id, 'new ' || p.source_product_id || ' ' || coalesce(k.sku, '-') FROM offered p LEFT JOIN known k USING (id)
+    UNION ALL SELECT 'link', promotion_id, product_id FROM links WHERE CAST(split_part(promotion_id, ':', 2) AS BIGINT) % 7 <> 0
+    UNION ALL SELECT DISTINCT 'link', 'promo:' || l_orderkey, 'shop:' || unnest([min(l_partkey), max(l_partkey)]) FROM lineitem GROUP BY l_orderkey HAVING l_orderkey % 7 = 0
+    UNION ALL SELECT 'member', collection_id, product_id FROM members WHERE CAST(split_part(collection_id, ':', 2) AS BIGINT) % 2 <> 0
+    UNION ALL SELECT 'member', 'collection:' || l_suppkey, 'shop:' || max(l_partkey) FROM lineitem GROUP BY l_suppkey HAVING l_suppkey % 2 = 0
+    UNION ALL SELECT 'identifier', sku || '|' || barcode, CASE WHEN (sku, barcode) IN (SELECT (sku, barcode) FROM ev) THEN 'matched' ELSE status END FROM stored
+    UNION ALL SELECT 'identifier', sku || '|' || barcode, 'matched' FROM ev WHERE (sku, barcode) NOT IN (SELECT (sku, barcode) FROM stored)""")
+def composed_delta(s):
+    """One slice with changes of all kinds, applied to a replica."""
+    bound = {"offered": s.sql(B.PRODUCTS), "categories": s.sql(B.CATEGORIES), "lineitem": s.table("lineitem"), "orders": s.table("orders")}
+    text = NEWS.replace("{", "{{").replace("}", "}}")
+    for name in bound:
+        text = text.replace(f"FROM {name}", f"FROM {{{name}}}")
+    news = s.spark.sql(text, **bound)
+    known = s.spark.sql(KNOWN.replace("FROM offered", "FROM {offered}"), offered=bound["offered"])
+    empty = s.spark.createDataFrame([], "id string, data string")
+    pending = s.sql(B.PENDING_ROWS).withColumn("id", F.concat_ws("|", "sku", "barcode"))
+    tables = {"categories": bound["categories"], "products": known, "aliases": s.sql(B.ALIASES), "promotions": empty, "collections": empty,
+              "links": s.sql(B.PRODUCT_PROMOTIONS).select("promotion_id", "product_id"), "members": s.sql(B.MEMBERS), "pending": pending}
+    out = apply_changes(tables, news)
+    rows = lambda part, table, key, value: out[table].select(F.lit(part).alias("part"), key.alias("id"), value.alias("value"))
+    c = F.col
+    return (
+        rows("category", "categories", c("id"), c("name")).unionByName(rows("product", "products", c("id"), F.concat_ws(" ", "name", F.coalesce("sku", F.lit("-")))))
+        .unionByName(rows("link", "links", c("promotion_id"), c("product_id"))).unionByName(rows("member", "members", c("collection_id"), c("product_id")))
+        .unionByName(rows("identifier", "pending", F.concat_ws("|", "sku", "barcode"), c("status"))))
