@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pricetrail.functions.periods import campaign_status
 from pricetrail.operators.changes import number_rows
 from pricetrail.operators.joins import spread_lookup
+from pricetrail.operators.upsert import put_documents
 
 
 def members(rows: DataFrame, owner: str, product: str) -> DataFrame:
@@ -96,6 +97,22 @@ def publish_campaign(
     }
 
 
+def campaign_documents(statuses: DataFrame, campaign_id: str, found: DataFrame, stored: DataFrame, decision: DataFrame) -> DataFrame:
+    """Promotion documents after a campaign (id, outcome, data), written only where they differ (``put_documents``).
+
+    ``statuses`` is campaign_statuses's: every promotion of the kind gets a document with its period and status, and the campaign's also
+    tells how many members it has and a digest of them that does not depend on their order; the members themselves are rows of the
+    bridge. ``stored`` (id, data) are the documents there are. Unless ``decision`` says publish, they stay as they are.
+    """
+    members = found.select("id").distinct().agg(
+        F.count(F.lit(1)).alias("members"), F.coalesce(F.sum(F.crc32(F.col("id").cast("binary"))), F.lit(0)).alias("digest"))
+    members = members.select(F.lit(campaign_id).alias("id"), "members", "digest")  # one row
+    rows = statuses.join(F.broadcast(members), "id", "left").withColumn("decision", F.lit("publish"))
+    rows = rows.join(F.broadcast(decision.filter("decision = 'publish'")), "decision", "left_semi")
+    period = [F.col(c).cast("string").alias(c) for c in ("starts_at", "ends_at")]
+    return put_documents(stored, rows.select("id", F.to_json(F.struct("status", *period, "members", "digest")).alias("data")))
+
+
 def collection_modes(scopes: DataFrame, seen: DataFrame) -> DataFrame:
     """How each scope (collection_id, kind, complete, selective, root) may change its collection.
 

@@ -483,6 +483,36 @@ def refused_campaign(s):
     return decision.select("decision", F.lit(count("links")).cast("long").alias("links"), F.lit(count("collection")).cast("long").alias("members"))
 
 
+DOCUMENTS_SQL = views("promotions") + """, f AS (SELECT count(DISTINCT l_partkey) AS members FROM lineitem WHERE year(l_shipdate) = 2000),
+    t AS (SELECT id, CASE WHEN starts_at > TIMESTAMP '1998-06-15 00:00:00' THEN 'upcoming' WHEN ends_at < TIMESTAMP '1998-06-15 00:00:00' THEN 'expired'
+      WHEN id = 'promo:10' THEN 'active' ELSE 'historical' END AS status FROM promotions WHERE type = '1-URGENT'),
+    o AS (SELECT id, 'kept' AS status FROM promotions WHERE type = '2-HIGH')"""
+
+
+def _documents(s, new, old):
+    """The outcome of every promotion document when one year's products are published after another's."""
+    decision, _ = _campaign(s, new, old)
+    found = s.table("lineitem").filter(F.year("l_shipdate") == new).select(F.concat(F.lit("shop:"), F.col("l_partkey")).alias("id"))
+    promotions = s.sql(B.PROMOTIONS)
+    statuses = M.campaign_statuses(promotions, "promo:10", "1-URGENT", moment("1998-06-15 00:00:00"))
+    stored = promotions.filter("type = '2-HIGH'").select("id", F.lit('{"status":"kept"}').alias("data"))
+    rows = M.campaign_documents(statuses, "promo:10", found, stored, decision)
+    told = F.from_json("data", "status string, members long")
+    return rows.select("id", "outcome", told["status"].alias("status"), told["members"].alias("members"))
+
+
+@query("ups10_campaign_documents", DOCUMENTS_SQL + """ SELECT id, 'added' AS outcome, status, CASE WHEN id = 'promo:10' THEN members END AS members FROM t, f
+    UNION ALL SELECT id, 'untouched', status, NULL FROM o""")
+def campaign_documents(s):
+    return _documents(s, 2000, 1999)
+
+
+@query("ups10_refused_documents", DOCUMENTS_SQL + " SELECT id, 'untouched' AS outcome, status, CAST(NULL AS BIGINT) AS members FROM o")
+def refused_documents(s):
+    """An older campaign writes no document."""
+    return _documents(s, 1997, 1999)
+
+
 SCOPES = """SELECT 'collection:' || s_suppkey AS collection_id, CASE WHEN s_nationkey < 10 THEN 'open' WHEN s_nationkey < 20 THEN 'dated' ELSE 'other' END
     AS kind, s_acctbal > 5000 AS complete, s_acctbal < 0 AS selective, s_nationkey < 12 AS root FROM supplier"""
 PUBLISHED = """SELECT 'collection:' || l_suppkey AS collection_id, 'shop:' || l_partkey AS product_id, bool_or(l_linestatus = 'F') AS same_period
