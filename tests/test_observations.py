@@ -127,3 +127,14 @@ def test_sku_diagnostics(frame):
     reason = lambda rows, after="": Q.diagnose_skus(frame("id string, sku string", rows), after).first()["reason"]
     assert reason([]) == "empty_catalog" and reason([("1", "k")]) == "all_products_have_sku"
     assert reason(rows, "wrong") == "invalid_after" and reason(rows, "90004") == "missing_products_before_cursor"
+
+
+def test_absence_spans_hold_what_the_streak_writes_out(frame):
+    sightings = frame("id string, run long", [("a", 2), ("a", 2), ("a", 5), ("b", 1), ("gone", 3)])
+    scope = frame("id string", [("a",), ("b",), ("c",)])
+    spans = O.absence_spans(sightings, scope, 6)
+    assert sorted(map(tuple, spans.collect())) == [("a", 1, 1, 1), ("a", 2, 4, 0), ("a", 5, 6, 0), ("b", 1, 6, 0), ("c", 1, 6, 1)]
+    streak = O.absence_streak(sightings, scope, 6).collect()
+    for run in range(1, 7):
+        wanted = sorted((r.id, r.missing_count, r.possibly_inactive, r.inactive) for r in streak if r.run == run)
+        assert sorted(map(tuple, O.absences_at(spans, run).collect())) == wanted
