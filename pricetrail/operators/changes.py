@@ -106,10 +106,6 @@ def delta_page(changes: DataFrame, since: int, until: int, after: int | None, li
     return keyset_page(delta(changes, since, until), "version", after if after is not None else since, limit)
 
 
-def offset_page(df: DataFrame, order: list[Column], offset: int, limit: int) -> DataFrame:
-    return df.orderBy(*order).offset(offset).limit(limit)
-
-
 def _chained(pages: DataFrame) -> Column:
     """Whether pages chain by cursor: one start, one end that is marked as last, every next cursor larger and met exactly once.
 

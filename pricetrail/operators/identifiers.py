@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricetrail.operators.joins import several, sole, spread_lookup
+from pricetrail.operators.paging import offset_page
 
 # Fixed value: what a merged product takes from the source row when the target lacks it.
 FILLED_BY_MERGE = ("sku", "barcode", "name", "brand", "quantity", "category_id", "product_url", "thumbnail_url")
@@ -252,7 +253,7 @@ def pending_list(pending: DataFrame, query: str | None = None, offset: int = 0,
     rows = pending.filter(F.col("status") != "matched")
     if query:
         rows = rows.filter((F.col("sku") == query) | (F.col("barcode") == query))
-    return rows.orderBy("id").offset(offset).limit(limit)
+    return offset_page(rows, [F.col("id")], offset, limit)
 
 
 def associate(links: DataFrame, pending: DataFrame, products: DataFrame) -> DataFrame:

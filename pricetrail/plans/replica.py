@@ -9,7 +9,7 @@ from pyspark.sql.types import StructType
 from pricetrail.operators import categories as K
 from pricetrail.operators import products as P
 from pricetrail.operators import promotions as R
-from pricetrail.operators.changes import offset_page
+from pricetrail.operators.paging import offset_page
 from pricetrail.plans import bindings as B
 from pricetrail.plans.registry import query, with_views
 from pricetrail.schemas import PRODUCTS
@@ -208,6 +208,16 @@ def listing_page(s):
     return offset_page(products(s).select("id", "name"), P.name_order(), 120, 60)
 
 
+@query("lim4_deep_page", """SELECT l_orderkey, l_linenumber, l_partkey, l_shipdate, l_quantity FROM lineitem
+    ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_quantity LIMIT 60 OFFSET (SELECT count(*) // 2 FROM lineitem)""")
+def deep_page(s):
+    """The page in the middle of all order lines by date; no task may skip more than 2 000 rows."""
+    order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity"]
+    lines = s.table("lineitem").select(order)
+    return offset_page(lines, [F.col(c) for c in order], lines.count() // 2, 60, gathered=2_000).select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_quantity")
+
+
 @query("agg6_listing_counts", views(*PROMO_VIEWS) + f"""SELECT count(*) AS total,
     count(*) FILTER (WHERE {ACTIVE_SQL}) AS discounted FROM products p WHERE contains(lower(name), 'small')""")
 def listing_counts(s):
