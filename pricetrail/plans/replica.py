@@ -10,6 +10,7 @@ from pricetrail.operators import categories as K
 from pricetrail.operators import products as P
 from pricetrail.operators import promotions as R
 from pricetrail.operators.paging import offset_page
+from pricetrail.operators.search import WordIndex, search_many
 from pricetrail.plans import bindings as B
 from pricetrail.plans.registry import query, with_views
 from pricetrail.schemas import PRODUCTS
@@ -127,6 +128,29 @@ def search_literal(s):
     return _searched(s, "nd#1")
 
 
+ASKED = """SELECT DISTINCT q AS query_id, q AS query FROM (
+    SELECT concat(substr(name, 1, 3), ' ', substr(brand, 1, 2)) AS q FROM products UNION ALL SELECT substr(name, 2, 5) FROM products
+    UNION ALL SELECT substr(name, 1, 1) FROM products UNION ALL SELECT concat(substr(brand, 4, 2), substr(sku, 6, 2)) FROM products
+    UNION ALL SELECT sku FROM products UNION ALL SELECT barcode FROM aliases) AS wanted WHERE q IS NOT NULL AND trim(q) <> ''"""
+FOLDED_SQL = "trim(regexp_replace(lower(query), '\\s+', ' ', 'g'))"
+
+
+@query("flt1_many_searches", views("products", "aliases", more=f"""t AS (SELECT id, sku, barcode, {TEXT_SQL} AS x FROM products),
+    w AS (SELECT *, ' ' || regexp_replace(x, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g') AS words FROM t),
+    asked AS (SELECT *, trim(query) AS raw, {FOLDED_SQL} AS folded FROM ({ASKED})),
+    parts AS (SELECT *, CASE WHEN regexp_full_match(folded, '[a-z0-9 ]+') THEN string_split(folded, ' ') END AS tokens FROM asked)""") + """
+    SELECT query_id, id FROM parts, w WHERE contains(x, folded) OR coalesce(len(list_filter(tokens, lambda k: NOT contains(words, ' ' || k))) = 0, FALSE)
+    UNION SELECT query_id, id FROM parts JOIN t ON t.sku = raw UNION SELECT query_id, id FROM parts JOIN t ON t.barcode = raw
+    UNION SELECT query_id, t.id FROM parts JOIN aliases a ON a.barcode = raw JOIN t ON t.id = a.product_id""")
+def many_searches(s):
+    """Parts of all names, brands and codes, searched at once in a stored index of all products."""
+    folder = f"{shared_dir(s.spark)}/words-{uuid.uuid4().hex}"
+    WordIndex.build(products(s)).write(folder)
+    named = re.sub(r"FROM (products|aliases)", r"FROM {\1}", ASKED)
+    queries = s.spark.sql(named, products=products(s), aliases=s.sql(B.ALIASES))
+    return search_many(WordIndex.read(s.spark, folder), s.sql(B.ALIASES), queries)
+
+
 @query("flt2_collection_members", views("products", "members") + """SELECT id, name FROM products
     WHERE id IN (SELECT product_id FROM members WHERE collection_id = 'collection:7')""")
 def collection_members(s):
