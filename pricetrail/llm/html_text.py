@@ -11,7 +11,7 @@ from __future__ import annotations
 import html as entities
 import re
 import unicodedata
-from collections import Counter
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,7 +22,9 @@ from pricetrail.llm.rows import map_batches
 # Fixed values of the HTML standard: element names by behaviour.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
-HIDDEN = frozenset("head script style template noscript iframe object audio video canvas svg math datalist noembed noframes title select".split())
+HIDDEN = frozenset("head script style template noscript iframe audio video canvas datalist noembed noframes title annotation annotation-xml".split())
+#: What of a drawing is text, and what of it is only there to be referred to or to describe.
+DRAWN, UNDRAWN = frozenset(("text", "foreignobject")), frozenset("defs symbol desc metadata clippath mask pattern marker".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6"
     " header hgroup hr html legend li listing main menu nav ol optgroup option p plaintext pre search section summary ul xmp".split())
@@ -44,10 +46,13 @@ IMPLIED = {
 #: Elements that an end tag or an implied end does not reach through.
 SCOPE = frozenset("html table td th caption button template".split())
 _ROWS = frozenset("table tbody thead tfoot tr".split())
+#: Levels of indent that a line shows. Deeper blocks keep their text and their marks and are indented like this level, so a page's rendering grows with the page.
+DEEPEST = 32
 
 _TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>][^\s=/>]*)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?")
-_UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+_UNSEEN = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(hidden|collapse|visible|initial)", re.I)
 _SPACE = re.compile("[ \t\n\r\f]+")
 
 
@@ -70,37 +75,35 @@ def build(source: str) -> Node:
     root = Node("html")
     stack, at = [root], 0
 
-    opened: Counter[str] = Counter()  # names on the stack: most searches end before they begin
+    opened: dict[str, list[int]] = {}  # where the open elements of a name stand on the stack, so that no search walks it
 
     def push(node: Node) -> None:
         stack[-1].children.append(node)
+        opened.setdefault(node.name, []).append(len(stack))
         stack.append(node)
-        opened[node.name] += 1
 
     def cut(k: int) -> None:
-        opened.subtract(n.name for n in stack[k:])
+        for node in stack[k:]:
+            opened[node.name].pop()
         del stack[k:]
 
+    def innermost(names) -> int:
+        return max((opened[n][-1] for n in names if opened.get(n)), default=0)
+
     def close(names, stops) -> None:
         """Close the open elements of these names above the innermost stop."""
-        if any(opened[n] for n in names):
-            lowest = None
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name in names:
-                    lowest = k
-                elif stack[k].name in stops:
-                    break
-            if lowest is not None:
-                cut(lowest)
+        if any(opened.get(n) for n in names):
+            stop = innermost(stops - names)
+            above = [places[k] for places in (opened.get(n, ()) for n in names) if (k := bisect_right(places, stop)) < len(places)]
+            if above:
+                cut(min(above))
 
     def close_end(name: str) -> None:
         """What an end tag does: close the innermost open element of that name, unless a table or a cell stands between."""
-        if opened[name]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name == name:
-                    return cut(k)
-                if stack[k].name in SCOPE and name not in SCOPE | _ROWS:
-                    return None
+        if opened.get(name):
+            k = opened[name][-1]
+            if name in SCOPE or name in _ROWS or innermost(SCOPE) < k:
+                cut(k)
 
     def text(piece: str) -> None:
         if piece:
@@ -112,7 +115,7 @@ def build(source: str) -> Node:
         end, start, rest = match.groups()
         if end:
             end = end.lower()
-            if end == "p" and not opened["p"]:
+            if end == "p" and not opened.get("p"):
                 stack[-1].children.append(Node("p"))
             elif end == "br":
                 stack[-1].children.append(Node("br"))
@@ -144,7 +147,7 @@ def build(source: str) -> Node:
 
 
 def visible(node: Node) -> bool:
-    """Whether a reader sees the element: by its name, ``hidden``, aria-hidden, an input's type, or an inline style."""
+    """Whether a reader sees the element: by its name, ``hidden``, aria-hidden, an input's type, or an inline ``display``; see ``settle`` for ``visibility``."""
     a = node.attributes
     if node.name in HIDDEN or "hidden" in a and a["hidden"].lower() != "until-found" or a.get("aria-hidden", "").lower() == "true":
         return False
@@ -153,6 +156,36 @@ def visible(node: Node) -> bool:
     return not ("style" in a and _UNSEEN.search(a["style"]))
 
 
+def settle(root: Node) -> None:
+    """Hand ``visibility`` down the tree: what inherits hidden loses its text, and what holds nothing that is shown again becomes hidden as a whole."""
+    order, stack = [], [(root, False)]
+    while stack:
+        node, unseen = stack.pop()
+        if own := _VISIBILITY.findall(node.attributes.get("style", "")):
+            unseen = own[-1].lower() in ("hidden", "collapse")
+        order.append((node, unseen))
+        stack.extend((c, unseen) for c in node.children if isinstance(c, Node))
+    for node, unseen in reversed(order):
+        if unseen:
+            node.children = [c for c in node.children if isinstance(c, Node) and visible(c)]
+            if not node.children:
+                node.attributes = {"hidden": ""}
+
+
+def drawn(svg: Node) -> list[Node]:
+    """The texts of a drawing, in order."""
+    found, stack = [], list(reversed(svg.children))
+    while stack:
+        child = stack.pop()
+        if isinstance(child, str) or child.name in UNDRAWN or not visible(child):
+            continue
+        if child.name in DRAWN:
+            found.append(child)
+        else:
+            stack.extend(reversed(child.children))
+    return found
+
+
 def _width(text: str) -> int:
     """Columns that a text takes: wide characters two, combining ones none."""
     return len(text) if text.isascii() else sum(0 if unicodedata.combining(c) else 1 + (unicodedata.east_asian_width(c) in "WF") for c in text)
@@ -188,9 +221,10 @@ class Page:
         if self.line or keep:
             if self.lines and self.gap:
                 self.lines.append("")
-            prefix = "".join(self.indent)
+            prefix = "".join(self.indent[:DEEPEST])
             if self.mark:
-                prefix, self.mark = prefix[: len(prefix) - len(self.mark)] + self.mark, ""
+                room = len(self.mark) if len(self.indent) <= DEEPEST else 0
+                prefix, self.mark = prefix[: len(prefix) - room] + self.mark, ""
             self.lines.append((prefix + self.line).rstrip(" "))
             self.line, self.gap = "", 0
         self.space = False
@@ -232,11 +266,30 @@ def _cells(table: Node) -> tuple[list[Node], list[list[Node]]]:
     return captions, rows
 
 
-def _span(cell: Node) -> int:
-    value = cell.attributes.get("colspan", "1").strip()
+def _span(cell: Node, name: str = "colspan") -> int:
+    value = cell.attributes.get(name, "1").strip()
     return min(max(int(value), 1), 1000) if value.isdecimal() and len(value) < 6 else 1
 
 
+def _placed(rows: list[list[tuple[list[str], int, int]]]) -> list[list[tuple[list[str], int]]]:
+    """Rows of (lines, columns, rows it spans) with empty cells where a cell of an earlier row reaches down."""
+    reaching: dict[int, tuple[int, int]] = {}  # column: rows still to come, columns
+    out = []
+    for row in rows:
+        placed, at, below = [], 0, {}
+        for lines, span, down in row:
+            while at in reaching:
+                placed.append(([], reaching[at][1]))
+                at += reaching[at][1]
+            placed.append((lines, span))
+            if down > 1:
+                below[at] = (down - 1, span)
+            at += span
+        reaching = {c: (left - 1, span) for c, (left, span) in reaching.items() if left > 1} | below
+        out.append(placed)
+    return out
+
+
 def table_lines(rows: list[list[tuple[list[str], int]]]) -> list[str]:
     """Aligned lines of rows of (cell's lines, columns it spans). Cells are set apart by two spaces; spans take the room that is there."""
     widths: dict[int, int] = {}
@@ -261,11 +314,16 @@ def table_lines(rows: list[list[tuple[list[str], int]]]) -> list[str]:
 
 def render(source: str | None) -> str:
     """All visible text of a page, laid out. Null and empty pages give an empty text."""
-    if not source:
-        return ""
+    return rendered(build(source), source) if source else ""
+
+
+def rendered(root: Node, source: str) -> str:
+    """The text of a page's tree, which is used up."""
+    if "visibility" in source.lower():
+        settle(root)
     page = Page()
     #: a work list of steps: nodes to enter, and functions to call when their content is done
-    work: list = [(build(source), False)]
+    work: list = [(root, False)]
     while work:
         item = work.pop()
         if callable(item):
@@ -290,6 +348,9 @@ def render(source: str | None) -> str:
                 page.write(" " + node.attributes.get("value", "") + " ")
         elif name == "table":
             _enter_table(node, page, work)
+        elif name == "svg":
+            for child in reversed(drawn(node)):
+                work += [(" ", False), (child, False), (" ", False)]
         else:
             _enter(node, page, work, pre or name in ("pre", "listing", "xmp", "plaintext", "textarea"))
     page.end()
@@ -322,8 +383,13 @@ def _enter(node: Node, page: Page, work: list, pre: bool) -> None:
         number = int(value) if re.fullmatch("-?[0-9]{1,9}", value) else 1
         for child in node.children:
             if isinstance(child, Node) and child.name == "li" and visible(child):
+                if re.fullmatch("-?[0-9]{1,9}", own := child.attributes.get("value", "").strip()):
+                    number = int(own)
                 child.attributes = child.attributes | {"\0mark": f"{number}. " if name == "ol" else "- "}
                 number += 1
+    elif name == "optgroup" and (label := node.attributes.get("label", "").strip()):
+        page.write(label)
+        page.end()
     if push is not None:
         page.indent.append(push)
 
@@ -342,11 +408,11 @@ def _enter(node: Node, page: Page, work: list, pre: bool) -> None:
 def _enter_table(table: Node, page: Page, work: list) -> None:
     """Render each cell on a page of its own, then write the aligned lines."""
     captions, rows = _cells(table)
-    done: list[list[tuple[list[str], int]]] = []
+    done: list[list[tuple[list[str], int, int]]] = []
     page.apart()
 
     def finish() -> None:
-        for line in table_lines(done):
+        for line in table_lines(_placed(done)):
             page.line = line
             page.end(keep=not line and bool(page.lines))
         page.gap = 1
@@ -362,7 +428,7 @@ def _enter_table(table: Node, page: Page, work: list) -> None:
     def end(row: list, cell: Node):
         def step() -> None:
             page.end()
-            row.append((page.lines, _span(cell)))
+            row.append((page.lines, _span(cell), _span(cell, "rowspan")))
             page.lines, page.line, page.space, page.gap, page.mark, page.indent = kept.pop()
 
         return step
@@ -394,8 +460,12 @@ def extracted(pages: DataFrame, key: str = "page_id", html: str = "html") -> Dat
     def make():
         def step(batch: pa.RecordBatch) -> dict:
             sources = batch.column(1).to_pylist()
-            texts = [render(s) for s in sources]
-            return {"page_id": batch.column(0), "title": pa.array([title(s) for s in sources], pa.string()), "text": texts,
+            titles, texts = [], []
+            for source in sources:
+                tree = build(source or "")
+                titles.append(titled(tree))
+                texts.append(rendered(tree, source) if source else "")
+            return {"page_id": batch.column(0), "title": pa.array(titles, pa.string()), "text": texts,
                     "n_chars": pa.array(map(len, texts), pa.int64())}
 
         return step
@@ -405,6 +475,16 @@ def extracted(pages: DataFrame, key: str = "page_id", html: str = "html") -> Dat
 
 
 def title(source: str | None) -> str | None:
-    """The text of the first title element, white space collapsed."""
-    found = re.search(r"<title(?=[\s/>])[^>]*>(.*?)(?:</title|\Z)", source or "", re.I | re.S)
-    return _SPACE.sub(" ", entities.unescape(found[1])).strip(" ") if found else None
+    return titled(build(source or ""))
+
+
+def titled(root: Node) -> str | None:
+    """The text of the first title element outside drawings, white space collapsed; comments and scripts hold none."""
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        if node.name == "title":
+            return _SPACE.sub(" ", "".join(c for c in node.children if isinstance(c, str))).strip(" ")
+        if node.name != "svg":
+            stack.extend(c for c in reversed(node.children) if isinstance(c, Node))
+    return None

@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from pricetrail.llm.html_text import build, extracted, render, title
+from pricetrail.llm.html_text import DEEPEST, build, extracted, render, title
 from pricetrail.llm.queries import QUERIES
 
 CASES = {
@@ -53,6 +53,50 @@ def test_deep_and_long_pages():
     assert len(render("<li>a" * 20_000).split("\n")) == 20_000
 
 
+SEEN = {
+    "<select><option>red<option selected>blue<optgroup label=More><option>green</select>x": "red\nblue\nMore\ngreen\nx",
+    "a <math><mi>x</mi><mo>+</mo><mn>1</mn><annotation encoding=t>x+1</annotation></math> b": "a x+1 b",
+    "<svg><title>no</title><defs><text>no</text></defs><g><text>Q<tspan>1</tspan></text><text>Q2</text>no</g></svg>z": "Q1 Q2 z",
+    "<object data=a.swf>instead</object>": "instead",
+    "<div style='visibility:hidden'>a<p>b<span style='visibility: visible'>c</span>d</p><img alt=no></div>e": "c\n\ne",
+    "<p style='visibility:hidden'>a</p><ul style='visibility:collapse'><li>b</ul>c": "c",
+    "<div style='display:none'><p style='visibility:visible'>a</div>b": "b",
+    "<table><tr><td rowspan=2>A<td>b1<tr><td>b2<tr><td>C<td>d</table>": "A  b1\n   b2\nC  d",
+    "<table><tr><td rowspan=2 colspan=2>A<td>x<tr><td>y<tr><td>p<td>q<td>z</table>": "A     x\n      y\np  q  z",
+    "<ol><li>a<li value=7>b<li>c</ol>": "1. a\n7. b\n8. c",
+}
+
+
+@pytest.mark.parametrize("source", SEEN)
+def test_what_a_reader_sees(source):
+    assert render(source) == SEEN[source]
+
+
+def test_nested_lists_grow_with_the_page():
+    deep = render("<ul><li>x" * 4000)
+    assert deep.count("x") == 4000 and len(deep) < 4000 * (2 * DEEPEST + 4)
+    assert render("<ul><li>x" * 3) == "- x\n  - x\n    - x"
+    assert len(render("<ul><li>x" * 110_000)) < 8_000_000
+    quotes = render("<blockquote>q" * 2000)
+    assert quotes.count("q") == 2000 and len(quotes) < 2000 * (2 * DEEPEST + 4) * 2
+
+
+def test_open_elements_are_found_without_walking():
+    import time
+
+    def seconds(n):
+        start = time.process_time()
+        assert build("<p><button>" + "<div>" * n + "x").name == "html"
+        return time.process_time() - start
+
+    assert seconds(100_000) < 10  # 8 000 took 3.5 s when the stack was walked
+
+
+def test_title_elsewhere():
+    assert title("<!-- <title>a</title> --><script>'<title>b</title>'</script><svg><title>c</title></svg><title>d</title>") == "d"
+    assert title("<svg><title>c</title></svg>") is None
+
+
 def test_title():
     assert title("<title lang=en> A\n &amp; B </title>") == "A & B" and title("<titled>x") is None and title(None) is None
 
