@@ -11,15 +11,23 @@ from pyspark.sql import functions as F
 
 from pricetrail.operators.joins import several, sole, spread_lookup
 from pricetrail.operators.paging import offset_page
+from pricetrail.session import cut_lineage
 
 # Fixed value: what a merged product takes from the source row when the target lacks it.
 FILLED_BY_MERGE = ("sku", "barcode", "name", "brand", "quantity", "category_id", "product_url", "thumbnail_url")
 
 
 def pair_key(sku: Column, barcode: Column) -> Column:
-    """Identity of a pair: SHA-256 of the JSON list [sku, barcode]."""
+    """Identity of a pair: SHA-256 of the JSON list [sku, barcode] in ASCII."""
     text = F.regexp_replace(F.to_json(F.array(sku, barcode)), r'^\[("(?:[^"\\]|\\.)*"),', r"[$1, ")
-    return F.sha2(text, 256)
+    return F.sha2(ascii_json(text), 256)
+
+
+def ascii_json(text: Column) -> Column:
+    """JSON text with the UTF-16 units of every character beyond the tilde as escapes."""
+    units = lambda c: F.regexp_replace(F.lower(F.hex(F.encode(c, "UTF-16BE"))), "(.{4})", r"\\u$1")
+    escaped = F.transform(F.split(text, ""), lambda c: F.when(c.rlike(r"^[\x00-~]$"), c).otherwise(units(c)))
+    return F.when(text.rlike(r"[^\x00-~]"), F.array_join(escaped, "")).otherwise(text)
 
 
 def invalid_key(*parts: Column) -> Column:
@@ -43,41 +51,42 @@ def ambiguous_pairs(rows: DataFrame, row_id: str) -> DataFrame:
     return flagged.withColumn("ambiguous", whole & bad).drop("_bad_sku", "_bad_barcode")
 
 
-def _facts(key: str, file: DataFrame | None, pending: DataFrame, holdings: DataFrame) -> DataFrame:
-    """Everything known about each value of one identifier, in one aggregation.
+def _facts(file: DataFrame | None, pending: DataFrame, products: DataFrame, aliases: DataFrame | None) -> DataFrame:
+    """Everything known about each value of either identifier: one pass over each input, one aggregation, stored once.
 
-    f_* other identifiers in the file, r_* in stored related rows, p_* the products that hold it.
+    kind ('sku' or 'barcode') and value; f_* other identifiers in the file, r_* and rp_* partners and products of stored related rows,
+    p_* the products that hold the value.
     """
-    other = "barcode" if key == "sku" else "sku"
-    related = pending.filter(F.col("status") != "invalid").select(
-        key, F.col(other).alias("_r"), (F.col("status") == "needsReview").alias("_review"), F.col("product_id").alias("_rp"))
-    held = holdings.select(key, F.col("id").alias("_p"), F.col("held_barcode").alias("_pb"), F.col("held_source").alias("_ps"))
-    everything = related.unionByName(held, allowMissingColumns=True)
+    sides = F.explode(F.array(*[
+        F.struct(F.lit(key).alias("kind"), F.col(key).alias("value"), F.col(other).alias("other"))
+        for key, other in (("sku", "barcode"), ("barcode", "sku"))])).alias("_s")
+    known = pending.filter(F.col("status") != "invalid").select(
+        sides, (F.col("status") == "needsReview").alias("_review"), F.col("product_id").alias("_rp"))
+    everything = known.select("_s.kind", "_s.value", F.col("_s.other").alias("_r"), "_review", "_rp")
+    held = products.select(sides, F.col("id").alias("_p"), F.col("barcode").alias("_pb"), F.col("source_product_id").alias("_ps"))
+    everything = everything.unionByName(held.select("_s.kind", "_s.value", "_p", "_pb", "_ps"), allowMissingColumns=True)
+    if aliases is not None:
+        more = aliases.select(F.lit("barcode").alias("kind"), F.col("barcode").alias("value"), F.col("product_id").alias("_p"))
+        everything = everything.unionByName(more, allowMissingColumns=True)
     if file is not None:
-        everything = everything.unionByName(file.select(key, F.col(other).alias("_f")), allowMissingColumns=True)
-    sides = {"_f": "f", "_r": "r", "_rp": "rp", "_p": "p"}
+        given = file.select(sides).select("_s.kind", "_s.value", F.col("_s.other").alias("_f"))
+        everything = everything.unionByName(given, allowMissingColumns=True)
     ranges = []
-    for column, name in sides.items():
+    for column, name in (("_f", "f"), ("_r", "r"), ("_rp", "rp"), ("_p", "p")):
         if column in everything.columns:
-            ranges += [F.min(column).alias(f"{key}_{name}_low"), F.max(column).alias(f"{key}_{name}_high")]
-    return everything.filter(F.col(key).isNotNull()).groupBy(key).agg(
-        *ranges,
-        F.coalesce(F.bool_or("_review"), F.lit(False)).alias(f"{key}_review"),
-        F.max("_pb").alias(f"{key}_p_barcode"),
-        F.max("_ps").alias(f"{key}_p_source"),
-    )
+            ranges += [F.min(column).alias(f"{name}_low"), F.max(column).alias(f"{name}_high")]
+    return cut_lineage(everything.filter(F.col("value").isNotNull()).groupBy("kind", "value").agg(
+        *ranges, F.coalesce(F.bool_or("_review"), F.lit(False)).alias("review"),
+        F.max("_pb").alias("p_barcode"), F.max("_ps").alias("p_source")))
 
 
 def _with_facts(pairs: DataFrame, file: DataFrame | None, pending: DataFrame, products: DataFrame,
                 aliases: DataFrame | None) -> DataFrame:
-    held = products.withColumns({"held_barcode": F.col("barcode"), "held_source": F.col("source_product_id")})
-    by_sku = held.select("sku", "id", "held_barcode", "held_source")
-    by_barcode = held.select("barcode", "id", "held_barcode", "held_source")
-    if aliases is not None:
-        more = aliases.select("barcode", F.col("product_id").alias("id"))
-        by_barcode = by_barcode.unionByName(more, allowMissingColumns=True)
-    rows = spread_lookup(pairs, _facts("sku", file, pending, by_sku), ["sku"], "barcode")
-    return spread_lookup(rows, _facts("barcode", file, pending, by_barcode), ["barcode"], "sku")
+    facts, rows = _facts(file, pending, products, aliases), pairs
+    for key, other in (("sku", "barcode"), ("barcode", "sku")):
+        named = [F.col(c).alias(f"{key}_{c}") for c in facts.columns if c not in ("kind", "value")]
+        rows = spread_lookup(rows, facts.filter(F.col("kind") == key).select(F.col("value").alias(key), *named), [key], other)
+    return rows
 
 
 def _differs(low: Column, high: Column, value: Column) -> Column:
@@ -130,12 +139,16 @@ def import_identifiers(rows: DataFrame, pending: DataFrame, products: DataFrame)
     a file do not influence each other beyond the ambiguity flag, so order does not matter. An invalid row is known by all that is
     given of it: with the columns file, sheet and raw, equal row numbers of different files are different rows.
     """
-    valid = rows.filter("error IS NULL").groupBy("sku", "barcode").agg(
-        F.count(F.lit(1)).alias("copies"), F.min("row_number").alias("row_number"))
-    facts = _with_facts(valid, valid, pending, products, None)
-    facts = facts.withColumn("id", pair_key(F.col("sku"), F.col("barcode")))
+    named = [c for c in ("file", "sheet", "row_number", "sku", "barcode", "error", "raw") if c in rows.columns]
+    given = F.col("error").isNotNull().alias("_invalid")
+    unread = F.when(F.col("error").isNotNull(), invalid_key(*[F.col(c).cast("string") for c in named])).alias("_unread")
+    pair = [F.when(F.col("error").isNull(), F.col(c)).alias(c) for c in ("sku", "barcode")]
+    distinct = cut_lineage(rows.select(given, unread, *pair, "row_number").groupBy("_invalid", "_unread", "sku", "barcode").agg(
+        F.count(F.lit(1)).alias("copies"), F.min("row_number").alias("row_number")))
+    valid = distinct.filter("NOT _invalid").drop("_invalid", "_unread")
+    keyed = distinct.withColumn("id", F.coalesce("_unread", pair_key(F.col("sku"), F.col("barcode"))))
     stored = pending.select("id", F.col("status").alias("_status"), F.col("product_id").alias("_product"))
-    facts = facts.join(stored, "id", "left")
+    facts = _with_facts(keyed.join(stored, "id", "left"), valid, pending, products, None)
     product, prior = _product(), F.col("_status").isNotNull()
     held = F.col("sku_p_low").isNotNull()
     attachable = product.isNotNull() & ~_other_barcode() & ~_owner_elsewhere(product)
@@ -157,17 +170,15 @@ def import_identifiers(rows: DataFrame, pending: DataFrame, products: DataFrame)
         .otherwise(status)
     )
     owner = F.when(prior & (F.col("_status") != "pending"), F.col("_product")).when(status == "matched", product)
-    good = facts.select(
-        "id", "sku", "barcode", status.alias("status"), owner.alias("product_id"), "copies", "row_number",
-        prior.alias("prior"), counter.alias("counter"), (~prior & (counter == "matched")).alias("attaches_barcode"))
-    named = [c for c in ("file", "sheet", "row_number", "sku", "barcode", "error", "raw") if c in rows.columns]
-    invalid = rows.filter("error IS NOT NULL").withColumn("id", invalid_key(*[F.col(c).cast("string") for c in named]))
-    invalid = invalid.join(stored, "id", "left").select(
-        "id", F.lit(None).cast("string").alias("sku"), F.lit(None).cast("string").alias("barcode"),
-        F.lit("invalid").alias("status"), F.lit(None).cast("string").alias("product_id"),
-        F.lit(1).cast("long").alias("copies"), "row_number", prior.alias("prior"), F.lit("invalid").alias("counter"),
-        F.lit(False).alias("attaches_barcode"))
-    return good.unionByName(invalid)
+    # rows that cannot be read count one by one, also where a file repeats them
+    bad = F.col("_invalid")
+    fresh_match = ~prior & (counter == "matched")
+    decided = facts.select(
+        "id", "sku", "barcode", F.when(bad, "invalid").otherwise(status).alias("status"), F.when(~bad, owner).alias("product_id"),
+        F.when(bad, F.lit(1)).otherwise(F.col("copies")).cast("long").alias("copies"), "row_number", prior.alias("prior"),
+        F.when(bad, "invalid").otherwise(counter).alias("counter"), (~bad & fresh_match).alias("attaches_barcode"),
+        F.explode(F.when(bad, F.sequence(F.lit(1).cast("long"), F.col("copies"))).otherwise(F.array(F.lit(1).cast("long")))).alias("_each"))
+    return decided.drop("_each")
 
 
 def import_report(result: DataFrame) -> DataFrame:

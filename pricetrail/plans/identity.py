@@ -185,11 +185,10 @@ def _pending(s):
 
 
 @query("idr1_identifier_import", IMPORT_VIEWS + """SELECT id, sku, barcode, status, copies, prior, product_id, counter FROM r
-    UNION ALL SELECT 'row ' || row_number, NULL, NULL, 'invalid', 1, FALSE, NULL, 'invalid' FROM pairs WHERE error IS NOT NULL""")
+    UNION ALL SELECT sha256('{"p0":"' || row_number || '","p1":null,"p2":"' || barcode || '","p3":"' || error || '"}'), NULL, NULL, 'invalid', 1,
+      FALSE, NULL, 'invalid' FROM pairs WHERE error IS NOT NULL""")
 def identifier_import(s):
-    result = _import(s)
-    row = F.when(F.col("status") == "invalid", F.concat(F.lit("row "), F.col("row_number"))).otherwise(F.col("id"))
-    return result.withColumn("id", row).drop("row_number", "attaches_barcode")
+    return _import(s).drop("row_number", "attaches_barcode")
 
 
 @query("agg3_import_report", IMPORT_VIEWS + """, c AS (SELECT *, CASE status WHEN 'matched' THEN 'alreadyMatched'

@@ -137,9 +137,7 @@ def envelope_errors(s):
     CAST(sum(n + CASE WHEN biggest = 50 THEN 1 ELSE 0 END) AS BIGINT) AS returned,
     CASE WHEN sum(n + CASE WHEN biggest = 50 THEN 1 ELSE 0 END) <> max(total) THEN 'page set is not complete' ELSE '' END AS errors FROM j GROUP BY query""")
 def page_sets(s):
-    pages = J.envelope(_responses(s))
-    checked = J.validate_pages(pages, J.search_products(_responses(s), HOST))
-    return checked.withColumn("errors", F.array_join("errors", ","))
+    return J.page_sets(J.envelope(_responses(s))).withColumn("errors", F.array_join("errors", ","))
 
 
 @query("snk1_published_log", views("products", "observed", more=BATCH_SQL + ", " + UPSERT_SQL) + """SELECT 100 + row_number() OVER (ORDER BY id) AS version,

@@ -61,14 +61,12 @@ def listing_cards(s):
 @query("ext1_page_states", """SELECT p_partkey AS page_id, 2 AS cards, CASE WHEN p_size > 45 THEN 1 ELSE 0 END AS restricted_cards, FALSE AS page_restricted,
     CASE WHEN p_size = 1 THEN 'missing source product id' END AS refused FROM part""")
 def page_states(s):
-    read = _listing(s)
-    return E.page_states(read, E.extract_cards(read, SHOP))
+    return E.listing_states(_listing(s), SHOP)
 
 
 @query("ext1_given_pages", "SELECT page_id, 0 AS cards, 0 AS restricted_cards, FALSE AS page_restricted, 'product list not recognized' AS refused FROM pages")
 def given_pages(s):
-    read = E.read_listing(spread(s, s.table("pages")), SHOP)
-    return E.page_states(read, E.extract_cards(read, SHOP))
+    return E.listing_states(E.read_listing(spread(s, s.table("pages")), SHOP), SHOP)
 
 
 @query("ext2_next_links", """SELECT p_partkey AS page_id, 'https://shop.example/list/' || p_partkey || '/' AS url,

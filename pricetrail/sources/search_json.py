@@ -129,11 +129,37 @@ def validate_pages(pages: DataFrame, products: DataFrame, limit: int = PAGE_LIMI
     repeats = products.groupBy("query", "source_product_id").agg(F.count(F.lit(1)).alias("n"))
     repeats = repeats.groupBy("query").agg(F.max("n").alias("_copies"))
     rows = sets.join(offsets, "query").join(repeats, "query", "left")
-    tests = [
+    return rows.select("query", "pages", "total", "returned", _set_errors(limit, max_pages).alias("errors"))
+
+
+def _set_errors(limit: int, max_pages: int) -> Column:
+    return _errors([
         (F.col("_offset") > 1, "offset_not_advanced"),
         (F.col("_low") != F.col("total"), "inconsistent total"),
         ((F.col("total") > WINDOW) | (F.col("total") > limit * max_pages), "result budget exceeded"),
         (F.col("_copies") > 1, "repeated page or duplicate product id"),
         ((F.col("_last") != 1) | (F.col("_first") != 0) | (F.col("returned") != F.col("total")), "page set is not complete"),
-    ]
-    return rows.select("query", "pages", "total", "returned", _errors(tests).alias("errors"))
+    ])
+
+
+def page_sets(pages: DataFrame, limit: int = PAGE_LIMIT, max_pages: int = MAX_PAGES) -> DataFrame:
+    """``validate_pages`` over envelopes: pages and product ids are taken from one parse, and both kinds of repetition are counted together.
+
+    Offsets and ids are counted per query and value, then per query; a search of very many products is spread over its ids.
+    """
+    ids = F.transform("products", lambda p: F.struct(F.lit(False).alias("page"), F.try_variant_get(p, "$.product_id", "string").alias("key")))
+    itself = F.array(F.struct(F.lit(True).alias("page"), F.col("offset").cast("string").alias("key")))
+    entries = pages.select("query", "offset", "returned", "total", "has_more",
+                           F.explode(F.concat(itself, F.coalesce(ids, F.array().cast("array<struct<page:boolean,key:string>>")))).alias("e"))
+    own = F.col("e.page")
+    of_page = lambda c: F.when(own, c)
+    values = entries.groupBy("query", F.col("e.page").alias("page"), F.col("e.key").alias("key")).agg(
+        F.count(F.lit(1)).alias("n"), F.min(of_page(F.col("total"))).alias("low"), F.max(of_page(F.col("total"))).alias("high"),
+        F.sum(of_page(F.col("returned"))).alias("returned"), F.min(of_page(F.col("offset"))).alias("first"),
+        F.count_if(own & ~F.col("has_more")).alias("last"))
+    copies = F.max(F.when(~F.col("page"), F.col("n")))
+    sets = values.groupBy("query").agg(
+        F.sum(F.when(F.col("page"), F.col("n"))).alias("pages"), F.max("high").alias("total"), F.sum("returned").alias("returned"),
+        F.min("low").alias("_low"), F.min("first").alias("_first"), F.sum("last").alias("_last"),
+        F.max(F.when(F.col("page"), F.col("n"))).alias("_offset"), copies.alias("_copies"))
+    return sets.select("query", "pages", "total", "returned", _set_errors(limit, max_pages).alias("errors"))
