@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
 
 from pricetrail.llm.rows import map_batches, unused, utf8
+from pricetrail.operators.joins import spread_lookup
 
 #: Words of consecutive item text that make a window.
 WINDOW = 13
@@ -199,7 +200,7 @@ def _all_passes(docs: DataFrame, benchmark: DataFrame, window: int, shard_words:
         part = part.filter("size(spans) > 0").select("digest", "spans", "items").dropDuplicates(["digest"])
         every = part if every is None else every.unionByName(part)
     every = every.groupBy("digest").agg(F.flatten(F.collect_list("spans")).alias("more"), F.flatten(F.collect_list("items")).alias("of"))
-    both = first.join(every, "digest", "left").withColumn("items", F.array_distinct(F.concat("items", F.coalesce("of", F.array().cast("array<long>")))))
+    both = spread_lookup(first, every, ["digest"], "doc_id").withColumn("items", F.array_distinct(F.concat("items", F.coalesce("of", F.array().cast("array<long>")))))
     return both.withColumn("spans", F.concat("spans", F.coalesce("more", F.array().cast("array<long>")))).drop("more", "of")
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from pricetrail.llm.gated import sigmoid
 from pricetrail.llm.rows import fold, map_batches
+from pricetrail.session import cut_lineage
 
 #: Hashed counts of n-grams of one to ORDERS characters.
 WIDTH, ORDERS = 4096, 3
@@ -114,6 +115,27 @@ class Codes:
         return like / like.sum(axis=1, keepdims=True)
 
 
+def _first_ids(known: DataFrame, sizes: dict[str, int], each: int) -> DataFrame:
+    """(doc_id, lang) of the first ``each`` rows of every language, by a hash of the id.
+
+    Only ids whose hash lies in about twice the share that is wanted are ranked, so a language of any size sends few rows to the task that
+    ranks it. Where too few lie there, the share grows until they do, or is the whole.
+    """
+    spark, share, done = known.sparkSession, {lang: 2 * each / n for lang, n in sizes.items()}, None
+    rank = F.xxhash64("doc_id")
+    while share:
+        edges = [(lang, min(2**63 - 1, int(-(2**63) + s * 2**64))) for lang, s in share.items()]
+        limits = spark.createDataFrame(edges, "lang string, edge long")
+        near = known.join(F.broadcast(limits), "lang").filter(rank <= F.col("edge")).groupBy("lang", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+        near = cut_lineage(near)
+        held = {r.lang: r.n for r in near.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+        short = [lang for lang, s in share.items() if s < 1 and held.get(lang, 0) < min(each, sizes[lang])]
+        near = near.filter(~F.col("lang").isin(short)) if short else near
+        done, share = near if done is None else done.unionByName(near), {lang: 8 * share[lang] for lang in short}
+    before = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    return done.withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0))).filter(F.col("_before") < each).select("doc_id", "lang")
+
+
 def train(docs: DataFrame) -> Codes | None:
     """Codes from documents with a language and an id outside the held-out fold; None if no such text has a letter."""
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
@@ -122,9 +144,8 @@ def train(docs: DataFrame) -> Codes | None:
     if not found:
         return None
     each = max(1, min(PER_LANGUAGE, SAMPLE // len(found)))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = known.select("doc_id", "lang").withColumn("place", place).filter(F.col("place") <= each)
-    rows = known.join(F.broadcast(ids.select("doc_id", "lang").distinct()), ["doc_id", "lang"])  # at most SAMPLE ids
+    ids = _first_ids(known.select("doc_id", "lang"), {r.lang: r.n for r in found}, each)
+    rows = known.join(F.broadcast(ids), ["doc_id", "lang"])  # at most SAMPLE ids
 
     def make():
         def step(batch: pa.RecordBatch) -> dict:

@@ -1,8 +1,8 @@
 """Quality rules: counted features of a text, and a hashed n-gram log-likelihood ratio. DataFrame functions only.
 
 Two multinomials over hashed n-grams are estimated: one from trusted documents, one from all documents. A document's score is the
-mean over its n-grams of log p(trusted) - log p(raw); documents below a fixed threshold are dropped. The n-grams are whole words
-and the last two characters of words. Weights are whole numbers (millionths), so sums do not depend on their order.
+mean over its n-grams of log p(trusted) - log p(raw); documents below a fixed threshold are dropped. The n-grams are whole words,
+the last two characters of words and, where asked for, neighbouring words. Weights are whole numbers (millionths), so sums do not depend on their order.
 """
 
 from __future__ import annotations
@@ -29,11 +29,15 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text.cast("string"), F.lit("")), _SPACE), "")
 
 
-def ngrams(ws: Column) -> Column:
-    """Bucket numbers of the n-grams of a word list: every word, and the last two characters of every word."""
+def ngrams(ws: Column, pairs: bool = False) -> Column:
+    """Bucket numbers of the n-grams of a word list: every word, the last two characters of every word and, with ``pairs``, every two neighbouring words."""
     whole = F.transform(ws, lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int"))
     ends = F.transform(ws, lambda w: F.pmod(F.xxhash64(F.right(w, F.lit(2)), F.lit(2)), F.lit(BUCKETS)).cast("int"))
-    return F.concat(whole, ends)
+    if not pairs:
+        return F.concat(whole, ends)
+    first = F.slice(ws, 1, F.greatest(F.size(ws) - 1, F.lit(0)))
+    beside = F.transform(first, lambda w, i: F.pmod(F.xxhash64(w, F.get(ws, i + 1), F.lit(3)), F.lit(BUCKETS)).cast("int"))
+    return F.concat(whole, ends, beside)
 
 
 def _let(value: Column, body) -> Column:
@@ -66,7 +70,7 @@ def repeated_words(ws: Column) -> Column:
     return F.when(F.size(ws) > 3, _let(hashes, covered)).otherwise(0).cast("long")
 
 
-def weights(docs: DataFrame, labels: DataFrame, trusted: int = TRUSTED) -> list[int]:
+def weights(docs: DataFrame, labels: DataFrame, trusted: int = TRUSTED, pairs: bool = False) -> list[int]:
     """Millionths of log p(trusted) - log p(raw) by bucket.
 
     Counts are taken over every n-gram of every document; each task adds up its own rows first, so at most BUCKETS rows per task are
@@ -75,7 +79,7 @@ def weights(docs: DataFrame, labels: DataFrame, trusted: int = TRUSTED) -> list[
     """
     ids = labels.filter("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id")).distinct()
     ids = ids.orderBy(F.xxhash64("id"), "id").limit(trusted).withColumn("good", F.lit(1))
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.explode(_let(words(F.col("text")), ngrams)).alias("bucket"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.explode(_let(words(F.col("text")), lambda ws: ngrams(ws, pairs))).alias("bucket"))
     rows = rows.join(F.broadcast(ids), "id", "left")  # at most ``trusted`` ids
     counted = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("good").alias("good")).collect()
     raw, good = [1] * BUCKETS, [0] * BUCKETS
@@ -100,18 +104,19 @@ def features(text: Column, ws: Column) -> dict[str, Column]:
     }
 
 
-def _score(ws: Column, weight: list[int]) -> Column:
+def _score(ws: Column, weight: list[int], pairs: bool) -> Column:
     table = F.split(F.lit(",".join(map(str, weight))), ",").cast("array<int>")
-    total = F.aggregate(ngrams(ws), F.lit(0).cast("long"), lambda s, b: s + F.get(table, b))
-    return F.when(F.size(ws) > 0, total / F.lit(float(UNIT)) / (2 * F.size(ws))).otherwise(0.0)
+    total = F.aggregate(ngrams(ws, pairs), F.lit(0).cast("long"), lambda s, b: s + F.get(table, b))
+    many = 3 * F.size(ws) - 1 if pairs else 2 * F.size(ws)
+    return F.when(F.size(ws) > 0, total / F.lit(float(UNIT)) / many).otherwise(0.0)
 
 
-def _judged(text: Column, weight: list[int], threshold: float) -> Column:
+def _judged(text: Column, weight: list[int], threshold: float, pairs: bool) -> Column:
     """Features, score and verdicts as a struct. The word list is bound inside the expression: were it a column of its own, a filter on the
     verdict would be pushed below it and work it out anew for every word."""
 
     def measured(ws: Column) -> Column:
-        return F.struct(*[c.alias(n) for n, c in features(text, ws).items()], _score(ws, weight).alias("score"))
+        return F.struct(*[c.alias(n) for n, c in features(text, ws).items()], _score(ws, weight, pairs).alias("score"))
 
     def verdict(m: Column) -> Column:
         failed = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
@@ -120,17 +125,18 @@ def _judged(text: Column, weight: list[int], threshold: float) -> Column:
     return _let(_let(words(text), measured), verdict)
 
 
-def judged(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def judged(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, pairs: bool = False) -> DataFrame:
     """doc_id, the counted features, base_failed, score and kept for every row of ``docs``.
 
     A document fails the base rules with fewer than 50 words, or with over half of its words in repeated windows; null and
     blank texts have no words and fail. It is kept if it passes them and its score is at least ``threshold``. Repeated rows count as
     often as they stand; other columns are ignored; empty tables give no rows, and empty labels keep all that passes the base rules.
+    With ``pairs`` the n-grams include neighbouring words, so that the order of words counts.
     """
-    verdict = _judged(F.col("text"), weights(docs, labels), threshold)
+    verdict = _judged(F.col("text"), weights(docs, labels, pairs=pairs), threshold, pairs)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), verdict.alias("found")).select("doc_id", "found.*")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, pairs: bool = False) -> DataFrame:
     """The rows of ``docs`` that ``judged`` keeps, all columns."""
-    return docs.filter(_judged(F.col("text"), weights(docs, labels), threshold)["kept"])
+    return docs.filter(_judged(F.col("text"), weights(docs, labels, pairs=pairs), threshold, pairs)["kept"])

@@ -118,7 +118,7 @@ def archive(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op7_quality_rules")
 def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
-    found = judged(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    found = judged(table(spark, folder, "documents"), table(spark, folder, "labels"), pairs=True)
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 

@@ -78,6 +78,22 @@ def test_predictions(spark):
     assert np.mean([by_id[r.doc_id].lang_pred == rows[r.doc_id][2] for r in held]) > 0.95
 
 
+def test_first_ids_are_those_of_a_whole_ranking(spark):
+    """The bounded ranking takes the same rows as a window over all of them; repeated rows take places, and small shares grow."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from pricetrail.llm.langid import _first_ids
+
+    rows = [(i, "aa") for i in range(3000)] + [(i % 7, "bb") for i in range(2000)] + [(i, "cc") for i in range(3)] + [(9, "dd")] * 500
+    known = spark.createDataFrame(rows, "doc_id long, lang string")
+    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    for each in (1, 20, 500):
+        place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+        want = known.withColumn("place", place).filter(F.col("place") <= each).select("doc_id", "lang").distinct()
+        assert sorted(map(tuple, _first_ids(known, sizes, each).collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_few_languages(spark):
     docs = spark.createDataFrame(made(spark, 40), "doc_id long, text string, lang string, score double")
     assert {(r.lang_pred, r.score) for r in identified(docs.filter("lang = 'aa'")).collect()} == {("aa", 1.0)}

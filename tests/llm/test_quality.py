@@ -79,6 +79,37 @@ def test_scores_and_verdicts(spark, labelled):
         assert r.kept == (not r.base_failed and r.score >= -0.2)
 
 
+def test_pairs_of_words(spark, labelled):
+    """Scores with neighbouring words by definition, and the same words in another order score differently."""
+    rows, docs, labels = labelled
+    good = {r.doc_id for r in labels.collect() if r.quality == 1 and r.doc_id is not None}
+    joint = {p for _, t in rows for ws in [words_of(t)] for p in [*((w, None) for w in ws), *zip(ws, ws[1:])]}
+    n = quality.BUCKETS
+    grams = {(r.a, r.b): (r.w, r.e, r.p) for r in spark.createDataFrame(sorted(joint, key=repr), "a string, b string").selectExpr(
+        "a", "b", f"int(pmod(xxhash64(a), {n})) AS w", f"int(pmod(xxhash64(right(a, 2), 2), {n})) AS e", f"int(pmod(xxhash64(a, b, 3), {n})) AS p").collect()}
+
+    def buckets(t):
+        ws = words_of(t)
+        return [b for w in ws for b in grams[w, None][:2]] + [grams[p][2] for p in zip(ws, ws[1:])]
+
+    raw, trusted = Counter({b: 1 for b in range(n)}), Counter()
+    for i, t in rows:
+        raw.update(buckets(t))
+        trusted.update(buckets(t) if i in good else [])
+    n_raw, n_good = raw.total(), trusted.total() + n
+    weight = {b: math.log((trusted[b] + n * c / n_raw) / n_good) - math.log(c / n_raw) for b, c in raw.items()}
+    ids = {i: t for i, t in reversed(rows)}
+    got = quality.judged(docs, labels, -0.2, pairs=True).collect()
+    for r in got:
+        of = buckets(ids[r.doc_id])
+        assert r.score == pytest.approx(sum(weight[b] for b in of) / max(1, len(of)), abs=2e-6)
+        assert r.kept == (not r.base_failed and r.score >= -0.2)
+    pick = random.Random(4)
+    mixed = [(1000 + i, " ".join(pick.sample(words_of(t), len(words_of(t)))), "x", 1) for i, t in rows if i in good]
+    both = {r.doc_id: r.score for r in quality.judged(docs.unionByName(spark.createDataFrame(mixed, docs.schema)), labels, pairs=True).collect()}
+    assert sum(abs(both[1000 + i] - both[i]) > 1e-3 for i in good if 1000 + i in both) > len(mixed) / 2
+
+
 def test_kept_rows_keep_their_columns(labelled):
     _, docs, labels = labelled
     kept = quality.keep_good(docs, labels)
