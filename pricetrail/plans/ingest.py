@@ -49,12 +49,11 @@ def identifier_file(s):
 @query("src2_quoted_records", views("pairs") + """SELECT sku, barcode, CASE WHEN row_number % 10 = 3 THEN 'two' || chr(10) || 'lines; "' || barcode || '"' ELSE 'part ' || barcode END AS name
     FROM pairs WHERE sku IS NOT NULL""")
 def quoted_records(s):
-    """One file whose records partly go on over lines."""
+    """Files whose records partly go on over lines, each written by one task, with its own header."""
     folder = scratch(s, "quoted")
-    name = F.when(F.col("row_number") % 10 == 3, F.concat(F.lit('"two\nlines; ""'), "barcode", F.lit('"""'))).otherwise(F.concat(F.lit("part "), "barcode"))
-    rows = s.sql(B.PAIRS).filter("sku IS NOT NULL").select(F.concat_ws(";", "sku", "barcode", name).alias("value"))
-    header = s.spark.createDataFrame([("Cod SKU;EAN;Denumire",)], "value string")
-    header.unionByName(rows).coalesce(1).write.text(folder)
+    name = F.when(F.col("row_number") % 10 == 3, F.concat(F.lit('two\nlines; "'), "barcode", F.lit('"'))).otherwise(F.concat(F.lit("part "), "barcode"))
+    rows = s.sql(B.PAIRS).filter("sku IS NOT NULL").select(F.col("sku").alias("Cod SKU"), F.col("barcode").alias("EAN"), name.alias("Denumire"))
+    rows.write.option("header", True).option("sep", ";").option("escape", '"').csv(folder)
     return D.map_headers(D.read_identifier_csv(s.spark, folder)).select("sku", "barcode", "name")
 
 

@@ -6,11 +6,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pricetrail.functions.binding import let
 from pricetrail.functions.text import identifier_text, is_blank, strip
-from pricetrail.operators.changes import number_rows
-from pricetrail.operators.joins import spread_lookup
 from pricetrail.operators.products import fold_literal
 from pricetrail.session import cut_lineage
 
@@ -72,25 +71,22 @@ def read_identifier_csv(spark: SparkSession, path: str) -> DataFrame:
     kind of line ending are accepted; blank rows are counted and dropped. Files of several layouts come together under the fields
     their headers mean. Rows are numbered by record. A quoted cell may go on over lines: such lines are found and put together
     wherever they lie (``_records``), so a file is read in parallel whether it has any or not. A quote that is never closed ends
-    with its line. One row per different header comes to the driver.
+    with its line. One row per different header comes to the driver. Lines are numbered where they are read: of every piece of a
+    file that a task reads, one row tells how many lines lie before it, and these rows are broadcast.
     """
-    lines = spark.read.text(path).select(
+    lines = cut_lineage(spark.read.text(path).select(
         "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_name").alias("source_file"),
-        F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
-    placed = number_rows(lines, ["_file", "_block", "_at"], "_place")
-    odd = F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1
-    files = placed.groupBy("_file").agg(
-        F.min("_place").alias("_first"), F.max("_place").alias("_last"), F.min_by("value", "_place").alias("_header"), F.bool_or(odd).alias("_odd"))
-    files = cut_lineage(files.withColumn("_sep", _separator(F.col("_header"))))
-    headers = [r["_header"] for r in files.select("_header").distinct().orderBy("_header").collect()]
+        F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at")))
+    spots = _spots(lines)
+    headers = [r["_header"] for r in spots.select("_header").distinct().orderBy("_header").collect()]
     if not headers:
         raise ValueError("the file has no rows")
-    rows = spread_lookup(placed, files, ["_file"], "_place")
-    single = rows.filter("NOT _odd").withColumn("row_number", F.col("_place") - F.col("_first") + 1)
+    placed = lines.join(F.broadcast(spots), ["_file", "_block"]).withColumn("_place", F.col("_before") + F.col("_at") - F.col("_from") + 1)
+    single = placed.filter("NOT _odd").withColumn("row_number", F.col("_place") - F.col("_first") + 1)
     columns = ["value", "source_file", "row_number", "_header"]
     rows = single.select(*columns)
-    if not files.filter("_odd").isEmpty():
-        rows = rows.unionByName(_records(spread_lookup(placed, files.filter("_odd"), ["_file"], "_place", "inner")).select(*columns))
+    if not spots.filter("_odd").isEmpty():
+        rows = rows.unionByName(_records(placed.filter("_odd")).select(*columns))
     rows = rows.filter("row_number > 1")
     parts = [_from_lines(rows.filter(F.col("_header") == h), *_layout(h)) for h in headers]
     if len(parts) > 1:
@@ -103,6 +99,25 @@ def read_identifier_csv(spark: SparkSession, path: str) -> DataFrame:
     return data
 
 
+def _spots(lines: DataFrame) -> DataFrame:
+    """One row per piece of a file (_file, _block): lines before it in all files (_before), its first line's _at (_from), its file's
+    first and last place, whether the file has a line with an odd count of quotes (_odd), _header and _sep.
+
+    A piece is what one task reads, so the rows are as many as the tasks that read the files.
+    """
+    odd = F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1
+    pieces = lines.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_from"), F.max(odd).alias("_some"))
+    in_order = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    file = Window.partitionBy("_file")
+    pieces = cut_lineage(pieces.withColumn("_upto", F.sum("_n").over(in_order)).withColumns({
+        "_before": F.col("_upto") - F.col("_n"), "_first": F.min(F.col("_upto") - F.col("_n")).over(file) + 1,
+        "_last": F.max("_upto").over(file), "_odd": F.max("_some").over(file)}))
+    begins = pieces.filter("_before + 1 = _first").select("_file", F.col("_from").alias("_at"))
+    heads = lines.join(F.broadcast(begins), ["_file", "_at"]).select("_file", F.col("value").alias("_header"))
+    spots = pieces.join(heads, "_file").withColumn("_sep", _separator(F.col("_header")))
+    return cut_lineage(spots.drop("_n", "_some", "_upto"))
+
+
 def _separator(header: Column) -> Column:
     """The separator that ``_layout`` finds."""
     counts = [F.length(header) - F.length(F.replace(header, F.lit(s), F.lit(""))) for s in SEPARATORS]
@@ -120,7 +135,8 @@ def _left_open(value: Column, sep: Column) -> tuple[Column, Column]:
         rest = f'(?:{s}(?:"{closed}{tail}|[^"{s}]{tail}|))*+$'
         outside = F.when(sep == s, ~value.rlike(f'^(?:"{closed}{tail}|[^"{s}]{tail}|){rest}')).otherwise(outside)
         inside = F.when(sep == s, ~value.rlike(f"^{closed}{tail}{rest}")).otherwise(inside)
-    return outside, inside
+    none = ~F.contains(value, F.lit('"'))  # such a line leaves the state as it is
+    return F.when(none, F.lit(False)).otherwise(outside), F.when(none, F.lit(True)).otherwise(inside)
 
 
 def walk(begins: np.ndarray, outside: np.ndarray, inside: np.ndarray, state: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -146,8 +162,10 @@ def _records(lines: DataFrame) -> DataFrame:
     the lines their records. Only lines of records that go on over several are grouped.
     """
     outside, inside = _left_open(F.col("value"), F.col("_sep"))
-    flags = lines.withColumns({"_begins": F.col("_place") == F.col("_first"), "_outside": outside, "_inside": inside})
-    fixed = number_rows(flags, ["_place"], "_line").withColumn("_part", F.spark_partition_id())
+    files = cut_lineage(lines.filter("_place = _first").select("_first", "source_file", "_header"))  # a row per file
+    flags = lines.select("value", "_place", "_first", (F.col("_place") == F.col("_first")).alias("_begins"), (F.col("_place") == F.col("_last")).alias("_ends"),
+                         outside.alias("_outside"), inside.alias("_inside"))
+    fixed = cut_lineage(flags.repartitionByRange("_place").sortWithinPartitions("_place")).withColumn("_part", F.spark_partition_id())
 
     def read(batch: pa.RecordBatch) -> list[np.ndarray]:
         return [batch.column(n).to_numpy(zero_copy_only=False) for n in ("_begins", "_outside", "_inside")]
@@ -184,18 +202,18 @@ def _records(lines: DataFrame) -> DataFrame:
                 yield batch
 
     ddl = f"{', '.join(f'`{n}` {t}' for n, t in fixed.dtypes)}, _record long, _before boolean, _after boolean"
-    found = fixed.mapInArrow(told, ddl)
-    ends = found.filter((F.col("_place") == F.col("_last")) & F.col("_after")).select("_record", F.lit(True).alias("_endless"))
-    firsts = found.filter("_begins").select("_file", F.col("_record").alias("_one"))  # a row per file, like the next
-    found = spread_lookup(spread_lookup(found, firsts, ["_file"], "_place"), ends, ["_record"], "_place")
+    found = cut_lineage(fixed.mapInArrow(told, ddl).select("value", "_place", "_first", "_begins", "_ends", "_record", "_before", "_after"))
+    ends = found.filter("_ends AND _after").select("_record", F.lit(True).alias("_endless"))
+    firsts = found.filter("_begins").select("_first", F.col("_record").alias("_one")).join(files, "_first")
+    found = found.join(F.broadcast(firsts), "_first").join(F.broadcast(ends), "_record", "left")  # a row per file
     number = (F.col("_record") - F.col("_one") + 1).alias("row_number")
     alone = found.filter("NOT _before AND NOT _after").select("value", "source_file", number, "_header")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_place", "value"))), lambda x: x["value"]), "\n")
     whole = found.filter("(_before OR _after) AND _endless IS NULL").groupBy("_record", "_one", "source_file", "_header").agg(joined.alias("value"))
-    whole = whole.select("value", "source_file", number, "_header")
+    whole = cut_lineage(whole.select("value", "source_file", number, "_header"))
     endless = found.filter("_endless").withColumn("_begin", F.when(~F.col("_before"), F.col("_place")))
     begins = endless.groupBy("_record").agg(F.min("_begin").alias("_opened"))
-    endless = spread_lookup(endless, begins, ["_record"], "_place")
+    endless = endless.join(F.broadcast(begins), "_record")
     endless = endless.select("value", "source_file", (F.col("_record") - F.col("_one") + 1 + F.col("_place") - F.col("_opened")).alias("row_number"), "_header")
     return alone.unionByName(whole).unionByName(endless)
 

@@ -2,13 +2,17 @@
 
 import csv
 import io
+import os
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from pricetrail.operators.changes import number_rows
+from pricetrail.plans import ingest
+from pricetrail.plans.registry import Source
 from pricetrail.sources.identifier_files import _left_open, _records, _separator, map_headers, read_identifier_csv, walk
 
 
@@ -97,3 +101,24 @@ def test_what_a_line_makes_of_a_state(frame, line, outside, inside):
 def test_separator_of_a_header(frame):
     rows = frame("h string", [("a;b,c;d",), ("a,b;c",), ("a\tb\tc;d",), ("a,b",), ("a",)])
     assert [r[0] for r in rows.select(_separator(F.col("h"))).collect()] == [";", ";", "\t", ",", ";"]
+
+
+def test_every_file_of_the_query_has_its_header_first(spark, monkeypatch, many_parts):
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("the given tables are not here")
+    seen, read = [], ingest.D.read_identifier_csv
+    monkeypatch.setattr(ingest.D, "read_identifier_csv", lambda spark, path: seen.append(path) or read(spark, path))
+    assert ingest.quoted_records(Source(spark, folder)).count() > 5000
+    parts = [f for f in os.listdir(seen[0]) if f.startswith("part-")]
+    firsts = {open(f"{seen[0]}/{f}").readline() for f in parts}
+    assert len(parts) > 1 and firsts == {"Cod SKU;EAN;Denumire\n"}
+
+
+def test_lines_are_numbered_without_being_moved(spark, tmp_path, many_parts):
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.csv").write_text("sku;ean;name\n" + "".join(f"{i};code {i};n\n" for i in range(2000)))
+    rows = read_identifier_csv(spark, str(tmp_path))
+    got = rows.groupBy("source_file").agg(F.count_distinct("row_number"), F.min("row_number"), F.max("row_number"), F.bool_and(F.col("sku").cast("long") == F.col("row_number") - 2))
+    assert sorted(map(tuple, got.collect())) == [("a.csv", 2000, 2, 2001, True), ("b.csv", 2000, 2, 2001, True)]
+    assert not re.search("Exchange (range|hash)partitioning", rows._jdf.queryExecution().executedPlan().toString())
