@@ -7,6 +7,7 @@ from pricetrail.plans.changelog import LOG
 from pricetrail.plans.ingest import scratch
 from pricetrail.plans.observed import FRESH_SQL, MONTHS, NOW, moment, views
 from pricetrail.plans.registry import query
+from pricetrail.session import cut_lineage
 from pricetrail.streaming import feeds as W
 
 
@@ -43,22 +44,30 @@ def absence_stream(s):
 
 
 def _batches(s, rows, keys, count=4):
-    """Rows in files of a folder, dealt into ``count`` micro-batches by a column's share of its range; the third comes twice."""
-    folder = scratch(s, "events")
+    """Rows in files of a folder, dealt into ``count`` micro-batches by a column's share of its range; the third comes twice.
+
+    Gives the stream again after the files of every batch were written, each by the tasks that hold its rows. A run takes what is new
+    as one micro-batch.
+    """
+    folder, rows = scratch(s, "events"), cut_lineage(rows)
     low, high = rows.agg(F.min(keys), F.max(keys)).first()
     for k in [*range(count), min(2, count - 1)]:
         share = F.least(F.lit(count - 1), F.floor((F.col(keys) - low) * count / (high - low + 1)))
-        rows.filter(share == k).coalesce(1).write.mode("append").parquet(folder)
-    return s.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        rows.filter(share == k).write.mode("append").parquet(folder)
+        yield s.spark.readStream.schema(rows.schema).parquet(folder)
 
 
 @query("str1_replica_in_batches", LOG + """SELECT kind, entity_id, max(version) AS version, arg_max(payload, version) AS payload FROM changes GROUP BY kind, entity_id""")
 def replica_in_batches(s):
     """Several micro-batches, one of them replayed, folded on the way, and a second run that finds nothing new."""
-    live, folder = _batches(s, s.sql(B.CHANGES), "version"), scratch(s, "replica")
-    for _ in range(2):
-        W.stream_replica(live, f"{folder}/rows", f"{folder}/checkpoint", once=True).awaitTermination()
-        W.compact_replica(s.spark, f"{folder}/rows")
+    folder = scratch(s, "replica")
+    start = lambda live: W.stream_replica(live, f"{folder}/rows", f"{folder}/checkpoint", once=True).awaitTermination()
+    for k, live in enumerate(_batches(s, s.sql(B.CHANGES), "version")):
+        start(live)
+        if k % 2:
+            W.compact_replica(s.spark, f"{folder}/rows")
+    start(live)
+    W.compact_replica(s.spark, f"{folder}/rows")
     return W.read_replica(s.spark, f"{folder}/rows")
 
 
@@ -71,8 +80,8 @@ def absence_states(s):
     last = sightings.agg(F.max("run")).first()[0]
     closings = s.sql("SELECT 'shop:' || p_partkey AS id FROM part").select("id", F.explode(F.expr(f"sequence(1L, {last}L)")).alias("run"), F.lit(True).alias("closing"))
     folder = scratch(s, "absences")
-    live = _batches(s, sightings.unionByName(closings), "run")
-    W.stream_absences(live, f"{folder}/rows", f"{folder}/checkpoint", once=True, every=2).awaitTermination()
+    for live in _batches(s, sightings.unionByName(closings), "run"):
+        W.stream_absences(live, f"{folder}/rows", f"{folder}/checkpoint", once=True, every=2).awaitTermination()
     return W.read_absences(s.spark, f"{folder}/rows")
 
 
@@ -82,8 +91,9 @@ def freshness_in_batches(s):
     """Several micro-batches; running attempts arrive before the image of the same attempt that says how it ended."""
     runs, folder = s.sql(B.RUNS), scratch(s, "freshness")
     begun = runs.withColumns({"status": F.lit("running"), "source_error": F.lit(None).cast("string"), "price_refresh_complete": F.lit(False)})
-    live = _batches(s, begun.filter("status <> 'none' AND id % 3 = 0").join(runs.filter("status <> 'running'").select("id"), "id", "left_semi").select(*runs.columns).unionByName(runs), "id")
-    W.stream_freshness(live, f"{folder}/rows", f"{folder}/checkpoint", once=True, every=2).awaitTermination()
+    events = begun.filter("status <> 'none' AND id % 3 = 0").join(runs.filter("status <> 'running'").select("id"), "id", "left_semi").select(*runs.columns).unionByName(runs)
+    for live in _batches(s, events, "id"):
+        W.stream_freshness(live, f"{folder}/rows", f"{folder}/checkpoint", once=True, every=2).awaitTermination()
     texts = {c: F.col(c).cast("string") for c in ("last_successful_check_at", "last_attempt_at")}
     return W.read_freshness(s.spark, f"{folder}/rows", moment(NOW)).withColumns(texts)
 

@@ -1,6 +1,6 @@
 """Replicas, absence counters and freshness kept up to date by Structured Streaming.
 
-State lives in Spark's state store, recovered from the checkpoint after a failure. Events are ordered by version or run, not by
+State lives in Spark's state store, recovered from the checkpoint after a failure; that of absences is the rows written so far. Events are ordered by version or run, not by
 event time, so no watermark is used: a late or replayed event has a lower version than the stored one and loses.
 
 What a stream writes is a folder with manifests (sources/manifest.py). A micro-batch counts once a manifest names its folder, and
@@ -11,12 +11,11 @@ manifest puts in their place while the stream goes on; readers that hold an olde
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from pricetrail.operators.changes import KINDS, snapshot
 from pricetrail.operators.runs import describe, latest_runs
@@ -26,6 +25,7 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 #: Batches that pile up before they are folded into one.
 EVERY = 16
 Fold = Callable[[DataFrame], DataFrame]
+Step = Callable[[DataFrame, DataFrame | None], DataFrame]
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -59,12 +59,20 @@ def fold_batches(spark: SparkSession, folder: str, fold: Fold) -> Manifest:
     return store.update(swap)
 
 
-def _write_batches(updates: DataFrame, folder: str, checkpoint: str, once: bool, fold: Fold, every: int = EVERY) -> StreamingQuery:
-    """Write each micro-batch of updates into a folder of its own and add it to the manifest, a repeated batch only once."""
+def _write_batches(updates: DataFrame, folder: str, checkpoint: str, once: bool, fold: Fold, every: int = EVERY, step: Step | None = None) -> StreamingQuery:
+    """Write each micro-batch of updates into a folder of its own and add it to the manifest, a repeated batch only once.
+
+    ``step`` makes new state of a batch and of all rows written before (none at first). A batch that is named has been counted.
+    """
     use_rocksdb(updates.sparkSession)
 
     def save(batch: DataFrame, batch_id: int) -> None:
         store = Store(batch.sparkSession, folder)
+        if step:
+            before = store.read()
+            if before.parts and before.parts[-1].last >= batch_id:
+                return
+            batch = step(batch, _written(store, before) if before.parts else None)
         name = store.write(batch, "batch")  # also when repeated: the state store has to move on
         if not batch.sparkSession.read.schema(batch.schema).parquet(f"{store.folder}/{name}").isEmpty():
             part = Part(name, batch_id, batch_id, 0)
@@ -98,57 +106,49 @@ def compact_replica(spark: SparkSession, folder: str) -> Manifest:
     return fold_batches(spark, folder, snapshot)
 
 
-class AbsenceCounter(StatefulProcessor):
-    """Absences in a row of one product, by run.
+def _counted(events: DataFrame, state: DataFrame | None) -> DataFrame:
+    """State of the products of a batch after its events: the last closed run, absences in a row then, and the last run with a sighting.
 
-    State is the last closed run, the last run with a sighting, and the counter. A sighting resets the counter; a closed run without
-    one adds to it. Runs that were closed before change nothing, so repeated events do no harm. Closing a run gives a row.
+    Events count in the order of their runs, a sighting before the end of its run. A sighting resets the counter, also one that comes
+    after its run was closed; a closed run without one adds to it. Runs that were closed before change nothing, so repeated events do
+    no harm. Only the runs of one batch are held per product.
     """
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("absence", "closed long, seen long, missing long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        closed, seen, missing = self.state.get() if self.state.exists() else (0, 0, 0)
-        events = pd.concat(list(rows))[["run", "closing"]].drop_duplicates().sort_values(["run", "closing"])
-        out = []
-        for run, closing in zip(events["run"].tolist(), events["closing"].tolist()):
-            if not closing:
-                seen = max(seen, run)
-                if run >= closed:
-                    missing = 0  # also a sighting that comes after its run was closed
-            if closing and run > closed:
-                closed, missing = run, 0 if seen >= run else missing + 1
-            if run == closed and (closing or missing == 0):
-                out.append((key[0], run, missing, missing >= 1, missing >= 3))
-        self.state.update((closed, seen, missing))
-        yield pd.DataFrame(out, columns=["id", "run", "missing_count", "possibly_inactive", "inactive"])
-
-    def close(self) -> None:
-        pass
-
-
-COUNTERS = "id string, run long, missing_count long, possibly_inactive boolean, inactive boolean"
+    runs = lambda closing: F.collect_set(F.when(F.col("closing") == closing, F.col("run")))
+    rows = events.groupBy("id").agg(runs(True).alias("_c"), runs(False).alias("_s"))
+    if state is None:
+        rows = rows.withColumns({"run": F.lit(0), "missing_count": F.lit(0), "seen": F.lit(0)})
+    else:
+        rows = rows.join(_newest_counter(state), "id", "left")
+    rows = rows.withColumns({n: F.coalesce(F.col(c).cast("long"), F.lit(0)) for n, c in (("_c0", "run"), ("_r0", "missing_count"), ("_s0", "seen"))})
+    rows = rows.withColumn("_c", F.filter("_c", lambda r: r > F.col("_c0")))
+    rows = rows.withColumn("run", F.coalesce(F.array_max("_c"), "_c0"))
+    rows = rows.withColumn("_upto", F.coalesce(F.array_max(F.filter("_s", lambda r: r <= F.col("run"))), F.lit(0)))
+    after = F.size(F.filter("_c", lambda r: r > F.greatest("_s0", "_upto")))
+    reset = (F.col("_upto") >= F.col("_c0")) | (F.col("_s0") >= F.col("_c0"))
+    quiet = F.when(F.array_contains("_s", F.col("_c0")), F.lit(0)).otherwise(F.col("_r0"))
+    missing = F.when(F.size("_c") == 0, quiet).when(reset, after).otherwise(F.col("_r0") + after).cast("long")
+    seen = F.greatest("_s0", F.coalesce(F.array_max("_s"), F.lit(0)))
+    rows = rows.select("id", "run", missing.alias("missing_count"), seen.cast("long").alias("seen"))
+    return rows.select("id", "run", "missing_count", (F.col("missing_count") >= 1).alias("possibly_inactive"), (F.col("missing_count") >= 3).alias("inactive"), "seen")
 
 
 def _newest_counter(rows: DataFrame) -> DataFrame:
-    """Of every product, the row of the latest run; of several, the one with the lowest count, which a late sighting has made."""
-    best = F.max_by(F.struct("run", "missing_count", "possibly_inactive", "inactive"), F.struct("run", -F.col("missing_count")))
+    """The newest state of every product: its closed run and its last sighting only grow."""
+    best = F.max_by(F.struct("run", "missing_count", "possibly_inactive", "inactive", "seen"), F.struct("run", "seen"))
     return rows.groupBy("id").agg(best.alias("_c")).select("id", "_c.*")
 
 
 def stream_absences(events: DataFrame, folder: str, checkpoint: str, once: bool = False, every: int = EVERY) -> StreamingQuery:
     """Count absences per product with state. ``events`` are id, run and closing: a sighting of a product in a run, or (closing) the end
-    of a complete run whose scope holds the product. Runs are numbered from 1."""
-    use_rocksdb(events.sparkSession)
+    of a complete run whose scope holds the product. Runs are numbered from 1. The state is what the batches before have written: a
+    batch's events are put together per product and joined with it."""
     rows = events.select(F.col("id").cast("string").alias("id"), F.col("run").cast("long").alias("run"), F.col("closing").cast("boolean").alias("closing"))
-    counted = rows.groupBy("id").transformWithStateInPandas(AbsenceCounter(), COUNTERS, "update", "none")
-    return _write_batches(counted, folder, checkpoint, once, _newest_counter, every)
+    return _write_batches(rows, folder, checkpoint, once, _newest_counter, every, _counted)
 
 
 def read_absences(spark: SparkSession, folder: str, at: Manifest | None = None) -> DataFrame:
     """Counters of every product after the last run that was closed for it."""
-    return _newest_counter(_written(Store(spark, folder), at))
+    return _newest_counter(_written(Store(spark, folder), at)).filter("run > 0").drop("seen")
 
 
 def _last_seen(rows: DataFrame) -> DataFrame:

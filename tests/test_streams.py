@@ -102,3 +102,26 @@ def test_a_late_sighting_resets_its_run(spark, frame, tmp_path):
         frame(EVENT, events).coalesce(1).write.mode("append").parquet(log)
         run()
     assert [tuple(r) for r in W.read_absences(spark, str(tmp_path / "out")).collect()] == [("a", 2, 0, False, False)]
+
+
+def test_absence_counters_by_definition(spark):
+    """Batches put together per product give what one event after the other gives."""
+    pick, products = random.Random(7), {}
+    written, want = None, {}
+    for _ in range(4):
+        events = [(f"p{pick.randrange(60)}", pick.randint(1, 9), pick.random() < 0.6) for _ in range(150)]
+        for name in {e[0] for e in events}:
+            closed, seen, missing = products.get(name, (0, 0, 0))
+            for run, closing in sorted({e[1:] for e in events if e[0] == name}):
+                if not closing:
+                    seen = max(seen, run)
+                    missing = 0 if run >= closed else missing
+                if closing and run > closed:
+                    closed, missing = run, 0 if seen >= run else missing + 1
+                if run == closed and (closing or missing == 0) and (name not in want or (run, -missing) >= (want[name][0], -want[name][1])):
+                    want[name] = (run, missing)
+            products[name] = (closed, seen, missing)
+        rows = W._counted(spark.createDataFrame(events, "id string, run long, closing boolean"), written).localCheckpoint()
+        written = rows if written is None else written.unionByName(rows)
+    got = {r["id"]: (r["run"], r["missing_count"]) for r in W._newest_counter(written).filter("run > 0").collect()}
+    assert got == want and max(m for _, m in want.values()) >= 3
