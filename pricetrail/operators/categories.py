@@ -76,15 +76,25 @@ def url_prefixes(url: Column) -> Column:
 def category_for(df: DataFrame, categories: DataFrame, row_id: str, url: str, fallback: Column | None = None) -> DataFrame:
     """Category with the longest source URL that starts a product's URL, as category_id.
 
-    Prefixes are matched by equality, so the join is a hash join whatever the number of categories.
-    Category URLs end with '/', as listing routes do.
+    Prefixes are matched by equality, so the join is a hash join whatever the number of categories. Every folder of URLs is looked up
+    once, not once a product: prefixes that nearly all URLs share would bring all products together. Category URLs end with '/', as
+    listing routes do; one that does not is met by the same URL only.
     """
     roots = categories.groupBy(F.col("source_url").alias("_prefix")).agg(F.min("id").alias("_category"))
-    tries = df.select(row_id, F.explode(url_prefixes(F.col(url))).alias("_prefix"))
-    hits = spread_lookup(tries, roots, ["_prefix"], row_id, "inner")
-    best = hits.groupBy(row_id).agg(F.max_by("_category", F.length("_prefix")).alias("_found"))
-    found = F.col("_found") if fallback is None else F.coalesce(F.col("_found"), fallback)
-    return df.join(best, row_id, "left").withColumn("category_id", found).drop("_found")
+    folder = F.when(F.contains(F.col(url), F.lit("/")), F.regexp_extract(F.col(url), "(?s)^.*/", 0))
+    rows = df.withColumn("_folder", folder)
+    folders = rows.select("_folder").filter("_folder IS NOT NULL").distinct()
+    tries = folders.select("_folder", F.explode(url_prefixes(F.col("_folder"))).alias("_prefix"))
+    hits = spread_lookup(tries, roots, ["_prefix"], "_folder", "inner")
+    best = hits.groupBy("_folder").agg(F.max_by("_category", F.length("_prefix")).alias("_found"))
+    rows, found = spread_lookup(rows, best, ["_folder"], row_id), F.col("_found")
+    exact = roots.filter("NOT endswith(_prefix, '/')")
+    if not exact.isEmpty():
+        exact = exact.select(F.col("_prefix").alias("_url"), F.col("_category").alias("_same"))
+        rows = spread_lookup(rows.withColumn("_url", F.col(url)), exact, ["_url"], row_id)
+        found = F.coalesce("_same", found)
+    found = found if fallback is None else F.coalesce(found, fallback)
+    return rows.withColumn("category_id", found).drop("_found", "_folder", "_url", "_same")
 
 
 def descendants_by_prefix(categories: DataFrame, root_url: str) -> DataFrame:
@@ -103,7 +113,8 @@ def resolve_category_path(df: DataFrame, categories: DataFrame, row_id: str, cat
     """Resolve category names: a root that is unique by name, then a unique child per step.
 
     Gives category_id (the deepest node reached) and needs_review. Paths whose every step is unique
-    are indexed once; a row looks up all its own path prefixes and keeps the longest.
+    are indexed once; names look up all their own path prefixes and keep the longest. Every pair of names is looked up once, not once
+    a row: a name that many rows have would bring them together.
     """
     spark = categories.sparkSession
     siblings = categories.groupBy(F.coalesce("parent_id", F.lit("")).alias("parent"), "name").agg(
@@ -122,20 +133,21 @@ def resolve_category_path(df: DataFrame, categories: DataFrame, row_id: str, cat
     )
     whole = F.concat(F.array(F.col(category)), F.when(F.col(sub).isNull(), F.array().cast("array<string>")).otherwise(
         F.split(F.col(sub), SEPARATOR)))
-    steps = df.filter(F.col(category).isNotNull()).select(row_id, whole.alias("_steps"))
+    rows = df.withColumn("_names", F.when(F.col(category).isNotNull(), F.to_json(F.array(F.col(category), F.col(sub)))))
+    steps = rows.filter("_names IS NOT NULL").select("_names", category, sub).distinct().select("_names", whole.alias("_steps"))
     tries = steps.select(
-        row_id,
+        "_names",
         F.size("_steps").alias("_wanted"),
         F.explode(F.transform(F.sequence(F.lit(1), F.size("_steps")),
                               lambda n: F.array_join(F.slice("_steps", 1, n), SEPARATOR))).alias("_path"),
     )
-    hits = spread_lookup(tries, index, ["_path"], row_id)
-    best = hits.groupBy(row_id).agg(
+    hits = spread_lookup(tries, index, ["_path"], "_names")
+    best = hits.groupBy("_names").agg(
         F.max_by("_node", "_depth").alias("category_id"),
         (F.coalesce(F.max("_depth"), F.lit(0)) < F.max("_wanted")).alias("_short"),
     )
     return (
-        df.join(best, row_id, "left")
+        spread_lookup(rows, best, ["_names"], row_id)
         .withColumn("needs_review", F.coalesce("_short", F.lit(False)))
-        .drop("_short")
+        .drop("_short", "_names")
     )
