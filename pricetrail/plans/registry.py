@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pricetrail.session import configure
+from pricetrail.session import bound_tasks, configure
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "pages", "documents")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,7 +18,7 @@ class Source:
     """The tables of one data folder, and frames made from shared binding SQL."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = configure(spark), folder.rstrip("/")
+        self.spark, self.folder = bound_tasks(configure(spark)), folder.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")

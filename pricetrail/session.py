@@ -18,6 +18,15 @@ SETTINGS = {
     "spark.sql.cteRecursionRowLimit": "-1",
 }
 
+#: What one task of the catalog's queries reads at most, of files and of shuffles, in MB; with the number of partitions that allows it.
+#: The defaults (128, 64, 256 MB) are compressed sizes: narrow rows of text unfold to several GB in the sorts of one task.
+TASK_MB = {
+    "spark.sql.files.maxPartitionBytes": 8,
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": 8,
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": 32,
+}
+PARTITIONS = 1000
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply SETTINGS to a running session."""
@@ -26,6 +35,18 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def bound_tasks(spark: SparkSession) -> SparkSession:
+    """Lower what one task reads to TASK_MB; smaller settings stay. Adaptive execution puts small partitions together again."""
+    sizes = spark._jvm.org.apache.spark.network.util.JavaUtils
+    for key, size in TASK_MB.items():
+        if sizes.byteStringAsBytes(spark.conf.get(key)) > size << 20:
+            spark.conf.set(key, f"{size}m")
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    most = max(int(spark.conf.get(key, None) or 0), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    spark.conf.set(key, str(max(most, PARTITIONS)))
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder. A machine-local one is made only for a local master."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
