@@ -44,13 +44,18 @@ CARD_COLUMNS = ("page_id", "source_product_id", "name", "sku", "quantity", "pric
                 "product_url", "thumbnail_url", "in_stock", "error")
 
 
-def spread(s, pages, key="page_id"):
-    """The given tables are one small file each; parsing is bound by CPU, so their rows go to every core."""
-    return pages.repartition(s.spark.sparkContext.defaultParallelism, key)
+def spread(s, table, key):
+    """The given tables are one small file each; parsing is bound by CPU, so their rows go to every core, before pages are made of them."""
+    return s.table(table).repartition(s.spark.sparkContext.defaultParallelism, key)
+
+
+def pages_of(s, text, table="part", key="p_partkey"):
+    """Markup derived from the rows of one table."""
+    return s.spark.sql(text.replace("{", "{{").replace("}", "}}").replace(f"FROM {table}", "FROM {rows}"), rows=spread(s, table, key))
 
 
 def _listing(s, text=PLAIN, campaign=False):
-    return E.read_listing(spread(s, s.sql(text)), SHOP, campaign)
+    return E.read_listing(pages_of(s, text), SHOP, campaign)
 
 
 @query("ext1_listing_cards", CARDS_SQL)
@@ -66,7 +71,7 @@ def page_states(s):
 
 @query("ext1_given_pages", "SELECT page_id, 0 AS cards, 0 AS restricted_cards, FALSE AS page_restricted, 'product list not recognized' AS refused FROM pages")
 def given_pages(s):
-    return E.listing_states(E.read_listing(spread(s, s.table("pages")), SHOP), SHOP)
+    return E.listing_states(E.read_listing(spread(s, "pages", "page_id"), SHOP), SHOP)
 
 
 @query("ext2_next_links", """SELECT p_partkey AS page_id, 'https://shop.example/list/' || p_partkey || '/' AS url,
@@ -98,7 +103,7 @@ def page_chains(s):
       row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS sort_order FROM d""")
 def navigation(s):
     shop = ShopProfile(category_group="nav", category_head="ul li a", category_link="ul a")
-    nodes = E.extract_categories(spread(s, s.table("pages")), shop)
+    nodes = E.extract_categories(spread(s, "pages", "page_id"), shop)
     return nodes.select("page_id", "id", "parent_id", "level", "sort_order")
 
 
@@ -134,7 +139,7 @@ FRONT = """SELECT o_orderkey AS page_id, '<div class="under__title">Noutăți</d
       CASE WHEN error IS NULL THEN CAST({to_utc_sql('e')} AS VARCHAR) END AS ends_at,
       CASE WHEN error IS NULL THEN 'https://shop.example/oferta/' || o_custkey || '/' END AS source_url, error FROM d""")
 def campaign_discovery(s):
-    found = E.discover_campaign(spread(s, s.sql(FRONT)), SHOP)
+    found = E.discover_campaign(pages_of(s, FRONT, "orders", "o_orderkey"), SHOP)
     return found.select("page_id", *[F.col(c).cast("string").alias(c) for c in ("start_date", "starts_at", "ends_at")], "source_url", "error")
 
 
@@ -153,7 +158,7 @@ DETAIL = """SELECT CAST(p_partkey AS STRING) AS source_product_id, '<form><input
 @query("ext6_detail_skus", """SELECT CAST(p_partkey AS VARCHAR) AS source_product_id, CASE WHEN p_size BETWEEN 5 AND 48 THEN '00' || p_partkey END AS sku,
     CASE WHEN p_size > 48 THEN NULL WHEN p_size = 1 THEN 'product identity not confirmed' WHEN p_size = 2 THEN 'invalid sku' WHEN p_size = 4 THEN 'conflicting sku values' END AS error FROM part""")
 def detail_skus(s):
-    return E.extract_skus(spread(s, s.sql(DETAIL), "source_product_id"), SHOP)
+    return E.extract_skus(pages_of(s, DETAIL), SHOP)
 
 
 FRAGMENTS = """SELECT CAST(p_partkey AS STRING) AS source_product_id, to_json(named_struct('html', map('warehouses_stock_availability_' || p_partkey,
@@ -166,7 +171,7 @@ FRAGMENTS = """SELECT CAST(p_partkey AS STRING) AS source_product_id, to_json(na
     CASE WHEN p_size > 1 THEN p_brand END AS label, CASE WHEN p_size > 1 THEN p_type END AS value,
     CASE WHEN p_size = 1 THEN 'stock fragment unavailable' END AS error FROM part""")
 def stock_rows(s):
-    return E.extract_stock(spread(s, s.sql(FRAGMENTS), "source_product_id"), SHOP).drop("position")
+    return E.extract_stock(pages_of(s, FRAGMENTS), SHOP).drop("position")
 
 
 @query("ext8_campaign_cards", CARDS_SQL)
