@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pricetrail.operators.joins import several, sole, spread_lookup
 from pricetrail.operators.paging import offset_page
-from pricetrail.session import cut_lineage
+from pricetrail.session import cut_lineage, stored
 
 # Fixed value: what a merged product takes from the source row when the target lacks it.
 FILLED_BY_MERGE = ("sku", "barcode", "name", "brand", "quantity", "category_id", "product_url", "thumbnail_url")
@@ -271,34 +271,39 @@ def associate(links: DataFrame, pending: DataFrame, products: DataFrame) -> Data
     """Reviewed links (identifier_id, product_id): matched, or why the link is refused.
 
     Links that claim one product for different pairs, or one pair for different products, are all
-    refused.
+    refused. Links and pairs meet once and are stored; of the products only those that links name meet them, and only links that
+    their own pair and product do not settle are looked up among the holders and put beside each other.
     """
     chosen = pending.select(F.col("id").alias("identifier_id"), "sku", "barcode", F.lit(True).alias("_row"))
+    rows = stored(spread_lookup(links, chosen, ["identifier_id"], "product_id"))
     target = products.select(
         F.col("id").alias("product_id"), F.col("sku").alias("_sku"), F.col("barcode").alias("_barcode"), F.lit(True).alias("_known"))
-    rows = spread_lookup(links, chosen, ["identifier_id"], "product_id")
+    target = stored(target.join(rows.select("product_id").distinct(), "product_id", "left_semi"))
     rows = spread_lookup(rows, target, ["product_id"], "identifier_id")
-    for key in ("sku", "barcode"):
-        held = products.filter(F.col(key).isNotNull()).groupBy(key).agg(
-            F.min("id").alias(f"_{key}_low"), F.max("id").alias(f"_{key}_high"))
-        rows = spread_lookup(rows, held, [key], "identifier_id")
     product = F.col("product_id")
-    elsewhere = _differs(F.col("_sku_low"), F.col("_sku_high"), product) | _differs(
-        F.col("_barcode_low"), F.col("_barcode_high"), product)
     other = F.coalesce(F.col("_sku") != F.col("sku"), F.lit(False)) | F.coalesce(
         F.col("_barcode") != F.col("barcode"), F.lit(False))
     whole = (F.coalesce("sku", F.lit("")) != "") & (F.coalesce("barcode", F.lit("")) != "")
     outcome = (
         F.when(F.col("_row").isNull() | F.col("_known").isNull(), "unknown")
-        .when(~whole, "invalid").when(elsewhere | other, "conflict").otherwise("matched"))
+        .when(~whole, "invalid").when(other, "conflict"))
     rows = rows.select("identifier_id", "product_id", "sku", "barcode", outcome.alias("outcome"))
-    claims = rows.filter("outcome = 'matched'")
+    settled, left = rows.filter("outcome IS NOT NULL"), rows.filter("outcome IS NULL").drop("outcome")
+    for key in ("sku", "barcode"):
+        held = products.filter(F.col(key).isNotNull()).groupBy(key).agg(
+            F.min("id").alias(f"_{key}_low"), F.max("id").alias(f"_{key}_high"))
+        left = spread_lookup(left, held, [key], "identifier_id")
+    elsewhere = _differs(F.col("_sku_low"), F.col("_sku_high"), product) | _differs(
+        F.col("_barcode_low"), F.col("_barcode_high"), product)
+    left = stored(left.select("identifier_id", "product_id", "sku", "barcode", F.when(elsewhere, "conflict").otherwise("matched").alias("outcome")))
+    free = left.filter("outcome = 'matched'").drop("outcome")
+    claims = free.withColumn("_clash", F.lit(False))
     for key, value in (("product_id", "identifier_id"), ("sku", "product_id"), ("barcode", "product_id")):
-        clash = claims.groupBy(key).agg(F.min(value).alias("_l"), F.max(value).alias("_h")).filter("_l <> _h")
-        rows = spread_lookup(rows, clash.select(key, F.lit(True).alias("_clash")), [key], "identifier_id")
-        clashing = (F.col("outcome") == "matched") & F.col("_clash").isNotNull()
-        rows = rows.withColumn("outcome", F.when(clashing, "conflict").otherwise(F.col("outcome"))).drop("_clash")
-    return rows
+        clash = free.groupBy(key).agg(F.min(value).alias("_l"), F.max(value).alias("_h")).filter("_l <> _h")
+        claims = spread_lookup(claims, stored(clash.select(key, F.lit(True).alias("_one"))), [key], "identifier_id")
+        claims = claims.withColumn("_clash", F.col("_clash") | F.col("_one").isNotNull()).drop("_one")
+    claims = claims.select("identifier_id", "product_id", "sku", "barcode", F.when(F.col("_clash"), "conflict").otherwise("matched").alias("outcome"))
+    return settled.unionByName(left.filter("outcome <> 'matched'")).unionByName(claims)
 
 
 def checked_merges(merges: DataFrame, products: DataFrame) -> DataFrame:
