@@ -14,19 +14,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricetrail.functions.text import contains_literal, fold, search_text, strip
+from pricetrail.session import stored
 
-#: Letters of a gram. Pieces of a query that are shorter are grams themselves.
-GRAM = 3
+#: Lengths of grams. A piece of a query is looked up by grams of the greatest length that it has itself, so that
+#: the words behind a gram grow with those that match, not with all words.
+GRAMS = (1, 2, 3, 5, 8, 13, 21, 34)
 
 
-def _grams(word: Column, longest: int = GRAM) -> Column:
-    """Every different run of one to ``longest`` characters of a word."""
+def _runs(word: Column, n: Column) -> Column:
+    """Every different run of n characters of a word; n may not exceed its length."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(word) - n + 1), lambda i: F.substring(word, i, n)))
 
-    def runs(n: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.length(word) - n + 1), lambda i: F.substring(word, i, F.lit(n)))
 
-    kept = [F.when(F.length(word) >= n, runs(n)).otherwise(F.array().cast("array<string>")) for n in range(1, longest + 1)]
-    return F.array_distinct(F.concat(*kept))
+def _size(piece: Column) -> Column:
+    """The length of the grams that a piece is looked up by."""
+    return F.greatest(*[F.when(F.length(piece) >= n, n) for n in GRAMS])
 
 
 def _words(text: Column) -> Column:
@@ -35,12 +37,11 @@ def _words(text: Column) -> Column:
 
 @dataclass
 class WordIndex:
-    """texts (id, sku, barcode, text), postings (word, id), dictionary (word, n), grams (gram, word)."""
+    """texts (id, sku, barcode, text), postings (word, id), dictionary (word, n)."""
 
     texts: DataFrame
     postings: DataFrame
     dictionary: DataFrame
-    grams: DataFrame
 
     @classmethod
     def build(cls, products: DataFrame) -> WordIndex:
@@ -48,11 +49,15 @@ class WordIndex:
         texts = products.select("id", "sku", "barcode", text.alias("text"))
         postings = texts.select("id", F.explode(_words(F.col("text"))).alias("word")).select("word", "id")
         dictionary = postings.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-        grams = dictionary.select("word", "n", F.explode(_grams(F.col("word"))).alias("gram"))
-        return cls(texts, postings, dictionary, grams)
+        return cls(texts, postings, dictionary)
+
+    def grams(self, sizes: list[int]) -> DataFrame:
+        """(word, n, gram) of the dictionary's words, for grams of the given sizes."""
+        runs = [F.when(F.length("word") >= n, _runs(F.col("word"), F.lit(n))).otherwise(F.array().cast("array<string>")) for n in sizes]
+        return self.dictionary.select("word", "n", F.explode(F.concat(*runs)).alias("gram"))
 
     def write(self, folder: str) -> None:
-        """Store the index as four tables. The dictionary is derived from the stored postings, so the catalog is read once for each of the first two."""
+        """Store the index as three tables. The dictionary is derived from the stored postings, so the catalog is read once for each of the first two."""
         spark = self.texts.sparkSession
         self.texts.write.parquet(f"{folder}/texts")
         texts = spark.read.parquet(f"{folder}/texts")
@@ -60,13 +65,10 @@ class WordIndex:
         postings.repartitionByRange("word", "id").sortWithinPartitions("word", "id").write.parquet(f"{folder}/postings")
         stored = spark.read.parquet(f"{folder}/postings")
         stored.groupBy("word").agg(F.count(F.lit(1)).alias("n")).write.parquet(f"{folder}/dictionary")
-        words = spark.read.parquet(f"{folder}/dictionary")
-        grams = words.select("word", "n", F.explode(_grams(F.col("word"))).alias("gram"))
-        grams.repartitionByRange("gram", "word").sortWithinPartitions("gram", "word").write.parquet(f"{folder}/grams")
 
     @classmethod
     def read(cls, spark, folder: str) -> WordIndex:
-        return cls(*[spark.read.parquet(f"{folder}/{name}") for name in ("texts", "postings", "dictionary", "grams")])
+        return cls(*[spark.read.parquet(f"{folder}/{name}") for name in ("texts", "postings", "dictionary")])
 
 
 def asked(queries: DataFrame) -> DataFrame:
@@ -91,17 +93,20 @@ def _followed(index: WordIndex, rows: DataFrame) -> DataFrame:
     """(query_id, word): for every query, the words that contain its rarest piece.
 
     Whatever matches a query contains each piece of it inside one of its words. A piece is looked up by one of its grams; which one is decided by
-    the number of words behind them, so that a frequent gram is never followed while a rarer one is there.
+    the number of words behind them, so that a frequent gram is never followed while a rarer one is there. A piece with a gram that no word has
+    is in no word.
     """
     pieces = rows.select("query_id", F.explode(_words(F.col("folded"))).alias("piece"))
-    distinct = pieces.select("piece").distinct()
-    sizes = index.grams.groupBy("gram").agg(F.count(F.lit(1)).alias("words"))
-    size = F.least(F.length("piece"), F.lit(GRAM))
-    starts = F.sequence(F.lit(1), F.length("piece") - size + 1)
-    pairs = distinct.select("piece", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("piece"), i, size)))).alias("gram"))
-    rarest = pairs.join(sizes, "gram", "left").groupBy("piece").agg(
-        F.min_by("gram", F.struct(F.coalesce("words", F.lit(0)), F.col("gram"))).alias("gram"))
-    found = rarest.join(index.grams, "gram").filter(F.contains("word", "piece")).select("piece", "word", "n")
+    distinct = pieces.select("piece").distinct().withColumn("size", _size(F.col("piece")))
+    wanted = sorted(r["size"] for r in distinct.select("size").distinct().collect())  # at most as many as GRAMS
+    if not wanted:
+        return rows.select("query_id", F.lit(None).cast("string").alias("word")).limit(0)
+    grams = index.grams(wanted)
+    sizes = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("words"))
+    pairs = distinct.select("piece", F.explode(_runs(F.col("piece"), F.col("size"))).alias("gram"))
+    rarest = pairs.join(sizes, "gram").groupBy("piece").agg(F.min_by("gram", F.struct("words", "gram")).alias("gram"), F.count(F.lit(1)).alias("known"))
+    rarest = stored(rarest.filter(F.col("known") == F.size(_runs(F.col("piece"), _size(F.col("piece"))))).drop("known"))
+    found = stored(rarest.join(grams, "gram").filter(F.contains("word", "piece")).select("piece", "word", "n"))
     weights = found.groupBy("piece").agg(F.sum("n").alias("postings"))
     best = pieces.join(weights, "piece", "left").groupBy("query_id").agg(
         F.min_by("piece", F.struct(F.coalesce("postings", F.lit(0)), F.col("piece"))).alias("piece"))
@@ -112,15 +117,16 @@ def search_many(index: WordIndex, aliases: DataFrame, queries: DataFrame) -> Dat
     """(query_id, id) for every product that ``products.search`` would return for the query, once.
 
     queries are (query_id, query); a query that is blank, null or folds to nothing asks for no search and has no rows. Products are found by
-    words, by exact SKU or barcode, and by alias. Of the index only the postings of the rarest piece's words meet a query: the rows that move grow with
+    words, by exact SKU or barcode, and by alias; aliases may repeat. Of the index only the postings of the rarest piece's words meet a query: the rows that move grow with
     the matches of that piece. A word that very many products have is split by adaptive execution, as both sides are shuffled for the join.
     """
-    rows = asked(queries)
+    rows = stored(asked(queries))
     candidates = _followed(index, rows).join(index.postings, "word").select("query_id", "id").distinct()
     judged = candidates.join(rows.select("query_id", "folded", "tokens"), "query_id").join(index.texts.select("id", "text"), "id")
     by_text = judged.filter(matches(F.col("text"), F.col("folded"), F.col("tokens"))).select("query_id", "id")
     exact = [rows.select("query_id", F.col("raw").alias(c)).join(index.texts.select("id", c), c).select("query_id", "id") for c in ("sku", "barcode")]
-    known = index.texts.select("id")
     alias = rows.select("query_id", F.col("raw").alias("barcode")).join(
-        aliases.select("barcode", F.col("product_id").alias("id")), "barcode").select("query_id", "id").join(known, "id", "left_semi").select("query_id", "id")
-    return by_text.union(exact[0]).union(exact[1]).union(alias).distinct()
+        aliases.select("barcode", F.col("product_id").alias("id")), "barcode").select("query_id", "id")
+    # rows meet the known ids where their copies vanish: one shuffle, by id
+    found = by_text.union(exact[0]).union(exact[1]).union(alias).join(index.texts.select("id"), "id", "left_semi")
+    return found.select("query_id", "id").distinct()

@@ -57,6 +57,16 @@ SELECT DISTINCT CAST(l_suppkey AS STRING) || '-' || CAST(l_linenumber AS STRING)
   'shop:' || l_partkey AS product_id FROM lineitem
 """
 
+# The same rows, repeated as the lines repeat them, and their codes alone, whose copies vanish while they are numbers
+ALIAS_ROWS = """
+SELECT CAST(l_suppkey AS STRING) || '-' || CAST(l_linenumber AS STRING) AS barcode, 'shop:' || l_partkey AS product_id
+FROM lineitem
+"""
+ALIAS_CODES = """
+SELECT CAST(l_suppkey AS STRING) || '-' || CAST(l_linenumber AS STRING) AS barcode
+FROM (SELECT DISTINCT l_suppkey, l_linenumber FROM lineitem) AS lines
+"""
+
 # events -> change log
 CHANGES = """
 SELECT event_id + 1 AS version,

@@ -147,8 +147,8 @@ def many_searches(s):
     folder = f"{shared_dir(s.spark)}/words-{uuid.uuid4().hex}"
     WordIndex.build(products(s)).write(folder)
     named = re.sub(r"FROM (products|aliases)", r"FROM {\1}", ASKED)
-    queries = s.spark.sql(named, products=products(s), aliases=s.sql(B.ALIASES))
-    return search_many(WordIndex.read(s.spark, folder), s.sql(B.ALIASES), queries)
+    queries = s.spark.sql(named, products=products(s), aliases=s.sql(B.ALIAS_CODES))
+    return search_many(WordIndex.read(s.spark, folder), s.sql(B.ALIAS_ROWS), queries)
 
 
 @query("flt2_collection_members", views("products", "members") + """SELECT id, name FROM products
