@@ -84,7 +84,7 @@ def replica_upsert(state: DataFrame, aliases: DataFrame, batch: DataFrame, onlin
     bad = decided.filter("reason = 'contradictory identifiers'").select(F.col("incoming_id").alias("id"))
     flagged = contested_products(spread_lookup(found, bad, ["id"], "sku", "inner"), "id", state, aliases).withColumn("_flag", F.lit(True))
     mine = ours.select("id", F.struct(*ours.columns).alias("_m"))
-    whole = state.select("id", F.struct(*state.columns).alias("_s")).join(mine, "id", "full_outer").join(cut_lineage(flagged), "id", "left")
+    whole = state.select("id", F.struct(*state.columns).alias("_s")).join(mine, "id", "full_outer").join(flagged, "id", "left")
     m, touched = F.col("_m"), F.col("_flag").isNotNull()
     values = {c: F.when(m.isNotNull(), m[c]).otherwise(s[c]) for c in state.columns}
     values["needs_review"] = F.coalesce(values["needs_review"], F.lit(False)) | touched
@@ -96,7 +96,7 @@ def replica_upsert(state: DataFrame, aliases: DataFrame, batch: DataFrame, onlin
             b["barcode"].alias("barcode"), F.coalesce("product_id", "incoming_id").alias("product_id"))
     return {
         "products": whole.select(*[v.alias(c) for c, v in values.items()], outcome.alias("outcome")),
-        "aliases": codes.join(held.select("barcode"), "barcode", "left_anti").distinct(),
+        "aliases": codes.join(held.select("barcode").distinct(), "barcode", "left_anti").distinct(),
         "reviews": decided.filter("reason IS NOT NULL").select("incoming_id", "reason"),
         "outcomes": decided.select("incoming_id", F.coalesce("product_id", "incoming_id").alias("product_id"), "outcome"),
     }

@@ -197,7 +197,7 @@ REPLICA_SQL = f"""incoming AS (SELECT id AS line, *, CAST(NULL AS VARCHAR) AS pr
 def _replica(s, online):
     state = s.spark.sql(REPLICA_STATE.replace("FROM products", "FROM {p}"), p=s.sql(B.PRODUCTS))
     batch = s.spark.sql(REPLICA_BATCH.replace("FROM observed", "FROM {o}"), o=s.sql(B.OBSERVATIONS))
-    return P.replica_upsert(state, s.sql(B.ALIASES), batch, online)
+    return P.replica_upsert(state, s.sql(B.ALIAS_ROWS), batch, online)
 
 
 @query("ups3_replica_import", views("products", "observed", "aliases", more=REPLICA_SQL) + """SELECT line AS incoming_id, coalesce(pid, root, line) AS product_id,
