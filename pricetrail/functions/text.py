@@ -71,11 +71,19 @@ def identifier_text(c: Column) -> Column:
     """Text identifier as struct(value, error); leading zeros stay."""
 
     def judged(text: Column) -> Column:
-        bad = text.rlike(NOT_IDENTIFIER)
-        fault = F.when(text.isNull() | (text == ""), "empty identifier").when(bad, "invalid identifier text")
-        return let(fault, lambda f: F.struct(F.when(f.isNull(), text).alias("value"), f.alias("error")))
+        return let(identifier_fault(text), lambda f: F.struct(F.when(f.isNull(), text).alias("value"), f.alias("error")))
 
-    return let(F.regexp_replace(strip(c), r"^(\d+)\.0+$", "$1"), judged)
+    return let(strip(c), lambda text: let(without_point(text), judged))
+
+
+def without_point(text: Column) -> Column:
+    """A whole number that was written with a point and zeros, without them."""
+    return F.when(text.endswith("0"), F.regexp_replace(text, r"^(\d+)\.0+$", "$1")).otherwise(text)
+
+
+def identifier_fault(text: Column) -> Column:
+    """What is wrong with a stripped text as identifier, or null."""
+    return F.when(text.isNull() | (text == ""), "empty identifier").when(text.rlike(NOT_IDENTIFIER), "invalid identifier text")
 
 
 def identifier_number(c: Column, mask: Column | None = None) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pricetrail.functions.binding import let
-from pricetrail.functions.text import identifier_text, is_blank, strip
+from pricetrail.functions.text import identifier_fault, is_blank, strip, without_point
 from pricetrail.operators.products import fold_literal
 from pricetrail.session import cut_lineage
 
@@ -105,7 +105,7 @@ def _spots(lines: DataFrame) -> DataFrame:
 
     A piece is what one task reads, so the rows are as many as the tasks that read the files.
     """
-    odd = F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1
+    odd = _count(F.col("value"), '"') % 2 == 1
     pieces = lines.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_from"), F.max(odd).alias("_some"))
     in_order = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     file = Window.partitionBy("_file")
@@ -118,9 +118,13 @@ def _spots(lines: DataFrame) -> DataFrame:
     return cut_lineage(spots.drop("_n", "_some", "_upto"))
 
 
+def _count(text: Column, mark: str) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))
+
+
 def _separator(header: Column) -> Column:
     """The separator that ``_layout`` finds."""
-    counts = [F.length(header) - F.length(F.replace(header, F.lit(s), F.lit(""))) for s in SEPARATORS]
+    counts = [_count(header, s) for s in SEPARATORS]
     most, chosen = F.greatest(*counts), F.lit(SEPARATORS[-1])
     for s, n in reversed(list(zip(SEPARATORS, counts))[:-1]):
         chosen = F.when(n == most, s).otherwise(chosen)
@@ -218,12 +222,12 @@ def _records(lines: DataFrame) -> DataFrame:
     return alone.unionByName(whole).unionByName(endless)
 
 
-def _filled(df: DataFrame, names: list[str]) -> DataFrame:
-    """Rows with something in one of the named columns."""
+def _blank(cells: Column, names: list[str]) -> Column:
+    """Nothing in any of the named cells."""
     blank = F.lit(True)
     for n in names:
-        blank = blank & is_blank(F.col(f"`{n}`"))
-    return df.filter(~blank)
+        blank = blank & is_blank(cells[n])
+    return blank
 
 
 def _schema(names: list[str]) -> str:
@@ -231,9 +235,13 @@ def _schema(names: list[str]) -> str:
 
 
 def _from_lines(rows: DataFrame, separator: str, names: list[str]) -> DataFrame:
+    """Cells of the records that have any. A filter behind the parsing would parse every record again, as it moves before it: a record
+    of one line, no more cells than names and a letter or digit has something in a cell, so only others are parsed to be judged."""
     cells = F.from_csv("value", _schema(names), {"sep": separator, "escape": '"'})
-    rows = rows.filter(~is_blank(F.col("value"))).select(cells.alias("_c"), "source_file", "row_number")
-    return _filled(rows.select(*[F.col("_c")[n].alias(n) for n in names], "source_file", "row_number"), names)
+    value = F.col("value")
+    sure = value.rlike("[0-9A-Za-z]") & (_count(value, separator) < len(names)) & ~F.contains(value, F.lit("\n"))
+    rows = rows.filter(~is_blank(value) & (sure | ~_blank(cells, names))).select(cells.alias("_c"), "source_file", "row_number")
+    return rows.select(*[F.col("_c")[n].alias(n) for n in names], "source_file", "row_number")
 
 
 def map_headers(df: DataFrame, passed: tuple[str, ...] = ("source_file", "row_number")) -> DataFrame:
@@ -266,40 +274,42 @@ def _amount(c: Column, name: str) -> Column:
     return let(text.try_cast("decimal(38,12)"), judged)
 
 
-def _identifier(c: Column) -> Column:
-    unsafe = F.struct(F.lit(None).cast("string").alias("value"), F.lit("unsafe numeric identifier").alias("fault"))
-    return F.when(c.startswith(UNSAFE), unsafe).otherwise(
-        let(identifier_text(c), lambda r: F.struct(r["value"].alias("value"), r["error"].alias("fault"))))
-
-
 def _moment(c: Column) -> Column:
     moment = F.try_to_timestamp(c)
     return F.struct(moment.alias("value"), F.when(moment.isNull(), "invalid date").alias("fault"))
 
 
-def _typed(name: str) -> Column:
-    """struct(value, fault) of one field; an empty cell has neither."""
+def _typed(name: str) -> tuple[Column, Column]:
+    """Value and fault of one field, from its stripped text and what is made of it; an empty cell has neither."""
+    text, made = F.col(f"_text_{name}"), F.col(f"_made_{name}")
+    if name in IDENTIFIERS:
+        fault = F.when(text.startswith(UNSAFE), "unsafe numeric identifier").otherwise(identifier_fault(made))
+        value = F.when(fault.isNull(), made)
+    elif name in AMOUNTS or name == "last_updated":
+        value, fault = made["value"], made["fault"]
+    else:
+        value, fault = made, F.lit(None).cast("string")
+    there = F.coalesce((text != FORMULA) & (text != ""), F.lit(False))
+    return F.when(there, value), F.when(text == FORMULA, "replace formulas by values").when(there, fault)
 
-    def read(text: Column) -> Column:
-        if name in IDENTIFIERS:
-            result = _identifier(text)
-        elif name in AMOUNTS:
-            result = _amount(text, name)
-        elif name == "last_updated":
-            result = _moment(text)
-        else:
-            result = F.struct(text.alias("value"), F.lit(None).cast("string").alias("fault"))
-        formula = F.struct(F.lit(None).alias("value"), F.lit("replace formulas by values").alias("fault"))
-        return F.when(text == FORMULA, formula).when(text != "", result)
 
-    return let(strip(F.col(name)), read)
+def _made(name: str) -> Column:
+    text = F.col(f"_text_{name}")
+    if name in IDENTIFIERS:
+        return without_point(text)
+    if name in AMOUNTS:
+        return _amount(text, name)
+    return _moment(text) if name == "last_updated" else text
 
 
 def type_import_lines(df: DataFrame) -> DataFrame:
     """Typed columns and ``error``, the first fault of a row in column order; a bad row keeps its raw
-    texts in ``raw`` and the good ones go on."""
+    texts in ``raw`` and the good ones go on. What is used several times is a column of its own, so it is made once per row."""
     fields = [c for c in df.columns if c in HEADER_ALIASES.values()]
-    rows = df.withColumns({f"_{name}": _typed(name) for name in fields})
+    rows = df.withColumns({f"_text_{name}": strip(F.col(name)) for name in fields})
+    rows = rows.withColumns({f"_made_{name}": _made(name) for name in fields})
+    typed = {name: _typed(name) for name in fields}
+    rows = rows.withColumns({f"_{name}": F.struct(v.alias("value"), f.alias("fault")) for name, (v, f) in typed.items()})
     lacking = F.lit(True)
     for name in IDENTIFIERS:
         if name in fields:
