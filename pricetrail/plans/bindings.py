@@ -151,3 +151,8 @@ PENDING = f"""SELECT sha256('["' || sku || '", "' || barcode || '"]') AS id, * F
 MEMBERS = """
 SELECT DISTINCT 'collection:' || l_suppkey AS collection_id, 'shop:' || l_partkey AS product_id FROM lineitem
 """
+# The same rows; copies vanish while they are numbers
+MEMBER_ROWS = """
+SELECT 'collection:' || l_suppkey AS collection_id, 'shop:' || l_partkey AS product_id
+FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) AS lines
+"""

@@ -106,8 +106,8 @@ def composed_delta(s):
     known = s.spark.sql(KNOWN.replace("FROM offered", "FROM {offered}"), offered=bound["offered"])
     empty = s.spark.createDataFrame([], "id string, data string")
     pending = s.sql(B.PENDING_ROWS).withColumn("id", F.concat_ws("|", "sku", "barcode"))
-    tables = {"categories": bound["categories"], "products": known, "aliases": s.sql(B.ALIASES), "promotions": empty, "collections": empty,
-              "links": s.sql(B.PRODUCT_PROMOTIONS).select("promotion_id", "product_id"), "members": s.sql(B.MEMBERS), "pending": pending}
+    tables = {"categories": bound["categories"], "products": known, "aliases": s.sql(B.ALIAS_ROWS), "promotions": empty, "collections": empty,
+              "links": s.sql(B.PRODUCT_PROMOTIONS).select("promotion_id", "product_id"), "members": s.sql(B.MEMBER_ROWS), "pending": pending}
     out = apply_changes(tables, news)
     rows = lambda part, table, key, value: out[table].select(F.lit(part).alias("part"), key.alias("id"), value.alias("value"))
     c = F.col
