@@ -30,6 +30,8 @@ SAMPLE = 4096
 WAYS, LEVELS = 16, 2
 #: Rows of a block of a leaf, and anchors that are compared with it at a time, on average. Larger leaves have more blocks.
 BLOCK, GROUP = 4096, 512
+#: Blocks that meet their anchors in one place: an anchor is sent there once, however many of them it visits.
+CHUNK = 16
 _EXACT = float(1 << 53)
 
 
@@ -237,25 +239,36 @@ class Index:
                 who, leaf = np.nonzero(live)
                 n = parts[leaf]
                 block = np.repeat(base[leaf], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                who = pa.array(np.repeat(who, n))
+                who, chunk = np.repeat(who, n), block // CHUNK  # blocks of an anchor ascend
+                begin = np.flatnonzero(np.append(True, (who[1:] != who[:-1]) | (chunk[1:] != chunk[:-1]))) if len(who) else who
+                blocks = pa.ListArray.from_arrays(pa.array(np.append(begin, len(who)).astype(np.int32)), pa.array(block.astype(np.int64)))
+                who = pa.array(who[begin])
                 spans = pa.array([[x for span in w for x in span] for w in windows], pa.list_(pa.int64()))
                 taken = {c: batch.column(i).take(who) for i, c in enumerate(("a", "id", "label", "v"))}
-                return {"block": pa.array(block), **taken, "spans": spans.take(who)}
+                return {"chunk": pa.array(chunk[begin].astype(np.int64)), **taken, "spans": spans.take(who), "blocks": blocks}
 
             return step
 
         total = anchors.count()
         met = map_batches(anchors.select("a", "id", "label", "v", "peaks", "floors"), visits,
-                          "block long, a long, id long, label long, v array<long>, spans array<long>")
+                          "chunk long, a long, id long, label long, v array<long>, spans array<long>, blocks array<long>")
         lot = F.pmod(F.xxhash64("a"), F.lit(max(1, -(-total // group))))
-        met = met.groupBy("block", lot.alias("lot")).agg(F.collect_list(F.struct("a", "id", "label", "v", "spans")).alias("who"))  # about ``group``
-        work = met.join(self.blocks, "block").select("who", "items")
+        who = F.collect_list(F.struct("a", "id", "label", "v", "spans", "blocks")).alias("who")  # about ``group``
+        met = met.groupBy("chunk", lot.alias("lot")).agg(who)
+        visited = met.withColumn("visited", F.array_distinct(F.flatten("who.blocks")))
+        blocks = self.blocks.withColumn("chunk", F.floor(F.col("block") / CHUNK))
+        # Files of blocks are far smaller than the blocks: by their size, the driver would be given all of them to broadcast.
+        work = visited.hint("merge").join(blocks, "chunk").filter(F.array_contains("visited", F.col("block"))).select("block", "who", "items")
 
         def scores():
             def step(batch: pa.RecordBatch) -> dict:
                 out = []
                 for i in range(batch.num_rows):
-                    out += _block_best(batch.column(0)[i].values, batch.column(1)[i].values, width, same, most)
+                    who = batch.column(1)[i].values
+                    met = who.field(5)
+                    owner = np.repeat(np.arange(len(met)), met.value_lengths().to_numpy())
+                    who = who.take(pa.array(owner[met.flatten().to_numpy() == batch.column(0)[i].as_py()]))
+                    out += _block_best(who, batch.column(2)[i].values, width, same, most)
                 a, w, ids, score = (np.concatenate(x) for x in zip(*out)) if out else [np.zeros(0, np.int64)] * 4
                 return {"a": pa.array(a), "w": pa.array(w.astype(np.int32)), "id": pa.array(ids), "score": pa.array(score)}
 
@@ -329,10 +342,11 @@ def hard_negatives(
     near = tree.search(start, True, positives, own_leaf=True)
     close = held(tree.search(floored(start, near, positives, F.lit(1)), True, positives, own_leaf=False), "positives")
     peaks = close.groupBy("a").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "score"))), lambda x: x["score"]).alias("peaks"))
-    opened = anchors.join(peaks, "a").withColumn("floors", none)  # at most ``positives`` peaks
+    opened = anchors.hint("merge").join(peaks, "a").withColumn("floors", none)  # at most ``positives`` peaks
     near = tree.search(opened, False, negatives, own_leaf=True, shares=shares)
     found = tree.search(floored(opened, near, negatives, F.size("peaks")), False, negatives, own_leaf=False, shares=shares)
     pairs = close.select("a", (F.col("rank") - 1).alias("w"), F.col("id").alias("positive_id"), F.col("score").alias("positive_score"))
     found = found.select("a", "w", "rank", F.col("id").alias("negative_id"), F.col("score").alias("negative_score"))
-    rows = found.join(pairs, ["a", "w"]).join(anchors.select("a", F.col("id").alias("anchor_id")), "a")
+    named = anchors.select("a", F.col("id").alias("anchor_id"))
+    rows = found.join(pairs.hint("merge"), ["a", "w"]).join(named.hint("merge"), "a")
     return rows.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
