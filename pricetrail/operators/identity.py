@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pricetrail.functions.text import is_blank
 from pricetrail.operators.joins import several, sole, spread_lookup
-from pricetrail.session import cut_lineage
+from pricetrail.session import cut_lineage, stored
 
 IDENTITY_KEYS = ("source_product_id", "sku", "barcode", "product_url", "id")
 
@@ -34,12 +34,24 @@ def _holdings(products: DataFrame, aliases: DataFrame | None, keys: tuple[str, .
 def match_keys(
     rows: DataFrame, row_id: str, products: DataFrame, aliases: DataFrame | None, keys: tuple[str, ...] = IDENTITY_KEYS
 ) -> DataFrame:
-    """Rows that match something, with the lowest and highest product matched (_low, _high)."""
-    owners = _holdings(products, aliases, keys).groupBy("kind", "value").agg(
-        F.min("_row").alias("_low"), F.max("_row").alias("_high")
-    )
-    hits = spread_lookup(_exploded(rows, row_id, keys), owners, ["kind", "value"], "_row", "inner")
-    return hits.groupBy(F.col("_row").alias(row_id)).agg(F.min("_low").alias("_low"), F.max("_high").alias("_high"))
+    """Rows that match something, with the lowest and highest product matched (_low, _high).
+
+    Several kinds of identifiers are looked up one after the other: each leaves its matches, stored, and what it shuffled is gone
+    before the next. Rows are read once for each kind, so they should be stored, with a short ``row_id``. A row has few matches, so
+    they are dealt out as they are: put together before that, they would be no fewer.
+    """
+    kinds = [k for k in keys if k in rows.columns]
+    low, high = F.min("_row"), F.max("_row")
+    owners = _holdings(products, aliases, keys).groupBy("kind", "value").agg(low.alias("_low"), F.when(low != high, high).alias("_other"))
+    keep = stored if len(kinds) > 1 else lambda df: df
+    owners, hits = keep(owners), None
+    for kind in kinds:
+        asked = rows.select(F.col(row_id).alias("_row"), F.col(kind).cast("string").alias("value")).filter("value IS NOT NULL AND _row IS NOT NULL")
+        found = spread_lookup(asked, owners.filter(F.col("kind") == kind).drop("kind"), ["value"], "_row", "inner")
+        found = keep(found.select("_row", "_low", "_other"))
+        hits = found if hits is None else hits.unionByName(found)
+    last = F.max(F.coalesce("_other", "_low"))
+    return hits.repartition("_row").groupBy(F.col("_row").alias(row_id)).agg(F.min("_low").alias("_low"), last.alias("_high"))
 
 
 def resolve_identity(rows: DataFrame, row_id: str, products: DataFrame, aliases: DataFrame) -> DataFrame:

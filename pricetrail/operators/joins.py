@@ -13,13 +13,13 @@ def spread_lookup(rows: DataFrame, table: DataFrame, on: list[str], spread: str,
     Adaptive execution splits an oversized partition of that side by size (see session.SETTINGS), and
     broadcasts the table when its measured size allows. It can only do so when both sides are shuffled
     for the join itself; a table that was just aggregated by the key would not be. The extra join key, a
-    hash of the others, makes sure of it at the price of one more shuffle of the narrow table.
+    few bits of a hash of the others, makes sure of it at the price of one more shuffle of the narrow table.
 
     ``spread`` names a column that varies inside a key; adaptive execution needs no such column, so it is not read.
     """
     types = dict(rows.dtypes)
     table = table.select([F.col(c).cast(types[c]).alias(c) if c in on else F.col(c) for c in table.columns])
-    apart = F.xxhash64(*[F.col(k) for k in on])
+    apart = F.pmod(F.xxhash64(*[F.col(k) for k in on]), F.lit(16))  # a whole hash would be half of a narrow row
     return rows.withColumn("_apart", apart).join(table.withColumn("_apart", apart), [*on, "_apart"], how).drop("_apart")
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -72,8 +74,28 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Whether Spark removes the shuffle files of an execution when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """What is executed within leaves no shuffle files. Otherwise they stay until the driver happens to collect its garbage."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """Rows written to the shared folder and read back: as cut_lineage, but columns are packed, and joins are planned by their real size."""
+    """Rows written to the shared folder and read back: as cut_lineage, but columns are packed, joins are planned by their real size,
+    and what was shuffled for the rows is removed."""
     folder = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(folder)
+    with shuffles_removed(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
