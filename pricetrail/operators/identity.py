@@ -87,7 +87,7 @@ def shared_groups(rows: DataFrame, row_id: str, keys: tuple[str, ...] = IDENTITY
 
 def contested_products(conflicts: DataFrame, row_id: str, products: DataFrame, aliases: DataFrame) -> DataFrame:
     """Ids of all products touched by conflicting rows, to be flagged for review."""
-    values = _exploded(conflicts, row_id, IDENTITY_KEYS).select("kind", "value").distinct()
+    values = stored(_exploded(conflicts, row_id, IDENTITY_KEYS).select("kind", "value").distinct())
     held = _holdings(products, aliases, IDENTITY_KEYS)
     return spread_lookup(held, values, ["kind", "value"], "_row", "left_semi").select(F.col("_row").alias("id")).distinct()
 
