@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pricetrail.functions.text import is_blank
 from pricetrail.operators.joins import several, sole, spread_lookup
-from pricetrail.session import cut_lineage, stored
+from pricetrail.session import forget, shuffles_removed, stored
 
 IDENTITY_KEYS = ("source_product_id", "sku", "barcode", "product_url", "id")
 
@@ -50,6 +50,8 @@ def match_keys(
         found = spread_lookup(asked, owners.filter(F.col("kind") == kind).drop("kind"), ["value"], "_row", "inner")
         found = keep(found.select("_row", "_low", "_other"))
         hits = found if hits is None else hits.unionByName(found)
+    if len(kinds) > 1:
+        forget(owners)
     last = F.max(F.coalesce("_other", "_low"))
     return hits.repartition("_row").groupBy(F.col("_row").alias(row_id)).agg(F.min("_low").alias("_low"), last.alias("_high"))
 
@@ -66,21 +68,25 @@ def shared_groups(rows: DataFrame, row_id: str, keys: tuple[str, ...] = IDENTITY
 
     The graph has rows on one side and identifier values on the other. Every value takes the smallest label of its rows and every row
     the smallest label of its values; then a row takes the label of its label, so that chains shrink by more than half a round. Only
-    values with several rows are looked at, minima combine before the shuffle, and each round is checkpointed.
+    values with several rows are looked at, minima combine before the shuffle, and each round is stored.
     """
     values = _exploded(rows, row_id, keys)
     several_rows = values.groupBy("kind", "value").agg(F.min("_row").alias("_low"), F.max("_row").alias("_high")).filter("_low <> _high")
-    edges = cut_lineage(spread_lookup(values, several_rows.select("kind", "value"), ["kind", "value"], "_row", "inner").distinct())
-    labels, before = edges.select("_row", F.col("_row").alias("root")).distinct(), None
+    edges = stored(spread_lookup(values, several_rows.select("kind", "value"), ["kind", "value"], "_row", "inner").distinct())
+    labels, before = stored(edges.select("_row", F.col("_row").alias("root")).distinct()), None
     while True:
+        old = labels
         here = spread_lookup(edges, labels, ["_row"], "value", "inner")
         lowest = here.groupBy("kind", "value").agg(F.min("root").alias("root"))
         near = spread_lookup(edges, lowest, ["kind", "value"], "_row", "inner").groupBy("_row").agg(F.min("root").alias("root"))
         far = near.select(F.col("_row").alias("root"), F.col("root").alias("_next"))
         labels = spread_lookup(near, far, ["root"], "_row").select("_row", F.least("root", F.coalesce("_next", "root")).alias("root"))
-        labels = cut_lineage(labels)
-        now = labels.agg(F.sum(F.xxhash64("_row", "root").cast("decimal(38,0)"))).first()[0]
+        labels = stored(labels)
+        forget(old)
+        with shuffles_removed(labels.sparkSession):
+            now = labels.agg(F.sum(F.xxhash64("_row", "root").cast("decimal(38,0)"))).first()[0]
         if now == before:
+            forget(edges)
             return labels.select(F.col("_row").alias(row_id), "root")
         before = now
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pricetrail.operators.categories import resolve_category_path
 from pricetrail.operators.identity import IDENTITY_KEYS, contested_products, match_keys, resolve_identity, shared_groups
 from pricetrail.operators.joins import several, sole, spread_lookup
-from pricetrail.session import cut_lineage
+from pricetrail.session import cut_lineage, forget, stored
 
 # A null in these keeps the stored value; these do not decide whether a row changed.
 KEPT = ("source_product_id", "sku", "barcode", "name", "brand", "quantity", "category_id", "product_url")
@@ -151,24 +151,43 @@ def import_products(lines: DataFrame, pending: DataFrame, products: DataFrame, a
     and no name); duplicate (a known product already has all this, or a repeat of an earlier line);
     updated or added otherwise, with the category resolved by names.
     """
+    return _decided(lines, pending, products, aliases, categories).select("row_number", "outcome", "product_id", "category_id", "needs_review")
+
+
+#: Columns of a decision, and columns that only lead to the category.
+DECIDED = ("outcome", "product_id", "category_id", "needs_review")
+NAMED = ("category_name", "subcategory_name")
+
+
+def _decided(lines: DataFrame, pending: DataFrame, products: DataFrame, aliases: DataFrame, categories: DataFrame) -> DataFrame:
+    """Lines without the names of their category, with outcome, product_id, category_id and needs_review.
+
+    What is known of each pair is put together step by step, each stored, before the lines meet it; categories are looked up first.
+    """
     good = lines.filter("error IS NULL")
     data = [c for c in lines.columns if c not in ("row_number", "error", "category_name", "subcategory_name", "last_updated")]
     compared = [c for c in data if c in products.columns]
     keyed = good.withColumns({"_s": F.coalesce("sku", F.lit("")), "_b": F.coalesce("barcode", F.lit(""))})
     groups = keyed.groupBy("_s", "_b").agg(F.min("row_number").alias("_first"))
-    pairs = groups.withColumn("pair", F.to_json(F.array("_s", "_b")))
+    pairs = stored(groups.withColumn("pair", F.monotonically_increasing_id()))
     pairs = pairs.withColumns({"sku": F.when(F.col("_s") != "", F.col("_s")), "barcode": F.when(F.col("_b") != "", F.col("_b"))})
-    facts = pairs.join(match_keys(pairs, "pair", products, aliases, ("sku", "barcode")), "pair", "left")
-    stored = pending.filter("status <> 'invalid'").select(F.coalesce("sku", F.lit("")).alias("_s"), F.coalesce("barcode", F.lit("")).alias("_b"))
+    matches = match_keys(pairs, "pair", products, aliases, ("sku", "barcode"))
+    facts = stored(pairs.join(matches, "pair", "left"))
+    forget(matches)
+    earlier_pairs = pending.filter("status <> 'invalid'").select(F.coalesce("sku", F.lit("")).alias("_s"), F.coalesce("barcode", F.lit("")).alias("_b"))
+    earlier_pairs = stored(earlier_pairs.distinct())
     for key, other in (("_s", "_b"), ("_b", "_s")):
         both = (F.col(key) != "") & (F.col(other) != "")
         in_file = pairs.filter(both).groupBy(key).agg((F.min(other) != F.max(other)).alias(f"_many{key}"))
-        earlier = stored.filter(both).groupBy(key).agg(F.min(other).alias(f"_low{key}"), F.max(other).alias(f"_high{key}"))
-        facts = spread_lookup(spread_lookup(facts, in_file, [key], "pair"), earlier, [key], "pair")
+        earlier = earlier_pairs.filter(both).groupBy(key).agg(F.min(other).alias(f"_low{key}"), F.max(other).alias(f"_high{key}"))
+        before = facts
+        facts = stored(spread_lookup(spread_lookup(facts, in_file, [key], "pair"), earlier, [key], "pair"))
+        forget(before)
+    steps = facts, earlier_pairs, pairs
     differs = lambda key, other: both_known & ((F.col(f"_low{key}") != F.col(other)) | (F.col(f"_high{key}") != F.col(other)))
     both_known = (F.col("_s") != "") & (F.col("_b") != "")
     facts = facts.withColumn("_prior", F.coalesce(differs("_s", "_b"), F.lit(False)) | F.coalesce(differs("_b", "_s"), F.lit(False)))
-    known = stored.distinct().withColumn("_stored", F.lit(True))
+    known = earlier_pairs.withColumn("_stored", F.lit(True))
     facts = facts.join(known, ["_s", "_b"], "left")
     target = products.select(F.col("id").alias("product_id"), F.col("sku").alias("_sku"), F.col("barcode").alias("_barcode"),
                              F.struct(*compared).alias("_p"))
@@ -177,16 +196,25 @@ def import_products(lines: DataFrame, pending: DataFrame, products: DataFrame, a
         F.coalesce("_many_s", F.lit(False)) | F.coalesce("_many_b", F.lit(False)) | F.col("_prior") | several(F.col("_low"), F.col("_high"))
         | F.coalesce(F.col("_sku") != F.col("sku"), F.lit(False)) | F.coalesce(F.col("_barcode") != F.col("barcode"), F.lit(False)))
     facts = facts.select("_s", "_b", "_first", "product_id", "_p", contradictory.alias("_bad"), F.coalesce("_stored", F.lit(False)).alias("_stored"))
-    rows = spread_lookup(keyed, facts, ["_s", "_b"], "row_number")
-    if {"category_name", "subcategory_name"} <= set(lines.columns):
-        rows = resolve_category_path(rows, categories, "row_number", "category_name", "subcategory_name")
+    facts = stored(facts)
+    forget(*steps)
+    told = F.lit(False)
+    for c in NAMED:  # a product holds a category, not its names: a line that tells them is never the same
+        told = told | F.col(c).isNotNull() if c in lines.columns else told
+    rows = keyed.withColumn("_told", told)
+    if set(NAMED) <= set(lines.columns):
+        names = F.when(F.col(NAMED[0]).isNotNull(), F.to_json(F.array(*NAMED))).alias("_path")
+        named = resolve_category_path(good.select(names, *NAMED).filter("_path IS NOT NULL").distinct(), categories, "_path", *NAMED)
+        rows = spread_lookup(rows.withColumn("_path", names), stored(named.drop(*NAMED)), ["_path"], "row_number")
+        rows = rows.withColumn("needs_review", F.coalesce("needs_review", F.lit(False))).drop("_path")
     else:
         rows = rows.withColumns({"category_id": F.lit(None).cast("string"), "needs_review": F.lit(False)})
+    own = [c for c in lines.columns if c not in (*DECIDED, *NAMED)]
+    rows = spread_lookup(rows.drop(*NAMED), facts, ["_s", "_b"], "row_number")
     identical, types = F.lit(True), dict(products.dtypes)
     for c in compared:
         identical = identical & (F.col(c).isNull() | F.col(c).try_cast(types[c]).eqNullSafe(F.col("_p")[c]))
-    for c in ("category_name", "subcategory_name"):  # a product holds a category, not its names: a line that tells them is never the same
-        identical = identical & F.col(c).isNull() if c in lines.columns else identical
+    identical = identical & ~F.col("_told")
     first = F.col("row_number") == F.col("_first")
     single = F.col("product_id").isNotNull()
     outcome = (
@@ -195,9 +223,9 @@ def import_products(lines: DataFrame, pending: DataFrame, products: DataFrame, a
         .when(single & identical, "duplicate")
         .when(single, "updated")
         .otherwise(F.when(first, "added").otherwise("duplicate")))
-    done = rows.select("row_number", outcome.alias("outcome"), "product_id", "category_id", "needs_review")
+    done = rows.withColumn("outcome", outcome).select(*own, *DECIDED)
     bad = lines.filter("error IS NOT NULL").select(
-        "row_number", F.lit("invalid").alias("outcome"), F.lit(None).cast("string").alias("product_id"),
+        *own, F.lit("invalid").alias("outcome"), F.lit(None).cast("string").alias("product_id"),
         F.lit(None).cast("string").alias("category_id"), F.lit(False).alias("needs_review"))
     return done.unionByName(bad)
 

@@ -15,7 +15,7 @@ from pricetrail.plans import bindings as B
 from pricetrail.plans.identity import MATCH_SQL, _pending
 from pricetrail.plans.observed import BATCH_SQL, UPSERT_SQL, _upserted, doubled, percent_sql
 from pricetrail.plans.registry import query, with_views
-from pricetrail.session import shared_dir
+from pricetrail.session import shared_dir, stored
 from pricetrail.sources import identifier_files as D
 from pricetrail.sources import search_json as J
 from pricetrail.sources import sinks as S
@@ -259,15 +259,17 @@ ONCE = ("SELECT row_number, sku, barcode, error, CASE", "SELECT DISTINCT row_num
 WHOLE_VIEWS = IMPORT_VIEWS.replace(*ONCE)
 
 
-def _product_lines(s, text=PRODUCT_LINES):
-    return s.spark.sql(text.replace("FROM pairs", "FROM {pairs}"), pairs=s.sql(B.PAIRS))
+def _product_lines(s, once=False):
+    """The lines, stored without the texts that are made of others; ``once``: the same as the SQL's distinct lines."""
+    pairs = s.sql(B.PAIRS)
+    return s.spark.sql(PRODUCT_LINES.replace("FROM pairs", "FROM {pairs}"), pairs=stored(pairs.distinct() if once else pairs))
 
 
 @query("idr5_product_import", IMPORT_VIEWS + """SELECT row_number, outcome, pid AS product_id,
     CASE WHEN category_name = 'ASIA' THEN (SELECT id FROM categories WHERE name = 'ASIA' AND parent_id IS NULL) END AS category_id FROM o
     UNION ALL SELECT row_number, 'invalid', NULL, NULL FROM lines WHERE error IS NOT NULL""")
 def product_import(s):
-    decided = P.import_products(_product_lines(s), _pending(s), s.sql(B.PRODUCTS), s.sql(B.ALIASES), s.sql(B.CATEGORIES))
+    decided = P.import_products(_product_lines(s), _pending(s), s.sql(B.PRODUCTS), s.sql(B.ALIAS_ROWS), s.sql(B.CATEGORIES))
     return decided.select("row_number", "outcome", "product_id", "category_id")
 
 
@@ -280,7 +282,7 @@ IMPORT_DONE = """w AS (SELECT * FROM o WHERE outcome IN ('added', 'updated')),
 
 
 def _whole_import(s):
-    return P.import_catalog(_product_lines(s, PRODUCT_LINES.replace(*ONCE)), _pending(s), _replica_products(s), s.sql(B.ALIASES), s.sql(B.CATEGORIES), "lines.csv", F.lit("2001-01-01").cast("timestamp"))
+    return P.import_catalog(_product_lines(s, once=True), _pending(s), _replica_products(s), s.sql(B.ALIAS_ROWS), s.sql(B.CATEGORIES), "lines.csv", F.lit("2001-01-01").cast("timestamp"))
 
 
 def _replica_products(s):

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Settings every job of this package relies on. AQE re-plans joins from measured sizes, so a side
 #: is broadcast only when its real size is under the threshold, and oversized join partitions are split.
@@ -96,6 +97,18 @@ def stored(df: DataFrame) -> DataFrame:
     """Rows written to the shared folder and read back: as cut_lineage, but columns are packed, joins are planned by their real size,
     and what was shuffled for the rows is removed."""
     folder = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    untyped = [c for c, kind in df.dtypes if kind == "void"]  # files hold no such columns; all their values are null
+    rows = df.withColumns({c: F.lit(None).cast("boolean") for c in untyped})
     with shuffles_removed(df.sparkSession):
-        df.write.option("compression", "zstd").parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+        rows.write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.schema(rows.schema).parquet(folder).withColumns({c: F.lit(None) for c in untyped})
+
+
+def forget(*frames: DataFrame) -> None:
+    """Removes the folders of stored frames that nothing reads any more. Files that ``stored`` has not written stay."""
+    for df in frames:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+            if folder.rsplit("/", 1)[1].startswith("stored-"):
+                path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(folder))
+                path.getFileSystem(conf).delete(path, True)
