@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pricetrail.operators.categories import resolve_category_path
 from pricetrail.operators.identity import IDENTITY_KEYS, contested_products, match_keys, resolve_identity, shared_groups
 from pricetrail.operators.joins import several, sole, spread_lookup
-from pricetrail.session import cut_lineage, forget, stored
+from pricetrail.session import forget, stored
 
 # A null in these keeps the stored value; these do not decide whether a row changed.
 KEPT = ("source_product_id", "sku", "barcode", "name", "brand", "quantity", "category_id", "product_url")
@@ -35,7 +35,7 @@ def replica_upsert(state: DataFrame, aliases: DataFrame, batch: DataFrame, onlin
     for key in IDENTITY_KEYS:
         if key not in rows.columns:
             rows = rows.withColumn(key, F.lit(None).cast("string"))
-    found = cut_lineage(resolve_identity(rows, "id", state, aliases))
+    found = stored(resolve_identity(rows, "id", state, aliases))
     crowded = found.filter("product_id IS NOT NULL").groupBy("product_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     met = spread_lookup(found.filter("match <> 'new'"), crowded, ["product_id"], "id")
     met = met.withColumn("_bad", (F.col("match") == "conflict") | F.col("_n").isNotNull())
@@ -60,7 +60,7 @@ def replica_upsert(state: DataFrame, aliases: DataFrame, batch: DataFrame, onlin
     outcome = (
         F.when(reason.isNotNull(), "conflict").when(s.isNull() & F.col("_later"), "updated").when(s.isNull(), "added")
         .when(quiet, "unchanged").otherwise("updated"))
-    decided = cut_lineage(joined.withColumns({"outcome": outcome, "reason": reason}))
+    decided = stored(joined.withColumns({"outcome": outcome, "reason": reason}))
 
     other_code = F.lit(False)
     if "barcode" in columns:
@@ -104,7 +104,7 @@ def replica_upsert(state: DataFrame, aliases: DataFrame, batch: DataFrame, onlin
 
 def _folded(found: DataFrame, columns: list[str], struct: Column, online: bool) -> DataFrame:
     """Rows that meet no stored product: incoming_id, product_id (their group's smallest row), _bad, _later (not the first), _b."""
-    groups = cut_lineage(shared_groups(found.filter("match <> 'conflict'"), "id"))
+    groups = shared_groups(found.filter("match <> 'conflict'"), "id")
     new = spread_lookup(found.filter("match = 'new'"), groups, ["id"], "id").withColumn("_group", F.coalesce("root", "id"))
     # groups that reach a row with a stored product
     stored = spread_lookup(found.filter("match = 'update'").select("id"), groups, ["id"], "id", "inner").select("root").distinct()
@@ -246,19 +246,25 @@ def import_catalog(
     through the upsert under ``import:<row_number>``; the first line of a pair speaks for it, and two lines that meet one product are
     conflicts.
     """
-    decided = import_products(lines, pending, products, aliases, categories)
-    texts = lines.drop("category_name", "subcategory_name", "last_updated", "category_id", "needs_review")
-    decided = cut_lineage(spread_lookup(decided, texts, ["row_number"], "outcome"))
+    decided = _decided(lines, pending, products, aliases, categories)
+    texts = [c for c in lines.columns if c not in (*NAMED, "last_updated", "category_id", "needs_review")]
+    if stored(lines.filter("row_number IS NOT NULL").groupBy("row_number").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").limit(1)).isEmpty():
+        own = [F.when(F.col("row_number").isNotNull(), F.col(c)).alias(c) for c in texts if c != "row_number"]
+        decided = decided.select("row_number", "outcome", "product_id", "category_id", "needs_review", *own)
+    else:  # lines that a number doesn't tell apart meet all texts of their number
+        decided = decided.select("row_number", "outcome", "product_id", "category_id", "needs_review")
+        decided = spread_lookup(decided, lines.select(*texts), ["row_number"], "outcome")
+    decided = stored(decided)
     incoming = F.concat(F.lit("import:"), F.col("row_number").cast("string"))
     written = decided.filter(F.col("outcome").isin("added", "updated"))
     batch = written.drop("outcome", "product_id", "needs_review", "error").withColumn("id", incoming).drop("row_number")
     done = replica_upsert(products, aliases, batch, online=False)
     known = done["outcomes"].select(F.col("incoming_id").alias("_in"), F.col("product_id").alias("_product"), F.col("outcome").alias("_done"))
-    rows = decided.withColumn("_in", F.when(F.col("outcome").isin("added", "updated"), incoming)).join(known, "_in", "left").drop("_in")
+    rows = written.withColumn("_in", incoming).join(known, "_in", "left").drop("_in")
     rows = rows.withColumns({
         "outcome": F.coalesce("_done", "outcome"),
         "product_id": F.when(F.col("_done") == "conflict", F.lit(None)).otherwise(F.coalesce("_product", "product_id"))})
-    rows = cut_lineage(rows.drop("_done", "_product"))
+    rows = rows.drop("_done", "_product").unionByName(decided.filter(~F.col("outcome").isin("added", "updated")))
     reason = F.when(F.col("outcome") == "invalid", F.col("error")).when(F.col("outcome") == "conflict", F.lit("contradictory identifiers"))
     counted = lambda *names: F.count_if(F.col("outcome").isin(*names)).alias
     pended = (F.col("outcome") == "pending") | ((F.col("outcome") == "duplicate") & F.col("product_id").isNull())

@@ -44,3 +44,13 @@ def test_decisions(spark, given):
         (0, "duplicate", None, None, False), (1, "duplicate", "p1", None, False), (2, "updated", "p1", None, False), (3, "added", None, "f", False),
         (4, "duplicate", None, "f", False), (5, "duplicate", None, None, False), (6, "invalid", None, None, False), (7, "added", None, None, True),
         (7, "updated", "p3", "f", False), (9, "conflict", None, None, False), (10, "conflict", None, None, False)]
+
+
+def test_lines(spark, given):
+    shuffles, _ = _left(spark)
+    done = P.import_catalog(*given, "file", F.lit("2001-01-01").cast("timestamp"))
+    assert _left(spark)[0] <= shuffles
+    rows = sorted((r["row_number"] or 0, r["outcome"], r["product_id"] or "") for r in done["lines"].collect() if r["row_number"] != 7)
+    assert rows == [(0, "duplicate", ""), (1, "duplicate", "p1"), (2, "updated", "p1"), (3, "added", "import:3"), (4, "duplicate", ""), (5, "duplicate", ""),
+                    (6, "invalid", ""), (9, "conflict", ""), (10, "conflict", "")]
+    assert done["lines"].filter("row_number = 7").count() > 2  # a repeated number meets every text of its number
