@@ -54,3 +54,13 @@ def test_lines(spark, given):
     assert rows == [(0, "duplicate", ""), (1, "duplicate", "p1"), (2, "updated", "p1"), (3, "added", "import:3"), (4, "duplicate", ""), (5, "duplicate", ""),
                     (6, "invalid", ""), (9, "conflict", ""), (10, "conflict", "")]
     assert done["lines"].filter("row_number = 7").count() > 2  # a repeated number meets every text of its number
+
+
+def test_identifiers(spark, given):
+    lines = given[0].filter("row_number IS NOT NULL AND row_number <> 7")
+    shuffles, _ = _left(spark)
+    done = P.import_catalog(lines, *given[1:], "file", F.lit("2001-01-01").cast("timestamp"))
+    assert _left(spark)[0] <= shuffles
+    got = sorted((r["sku"], r["barcode"], r["status"], r["product_id"]) for r in done["identifiers"].collect())
+    assert got == [("n1", "c1", "matched", "import:3"), ("n2", "c2", "pending", None), ("n5", "c5", "needsReview", None), ("n5", "c6", "needsReview", None),
+                   ("s1", "b1", "matched", "p1")]
