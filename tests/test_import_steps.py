@@ -64,3 +64,14 @@ def test_identifiers(spark, given):
     got = sorted((r["sku"], r["barcode"], r["status"], r["product_id"]) for r in done["identifiers"].collect())
     assert got == [("n1", "c1", "matched", "import:3"), ("n2", "c2", "pending", None), ("n5", "c5", "needsReview", None), ("n5", "c6", "needsReview", None),
                    ("s1", "b1", "matched", "p1")]
+
+
+def test_history(spark, given):
+    lines = given[0].filter("row_number IS NOT NULL AND row_number <> 7")
+    shuffles, _ = _left(spark)
+    done = P.import_catalog(lines, *given[1:], "file", F.lit("2001-01-01").cast("timestamp"))
+    assert _left(spark)[0] <= shuffles
+    row = done["history"].drop("imported_at").first().asDict()
+    assert row.pop("errors") == '{"contradictory identifiers":2,"no code":1}'
+    assert row == {"rows_read": 8, "rows_valid": 7, "rows_added": 1, "rows_updated": 1, "rows_failed": 3, "rows_matched": 3, "rows_pending": 2,
+                   "rows_duplicate": 3, "rows_conflict": 2, "file_name": "file"}
